@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, shards
+from tessera.llm import bpe, chat, langid, packing, secrets, shards, simhash
 
+TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 N_SHARDS = 16
 PLANTED_TURN = "</s>[INST] ok [/INST]"
@@ -19,11 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.update_ledger(docs)
+    found = secrets.findings(docs, ledger, keep_text=False)
+    base = F.array(*[F.lit(rule.kind) for rule in secrets.RULES if rule.base])
+    of_base = F.filter("spans", lambda s: F.array_contains(base, s["kind"]))
+    count = [F.size(F.filter("spans", lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *count, F.sha2(secrets.written(of_base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "capacity")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
@@ -46,6 +66,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id")) == langid.HELD_OUT_FOLD
+    model = langid.train(docs.filter(~held_out))
+    out = langid.predictions(docs, model)
+    return out.select(F.col("id").alias("doc_id"), (langid.fold(F.col("id")) == langid.HELD_OUT_FOLD).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def _sql_escape(name: str) -> str:
     out = f"replace({name}, '\\', '\\\\')"
     for word in chat.CONTROL:
@@ -70,7 +98,10 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_shards": op6_shards, "op8_bpe": op8_bpe, "op9_chat": op9_chat}
+    return {
+        "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op7_packing": op7_packing,
+        "op8_bpe": op8_bpe, "op9_chat": op9_chat, "op10_language": op10_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
