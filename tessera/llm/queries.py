@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, packing, secrets, shards, simhash
+from tessera.llm import bpe, chat, hnsw, langid, packing, secrets, shards, simhash, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range_no", "position")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.update_ledger(docs)
@@ -97,12 +110,42 @@ FROM sized GROUP BY conv_id
 """
 
 
+#: Vectors that take part, as the operators have it.
+_USABLE = "embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP1_SQL = f"""
+WITH vectors AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))) AS v FROM embeddings WHERE {_USABLE} GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP2_SQL = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE {_USABLE} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), named AS (
+  SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id FROM embeddings
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM named
+"""
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op7_packing": op7_packing,
+        "op1_topk": op1_topk, "op2_embeddings": op2_embeddings, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op7_packing": op7_packing,
         "op8_bpe": op8_bpe, "op9_chat": op9_chat, "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": OP9_SQL}
+    return {"op1_topk": OP1_SQL, "op2_embeddings": OP2_SQL, "op9_chat": OP9_SQL}
