@@ -203,3 +203,28 @@ def predictions(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([sorted(m[2]) for m in made], pa.list_(pa.string()))], names=out.names)
 
     return source.mapInArrow(run, out)
+
+
+def predicted_language(model: Model, text: Column) -> Column:
+    """The predicted language of ``text`` as a column, for filters that keep a row's other columns."""
+
+    @F.pandas_udf(T.StringType())
+    def predict(texts):
+        import pandas as pd
+
+        own = _identifier(model)
+        return pd.Series([own.predict(x)[0] for x in texts])
+
+    return predict(text.cast("string"))
+
+
+_KEPT: dict[int, Identifier] = {}
+
+
+def _identifier(model: Model) -> Identifier:
+    """One identifier per model and worker, so that its words carry over between batches."""
+    key = hash((tuple(model.languages), model.weights.tobytes()))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Identifier(model)
+    return _KEPT[key]
