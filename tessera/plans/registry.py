@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from tessera.plans import q_text
+
+MODULES = [q_text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
