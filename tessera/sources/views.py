@@ -114,3 +114,16 @@ PROSE_CHUNKS = r"""prose_chunks AS (
   FROM (SELECT *, unnest(range(CASE WHEN length(content) <= 1500 THEN 1 ELSE ceil((length(content) - 100) / 1400)::BIGINT END)) AS seq
     FROM (SELECT doc_id, project, build, document_type, path, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM kb_docs) WHERE content <> '')
 )"""
+
+
+#: Appended to pages so that fences, rules and third-level headings occur.
+TAIL = "\n```sh\n# not a heading\n```\n## Notes\nshort\n\n---\n\n### Sub part\nmore text here\n### Next\nend"
+
+
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, content): pages as Markdown, every other one with the tail."""
+    pages = page_markdown(spark, sf_dir)
+    return pages.select("page_id", F.concat("content", F.when(F.col("page_id") % 2 == 0, TAIL).otherwise("")).alias("content"))
+
+
+MARKDOWN_DOCS = PAGE_MARKDOWN + ", markdown_docs AS (SELECT page_id, content || CASE WHEN page_id % 2 = 0 THEN '" + TAIL.replace("\n", "' || chr(10) || '") + "' ELSE '' END AS content FROM page_markdown)"
