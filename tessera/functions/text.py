@@ -417,21 +417,3 @@ def heading_level(text: Column) -> Column:
 def section_heading(text: Column) -> Column:
     return strip(F.regexp_extract(first_heading(text), r"^#{1,2}\s+(.+)$", 1))
 
-
-def query_excerpt(content: Column, words: Column, size: int = 512) -> Column:
-    """At most ``size`` characters around the word that gathers most words; the first best wins."""
-    own = strip(content)
-    upper = F.upper(own)
-
-    def starts(word: Column) -> Column:
-        # The pieces between occurrences give their positions.
-        cut = F.split(upper, F.concat(F.lit("\\Q"), F.upper(word), F.lit("\\E")), -1)
-        ends = F.transform(F.sequence(F.lit(1), F.size(cut)), lambda k: F.aggregate(F.slice(cut, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * F.length(word))
-        return F.slice(ends, 1, F.size(cut) - 1)
-
-    spots = F.flatten(F.transform(words, starts))
-    windows = F.transform(spots, lambda s: F.greatest(s - size // 3, F.lit(0)))
-    scored = F.transform(windows, lambda w, i: F.struct(hits_in(words, F.substring(own, w + 1, F.lit(size))).alias("hits"), (-i).alias("order"), w.alias("at")))
-    best = F.array_max(scored)
-    at = F.when(best["hits"] > 0, best["at"]).otherwise(0)
-    return F.when(F.length(own) <= size, own).otherwise(F.substring(own, F.coalesce(at, F.lit(0)) + 1, F.lit(size)))

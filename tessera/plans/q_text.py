@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import hooks
 from tessera.plans.base import Plans
 from tessera.sources import views as V
 
@@ -339,7 +340,7 @@ def x01(spark, d):
 @add("R08_query_excerpt", None)
 def r08(spark, d):
     words = X.boost_tokens(F.lit("the pin interface andthe erth"))
-    return V.kb_docs(spark, d).select("doc_id", X.query_excerpt(F.col("content"), words).alias("excerpt"))
+    return V.kb_docs(spark, d).select("doc_id", hooks.focused_excerpt(F.col("content"), words).alias("excerpt"))
 
 
 BOOST = "list_filter(list_distinct(list_transform(regexp_extract_all(query, '[\\p{L}\\p{N}_&]+'), lambda t: lower(t))), lambda t: length(t) >= 2 AND NOT list_contains(" + sql_list(X.STOP_TOKENS) + ", t))"
