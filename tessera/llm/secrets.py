@@ -131,6 +131,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     wanted = F.array(*[F.lit(rule.key) for rule in rules])
     by_place = F.array_sort(F.transform(F.array_distinct(F.filter("__spans", lambda s: F.array_contains(wanted, s["rule"]))), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"))))
     rows = rows.select(F.col("blob_id").alias(key), F.transform(by_place, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
+    rows = materialize(rows, "secret-findings")  # so that the join below is between plain tables and may split a common blob
     left = docs.withColumn(key, blob_id(F.col(text_col)))
     if not keep_text:
         left = left.drop(text_col)
