@@ -16,10 +16,9 @@ language to learn from.  Repeated rows are predicted alike.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,36 +33,57 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
-#: Longer words are read in pieces of this many letters.
-WORD = 40
+#: Characters that are read at once; longer texts are read in pieces.
+BLOCK = 1 << 16
 SMOOTHING = 0.5
 ROUNDS = 12
 #: Weight of the penalty for another language, in units of half the logarithm of the words.
 PENALTY = 4.0
-CACHED_WORDS = 200_000
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def words_of(text: str) -> Counter:
-    return Counter(text.lower().split())
-
-
-def letters(word: str) -> str:
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
-
-
-def buckets(word: str) -> list[int]:
-    """The n-gram buckets of a word of letters; each order has buckets of its own by its hash."""
-    out = []
-    for at in range(0, len(word), WORD):
-        edged = f" {word[at : at + WORD]} "
-        for n in ORDERS:
-            for i in range(len(edged) - n + 1):
-                out.append(zlib.crc32(edged[i : i + n].encode("utf-8", "surrogatepass"), n) & (BUCKETS - 1))
-    return out
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def blocks_of(text: str) -> Iterator[str]:
+    """``text`` in pieces of at most ``BLOCK`` characters, cut at blanks where there are any."""
+    at = 0
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            end = text.rfind(" ", at + 1, end) + 1 or end
+        yield text[at:end]
+        at = end
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of the words of ``text`` (orders x positions) and where words start.
+
+    A word is a run of letters between blanks; all else counts as blank.  An n-gram belongs to the
+    position at which it starts, one that starts with the blank before a word to the word's first
+    letter.  ``BUCKETS`` stands for no n-gram. """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    z = np.zeros(len(points) + len(ORDERS) + 1, np.uint32)
+    z[1 : len(points) + 1] = np.where(letter_table()[points], points, 0)
+    n = len(points) + 1
+    letter = z != 0
+    out = np.empty((len(ORDERS), n), np.int32)
+    key, inner = z[:n].copy(), np.ones(n, bool)
+    for row, order in enumerate(ORDERS):
+        if order > 1:
+            if order > 2:
+                inner = inner & letter[order - 2 : n + order - 2]
+            key = key * np.uint32(0x01000193) ^ z[order - 1 : n + order - 1]
+        bucket = ((key * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int32)
+        fit = letter[:n] if order == 1 else inner & (letter[:n] | letter[1 : n + 1])
+        out[row] = np.where(fit, (bucket + 8191 * order) & (BUCKETS - 1), BUCKETS)
+    return out, np.flatnonzero(letter[1 : n] & ~letter[: n - 1]) + 1
 
 
 @dataclass
@@ -80,13 +100,12 @@ def count_rows(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         per_lang: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total = per_lang.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for word, n in words_of(text).items():
-                    if own := buckets(letters(word)):
-                        np.add.at(total, own, n)
+                total = per_lang.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                for part in blocks_of(text):
+                    total += np.bincount(grams(part)[0].ravel(), minlength=BUCKETS + 1)
         for lang, total in per_lang.items():
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used.astype(np.int32)), pa.array(total[used])], names=["lang", "bucket", "n"])
+            used = np.flatnonzero(total[:BUCKETS])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(total[used])], names=["lang", "bucket", "n"])
 
     return docs.select(lang_col, text_col).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -109,85 +128,70 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     return Model(languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def proportions(likelihood: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+def proportions(likelihood: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """Maximum-likelihood shares of the languages and the log-likelihood, by
     expectation-maximisation.  ``likelihood``: words x languages, scaled to at most 1 a word."""
     share = start
     for _ in range(ROUNDS):
         mixed = likelihood * share
-        moved = (counts / mixed.sum(axis=1)) @ mixed / counts.sum()
+        moved = (1 / mixed.sum(axis=1)) @ mixed / len(likelihood)
         done = np.abs(moved - share).max() < 1e-3
         share = moved
         if done:
             break
-    return share, float(counts @ np.log(likelihood @ share))
+    return share, float(np.log(likelihood @ share).sum())
 
 
 class Identifier:
-    """Predicts by a model; keeps the log-likelihoods of words it has met."""
+    """Predicts by a model."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.index: dict[str, int] = {}
-        self._used = -1
-        self.table = np.zeros((1024, len(model.languages)), np.float64)
-
-    def _row(self, word: str) -> int:
-        own = buckets(letters(word))
-        if not own:
-            row = -1
-        else:
-            row = self._next()
-            # Each order sees the whole word, so their mean is the scale of one reading of it.
-            self.table[row] = self.model.weights[:, own].sum(axis=1, dtype=np.float64) / len(ORDERS)
-        self.index[word] = row
-        return row
-
-    def _next(self) -> int:
-        self._used += 1
-        row = self._used
-        if row == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        return row
-
-    def _rows(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHED_WORDS:
-            self.index.clear()
-            self._used = -1
-        found = self.index.get
-        rows = np.fromiter((r if (r := found(w)) is not None else self._row(w) for w in words), np.int64, len(words))
-        counts = np.fromiter(words.values(), np.float64, len(words))
-        known = rows >= 0
-        return rows[known], counts[known]
+        self.languages = model.languages
+        # Each order reads the whole word, so their mean is the scale of one reading of it.
+        self.weights = np.zeros((BUCKETS + 1, len(model.languages)), np.float32)
+        self.weights[:BUCKETS] = model.weights.T / len(ORDERS)
+
+    def word_likelihoods(self, text: str) -> np.ndarray:
+        """Log-likelihood of every word of ``text`` in every language."""
+        found = []
+        for part in blocks_of(text):
+            buckets, starts = grams(part)
+            if not len(starts):
+                continue
+            total = self.weights[buckets[0]]
+            for row in buckets[1:]:
+                total += self.weights[row]
+            blank = np.flatnonzero(buckets[0][:-1] == BUCKETS)
+            total[blank + 1] += total[blank]
+            total[blank] = 0
+            found.append(np.add.reduceat(total, starts, axis=0))
+        return np.concatenate(found) if found else np.empty((0, len(self.languages)), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """(language, score, shares of the chosen languages)."""
-        if not text or not self.model.languages:
+        if not text or not self.languages:
             return UNKNOWN, 0.0, {}
-        rows, counts = self._rows(words_of(text))
-        if not len(rows):
+        logs = self.word_likelihoods(text)
+        if not len(logs):
             return UNKNOWN, 0.0, {}
-        logs = self.table[rows]
-        top = logs.max(axis=1, keepdims=True)
-        likelihood = np.exp(np.maximum(logs - top, -50.0))
-        k = logs.shape[1]
-        share, _ = proportions(likelihood, counts, np.full(k, 1 / k))
+        likelihood = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -50.0)).astype(np.float64)
+        words, k = likelihood.shape
+        share, _ = proportions(likelihood, np.full(k, 1 / k))
         order = np.argsort(-share, kind="stable")
-        chosen, best_share, best = order[:1], np.ones(1), float(counts @ np.log(likelihood[:, order[0]]))
-        penalty = PENALTY * 0.5 * np.log(1 + counts.sum())
+        chosen, best_share, best = order[:1], np.ones(1), float(np.log(likelihood[:, order[0]]).sum())
+        penalty = PENALTY * 0.5 * np.log(1 + words)
         for size in range(2, k + 1):
             if share[order[size - 1]] < 0.01:
                 break
             own = order[:size]
-            found, gained = proportions(likelihood[:, own], counts, share[own] / share[own].sum())
+            found, gained = proportions(likelihood[:, own], share[own] / share[own].sum())
             if gained - best <= penalty:
                 break
             chosen, best_share, best = own, found, gained
         lead = int(np.argmax(best_share))
         # The score is what the full mixture gives the winner: a lone language is not certain.
         score = float(min(1.0, max(0.0, share[chosen[lead]])))
-        languages = self.model.languages
-        return languages[chosen[lead]], score, {languages[j]: float(s) for j, s in zip(chosen, best_share, strict=True)}
+        return self.languages[chosen[lead]], score, {self.languages[j]: float(s) for j, s in zip(chosen, best_share, strict=True)}
 
 
 def predictions(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
