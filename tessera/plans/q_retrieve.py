@@ -127,7 +127,7 @@ def r06(spark, d):
 
 @add("R07_rerank", f"""
 WITH {V.KB_DOCS}, {V.QUESTIONS}, w AS (SELECT qid, {BOOST} AS words FROM questions WHERE qid % 4 = 0)
-SELECT qid, doc_id, round(CASE WHEN len(words) = 0 THEN -6.0 ELSE 8.0::DOUBLE * len(list_filter(words, lambda t: contains(upper(content), upper(t)))) / len(words) - 6.0 END, 6)::DOUBLE AS logit FROM w JOIN kb_docs ON doc_id % 40 = qid
+SELECT qid, doc_id, round(CASE WHEN len(words) = 0 THEN -6.0 ELSE 8.0::DOUBLE * len(list_filter(words, lambda t: contains(upper(replace(content, 'ß', 'ss')), upper(replace(t, 'ß', 'ss'))))) / len(words) - 6.0 END, 6)::DOUBLE AS logit FROM w JOIN kb_docs ON doc_id % 40 = qid
 """)
 def r07(spark, d):
     asked = V.questions(spark, d).filter("qid % 4 = 0").select("qid", X.boost_tokens(F.col("query")).alias("words"))
