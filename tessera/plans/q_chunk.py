@@ -62,8 +62,8 @@ def c06(spark, d):
     return C.schematic_pages(V.markdown_docs(spark, d), "page_id")
 
 
-PARTS = """parts AS (SELECT l_orderkey AS k, l_linenumber % 2 AS page, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq,
-  CASE WHEN l_quantity < 20 THEN 'bit ' || l_partkey WHEN l_quantity < 25 THEN '## H ' || l_partkey ELSE repeat('long text ', 6) || l_suppkey END AS text FROM lineitem)"""
+PARTS = """parts AS (SELECT k, page, seq, min(text) AS text FROM (SELECT l_orderkey AS k, l_linenumber % 2 AS page, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq,
+  CASE WHEN l_quantity < 20 THEN 'bit ' || l_partkey WHEN l_quantity < 25 THEN '## H ' || l_partkey ELSE repeat('long text ', 6) || l_suppkey END AS text FROM lineitem) GROUP BY 1, 2, 3)"""
 
 
 @add("C08_small_merge", f"""
@@ -75,7 +75,7 @@ def c08(spark, d):
     q = F.col("l_quantity")
     text = F.when(q < 20, F.concat(F.lit("bit "), F.col("l_partkey").cast("string"))).when(q < 25, F.concat(F.lit("## H "), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.repeat(F.lit("long text "), 6), F.col("l_suppkey").cast("string")))
     rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") % 2).alias("page"), (F.col("l_linenumber") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"), text.alias("text"))
-    return C.merge_small(rows, "k")
+    return C.merge_small(rows.groupBy("k", "page", "seq").agg(F.min("text").alias("text")), "k")
 
 
 @add("C09_rule_lines", f"WITH {V.MARKDOWN_DOCS} SELECT page_id, {STRIP.format('array_to_string(list_filter(string_split(content, chr(10)), lambda x: ' + STRIP.format('x') + " <> '---'), chr(10))")} AS text FROM markdown_docs")
