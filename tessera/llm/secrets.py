@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import free_name, materialize, ship
+from tessera.llm.shared import broadcast_if_small, free_name, materialize, ship
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,9 @@ def private_keys(text: str) -> Iterator[tuple[int, int]]:
 #: In the order in which kinds break ties.
 RULES = (Rule("assign", 1, assignments), Rule("access", 1, access_keys), Rule("hex", 1, hex_runs), Rule("private_key", 1, private_keys, base=False))
 
+#: Spans (about 60 bytes each) that may be broadcast.
+SMALL_SPANS = 400_000
+
 SPAN = T.StructType([T.StructField("kind", T.StringType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
 #: ``rule`` is the key of the rule version that found the span.
 LEDGER_SPAN = T.StructType([T.StructField("rule", T.StringType(), False), *SPAN.fields])
@@ -131,7 +134,9 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     wanted = F.array(*[F.lit(rule.key) for rule in rules])
     by_place = F.array_sort(F.transform(F.array_distinct(F.filter("__spans", lambda s: F.array_contains(wanted, s["rule"]))), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"))))
     rows = rows.select(F.col("blob_id").alias(key), F.transform(by_place, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
-    rows = materialize(rows, "secret-findings")  # so that the join below is between plain tables and may split a common blob
+    # Written first, so that the join is between plain tables and may split a common blob; a small
+    # number of spans travels to the rows instead.
+    rows = broadcast_if_small(materialize(rows, "secret-findings"), SMALL_SPANS, F.size("__spans") + 1)
     left = docs.withColumn(key, blob_id(F.col(text_col)))
     if not keep_text:
         left = left.drop(text_col)

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _SHIPPED = "tessera.llm.shipped"
@@ -43,6 +44,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows (or its ``weight`` sums to at most
+    that); otherwise as it is, for a join by exchange.  Meant for written tables, which count fast."""
+    size = df.count() if weight is None else (df.agg(F.sum(weight)).first()[0] or 0)
+    return F.broadcast(df) if size <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not have it on their path."""
     root = str(PACKAGE.parent)
