@@ -322,4 +322,4 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     named = materialize(named.join(least, "component").select("class", "n_links", "component_id"), "linked-classes")
     out = rows.select("id", "class").join(named, "class", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
