@@ -30,7 +30,7 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.capture_index(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range_no", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +140,23 @@ WITH RECURSIVE vectors AS (
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM named
 """
 
+#: Base 32 takes five bits a letter: five hexadecimal digits give four letters.
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digests AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM payloads
+), led AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS lead FROM digests
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN lead <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN lead <> page_id THEN lead END AS refers_to
+FROM led
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk, "op2_embeddings": op2_embeddings, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op7_packing": op7_packing,
@@ -148,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_embeddings": OP2_SQL, "op9_chat": OP9_SQL}
+    return {"op1_topk": OP1_SQL, "op2_embeddings": OP2_SQL, "op3_warc": OP3_SQL, "op9_chat": OP9_SQL}

@@ -1,18 +1,16 @@
-"""Helpers that several operators use: durable intermediates and module shipping."""
+"""Helpers that several operators use: durable intermediates and checked broadcasts."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
-_SHIPPED = "tessera.llm.shipped"
+from tessera.shipping import ship
+
+__all__ = ["broadcast_if_small", "free_name", "materialize", "parallelism", "shared_folder", "ship"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,21 +49,6 @@ def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -
     return F.broadcast(df) if size <= most else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not have it on their path."""
-    root = str(PACKAGE.parent)
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    if spark.conf.get(_SHIPPED, None) == spark.sparkContext.applicationId:
-        return
-    archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(PACKAGE.rglob("*.py")):
-            out.write(file, file.relative_to(PACKAGE.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Partitions for exchanges whose number this library chooses."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from conftest import SMALL, same_rows
 
 from tessera.llm import queries, warc
 
@@ -28,10 +28,14 @@ def got(df):
     return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in df.collect()), key=str)
 
 
-def test_query_equals_brute_force(spark):
-    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
-    out = queries.op3_warc(spark, SMALL)
-    assert got(out) == brute(rows)
+def test_query_equals_its_sql(spark, duck):
+    same_rows(queries.op3_warc(spark, SMALL), duck, queries.OP3_SQL)
+
+
+def test_tables_equal_brute_force(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    out = warc.capture_index(pages)
+    assert got(out) == brute([(r.page_id, r.url, r.html) for r in pages.collect()])
     keys = [(r.url_key, r.timestamp) for r in out.orderBy("range_no", "position").collect()]
     assert keys == sorted(keys)
 
