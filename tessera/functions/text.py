@@ -208,13 +208,18 @@ def module_region(label: Column, text: Column, labels: Column, window: int = 300
     return F.when(at == 0, "").otherwise(F.substring(upper, at, end - at))
 
 
-def module_nets(label: Column, found: Column, text: Column, labels: Column) -> Column:
-    """Nets in the label's region, or whose prefix is a word of the label."""
-    region = module_region(label, text, labels)
+def nets_in_region(label: Column, region: Column, found: Column) -> Column:
+    """Nets in a label's region, or whose prefix is a word of the label."""
     words = F.filter(F.split(F.upper(label), r"[&/\s]+"), lambda w: F.length(w) >= 2)
     return by_upper(F.array_distinct(F.filter(found, lambda n: F.contains(region, F.upper(n)) | F.array_contains(words, F.upper(F.substring_index(n, "_", 1))))))
 
 
+def module_zones(labels: Column, found: Column, text: Column) -> Column:
+    """Array of (label, nets).  Regions come first, so that each is found once and not once a net."""
+    regions = F.transform(labels, lambda x: F.struct(x.alias("label"), module_region(x, text, labels).alias("region")))
+    return F.transform(regions, lambda z: F.struct(z["label"].alias("label"), nets_in_region(z["label"], z["region"], found).alias("nets")))
+
+
 def power_nets(found: Column) -> Column:
     named = ["GND", "AGND", "VCC", "VDD", "VCC3.3", "VCC3V3", "VCC5"]
     return by_upper(F.array_distinct(F.filter(found, lambda n: F.upper(n).isin(named) | F.startswith(F.upper(n), F.lit("VCC")) | F.startswith(F.upper(n), F.lit("VDD")))))

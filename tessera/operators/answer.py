@@ -116,3 +116,37 @@ def answers(questions: DataFrame, hits: DataFrame, template: str, model: hooks.M
     prompt = rendered(F.lit(template), context=F.coalesce("context", F.lit("")), history=F.col("history"), question=F.col("question"))
     made = hooks.generated(rows.withColumn("prompt", prompt), "prompt", model).withColumn("done", finished(F.col("answer")))
     return made.select("qid", "done.answer", "done.insufficient_context", F.when(~F.col("done.insufficient_context"), F.col("citations")).alias("citations"))
+
+
+TRANSLATION = "Translate the following answer as the user asks.\n\nConversation:\n{{history}}\n\nRequest: {{question}}"
+ASSISTANT = "{{role}}\n\nThe knowledge base has nothing reliable on this question. Say so, or introduce yourself if you are asked who you are.\n\nQuestion: {{question}}"
+CLASSIFY = "Name the task of this question as one of: wiki, debug, fa, design_review, translate.\n\nQuestion: {{question}}"
+REWRITE = "Rewrite the last question so that it can be understood without the conversation.\n\n{{history}}\n\nQuestion: {{question}}"
+PREPARE = "{{history}}\n\nKnown products:\n{{known_products}}\n\nQuestion: {{question}}\n\nAnswer with the lines QUERY:, TASK:, PRODUCT:, REVISION:, LAYER:."
+
+
+def prompt_for(route: Column, question: Column, history: Column, context: Column, template: str, role: str = "You are the assistant of an engineering knowledge base.") -> Column:
+    """The prompt that a route sends; null where it sends none."""
+    values = {"question": question, "history": history}
+    return (F.when(route == "translation", rendered(F.lit(TRANSLATION), **values)).when(route == "assistant", rendered(F.lit(ASSISTANT), role=F.lit(role), question=question))
+            .when(route == "prepared", rendered(F.lit(template), context=context, **values)))
+
+
+def classified(rows: DataFrame, model: hooks.Model, default: str = "wiki") -> DataFrame:
+    """``rows`` (question) with the task that a model names, or the default."""
+    asked = rows.withColumn("__prompt", rendered(F.lit(CLASSIFY), question=F.col("question")))
+    said = hooks.generated(asked, "__prompt", model, "__said")
+    return said.withColumn("task", F.coalesce(X.task_label(F.col("__said")), F.lit(default))).drop("__prompt", "__said")
+
+
+def prepared(rows: DataFrame, model: hooks.Model, listing: str, default: str = "wiki") -> DataFrame:
+    """``rows`` (question, history) with retrieval_query, task, product, revision and layer from one model
+    call; scopes still need the catalog's word (``scope.validated``)."""
+    asked = rows.withColumn("__prompt", rendered(F.lit(PREPARE), history=F.col("history"), known_products=F.lit(listing), question=F.col("question")))
+    said = hooks.generated(asked, "__prompt", model, "__said")
+    raw = F.col("__said")
+    field = lambda name: X.optional_field(X.labelled_line(raw, name))
+    return said.withColumns({
+        "retrieval_query": X.retrieval_query(raw, F.col("question")), "task": F.coalesce(X.task_label(X.labelled_line(raw, "TASK")), F.lit(default)),
+        "product": field("PRODUCT"), "revision": field("REVISION"), "layer": S.layer_name(X.labelled_line(raw, "LAYER")),
+    }).drop("__prompt", "__said")

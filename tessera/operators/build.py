@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunk, hooks, ingest, sync
+from tessera.operators import chunk, hooks, ingest, pages, sync
 from tessera.operators import index as I
 from tessera.schema import CHUNKING, LAYOUT, Chunking, Layout
 from tessera.sources import parsers
 
 
-def processed(files: DataFrame, layout: Layout = LAYOUT) -> tuple[DataFrame, DataFrame]:
+def processed(files: DataFrame, layout: Layout = LAYOUT, reader: pages.PageReader | None = None, schematic_mode: str = "ocr_only") -> tuple[DataFrame, DataFrame]:
     """``files`` (path, mtime, size, content) to (documents, quarantine (path, reason)).
 
-    PDFs need a text hook; they and other external formats are quarantined here."""
+    PDFs need a ``reader`` hook; without one they are quarantined, as other external formats are."""
     fit, skipped = ingest.supported(files, layout)
     plain = fit.filter("parser = 'markdown'").withColumn("text", X.plain_markdown(F.decode("content", "UTF-8")))
     books = fit.filter("parser = 'excel'")
@@ -24,9 +24,16 @@ def processed(files: DataFrame, layout: Layout = LAYOUT) -> tuple[DataFrame, Dat
     words = fit.filter("parser = 'docx'")
     words = words.join(parsers.words_of(words).withColumnRenamed("doc", "path").select("path", "text"), "path", "left")
     both = plain.unionByName(books).unionByName(words)
+    read = ["markdown", "excel", "docx"]
+    if reader is not None:
+        for kind, made in (("prose_pdf", pages.prose_documents), ("datasheet_pdf", pages.datasheet_documents), ("schematic_pdf", lambda p: pages.schematic_documents(p.withColumn("project", F.split_part("doc", F.lit("/"), F.lit(1))), schematic_mode))):
+            own = fit.filter(F.col("parser") == kind)
+            texts = made(pages.read_pages(own, reader)).select(F.col("doc").alias("path"), F.col("content").alias("text"))
+            both = both.unionByName(own.join(texts, "path", "left"))
+            read.append(kind)
     good = both.filter("text is not null")
     bad = both.filter("text is null").select("path", F.lit("no readable text").alias("reason"))
-    later = fit.filter(~F.col("parser").isin("markdown", "excel", "docx")).select("path", F.lit("needs a parser hook").alias("reason"))
+    later = fit.filter(~F.col("parser").isin(read)).select("path", F.lit("needs a parser hook").alias("reason"))
     documents = good.select(
         F.concat(F.lit("data/processed/"), ingest.mirror_path(F.col("path"))).alias("target_file"), "path", X.stem(ingest.mirror_path(F.col("path"))).alias("stem"), "project", "build", "document_type", "title", "source_file",
         F.col("mtime").alias("source_mtime"), F.col("size").alias("source_size"), X.keywords(F.col("text")).alias("keywords"), F.col("text").alias("content"),
@@ -34,6 +41,18 @@ def processed(files: DataFrame, layout: Layout = LAYOUT) -> tuple[DataFrame, Dat
     return documents, skipped.unionByName(bad).unionByName(later)
 
 
+def write_processed(documents: DataFrame, root: str) -> None:
+    """The processed mirror: texts with their metadata as a sidecar column, by scope and type."""
+    rows = documents.withColumn("sidecar", ingest.metadata_json(documents))
+    rows.write.mode("overwrite").partitionBy("project", "build", "document_type").parquet(root)
+
+
+def read_processed(spark: SparkSession, root: str) -> DataFrame:
+    """The mirror back, metadata read leniently from the sidecar."""
+    rows = spark.read.parquet(root)
+    return rows.withColumn("metadata", ingest.metadata_from_json(F.coalesce("sidecar", F.lit("{}"))))
+
+
 def chunk_table(documents: DataFrame, config: Chunking = CHUNKING, embedder: hooks.Embedder = hooks.hashing_embedder) -> DataFrame:
     """Chunks with their document's metadata, index text, vector and a key of (target_file, seq)."""
     pieces = chunk.chunk_documents(documents, config)

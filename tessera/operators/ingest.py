@@ -167,19 +167,20 @@ def merged_schematic(pages: DataFrame) -> DataFrame:
 APPENDIX = "## 5. OCR 保真摘录（检索依据，禁止改写）"
 
 
-def fidelity_appendix(text: Column) -> Column:
+def fidelity_appendix(text: Column, labels: Column | None = None, nets: Column | None = None) -> Column:
     """What was read off a schematic page, as an appendix for retrieval."""
+    labels, nets = X.module_labels(text) if labels is None else labels, X.nets(text) if nets is None else nets
     items = lambda found, none: F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n")).otherwise(none)
     parts = [
-        F.lit(f"{APPENDIX}\n\n### 5.1 模块分区标签"), items(X.module_labels(text), "- （未识别到模块分区标签）"), F.lit("\n### 5.2 网络名清单"), items(X.nets(text), "- （未识别到网络名）"),
+        F.lit(f"{APPENDIX}\n\n### 5.1 模块分区标签"), items(labels, "- （未识别到模块分区标签）"), F.lit("\n### 5.2 网络名清单"), items(nets, "- （未识别到网络名）"),
         F.lit("\n### 5.3 主要器件位号"), items(X.major_components(text), "- （未识别到 IC 位号）"), F.concat(F.lit("\n### 5.4 OCR 全文\n\n```text\n"), X.strip(text), F.lit("\n```")),
     ]
     return F.concat_ws("\n", *parts)
 
 
-def with_appendix(report: Column, text: Column) -> Column:
+def with_appendix(report: Column, text: Column, labels: Column | None = None, nets: Column | None = None) -> Column:
     """A page report with the appendix, once."""
-    return F.when(F.contains(report, F.lit(APPENDIX)), report).otherwise(F.concat(X.rstrip(report), F.lit("\n\n"), fidelity_appendix(text)))
+    return F.when(F.contains(report, F.lit(APPENDIX)), report).otherwise(F.concat(X.rstrip(report), F.lit("\n\n"), fidelity_appendix(text, labels, nets)))
 
 
 def model_payload(reply: Column) -> Column:

@@ -109,8 +109,9 @@ def t08(spark, d):
 @add("T09_module_nets", None)
 def t09(spark, d):
     text = F.col("text")
-    rows = V.hw_pages(spark, d).select("page_id", "text", X.nets(text).alias("nets"), X.module_labels(text).alias("labels")).withColumn("label", F.explode("labels"))
-    return rows.select("page_id", "label", F.array_join(X.module_nets(F.col("label"), F.col("nets"), F.col("text"), F.col("labels")), " ").alias("nets"))
+    rows = V.hw_pages(spark, d).select("page_id", "text", X.nets(text).alias("nets"), X.module_labels(text).alias("labels"))
+    zones = rows.select("page_id", F.explode(X.module_zones(F.col("labels"), F.col("nets"), text)).alias("z"))
+    return zones.select("page_id", F.col("z.label").alias("label"), F.array_join("z.nets", " ").alias("nets"))
 
 
 @add("T13_token_estimate", f"""

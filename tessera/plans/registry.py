@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import q_answer, q_chunk, q_ingest, q_retrieve, q_scope, q_text
+from tessera.plans import q_answer, q_chunk, q_ingest, q_more, q_retrieve, q_scope, q_text
 
-MODULES = [q_text, q_scope, q_chunk, q_retrieve, q_ingest, q_answer]
+MODULES = [q_text, q_scope, q_chunk, q_retrieve, q_ingest, q_answer, q_more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

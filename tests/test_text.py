@@ -27,8 +27,8 @@ def test_nets(spark):
 
 def test_module_nets_stay_apart(spark):
     text = "LCD & TOUCH\nLCD_D0 LCD_SCL\nAUDIO & MIC\nAUD_CLK GND"
-    own = X.module_nets(F.lit("LCD & TOUCH"), X.nets(F.col("t")), F.col("t"), X.module_labels(F.col("t")))
-    assert value(spark, own, t=text) == ["LCD_D0", "LCD_SCL"]
+    zones = X.module_zones(X.module_labels(F.col("t")), X.nets(F.col("t")), F.col("t"))
+    assert [(z.label, z.nets) for z in value(spark, zones, t=text)] == [("LCD & TOUCH", ["LCD_D0", "LCD_SCL"]), ("AUDIO & MIC", ["AUD_CLK", "GND"])]
 
 
 @pytest.mark.parametrize(("seconds", "want"), [(3.21, "3.2 秒"), (65.0, "1 分 5.0 秒"), (-1.0, "0.0 秒")])
