@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import index as I
 from tessera.operators import scope as S
+from tessera.operators.durable import broadcast_if_small
 from tessera.schema import LAYOUT, RETRIEVAL, Layout, Retrieval
 
 #: Scores are compared after rounding, so that the order does not hang on the last bit.
 DIGITS = 6
+#: Scopes of a catalog that may be broadcast.
+SMALL_CATALOG = 100_000
 #: Questions that one pass of dense recall takes.
 BLOCK = 1024
 
@@ -182,7 +185,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, posts: DataFrame, sizes: D
     ``dense``: (qid, chunk_key, score) of a dense recall that the caller ran."""
     known = questions.filter("project is not null and build is not null").select("qid", "project", "build")
     open_ = questions.filter("project is not null and build is null").select("qid", F.col("project").alias("product"))
-    anywhere = questions.filter("project is null").select("qid").join(F.broadcast(chunks.select("project", "build").distinct()), F.lit(True)).withColumn("scope_rank", F.lit(0))
+    every = broadcast_if_small(chunks.select("project", "build").distinct(), SMALL_CATALOG)
+    anywhere = questions.filter("project is null").select("qid").join(every, F.lit(True)).withColumn("scope_rank", F.lit(0))
     scopes = S.ranks(known).unionByName(S.inherit_ranks(open_, catalog)).unionByName(anywhere)
     tiered = config.scope_cascade if use_cascade is None else use_cascade
     tier = S.tier(F.col("project"), F.col("build")) if tiered else F.lit(0)

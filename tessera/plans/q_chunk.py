@@ -127,7 +127,7 @@ def c13(spark, d):
 
 
 @add("C19_section_expand", f"""
-WITH {V.KB_DOCS}, {V.PROSE_CHUNKS}, hits AS (SELECT doc_id % 50 AS qid, chunk_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id * 7919 % 1009, chunk_id) AS rank FROM prose_chunks WHERE seq % 2 = 0),
+WITH {V.KB_DOCS}, {V.PROSE_CHUNKS}, hits AS (SELECT doc_id % 50 AS qid, chunk_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id * 7919 % 1009, chunk_id) AS rank FROM prose_chunks),
 asked AS (SELECT qid, regexp_replace(chunk_id, '__w\\d+$', '') AS section, min(rank) AS first FROM hits GROUP BY 1, 2),
 whole AS (SELECT regexp_replace(chunk_id, '__w\\d+$', '') AS section, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) FILTER (WHERE content <> '') AS content FROM prose_chunks GROUP BY 1)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY first)::INTEGER AS rank, section, md5(content) AS digest FROM asked JOIN whole USING (section)
@@ -137,5 +137,5 @@ def c19(spark, d):
 
     chunks = V.prose_chunks(spark, d)
     order = Window.partitionBy("qid").orderBy(F.col("doc_id") * 7919 % 1009, "chunk_id")
-    hits = chunks.filter("seq % 2 = 0").withColumn("qid", F.col("doc_id") % 50).withColumn("rank", F.row_number().over(order)).select("qid", "rank", "chunk_id")
+    hits = chunks.withColumn("qid", F.col("doc_id") % 50).withColumn("rank", F.row_number().over(order)).select("qid", "rank", "chunk_id")
     return C.expand_sections(hits, chunks).select("qid", "rank", "section", F.md5("content").alias("digest"))

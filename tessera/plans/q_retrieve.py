@@ -10,6 +10,7 @@ from tessera.operators import hooks
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
+from tessera.operators.durable import broadcast_if_small, materialize
 from tessera.plans.base import Plans
 from tessera.plans.q_scope import CATALOG
 from tessera.plans.q_text import BOOST
@@ -26,6 +27,12 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return V.kb_docs(spark, d).select(F.col("doc_id").alias("chunk_key"), F.col("doc_id").alias("pos"), "project", "build", "document_type", "content")
 
 
+def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, postings, lengths), the postings written once as an index would have them."""
+    rows = docs(spark, d)
+    return rows, materialize(I.postings(rows, "chunk_key"), "postings"), I.lengths(rows, "chunk_key")
+
+
 STATS = f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(content, {TOKEN})) AS token FROM kb_docs),
 posts AS (SELECT token, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), sizes AS (SELECT doc_id, len(regexp_extract_all(content, {TOKEN})) AS length FROM kb_docs),
 stats AS (SELECT count(*) AS n, avg(length) AS avgdl FROM sizes),
@@ -38,9 +45,8 @@ scores AS (SELECT qid, doc_id, round(sum(times * idf * tf * (1.5::DOUBLE + 1) /
 
 @add("X02_bm25_stats", f"WITH {V.KB_DOCS}, {STATS} SELECT token, df::BIGINT AS df, round(idf, 6) AS idf FROM weights")
 def x02(spark, d):
-    rows = docs(spark, d)
-    stats = I.corpus_stats(I.lengths(rows, "chunk_key"))
-    return I.token_stats(I.postings(rows, "chunk_key"), stats).select("token", "df", F.round("idf", 6).alias("idf"))
+    _, posts, sizes = indexed(spark, d)
+    return I.token_stats(posts, I.corpus_stats(sizes)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @add("X08_search_text", f"WITH {V.KB_DOCS} SELECT doc_id, len(regexp_extract_all(project || chr(10) || chr(10) || content, {TOKEN}))::INTEGER AS n FROM kb_docs")
@@ -64,20 +70,20 @@ def x04(spark, d):
 
 @add("R02_dense_top_k", """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (
-  SELECT q.vec_id AS qid, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 10 = 0
+  SELECT q.vec_id AS qid, v.vec_id AS key, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key)::INTEGER AS rank FROM s)
 SELECT qid, key, score, rank FROM r WHERE rank <= 4
 """)
 def r02(spark, d):
     units = I.unit_vectors(V.table(spark, d, "embeddings")).select(F.col("vec_id").alias("key"), "unit")
-    asked = units.filter("key % 10 = 0").select(F.col("key").alias("qid"), "unit")
+    asked = units.filter("key % 50 = 0").select(F.col("key").alias("qid"), "unit")
     return R.dense_recall(asked, units, 4)
 
 
 @add("R03_bm25_scores", f"WITH {V.KB_DOCS}, {V.QUESTIONS}, {STATS}, {SCORES} SELECT qid, doc_id AS chunk_key, score FROM scores")
 def r03(spark, d):
-    rows = docs(spark, d)
-    return R.bm25_scores(V.questions(spark, d), I.postings(rows, "chunk_key"), I.lengths(rows, "chunk_key"))
+    _, posts, sizes = indexed(spark, d)
+    return R.bm25_scores(V.questions(spark, d), posts, sizes)
 
 
 POOLED = "pool AS (SELECT qid, project, build FROM questions, (VALUES ('prj1', 'b2'), ('prj1', 'common'), ('global', 'global')) AS p(project, build))"
@@ -90,9 +96,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
 SELECT qid, doc_id AS chunk_key, score, rank FROM ranked WHERE rank <= 8
 """)
 def r04(spark, d):
-    rows = docs(spark, d)
+    rows, posts, sizes = indexed(spark, d)
     pool = S.ranks(V.questions(spark, d).select("qid", F.lit("prj1").alias("project"), F.lit("b2").alias("build"))).select("qid", F.lit(0).alias("tier"), "project", "build")
-    found = R.sparse_recall(V.questions(spark, d), rows, pool, I.postings(rows, "chunk_key"), I.lengths(rows, "chunk_key"), 8)
+    found = R.sparse_recall(V.questions(spark, d), rows, pool, posts, sizes, 8)
     return found.select("qid", "chunk_key", "score", "rank")
 
 
@@ -118,20 +124,20 @@ ranked AS (SELECT qid, doc_id, coalesce(score, 0.0) AS score, row_number() OVER
 SELECT qid, doc_id AS chunk_key, score, rank FROM ranked WHERE rank <= 4
 """)
 def r06(spark, d):
-    rows = docs(spark, d)
+    rows, posts, sizes = indexed(spark, d)
     own = rows.filter(S.is_build_schematic(F.col("document_type"), F.col("project"), F.col("build"), F.lit("prj1"), F.lit(None).cast("string")))
-    pool = V.questions(spark, d).select("qid", F.lit(0).alias("tier")).join(F.broadcast(own.select("project", "build").distinct()), F.lit(True))
-    found = R.sparse_recall(V.questions(spark, d), own, pool, I.postings(rows, "chunk_key"), I.lengths(rows, "chunk_key"), 4)
+    pool = V.questions(spark, d).select("qid", F.lit(0).alias("tier")).join(broadcast_if_small(own.select("project", "build").distinct(), R.SMALL_CATALOG), F.lit(True))
+    found = R.sparse_recall(V.questions(spark, d), own, pool, posts, sizes, 4)
     return found.select("qid", "chunk_key", "score", "rank")
 
 
 @add("R07_rerank", f"""
-WITH {V.KB_DOCS}, {V.QUESTIONS}, w AS (SELECT qid, {BOOST} AS words FROM questions WHERE qid % 4 = 0)
-SELECT qid, doc_id, round(CASE WHEN len(words) = 0 THEN -6.0 ELSE 8.0::DOUBLE * len(list_filter(words, lambda t: contains(upper(replace(content, 'ß', 'ss')), upper(replace(t, 'ß', 'ss'))))) / len(words) - 6.0 END, 6)::DOUBLE AS logit FROM w JOIN kb_docs ON doc_id % 40 = qid
+WITH {V.KB_DOCS}, {V.QUESTIONS}, w AS (SELECT qid, {BOOST} AS words FROM questions), n AS (SELECT count(*) AS n FROM questions)
+SELECT qid, doc_id, round(CASE WHEN len(words) = 0 THEN -6.0 ELSE 8.0::DOUBLE * len(list_filter(words, lambda t: contains(upper(replace(content, 'ß', 'ss')), upper(replace(t, 'ß', 'ss'))))) / len(words) - 6.0 END, 6)::DOUBLE AS logit FROM kb_docs, n JOIN w ON doc_id % n = qid
 """)
 def r07(spark, d):
-    asked = V.questions(spark, d).filter("qid % 4 = 0").select("qid", X.boost_tokens(F.col("query")).alias("words"))
-    rows = V.kb_docs(spark, d).withColumn("qid", F.col("doc_id") % 40).join(asked, "qid")
+    asked = V.questions(spark, d).select("qid", X.boost_tokens(F.col("query")).alias("words"))
+    rows = V.kb_docs(spark, d).withColumn("qid", F.col("doc_id") % asked.count()).join(asked, "qid")
     return rows.select("qid", "doc_id", R.lexical_logit(F.col("words"), F.col("content")).alias("logit"))
 
 
@@ -235,15 +241,15 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def searched(spark: SparkSession, d: str, use_cascade: bool) -> DataFrame:
-    rows = docs(spark, d)
-    return R.retrieve(asked(spark, d), rows, I.postings(rows, "chunk_key"), I.lengths(rows, "chunk_key"), S.catalog(rows), use_cascade=use_cascade)
+    rows, posts, sizes = indexed(spark, d)
+    return R.retrieve(asked(spark, d), rows, posts, sizes, S.catalog(rows), use_cascade=use_cascade)
 
 
 @add("R14_pool_retrieve", None)
 def r14(spark, d):
-    rows = docs(spark, d)
+    rows, posts, sizes = indexed(spark, d)
     everywhere = V.questions(spark, d).withColumns({"project": F.lit(None).cast("string"), "build": F.lit(None).cast("string")})
-    return R.retrieve(everywhere, rows, I.postings(rows, "chunk_key"), I.lengths(rows, "chunk_key"), S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
+    return R.retrieve(everywhere, rows, posts, sizes, S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
 
 
 RANK_BY_NAME = "CASE WHEN qid % 4 = 3 THEN 0 WHEN project = 'global' THEN 2 WHEN build = 'common' THEN 1 ELSE 0 END"

@@ -18,18 +18,17 @@ CATALOG = """catalog AS (SELECT project AS product, list_sort(list(DISTINCT buil
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """(qid, query): questions whose scope words vary with their number."""
-    i = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    i = F.col("o_orderkey")
     k = i % 8
     p = F.concat(F.lit("prj"), (i % 3).cast("string"))
     b = F.concat(F.lit("b"), (i % 5).cast("string"))
     q = (F.when(k == 0, F.concat(F.lit("what is the GLOBAL rule for "), p)).when(k == 1, F.concat(F.lit("show "), p, F.lit(" common guide")))
          .when(k == 2, F.concat(p, F.lit(" / "), b, F.lit(" rail voltage"))).when(k == 3, F.concat(F.lit("rail of "), F.upper(p), F.lit(" "), b, F.lit(" board")))
          .when(k == 4, F.concat(F.lit("which parts use "), p)).when(k == 5, F.concat(b, F.lit(" only"))).when(k == 6, p).otherwise("plain words"))
-    return V.table(spark, d, "lineitem").filter("l_linenumber <= 2").select(i.alias("qid"), q.alias("query"))
+    return V.table(spark, d, "orders").select(i.alias("qid"), q.alias("query"))
 
 
-ASKED = """asked AS (SELECT l_orderkey * 8 + l_linenumber AS qid, 'prj' || ((l_orderkey * 8 + l_linenumber) % 3) AS p, 'b' || ((l_orderkey * 8 + l_linenumber) % 5) AS b,
-  (l_orderkey * 8 + l_linenumber) % 8 AS k FROM lineitem WHERE l_linenumber <= 2)"""
+ASKED = """asked AS (SELECT o_orderkey AS qid, 'prj' || (o_orderkey % 3) AS p, 'b' || (o_orderkey % 5) AS b, o_orderkey % 8 AS k FROM orders)"""
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:

@@ -148,19 +148,15 @@ def t17(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", X.task_label(reply).alias("task"))
 
 
-PREPARED = "concat('QUERY: ', left(content, 40), chr(10), 'task: Wiki', chr(10), 'PRODUCT: ', CASE WHEN conv_id % 2 = 0 THEN 'none' ELSE 'prj1' END)"
-
-
 @add("T18_prepare_output", f"""
-WITH {V.TURNS}, replies AS (SELECT conv_id, turn, content, {PREPARED} AS reply FROM turns)
-SELECT conv_id, turn, regexp_replace(split_part(left(content, 40), chr(10), 1), '^\\s+|\\s+$', '', 'g') AS head, 'wiki' AS task, CASE WHEN conv_id % 2 = 0 THEN NULL ELSE 'prj1' END AS product
-FROM replies WHERE length(split_part(left(content, 40), chr(10), 1)) > 2
+WITH {V.TURNS} SELECT conv_id, turn, CASE WHEN q = '' THEN content ELSE q END AS query, 'wiki' AS task, CASE WHEN conv_id % 2 = 0 THEN NULL ELSE 'prj1' END AS product
+FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(split_part(regexp_replace(content, '^\\s+', ''), chr(10), 1), '^\\s+|\\s+$', '', 'g'), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') AS q FROM turns)
 """)
 def t18(spark, d):
-    reply = F.concat(F.lit("QUERY: "), F.left("content", F.lit(40)), F.lit("\ntask: Wiki\nPRODUCT: "), F.when(F.col("conv_id") % 2 == 0, "none").otherwise("prj1"))
-    rows = V.turns(spark, d).filter(F.length(F.split_part(F.left("content", F.lit(40)), F.lit("\n"), F.lit(1))) > 2).withColumn("reply", reply)
+    reply = F.concat(F.lit("QUERY: "), "content", F.lit("\ntask: Wiki\nPRODUCT: "), F.when(F.col("conv_id") % 2 == 0, "none").otherwise("prj1"))
+    rows = V.turns(spark, d).withColumn("reply", reply)
     raw = F.col("reply")
-    return rows.select("conv_id", "turn", X.retrieval_query(raw, F.col("content")).alias("head"), X.task_label(X.labelled_line(raw, "TASK")).alias("task"), X.optional_field(X.labelled_line(raw, "PRODUCT")).alias("product"))
+    return rows.select("conv_id", "turn", X.retrieval_query(raw, F.col("content")).alias("query"), X.task_label(X.labelled_line(raw, "TASK")).alias("task"), X.optional_field(X.labelled_line(raw, "PRODUCT")).alias("product"))
 
 
 IMAGE_TEXT = "concat('![fig ', page_id::VARCHAR, '](images/p', page_id::VARCHAR, '.png) and ![x](#top) ', '![y](\"https://e.org/', (page_id % 7)::VARCHAR, '.png\")')"
@@ -233,13 +229,14 @@ def t26(spark, d):
 
 
 @add("T27_fact_match", """
-SELECT doc_id, item_id, contains(regexp_replace(lower(d.text), '\\s+', '', 'g'), f) AS found FROM documents d,
-(SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS f FROM benchmark WHERE item_id < 5) WHERE d.text IS NOT NULL
+WITH facts AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS fact FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark)
+SELECT doc_id, item_id, contains(regexp_replace(lower(text), '\\s+', '', 'g'), fact) AS found FROM documents, n JOIN facts ON item_id = doc_id % n WHERE text IS NOT NULL
 """)
 def t27(spark, d):
-    facts = F.broadcast(V.table(spark, d, "benchmark").filter("item_id < 5").select("item_id", F.col("text").alias("fact")))  # five rows
-    docs = V.table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    return docs.join(facts, F.lit(True)).select("doc_id", "item_id", X.fact_in(F.col("fact"), F.col("text")).alias("found"))
+    """Every document against one fact of the benchmark."""
+    facts = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("fact"))
+    docs = V.table(spark, d, "documents").filter("text is not null").select("doc_id", "text", (F.col("doc_id") % facts.count()).alias("item_id"))
+    return docs.join(facts, "item_id").select("doc_id", "item_id", X.fact_in(F.col("fact"), F.col("text")).alias("found"))
 
 
 @add("T28_preview", f"""
@@ -291,10 +288,10 @@ def k02(spark, d):
 
 
 @add("C15_heading_slug", """
-SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}_\\-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents WHERE text IS NOT NULL
+SELECT doc_id, regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}_\\-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents WHERE text IS NOT NULL
 """)
 def c15(spark, d):
-    return V.table(spark, d, "documents").filter("text is not null").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return V.table(spark, d, "documents").filter("text is not null").select("doc_id", X.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
 
 
 @add("S05_markdown_parse", """
@@ -316,7 +313,8 @@ def s10(spark, d):
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'eng+chi_sim' ELSE 'eng' END AS language FROM documents WHERE text IS NOT NULL
 """)
 def s11(spark, d):
-    mixed = F.when(F.col("doc_id") % 4 == 0, F.concat(F.left("text", F.lit(60)), F.lit("电源接口电路设计说明"))).otherwise(F.left("text", F.lit(600)))
+    added = F.repeat(F.lit("电源接口电路设计说明书面"), (F.length("text") / 100 + 1).cast("int"))
+    mixed = F.when(F.col("doc_id") % 4 == 0, F.concat("text", added)).otherwise(F.col("text"))
     return V.table(spark, d, "documents").filter("text is not null").select("doc_id", X.ocr_language(mixed).alias("language"))
 
 
