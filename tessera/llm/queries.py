@@ -84,7 +84,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = langid.fold(F.col("doc_id")) == langid.HELD_OUT_FOLD
     model = langid.train(docs.filter(~held_out))
     out = langid.predictions(docs, model)
-    return out.select(F.col("id").alias("doc_id"), (langid.fold(F.col("id")) == langid.HELD_OUT_FOLD).alias("held_out"), "lang_pred", "score", "languages")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(langid.fold(F.col("id")) == langid.HELD_OUT_FOLD, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
 def _sql_escape(name: str) -> str:

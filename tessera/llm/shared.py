@@ -1,54 +1,15 @@
-"""Helpers that several operators use: durable intermediates and checked broadcasts."""
+"""Helpers that several operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from tessera.operators.durable import broadcast_if_small, materialize, shared_folder
 from tessera.shipping import ship
 
 __all__ = ["broadcast_if_small", "free_name", "materialize", "parallelism", "shared_folder", "ship"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a bare local test session) is a folder made here.
-    """
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir()
-    if folder:
-        return folder
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="tessera-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs a re-read, never a recomputation of what led here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows (or its ``weight`` sums to at most
-    that); otherwise as it is, for a join by exchange.  Meant for written tables, which count fast."""
-    size = df.count() if weight is None else (df.agg(F.sum(weight)).first()[0] or 0)
-    return F.broadcast(df) if size <= most else df
-
-
 def parallelism(spark: SparkSession) -> int:
     """Partitions for exchanges whose number this library chooses."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
