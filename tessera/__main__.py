@@ -7,11 +7,12 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from tessera.operators import build, evaluate, ingest
+from tessera import evaluation
+from tessera.operators import build, ingest
 from tessera.operators import index as I
 from tessera.service import Engine
+from tessera.sources import golden
 
 
 def main(argv: list[str]) -> int:
@@ -27,9 +28,11 @@ def main(argv: list[str]) -> int:
     ask.add_argument("--index", default="data/index")
     ask.add_argument("--project")
     ask.add_argument("--build")
-    golden = commands.add_parser("eval")
-    golden.add_argument("dataset", help="JSON lines: case_id, question, category, mandatory, negative, required_sources, facts, project, build")
-    golden.add_argument("--index", default="data/index")
+    test = commands.add_parser("eval")
+    test.add_argument("dataset", help="golden set in YAML or JSON lines")
+    test.add_argument("--index", default="data/index")
+    test.add_argument("--mode", choices=evaluation.MODES, default="retrieval")
+    test.add_argument("--json", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tessera").getOrCreate()
     store = I.Store(spark, args.index)
@@ -41,27 +44,11 @@ def main(argv: list[str]) -> int:
     elif args.command == "query":
         print(json.dumps(Engine(spark, store).query({"question": args.question, "project": args.project, "build": args.build}), ensure_ascii=False, indent=2))
     else:
-        row = run_eval(spark, args.dataset, Engine(spark, store)).first()
-        print(json.dumps(row.asDict(), ensure_ascii=False, indent=2))
+        row = evaluation.run(Engine(spark, store), golden.load(spark, args.dataset), args.mode).first()
+        print(json.dumps(row.asDict(), ensure_ascii=False, indent=2) if args.json else evaluation.text_report(row.asDict()))
         return 0 if row["accepted"] else 1
     return 0
 
 
-def run_eval(spark: SparkSession, dataset: str, engine: Engine):
-    """Retrieval metrics of a golden set as one report row."""
-    schema = "case_id string, question string, category string, mandatory boolean, negative boolean, required_sources array<string>, facts array<string>, project string, build string, paraphrases array<string>"
-    cases = spark.read.schema(schema).json(dataset).withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("required_sources", "facts")})
-    asked = evaluate.questions(cases).join(cases.drop("question", "paraphrases"), "case_id").withColumn("qid", F.xxhash64("case_id", "variant"))
-    found = engine.retrieve(asked.select("qid", F.col("question").alias("query"), "project", "build"))
-    hits = found.join(engine._tables["chunks"].select("chunk_key", "source_file"), "chunk_key")
-    hit = evaluate.source_hits(hits, asked.select("qid", F.explode("required_sources").alias("source")))
-    texts = asked.join(evaluate.combined_text(hits), "qid", "left")
-    top = found.groupBy("qid").agg(F.max("top_score").alias("top_score"), F.count("*").alias("chunk_count"))
-    rows = evaluate.fact_recall(texts).join(hit.select("qid", "source_hit"), "qid", "left").join(top, "qid", "left")
-    rows = rows.withColumns({"source_hit": F.coalesce("source_hit", F.lit(False)), "chunk_count": F.coalesce("chunk_count", F.lit(0)), "forbidden": F.lit(False)})
-    verdicts = evaluate.case_verdicts(rows).join(cases.select("case_id", "mandatory"), "case_id").join(rows.groupBy("case_id").agg(F.some("source_hit").alias("source_hit")), "case_id")
-    return evaluate.meets(evaluate.report(verdicts.withColumn("generated", F.lit(None).cast("boolean"))))
-
-
 if __name__ == "__main__":
     sys.exit(main(sys.argv[1:]))

@@ -84,20 +84,20 @@ class Engine:
     model: hooks.Model = hooks.extractive_model
     template: str = TEMPLATE
     gate: AdmissionGate = field(default_factory=AdmissionGate)
-    _tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def load(self) -> None:
         """Take the newest version of the index."""
         chunks = self.store.load("chunks")
         if chunks is None:
             raise FileNotFoundError(f"no index under {self.store.root}")
-        self._tables = {"chunks": chunks, "posts": self.store.load("postings"), "sizes": I.lengths(chunks, "chunk_key", "index_text"), "catalog": S.catalog(chunks)}
+        self.tables = {"chunks": chunks, "posts": self.store.load("postings"), "sizes": I.lengths(chunks, "chunk_key", "index_text"), "catalog": S.catalog(chunks)}
 
     def retrieve(self, questions: DataFrame, config: Retrieval | None = None) -> DataFrame:
         """``questions``: (qid, query, project, build)."""
-        if not self._tables:
+        if not self.tables:
             self.load()
-        t = self._tables
+        t = self.tables
         rows = t["chunks"].withColumn("pos", F.col("chunk_key"))
         return R.retrieve(questions, rows, t["posts"], t["sizes"], t["catalog"], config or self.config)
 
@@ -121,7 +121,7 @@ class Engine:
         question = request["question"].strip()
         one = self.spark.createDataFrame([(0, question, request.get("project"), request.get("build"))], "qid long, query string, project string, build string")
         found = self.retrieve(one).cache()
-        meta = self._tables["chunks"].select("chunk_key", "chunk_id", "source_file", "target_file", "page", "heading_path")
+        meta = self.tables["chunks"].select("chunk_key", "chunk_id", "source_file", "target_file", "page", "heading_path")
         hits = found.join(meta, "chunk_key").select("qid", "rank", "project", "build", "source_file", "target_file", "page", "chunk_id", "heading_path", "content")
         asked = self.spark.createDataFrame([(0, question, request.get("history") or "(none)")], "qid long, question string, history string")
         row = A.answers(asked, hits, self.template.replace("{{scope_rules}}", ""), self.model).first()
@@ -141,6 +141,29 @@ class Engine:
         return _completion(got["answer"], got["citations"])
 
 
+def source_text(spark: SparkSession, mirror_root: str, target_file: str) -> str | None:
+    """The processed text of a document, by its label; null if there is none."""
+    row = spark.read.parquet(mirror_root).filter(F.col("target_file") == target_file).select("content").first()
+    return None if row is None else row["content"]
+
+
+def asset_file(spark: SparkSession, mirror_root: str, relative: str) -> str | None:
+    """Where an asset lies below the mirror; null if it does not exist or leaves the mirror."""
+    parts: list[str] = []
+    for part in relative.split("/"):
+        if part == "..":
+            if not parts:
+                return None
+            parts.pop()
+        elif part not in ("", "."):
+            parts.append(part)
+    if not parts:
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{mirror_root.rstrip('/')}/{'/'.join(parts)}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.toString() if fs.exists(path) and fs.getFileStatus(path).isFile() else None
+
+
 def is_auxiliary(content: str) -> bool:
     low = content.strip().lower()
     return low.startswith("### task:") and ("<chat_history>" in low or "### chat history:" in low) and any(m in low for m in X.AUXILIARY)

@@ -1,13 +1,15 @@
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import evaluation
 from tessera.operators import build, evaluate, ingest, sync
 from tessera.operators import index as I
-from tessera.service import AdmissionGate, Busy, Engine, parse_frame, stream
-from tessera.sources import parsers
+from tessera.service import AdmissionGate, Busy, Engine, asset_file, parse_frame, source_text, stream
+from tessera.sources import golden, parsers
 from tessera.streaming import ingest as streaming
 
 
@@ -60,6 +62,20 @@ def test_end_to_end(spark, raw, tmp_path):
     assert any("alpha" in c["source_file"] for c in answer["citations"])
     chat = engine.complete({"messages": [{"role": "user", "content": "rail voltage?"}], "project": "p1"})
     assert chat["choices"][0]["message"]["content"]
+    cases = [
+        {"case_id": "Q-001", "question": "rail 1.8 V", "mandatory": True, "project": "p1", "build": "b1", "required_sources": ["data/processed/p1/b1/note/alpha.md"], "facts": ["1.8 V"], "paraphrases": ["the rail"]},
+        {"case_id": "Q-002", "question": "zebra quagga okapi", "category": "negative", "project": "p1", "build": "b1"},
+    ]
+    (tmp_path / "golden.jsonl").write_text("\n".join(map(json.dumps, cases)))
+    row = evaluation.run(engine, golden.load(spark, str(tmp_path / "golden.jsonl")), "both").first().asDict()
+    assert (row["cases"], row["passed"], row["source_hit_rate"], row["negative_rate"]) == (2, 2, 1.0, 1.0) and row["accepted"]
+    assert evaluation.text_report(row).startswith("2/2 cases passed")
+    with pytest.raises(ValueError):
+        evaluation.run(engine, golden.load(spark, str(tmp_path / "golden.jsonl")), "all")
+    build.write_processed(build.processed(ingest.raw_files(spark, str(raw)))[0], str(tmp_path / "mirror"))
+    assert "1.8 V" in source_text(spark, str(tmp_path / "mirror"), "data/processed/p1/b1/note/alpha.md")
+    assert source_text(spark, str(tmp_path / "mirror"), "none") is None
+    assert asset_file(spark, str(raw), "p1/b1/note/pic.png").endswith("pic.png") and asset_file(spark, str(raw), "../x") is None and asset_file(spark, str(raw), "none.png") is None
     assert store.clear() == 4 and store.load("chunks") is None
 
 
