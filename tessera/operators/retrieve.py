@@ -31,13 +31,14 @@ SMALL_CATALOG = 100_000
 BLOCK = 1024
 
 
-def bm25_scores(questions: DataFrame, posts: DataFrame, sizes: DataFrame, config: Retrieval = RETRIEVAL, key: str = "chunk_key") -> DataFrame:
-    """(qid, key, score) of all chunks that share a token with a question.  Statistics are those of
-    the whole corpus, whatever the pool."""
+def bm25_scores(questions: DataFrame, posts: DataFrame, sizes: DataFrame, config: Retrieval = RETRIEVAL, key: str = "chunk_key", within: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score) of all chunks that share a token with a question, or of those whose key is in
+    ``within``.  Statistics are those of the whole corpus, whatever the pool."""
     stats = I.corpus_stats(sizes)
     weights = I.token_stats(posts, stats, config)
     asked = questions.select("qid", F.explode(X.tokens(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
-    hits = asked.join(weights.select("token", "idf"), "token").join(posts, "token").join(sizes, key)
+    measured = sizes if within is None else sizes.join(within.select(key), key, "left_semi")
+    hits = asked.join(weights.select("token", "idf"), "token").join(posts, "token").join(measured, key)
     hits = hits.join(F.broadcast(stats.select("avgdl")), F.lit(True))  # one row
     part = I.bm25(F.col("tf"), F.col("length"), F.col("avgdl"), F.col("idf"), F.col("times"), config)
     return hits.groupBy("qid", key).agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -52,8 +53,9 @@ def sparse_recall(questions: DataFrame, chunks: DataFrame, pool: DataFrame, post
     """(qid, tier, key, pos, score, rank): the best k of each question's pool per tier.
 
     ``pool``: (qid, tier, project, build); ``chunks``: (key, pos, project, build)."""
-    scores = bm25_scores(questions, posts, sizes, config, key)
     places = chunks.select(key, "pos", "project", "build")
+    pooled = places.join(pool.select("project", "build").distinct(), ["project", "build"], "left_semi")
+    scores = bm25_scores(questions, posts, sizes, config, key, pooled)
     scored = scores.join(places, key).join(pool, ["qid", "project", "build"]).select("qid", "tier", key, "pos", "score")
     # Zero scores in corpus order: the first k of every scope are enough.
     lead = top_k(places, k, F.col("pos"), by=("project", "build"), rank="nth").select(key, "pos", "project", "build")
@@ -86,7 +88,7 @@ def dense_recall(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key
                 keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
                 if not len(keys):
                     continue
-                units = np.array(batch.column(1).to_pylist(), np.float64)
+                units = batch.column(1).flatten().to_numpy().reshape(len(keys), -1)
                 scores = np.round(matrix @ units.T, DIGITS)
                 if allowed is not None:
                     names = batch.column(2).to_pylist()
