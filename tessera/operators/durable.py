@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +29,38 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Paths written inside the open ``scratch`` blocks, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside the block go when it ends, unless they were kept.  What
+    reads them must have been written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        drop(spark, _SCRATCH.pop())
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read, never a recomputation of what led here.
+    ``keep`` saves the table from the end of a ``scratch`` block.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
