@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tessera.operators.durable import broadcast_if_small, materialize, shared_folder
+from tessera.operators.durable import broadcast_if_small, materialize, scratch, shared_folder
 from tessera.shipping import ship
 
-__all__ = ["broadcast_if_small", "free_name", "materialize", "parallelism", "shared_folder", "ship"]
+__all__ = ["broadcast_if_small", "free_name", "materialize", "parallelism", "scratch", "shared_folder", "ship"]
 
 
 def parallelism(spark: SparkSession) -> int:
