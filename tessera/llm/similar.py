@@ -13,11 +13,13 @@ five-word shingles and a wide radius, and then decides exactly:
    little, and the meetings within a step grow with the square of its classes.  They cost about 2 ns a
    pair, and nothing but the links leaves a task.)
 3. A meeting hands on ``FORESTS`` successive minimum spanning forests of its links by distance, so a
-   dense group costs rows in proportion to its members.  However the classes of a meeting are split
-   in two, all links across go on if there are fewer than that, and else at least so many, the
-   closest first: enough for step 4 to reject some without parting what belongs together.
+   dense group costs rows in proportion to its members.  It also names its open classes, the ends of
+   links that it held back.
 4. The links of the forests are verified: the Jaccard similarity of the two texts' shingle sets
-   must reach ``similarity``.  Components of verified links are the groups.
+   must reach ``similarity``.
+5. Links that were held back and whose ends step 4 left in different components are looked at again:
+   open classes go to tasks with their shingles, in chunks of a bounded size, and every such link is
+   verified there.  Components of all verified links are the groups, so none is lost to the forests.
 
 Null texts and texts without words have one sketch and form one group.  Repeated rows are in the
 same group.  Null ids take part.  An empty table gives an empty result.
@@ -54,6 +56,8 @@ SMALL_ROWS = 500_000
 #: Links that a meeting holds before it reduces them to forests.
 HELD_LINKS = 1 << 20
 FORESTS = 8
+#: Shingles (8 bytes each) of a chunk of open classes; two chunks meet in a task.
+CHUNK_SHINGLES = 2_000_000
 #: Shingle sets that verification keeps at hand.
 KEPT_SETS = 256
 
@@ -168,20 +172,29 @@ def close(one: np.ndarray, other: np.ndarray, same: bool, radius: int, first_rad
             yield p[far <= radius] + at, q[far <= radius], far[far <= radius]
 
 
-def meet(ids_a: np.ndarray, one: np.ndarray, ids_b: np.ndarray, other: np.ndarray, same: bool, radius: int = RADIUS, first_radius: int = FIRST_RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the classes of two blocks, reduced to forests."""
+def meet(ids_a: np.ndarray, one: np.ndarray, ids_b: np.ndarray, other: np.ndarray, same: bool, radius: int = RADIUS, first_radius: int = FIRST_RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between the classes of two blocks, reduced to forests, and which classes (those of the
+    first block, then those of the second) have links that the forests leave out."""
     shift = 0 if same else len(ids_a)
     n = len(ids_a) + (0 if same else len(ids_b))
     every = ids_a if same else np.concatenate((ids_a, ids_b))
+    left = np.zeros(n, bool)
+
+    def reduced(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        links = tuple(map(np.concatenate, zip(*parts, strict=True)))
+        kept = forests(n, *links)
+        left[np.bincount(np.concatenate(links[:2]), minlength=n) > np.bincount(np.concatenate(kept[:2]), minlength=n)] = True
+        return kept
+
     held, size = [(np.empty(0, np.int64),) * 3], 0
     for i, j, far in close(one, other, same, radius, first_radius):
         held.append((i, j + shift, far))
         size += len(i)
         if size > HELD_LINKS:
-            held = [forests(n, *map(np.concatenate, zip(*held, strict=True)))]
+            held = [reduced(held)]
             size = len(held[0][0])
-    a, b, _ = forests(n, *map(np.concatenate, zip(*held, strict=True)))
-    return every[a], every[b]
+    a, b, _ = reduced(held)
+    return every[a], every[b], left
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -191,7 +204,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) class ids whose sketches are close, reduced to forests."""
+    """(meeting, held_back, a, b): class ids whose sketches are close, reduced to forests; where
+    ``held_back`` is true, ``a`` is an open class and ``b`` the block of the meeting (0, 1) it is in."""
     spark = classes.sparkSession
     ship(spark)
     # Sets of a similarity s differ in size by a factor of s at most, so by one step.  Steps are
@@ -230,7 +244,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     partner = ranges.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     apart = F.exists(F.arrays_zip("low", "high", "low_b", "high_b"), lambda x: (x["low"] > x["high_b"] + RADIUS) | (x["low_b"] > x["high"] + RADIUS))
     pairs = ranges.withColumn("step_b", F.explode(F.array("step", F.col("step") + 1))).join(partner, "step_b")
-    pairs = pairs.filter((F.col("step_b") > F.col("step")) | (F.col("part_b") >= F.col("part"))).filter(~apart).select("step", "part", "step_b", "part_b")
+    pairs = pairs.filter((F.col("step_b") > F.col("step")) | (F.col("part_b") >= F.col("part"))).filter(~apart).select(F.monotonically_increasing_id().alias("meeting"), "step", "part", "step_b", "part_b")
     one = blocks.select("step", "part", F.col("ids").alias("ids_a"), F.col("sketches").alias("one"))
     other = blocks.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("sketches").alias("other"))
     met = materialize(pairs, "sketch-meetings").join(one, ["step", "part"]).join(other, ["step_b", "part_b"])
@@ -239,10 +253,13 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples():
                 same = row.step == row.step_b and row.part == row.part_b
-                a, b = meet(np.frombuffer(row.ids_a, np.int64), matrix([row.one]), np.frombuffer(row.ids_b, np.int64), matrix([row.other]), same)
-                yield pd.DataFrame({"a": a, "b": b})
+                ids_a, ids_b = np.frombuffer(row.ids_a, np.int64), np.frombuffer(row.ids_b, np.int64)
+                a, b, left = meet(ids_a, matrix([row.one]), ids_b, matrix([row.other]), same)
+                yield pd.DataFrame({"meeting": row.meeting, "held_back": False, "a": a, "b": b})
+                side = np.flatnonzero(left) >= len(ids_a)
+                yield pd.DataFrame({"meeting": row.meeting, "held_back": True, "a": (ids_a if same else np.concatenate((ids_a, ids_b)))[left], "b": side.astype(np.int64)})
 
-    return met.mapInPandas(search, "a long, b long")
+    return met.mapInPandas(search, "meeting long, held_back boolean, a long, b long")
 
 
 def verified(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -269,6 +286,74 @@ def verified(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return links.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def paired(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``frame`` (sketch, second, component) of close classes in different components: of the
+    first and the second block or chunk, or of the first alone if it meets itself."""
+    second, component = frame["second"].to_numpy(bool), frame["component"].to_numpy(np.int64)
+    one, other = np.flatnonzero(~second), np.flatnonzero(second)
+    same = not len(other)
+    other = one if same else other
+    values = matrix(frame["sketch"].tolist())
+    for i, j, _ in close(values[one], values[other], same, RADIUS, FIRST_RADIUS):
+        a, b = one[i], other[j]
+        apart = component[a] != component[b]
+        yield a[apart], b[apart]
+
+
+def chunked(frame: pd.DataFrame) -> pd.DataFrame:
+    """The open classes of a meeting that still have a link to another component, once for each pair of
+    chunks with such links that they belong to."""
+    frame = frame.sort_values(["second", "class"], kind="stable", ignore_index=True)
+    chunk = (frame["n"].cumsum().to_numpy(np.int64) - 1) // CHUNK_SHINGLES
+    second = frame["second"].to_numpy(bool)
+    if second.any():  # no chunk reaches over both blocks
+        chunk = np.where(second, chunk + 1, chunk)
+    _, chunk = np.unique(chunk, return_inverse=True)
+    meets = np.zeros((len(frame), int(chunk.max()) + 1), bool)
+    for a, b in paired(frame):
+        meets[a, chunk[b]] = meets[b, chunk[a]] = True
+    row, partner = np.nonzero(meets)
+    own = chunk[row]
+    out = frame.iloc[row].assign(one=np.minimum(own, partner), other=np.maximum(own, partner), second=own > partner)
+    return out[["meeting", "one", "other", "second", "class", "component", "sketch"]]
+
+
+def settled(frame: pd.DataFrame, words: int, similarity: float) -> pd.DataFrame:
+    """Verified links (a, b) that join all components of two chunks that verified links can join."""
+    sets = [np.unique(shingle_hashes(text, words)) for text in frame["text"]]
+    n = np.array([len(x) for x in sets], np.int64)
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    names, first = frame["class"].to_numpy(np.int64), np.unique(frame["component"].to_numpy(np.int64), return_inverse=True)[1]
+    joined, held, kept = LocalComponents(int(first.max()) + 1), np.zeros(len(every), bool), []
+    for a, b in paired(frame):
+        for i in np.unique(a):
+            own = place[ends[i] - n[i] : ends[i]]
+            todo = b[a == i]
+            todo = todo[(joined.root[first[todo]] != joined.root[first[i]]) & (np.minimum(n[todo], n[i]) > 0)]
+            if not len(todo):
+                continue
+            held[own] = True
+            starts = np.cumsum(n[todo]) - n[todo]
+            shared = np.add.reduceat(held[np.concatenate([place[ends[j] - n[j] : ends[j]] for j in todo])], starts, dtype=np.int64)
+            held[own] = False
+            good = todo[shared / (n[todo] + n[i] - shared) >= similarity]
+            joined.link(np.full(len(good), first[i]), first[good])
+            kept.append(np.stack((np.full(len(good), names[i]), names[good])))
+    a, b = np.concatenate(kept, axis=1) if kept else np.empty((2, 0), np.int64)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def class_texts(df: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, text) for the classes in ``wanted``."""
+    wanted = wanted.select("class").distinct().join(classes.select("class", "least.id", "least.version"), "class")
+    wanted = broadcast_if_small(materialize(wanted.withColumnsRenamed({"id": "of", "version": "at"}), "sketch-wanted"), SMALL_ROWS)
+    text = F.col(text_col).cast("string")
+    source = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    texts = source.join(wanted, (source["version"] == wanted["at"]) & source["id"].eqNullSafe(wanted["of"])).groupBy("class").agg(F.first("text").alias("text"))
+    return materialize(texts, "sketch-texts")
+
+
 def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, version, component_id, kept) per distinct (id, version): kept is true for one row of
     each group, that with the smallest id (and, of those, the smallest version)."""
@@ -276,14 +361,23 @@ def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, id
     name = F.struct(F.col("id").isNull().alias("last"), "id", "version")
     classes = rows.groupBy("sketch", "n").agg(F.min(name).alias("least")).withColumn("class", F.monotonically_increasing_id())
     classes = materialize(classes, "sketch-classes")
-    links = materialize(candidate_links(classes, similarity).distinct(), "sketch-links")
-    wanted = links.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "least.id", "least.version"), "class")
-    wanted = broadcast_if_small(materialize(wanted.withColumnsRenamed({"id": "of", "version": "at"}), "sketch-wanted"), SMALL_ROWS)
-    text = F.col(text_col).cast("string")
-    source = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    texts = source.join(wanted, (source["version"] == wanted["at"]) & source["id"].eqNullSafe(wanted["of"])).groupBy("class").agg(F.first("text").alias("text"))
-    good = materialize(verified(links, materialize(texts, "sketch-texts"), words, similarity), "sketch-verified")
+    found = materialize(candidate_links(classes, similarity), "sketch-links")
+    links = materialize(found.filter("not held_back").select("a", "b").distinct(), "sketch-forests")
+    texts = class_texts(df, classes, links.select(F.explode(F.array("a", "b")).alias("class")), id_col, text_col)
+    good = materialize(verified(links, texts, words, similarity), "sketch-verified")
     groups = connected_components(good)
+    # What the forests left out matters only between components.
+    left = found.filter("held_back").select("meeting", F.col("a").alias("class"), (F.col("b") == 1).alias("second"))
+    left = left.join(groups, left["class"] == groups["node"], "left").select("meeting", "class", "second", F.coalesce("component", "class").alias("component"))
+    left = materialize(left, "sketch-open")
+    several = left.groupBy("meeting").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    left = left.join(materialize(several, "sketch-several").select("meeting"), "meeting", "left_semi").join(classes.select("class", "sketch", "n"), "class")
+    chunks = left.groupBy("meeting").applyInPandas(chunked, "meeting long, one long, other long, second boolean, class long, component long, sketch binary")
+    chunks = materialize(chunks, "sketch-chunks")
+    if chunks.limit(1).count():
+        texts = class_texts(df, classes, chunks, id_col, text_col)
+        more = chunks.join(texts, "class").groupBy("meeting", "one", "other").applyInPandas(lambda frame: settled(frame, words, similarity), "a long, b long")
+        groups = connected_components(good.unionAll(materialize(more, "sketch-settled")))
     named = classes.join(groups, classes["class"] == groups["node"], "left").select("sketch", "n", "least", F.coalesce("component", "class").alias("component"))
     named = materialize(named, "sketch-groups")
     least = materialize(named.groupBy("component").agg(F.min("least").alias("first")), "sketch-firsts")

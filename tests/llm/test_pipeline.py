@@ -77,6 +77,30 @@ def test_forests_keep_every_small_cut():
         assert len(own) >= min(3, len(across)) and own[:3] == across[:3]
 
 
+def templated(n_texts=400, seed=5):
+    """Copies of one passage: most pairs are of similarity 0.7 to 0.79, few of 0.8 or more."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for c in range(n_texts):
+        own = list(base)
+        for at in rng.choice(60, 5, replace=False) * 5:
+            own[at] = f"n{c}y{at}"
+        docs.append(own)
+    docs.append([f"z{i}" if i in (0, 5, 10, 15, 20, 25) else w for i, w in enumerate(docs[-1])])
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("chunk", [similar.CHUNK_SHINGLES, 20_000])
+def test_links_that_the_forests_leave_out_are_verified(spark, monkeypatch, chunk):
+    docs = templated()
+    want = groups(docs)
+    assert 1 < len(set(want.values())) < len(docs)
+    monkeypatch.setattr(similar, "CHUNK_SHINGLES", chunk)
+    out = similar.similar_documents(spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
 def test_deduplicated_edges(spark):
     rows = [(5, "one two three four five six", "en", "a", 1), (5, "one two three four five six", "en", "a", 1), (3, "One two three four five six", "en", "b", 1), (None, "alone here with some other words", None, None, None), (None, "alone here with some other words", None, None, None), (7, None, None, None, None), (8, "", "en", "c", 0), (9, "x", "en", "c", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
