@@ -1,8 +1,9 @@
 """Near-duplicate documents at a given similarity, by wide SimHash sketches.
 
 Three bits of a 64-bit fingerprint link only texts that are nearly equal.  For a similarity of 0.8
-of shingle sets, about 15 % of the bits differ, so this operator takes sketches of 256 bits over
-five-word shingles and a wide radius, and then decides exactly:
+of shingle sets, about 15 % of the bits differ, and up to 19 % for texts of few shingles, so this
+operator takes sketches of 256 bits over five-word shingles and a wide radius, which follows from the
+numbers of shingles of the two texts, and then decides exactly:
 
 1. Texts become sketches; equal sketches collapse to a class with its smallest document.
 2. Classes are dealt into blocks of a bounded size: first by the number of their shingles, in steps
@@ -10,7 +11,7 @@ five-word shingles and a wide radius, and then decides exactly:
    vantage-point tree.  Blocks of one step or of neighbouring steps meet, unless their ranges of
    distance from some vantage point lie farther apart than the radius.  (At this radius few do:
    distances between unrelated sketches all lie near half the bits, so the triangle inequality parts
-   little, and the meetings within a step grow with the square of its classes.  They cost about 2 ns a
+   little, and the meetings within a step grow with the square of its classes.  They cost about 3 ns a
    pair, and nothing but the links leaves a task.)
 3. A meeting hands on ``FORESTS`` successive minimum spanning forests of its links by distance, so a
    dense group costs rows in proportion to its members.  It also names its open classes, the ends of
@@ -27,6 +28,8 @@ same group.  Null ids take part.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +49,13 @@ WORDS_64 = 4
 BLOCK = 6144
 #: Vantage points whose distance ranges a block keeps.
 VANTAGE = 8
-#: Pairs farther apart are never verified: 42 bits is where a similarity of 0.77 is expected, the
-#: slack covers the spread of sketches of texts at 0.8.
-RADIUS = 58
-#: The first 64 bits alone are looked at first; at 0.8 they differ in 10 bits on average.
-FIRST_RADIUS = 22
+#: Pairs farther apart than their radius are never verified: of pairs at the similarity asked for, it
+#: leaves out this share, for all bits and once more for the first ones, which are looked at first.
+MISS = 1e-9
+FIRST_WORDS = 2
+#: Up to so many shingles, a pair's radius is that of its two numbers; beyond, the share of differing
+#: bits only falls, and the radius is the largest from half this number on.
+FEW = 64
 #: Rows of ids and versions (about 40 bytes each) that may be broadcast.
 SMALL_ROWS = 500_000
 #: Links that a meeting holds before it reduces them to forests.
@@ -156,12 +161,63 @@ def forests(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, count: int =
     return a[pick], b[pick], far[pick]
 
 
-def close(one: np.ndarray, other: np.ndarray, same: bool, radius: int, first_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(index into one, index into other, distance) of the pairs within ``radius``."""
+def differing(shared: int, more: int, other: int) -> float:
+    """The probability that a bit differs between two texts with so many shingles in common and on
+    either side alone: each shingle sets it or not, at even odds, and the strict majority decides."""
+
+    def odds(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def one(alone: int) -> np.ndarray:
+        ones = np.arange(shared + 1)[:, None] + np.arange(alone + 1)
+        return (2 * ones > shared + alone) @ odds(alone)
+
+    a, b = one(more), one(other)
+    return float(odds(shared) @ (a + b - 2 * a * b))
+
+
+def tail_bound(probability: float, bits: int) -> int:
+    """The least number that at most ``MISS`` of all draws of ``bits`` bits exceed."""
+    chance = [math.comb(bits, k) * probability**k * (1 - probability) ** (bits - k) for k in range(bits + 1)]
+    above = np.cumsum(chance[::-1])[::-1]
+    return int(np.flatnonzero(np.append(above[1:], 0.0) <= MISS)[0])
+
+
+@functools.lru_cache(maxsize=8)
+def radii(similarity: float) -> np.ndarray:
+    """The radius over all bits and over the first ones, by the numbers of shingles of two texts (more
+    than ``FEW`` count as one more); -1 where only equal sets are that similar."""
+    worst = np.full((FEW + 2, FEW + 2), -1.0)
+    for a in range(1, FEW + 1):
+        for b in range(a, FEW + 1):
+            for shared in range(a, 0, -1):
+                if shared / (a + b - shared) < similarity:
+                    break
+                if shared < b:
+                    worst[a, b] = worst[b, a] = max(worst[a, b], differing(shared, a - shared, b - shared))
+    many = worst[FEW // 2 : FEW + 1, FEW // 2 : FEW + 1].max()
+    reach = np.arange(FEW + 2) >= similarity * (FEW + 1)
+    worst[FEW + 1, reach] = worst[reach, FEW + 1] = many
+    out = np.full((2, *worst.shape), -1, np.int64)
+    for p in np.unique(worst[worst >= 0]):
+        out[:, worst == p] = np.array([[tail_bound(p, 64 * WORDS_64)], [tail_bound(p, 64 * FIRST_WORDS)]])
+    return out
+
+
+def close(one: np.ndarray, n_one: np.ndarray, other: np.ndarray, n_other: np.ndarray, same: bool, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(index into one, index into other, distance) of the pairs within their ``radii``; ``n_one`` and
+    ``n_other`` are the numbers of shingles."""
+    few_one, few_other = np.minimum(n_one, FEW + 1), np.minimum(n_other, FEW + 1)
+    first_radius = int(radius[1][np.ix_(np.unique(few_one), np.unique(few_other))].max(initial=-1))
+    if first_radius < 0:
+        return
+    first = [np.ascontiguousarray(other[:, w]) for w in range(FIRST_WORDS)]
     for at in range(0, len(one), 64):
         part = one[at : at + 64]
-        near = np.bitwise_count(part[:, :1] ^ other[:, 0][None, :]) <= first_radius
-        spots = np.flatnonzero(near)
+        seen = np.bitwise_count(part[:, :1] ^ first[0][None, :])
+        for w in range(1, FIRST_WORDS):
+            seen += np.bitwise_count(part[:, w : w + 1] ^ first[w][None, :])
+        spots = np.flatnonzero(seen <= first_radius)
         i, j = spots // len(other), spots % len(other)
         if same:
             later = j > i + at
@@ -169,10 +225,11 @@ def close(one: np.ndarray, other: np.ndarray, same: bool, radius: int, first_rad
         for cut in range(0, len(i), 1 << 18):
             p, q = i[cut : cut + (1 << 18)], j[cut : cut + (1 << 18)]
             far = np.bitwise_count(part[p] ^ other[q]).sum(axis=1, dtype=np.int64)
-            yield p[far <= radius] + at, q[far <= radius], far[far <= radius]
+            near = far <= radius[0][few_one[p + at], few_other[q]]
+            yield p[near] + at, q[near], far[near]
 
 
-def meet(ids_a: np.ndarray, one: np.ndarray, ids_b: np.ndarray, other: np.ndarray, same: bool, radius: int = RADIUS, first_radius: int = FIRST_RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meet(ids_a: np.ndarray, one: np.ndarray, n_one: np.ndarray, ids_b: np.ndarray, other: np.ndarray, n_other: np.ndarray, same: bool, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links between the classes of two blocks, reduced to forests, and which classes (those of the
     first block, then those of the second) have links that the forests leave out."""
     shift = 0 if same else len(ids_a)
@@ -187,7 +244,7 @@ def meet(ids_a: np.ndarray, one: np.ndarray, ids_b: np.ndarray, other: np.ndarra
         return kept
 
     held, size = [(np.empty(0, np.int64),) * 3], 0
-    for i, j, far in close(one, other, same, radius, first_radius):
+    for i, j, far in close(one, n_one, other, n_other, same, radius):
         held.append((i, j + shift, far))
         size += len(i)
         if size > HELD_LINKS:
@@ -208,6 +265,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     ``held_back`` is true, ``a`` is an open class and ``b`` the block of the meeting (0, 1) it is in."""
     spark = classes.sparkSession
     ship(spark)
+    radius = radii(similarity)
     # Sets of a similarity s differ in size by a factor of s at most, so by one step.  Steps are
     # computed from whole numbers, a little wide, so that rounding parts no two that may link.
     step = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / (-np.log(similarity) + 1e-9)).cast("int")
@@ -234,19 +292,20 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         values = matrix(frame["sketch"].tolist())
         reach = np.bitwise_count(values[:, None, :] ^ points[None, :, :]).sum(axis=2, dtype=np.int64)
-        return pd.DataFrame({"step": [key[0]], "part": [key[1]], "ids": [frame["class"].to_numpy(np.int64).tobytes()], "sketches": [values.tobytes()], "low": [reach.min(axis=0).tolist()], "high": [reach.max(axis=0).tolist()]})
+        return pd.DataFrame({"step": [key[0]], "part": [key[1]], "ids": [frame["class"].to_numpy(np.int64).tobytes()], "n": [frame["n"].to_numpy(np.int64).tobytes()], "sketches": [values.tobytes()], "low": [reach.min(axis=0).tolist()], "high": [reach.max(axis=0).tolist()]})
 
-    dealt = stepped.select("class", "sketch", "step").mapInPandas(deal, "class long, sketch binary, step int, part long")
-    blocks = dealt.groupBy("step", "part").applyInPandas(pack, "step int, part long, ids binary, sketches binary, low array<long>, high array<long>")
+    dealt = stepped.select("class", "sketch", "n", "step").mapInPandas(deal, "class long, sketch binary, n long, step int, part long")
+    blocks = dealt.groupBy("step", "part").applyInPandas(pack, "step int, part long, ids binary, n binary, sketches binary, low array<long>, high array<long>")
     blocks = materialize(blocks, "sketch-blocks")
     # Names and ranges only; a block asks for those of its own step (each two once) and of the next.
     ranges = blocks.select("step", "part", "low", "high")
     partner = ranges.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = F.exists(F.arrays_zip("low", "high", "low_b", "high_b"), lambda x: (x["low"] > x["high_b"] + RADIUS) | (x["low_b"] > x["high"] + RADIUS))
+    most = int(radius[0].max())
+    apart = F.exists(F.arrays_zip("low", "high", "low_b", "high_b"), lambda x: (x["low"] > x["high_b"] + most) | (x["low_b"] > x["high"] + most))
     pairs = ranges.withColumn("step_b", F.explode(F.array("step", F.col("step") + 1))).join(partner, "step_b")
     pairs = pairs.filter((F.col("step_b") > F.col("step")) | (F.col("part_b") >= F.col("part"))).filter(~apart).select(F.monotonically_increasing_id().alias("meeting"), "step", "part", "step_b", "part_b")
-    one = blocks.select("step", "part", F.col("ids").alias("ids_a"), F.col("sketches").alias("one"))
-    other = blocks.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("sketches").alias("other"))
+    one = blocks.select("step", "part", F.col("ids").alias("ids_a"), F.col("n").alias("n_a"), F.col("sketches").alias("one"))
+    other = blocks.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("n").alias("n_b"), F.col("sketches").alias("other"))
     met = materialize(pairs, "sketch-meetings").join(one, ["step", "part"]).join(other, ["step_b", "part_b"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +313,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
             for row in frame.itertuples():
                 same = row.step == row.step_b and row.part == row.part_b
                 ids_a, ids_b = np.frombuffer(row.ids_a, np.int64), np.frombuffer(row.ids_b, np.int64)
-                a, b, left = meet(ids_a, matrix([row.one]), ids_b, matrix([row.other]), same)
+                a, b, left = meet(ids_a, matrix([row.one]), np.frombuffer(row.n_a, np.int64), ids_b, matrix([row.other]), np.frombuffer(row.n_b, np.int64), same, radius)
                 yield pd.DataFrame({"meeting": row.meeting, "held_back": False, "a": a, "b": b})
                 side = np.flatnonzero(left) >= len(ids_a)
                 yield pd.DataFrame({"meeting": row.meeting, "held_back": True, "a": (ids_a if same else np.concatenate((ids_a, ids_b)))[left], "b": side.astype(np.int64)})
@@ -286,21 +345,21 @@ def verified(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return links.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def paired(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in ``frame`` (sketch, second, component) of close classes in different components: of the
+def paired(frame: pd.DataFrame, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``frame`` (sketch, n, second, component) of close classes in different components: of the
     first and the second block or chunk, or of the first alone if it meets itself."""
     second, component = frame["second"].to_numpy(bool), frame["component"].to_numpy(np.int64)
     one, other = np.flatnonzero(~second), np.flatnonzero(second)
     same = not len(other)
     other = one if same else other
-    values = matrix(frame["sketch"].tolist())
-    for i, j, _ in close(values[one], values[other], same, RADIUS, FIRST_RADIUS):
+    values, n = matrix(frame["sketch"].tolist()), frame["n"].to_numpy(np.int64)
+    for i, j, _ in close(values[one], n[one], values[other], n[other], same, radius):
         a, b = one[i], other[j]
         apart = component[a] != component[b]
         yield a[apart], b[apart]
 
 
-def chunked(frame: pd.DataFrame) -> pd.DataFrame:
+def chunked(frame: pd.DataFrame, radius: np.ndarray) -> pd.DataFrame:
     """The open classes of a meeting that still have a link to another component, once for each pair of
     chunks with such links that they belong to."""
     frame = frame.sort_values(["second", "class"], kind="stable", ignore_index=True)
@@ -310,15 +369,15 @@ def chunked(frame: pd.DataFrame) -> pd.DataFrame:
         chunk = np.where(second, chunk + 1, chunk)
     _, chunk = np.unique(chunk, return_inverse=True)
     meets = np.zeros((len(frame), int(chunk.max()) + 1), bool)
-    for a, b in paired(frame):
+    for a, b in paired(frame, radius):
         meets[a, chunk[b]] = meets[b, chunk[a]] = True
     row, partner = np.nonzero(meets)
     own = chunk[row]
     out = frame.iloc[row].assign(one=np.minimum(own, partner), other=np.maximum(own, partner), second=own > partner)
-    return out[["meeting", "one", "other", "second", "class", "component", "sketch"]]
+    return out[["meeting", "one", "other", "second", "class", "component", "n", "sketch"]]
 
 
-def settled(frame: pd.DataFrame, words: int, similarity: float) -> pd.DataFrame:
+def settled(frame: pd.DataFrame, words: int, similarity: float, radius: np.ndarray) -> pd.DataFrame:
     """Verified links (a, b) that join all components of two chunks that verified links can join."""
     sets = [np.unique(shingle_hashes(text, words)) for text in frame["text"]]
     n = np.array([len(x) for x in sets], np.int64)
@@ -326,7 +385,7 @@ def settled(frame: pd.DataFrame, words: int, similarity: float) -> pd.DataFrame:
     ends = np.cumsum(n)
     names, first = frame["class"].to_numpy(np.int64), np.unique(frame["component"].to_numpy(np.int64), return_inverse=True)[1]
     joined, held, kept = LocalComponents(int(first.max()) + 1), np.zeros(len(every), bool), []
-    for a, b in paired(frame):
+    for a, b in paired(frame, radius):
         for i in np.unique(a):
             own = place[ends[i] - n[i] : ends[i]]
             todo = b[a == i]
@@ -372,11 +431,12 @@ def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, id
     left = materialize(left, "sketch-open")
     several = left.groupBy("meeting").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
     left = left.join(materialize(several, "sketch-several").select("meeting"), "meeting", "left_semi").join(classes.select("class", "sketch", "n"), "class")
-    chunks = left.groupBy("meeting").applyInPandas(chunked, "meeting long, one long, other long, second boolean, class long, component long, sketch binary")
+    radius = radii(similarity)
+    chunks = left.groupBy("meeting").applyInPandas(lambda frame: chunked(frame, radius), "meeting long, one long, other long, second boolean, class long, component long, n long, sketch binary")
     chunks = materialize(chunks, "sketch-chunks")
     if chunks.limit(1).count():
         texts = class_texts(df, classes, chunks, id_col, text_col)
-        more = chunks.join(texts, "class").groupBy("meeting", "one", "other").applyInPandas(lambda frame: settled(frame, words, similarity), "a long, b long")
+        more = chunks.join(texts, "class").groupBy("meeting", "one", "other").applyInPandas(lambda frame: settled(frame, words, similarity, radius), "a long, b long")
         groups = connected_components(good.unionAll(materialize(more, "sketch-settled")))
     named = classes.join(groups, classes["class"] == groups["node"], "left").select("sketch", "n", "least", F.coalesce("component", "class").alias("component"))
     named = materialize(named, "sketch-groups")

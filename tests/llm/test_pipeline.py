@@ -101,6 +101,33 @@ def test_links_that_the_forests_leave_out_are_verified(spark, monkeypatch, chunk
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_short_near_copies_are_found(spark):
+    """Of four shingles, and of five: at similarity 0.8 up to 70 of 256 bits differ."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for _ in range(400):
+        words = [f"w{rng.integers(10**6)}" for _ in range(9)]
+        docs += [" ".join(words), " ".join(words[:8])]
+    docs = list(enumerate(docs))
+    out = similar.similar_documents(spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in out} == groups(docs)
+
+
+def test_radius_holds_the_tail_of_measured_sketches():
+    radius = similar.radii(0.8)
+    assert radius[0, 4, 4] == radius[0, 3, 4] == -1 and radius[0, 4, 5] > radius[0, 60, 60] > 58
+    rng = np.random.default_rng(1)
+    for a, b, shared in [(4, 5, 4), (12, 15, 12), (40, 40, 36), (500, 500, 445), (400, 500, 400)]:
+        far = []
+        for _ in range(300):
+            hashes = rng.integers(0, 2**64, a + b - shared, dtype=np.uint64)
+            one, other = similar.matrix([similar.sketch(hashes[:a]), similar.sketch(hashes[a - shared :])])
+            far.append(int(np.bitwise_count(one ^ other).sum()))
+        assert max(far) <= radius[0, min(a, similar.FEW + 1), min(b, similar.FEW + 1)]
+        if max(a, b) <= similar.FEW:
+            assert abs(np.mean(far) / 256 - similar.differing(shared, a - shared, b - shared)) < 0.01
+
+
 def test_deduplicated_edges(spark):
     rows = [(5, "one two three four five six", "en", "a", 1), (5, "one two three four five six", "en", "a", 1), (3, "One two three four five six", "en", "b", 1), (None, "alone here with some other words", None, None, None), (None, "alone here with some other words", None, None, None), (7, None, None, None, None), (8, "", "en", "c", 0), (9, "x", "en", "c", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
