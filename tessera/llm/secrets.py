@@ -45,7 +45,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal, so asking for the least length at once finds the same runs.
 HEX = re.compile(r"[0-9a-f]{16,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_BEGIN = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+#: What belongs to a key without an END line: header lines, and runs or whole lines of base64, apart by
+#: blanks, quotes or the escapes of strings in code.
+KEY_BODY = re.compile(r"""(?:(?:\s|\\[nrt]|["',])*+(?:(?:Proc-Type|DEK-Info):\s*+[A-Z0-9,-]++|[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+|(?:(?<=[A-Za-z0-9+/-]\n)|(?<=[A-Za-z0-9+/-]\r\n))[A-Za-z0-9+/]++(?=\r?\n|\Z)))*+""")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 
@@ -62,11 +65,17 @@ def hex_runs(text: str) -> Iterator[tuple[int, int]]:
 
 
 def private_keys(text: str) -> Iterator[tuple[int, int]]:
-    return (m.span() for m in PRIVATE_KEY.finditer(text))
+    """From BEGIN through the END line of the same label, if no other key begins before it."""
+    begins = list(KEY_BEGIN.finditer(text))
+    limits = [*(m.start() for m in begins[1:]), len(text)]
+    for m, limit in zip(begins, limits, strict=False):
+        line = f"-----END {m[1]}-----"
+        at = text.find(line, m.end(), limit)
+        yield m.start(), at + len(line) if at >= 0 else KEY_BODY.match(text, m.end(), limit).end()
 
 
 #: In the order in which kinds break ties.
-RULES = (Rule("assign", 1, assignments), Rule("access", 1, access_keys), Rule("hex", 1, hex_runs), Rule("private_key", 1, private_keys, base=False))
+RULES = (Rule("assign", 1, assignments), Rule("access", 1, access_keys), Rule("hex", 1, hex_runs), Rule("private_key", 2, private_keys, base=False))
 
 #: Spans (about 60 bytes each) that may be broadcast.
 SMALL_SPANS = 400_000
