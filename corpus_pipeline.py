@@ -21,9 +21,12 @@ MASK = "[SECRET]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no letters at all) go."""
+    """Documents without a recognisable language (no letters at all) go; all stay if no language can
+    be learned."""
     ship(spark)
     model = langid.train(docs)
+    if not model.languages:
+        return docs
     return docs.filter(langid.predicted_language(model, F.col("text")) != langid.UNKNOWN)
 
 

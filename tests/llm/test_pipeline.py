@@ -160,6 +160,11 @@ def test_stages(spark):
     assert total == {i: len(own.encode(r.text)) + 1 for i, r in left.items()}
 
 
+def test_documents_stay_if_no_language_can_be_learned(spark):
+    frame = spark.createDataFrame([(1, "a clean text", None, "s", 12), (2, "another one", None, "s", 11)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, frame, SMALL).collect()} == {1, 2}
+
+
 def test_run_over_the_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     out = corpus_pipeline.run(spark, SMALL)
