@@ -23,7 +23,26 @@ def test_ids_equal_the_library(text):
     assert ids == LIBRARY.encode_ordinary(text)
     assert own.decode(ids) == text.encode()
     offsets = own.offsets(ids)
-    assert offsets[-1] == len(text.encode()) and [text.encode()[a:b] for a, b in zip(offsets, offsets[1:])] == own.token_bytes(ids)
+    assert offsets[-1] == len(text.encode()) and [own.decode(ids, offsets, a, b) for a, b in zip(offsets, offsets[1:])] == [LIBRARY.decode_single_token_bytes(i) for i in ids]
+    data = text.encode()
+    assert all(own.decode(ids, offsets, a, b) == data[a:b] for a in range(0, len(data), 3) for b in range(a, len(data) + 2, 5))
+
+
+def test_scan_equals_the_automaton_step_by_step():
+    text = " It's  we'd'\n 12ab!!'ll x'ver\t\tend '' \u3000z"
+    state, want = bpe.ENDED, []
+    for i, symbol in enumerate(bpe.symbols(bpe.code_points(text)).tolist()):
+        state, starts = bpe.step(state, symbol)
+        want += [i] * starts
+    assert bpe.token_starts(bpe.code_points(text)).tolist() == want
+    assert len(bpe.automaton()[0]) < 64  # so few functions arise
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "\n" * 1_000_000, "^" * 300_000, "'s" * 200_000, "a'" * 100_000])
+def test_long_runs(text):
+    own = bpe.codec(PATH)
+    ids = own.encode(text)
+    assert own.decode(ids, own.offsets(ids)) == text.encode()
 
 
 @pytest.mark.parametrize("text", ["", " ", "   x", "a" * 300_000, "it's' 're ''ll", "x\r\n\r\n  y", "'" * 50, "don't 'tis we'd've", "<|endoftext|>"])
