@@ -66,17 +66,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(PLANTED_TURN))
     formatted = chat.format_conversations(rows.unionAll(planted))
-    turns = chat.read_back(F.col("formatted"))
-    whole = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"))
-    whole = whole.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"), "formatted_chars",
+    parts = formatted.select("conv_id", "formatted", "examples", chat.in_stretches(F.col("formatted")).alias("stretches"))
+    turns, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("stretches"), F.col("examples"))
+    read = parts.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )
-    examples = chat.expand_examples(formatted).select("conv_id", "example", chat.unescape(F.col("target")).alias("reply"))
-    loss = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "reply"))).alias("replies"))
-    loss = loss.select(F.col("conv_id").alias("of"), F.array_join(F.transform("replies", lambda r: r["reply"]), "").alias("loss"))
-    both = whole.join(loss, F.col("conv_id").eqNullSafe(F.col("of")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
-    return both.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,12 +39,37 @@ def test_edges(spark):
     by_conv = {r.conv_id: r for r in made.collect()}
     for r in chat.with_prompts(made).collect():
         whole = by_conv[r.conv_id].formatted
-        assert whole[r.target_start : r.target_end] == r.target and whole.startswith(r.prompt) and len(r.prompt) == r.target_start >= r.context_chars
+        assert whole.startswith(r.prompt) and len(r.prompt) == r.target_start >= r.context_chars
+    replies = {}
+    for r in chat.with_replies(made).orderBy("conv_id", "example").collect():
+        replies.setdefault(r.conv_id, []).append(r.reply)
+    assert replies == {conv: said for conv, turns in brute(rows).items() if (said := [t for role, t in turns if role == "assistant"])}
     assert chat.expand_examples(made).filter("conv_id = 1").count() == 3
     assert chat.expand_examples(made).filter("conv_id = 2").count() == 0
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def loss(made):
+    parts = made.select("conv_id", chat.in_stretches(F.col("formatted")).alias("stretches"), "examples")
+    return {r.conv_id: r.loss for r in parts.select("conv_id", chat.loss_text(F.col("stretches"), F.col("examples")).alias("loss")).collect()}
+
+
+def test_the_mask_decides_the_loss(spark):
+    """Moving a mask changes what is read: nothing but the formatted text is asked."""
+    df = spark.createDataFrame([(1, 0, "user", "hi", ""), (1, 1, "assistant", "reply", "")], SCHEMA)
+    made = chat.format_conversations(df)
+    moved = made.withColumn("examples", F.transform("examples", lambda e: e.withField("target_end", e["target_end"] - 1)))
+    assert loss(made) == {1: "reply"} and loss(moved) == {1: "repl"}
+
+
+def test_a_conversation_with_most_rows(spark):
+    """One conversation holds 20,000 of 20,100 turns; replies lie across the ends of stretches."""
+    turns = spark.range(20_100).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" 😀\\</s>"), (F.col("id") % 40).cast("int"))).alias("text"))
+    want = {r.conv_id: r.want for r in turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda x: x["text"]), "").alias("want")).collect()}
+    got = loss(chat.format_conversations(turns))
+    assert {k: v for k, v in got.items() if v} == want
+
+
 def test_planted_conversation(spark):
     row = queries.op9_chat(spark, SMALL).filter("conv_id = -1").first()
     said = queries.PLANTED_TURN
