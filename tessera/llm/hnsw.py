@@ -198,15 +198,14 @@ def look_up(graph: Graph, vectors: np.ndarray, threshold: float, same: bool = Fa
     k = min(NEAREST, n)
     nearest = np.argpartition(-truth, k - 1, axis=1)[:, :k]
     for beam in BEAMS:
-        if beam * 8 >= n:
-            break
+        beam = min(beam, n)
         ids, sims = np.full((len(vectors), beam), -1, np.int64), np.full((len(vectors), beam), -np.inf, np.float32)
         for at in range(0, len(todo), STEP):
             part = todo[at : at + STEP]
             ids[part], sims[part] = graph.search(vectors[part], beam)
         checked = np.intersect1d(audit, todo, return_indices=True)
         rows = checked[1]
-        wide = (sims[:, -1] >= margin)  # may have more links than the beam holds
+        wide = (sims[:, -1] >= margin) & (beam < n)  # may have more links than the beam holds
         rows = rows[~wide[audit[rows]]]
         if len(rows):
             got = ids[audit[rows]]
@@ -286,8 +285,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"))
     unfit = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vector", lambda x: x != 0)
     fit = F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(unfit, F.lit(True))
-    # A class is named by what it holds; the length keeps vectors of unequal length apart.
-    text = F.concat_ws(",", "label", F.array_join(F.transform("vector", lambda x: (x + 0.0).cast("string")), ","))
+    # A class is named by what it holds; the lengths in front keep labels and components apart.
+    text = F.concat_ws(",", F.length("label").cast("string"), F.size("vector").cast("string"), "label", F.array_join(F.transform("vector", lambda x: (x + 0.0).cast("string")), ","))
     rows = materialize(rows.withColumn("class", F.when(fit, F.sha2(text, 256))), "embeddings")
     classes = rows.filter("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "classes")

@@ -65,6 +65,42 @@ def test_shards_meet(spark, shard):
     assert got(hnsw.near_duplicates(spark.createDataFrame(rows, SCHEMA), shard=shard)) == brute(rows)
 
 
+def test_labels_do_not_run_into_vectors(spark):
+    rows = [(1, [2.0], "x,1.0", "", ""), (2, [1.0, 2.0], "x", "", ""), (3, [0.0, 2.0], "1,x", "", ""), (4, [2.0], "1,x,0.0", "", "")]
+    made = hnsw.near_duplicates(spark.createDataFrame(rows, SCHEMA.replace("label int", "label string")))
+    assert got(made) == brute(rows)
+
+
+def test_query_by_walks_of_the_graph(spark, tmp_path, monkeypatch):
+    """2,200 vectors a label: look-ups come from beams, and links are compared with all pairs."""
+    vectors = clustered(4400, seed=9, spread=0.2)
+    rows = [(i, v.tolist(), int(i % 2), "", "") for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = {r.vec_id: r for r in queries.op2_embeddings(spark, str(tmp_path)).collect()}
+    wide = vectors.astype(np.float64)
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.93) & (np.arange(4400)[:, None] % 2 == np.arange(4400) % 2)
+    np.fill_diagonal(close, False)
+    links = np.array([made[i].n_links for i in range(4400)])
+    assert (links <= close.sum(axis=1)).all() and links.sum() >= 0.99 * close.sum() > 5_000
+    half = hnsw.unit(vectors[::2].astype(np.float64))
+    monkeypatch.setattr(hnsw, "AUDITED", 0)  # nothing but beams
+    walked = sum(len(i) for i, _ in hnsw.look_up(hnsw.Graph(half), half, 0.93))
+    assert walked >= 0.99 * (half @ half.T >= 0.93).sum()
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 200])
+def test_small_shards_walk_too(n, monkeypatch):
+    vectors = hnsw.unit(clustered(n, seed=n).astype(np.float64))
+    graph, calls = hnsw.Graph(vectors), []
+    search = graph.search
+    monkeypatch.setattr(graph, "search", lambda q, beam: calls.append(beam) or search(q, beam))
+    linked = np.zeros((n, n), bool)
+    for i, j in hnsw.look_up(graph, vectors, 0.93):
+        linked[i, j] = True
+    assert calls and (linked == (vectors @ vectors.T >= np.float32(0.93 - 1e-4))).all()
+
+
 def test_edges(spark):
     rows = [(9, [1.0, 0.0], 1, "", ""), (4, [1.0, 0.0], 1, "", ""), (4, [1.0, 0.0], 1, "", ""), (5, [2.0, 0.0], 1, "", ""), (6, [1.0, 0.0], 2, "", ""), (7, [1.0, 0.0], None, "", ""), (8, None, 1, "", ""), (10, [0.0, 0.0], 1, "", ""), (11, [float("nan"), 1.0], 1, "", ""), (12, [1.0, None], 1, "", ""), (13, [1.0, 0.0, 0.0], 1, "", ""), (14, [], 1, "", ""), (None, [0.0, 1.0], 1, "", ""), (None, [1.0, 0.01], 1, "", "")]
     assert got(hnsw.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
