@@ -4,7 +4,8 @@ A blob is a text, named by the SHA-256 of its UTF-8 bytes; every version of ever
 occurrence of one.  The ledger holds, for each blob, the rules (with versions) that have been run
 on it and what they found.  A scan runs only the pairs of blob and rule version that the ledger
 lacks, each once however many documents share the blob, and findings join back to all
-occurrences.
+occurrences.  ``extend_ledger`` keeps the ledger as a table that grows by appends, so that the next
+version of a corpus costs what is new in it; ``compacted`` gives one row a blob.
 
 Texts travel once, already reduced to one copy a map task.  The join back carries ids and spans.
 
@@ -133,25 +134,50 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     return new if ledger is None else ledger.select(*LEDGER.names).unionAll(new)
 
 
+def extend_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The ledger table under ``path`` (made if absent) after the unseen pairs of ``docs`` were scanned and
+    appended.  A run that fails leaves the table as it was; run again, it scans the same pairs."""
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    old = spark.read.schema(LEDGER).parquet(path) if there else None
+    scan_unseen(docs, old, rules, text_col).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def compacted(ledger: DataFrame) -> DataFrame:
+    """``ledger`` with one row a blob: all rules that have run on it and all they found."""
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    rows = ledger.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), spans.alias("spans"))
+    return rows.withColumn("spans", without_repeats("spans"))
+
+
+def without_repeats(name: str) -> Column:
+    """A sorted array column without repeats, in one pass (``array_distinct`` compares all structs with
+    all)."""
+    return F.filter(name, lambda x, i: (i == 0) | (x != F.get(F.col(name), i - 1)))
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out_col: str = "spans", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``out_col``: the spans that ``rules`` found in its blob, by start, then kind in
     the order of ``rules``.  ``keep_text=False`` leaves the text out, so that it does not travel."""
-    key = free_name(docs.columns, "blob_id")
+    key, held = free_name([*docs.columns, out_col], "blob_id"), free_name([*docs.columns, out_col], "held_spans")
     order = F.create_map(*[x for i, rule in enumerate(rules) for x in (F.lit(rule.kind), F.lit(i))])
     rows = ledger.filter(F.size("spans") > 0)  # the others add nothing
-    rows = rows.groupBy("blob_id").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    rows = rows.groupBy("blob_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     wanted = F.array(*[F.lit(rule.key) for rule in rules])
-    by_place = F.array_sort(F.transform(F.array_distinct(F.filter("__spans", lambda s: F.array_contains(wanted, s["rule"]))), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = rows.select(F.col("blob_id").alias(key), F.transform(by_place, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
+    placed = F.transform(F.filter("spans", lambda s: F.array_contains(wanted, s["rule"])), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["end"].alias("end"), s["kind"].alias("kind")))
+    rows = rows.select("blob_id", F.array_sort(placed).alias("placed"))
+    rows = rows.select(F.col("blob_id").alias(key), F.transform(without_repeats("placed"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias(held))
     # Written first, so that the join is between plain tables and may split a common blob; a small
     # number of spans travels to the rows instead.
-    rows = broadcast_if_small(materialize(rows, "secret-findings"), SMALL_SPANS, F.size("__spans") + 1)
+    rows = broadcast_if_small(materialize(rows, "secret-findings"), SMALL_SPANS, F.size(held) + 1)
     left = docs.withColumn(key, blob_id(F.col(text_col)))
     if not keep_text:
         left = left.drop(text_col)
     joined = left.join(rows, key, "left")
     empty = F.array().cast(T.ArrayType(SPAN))
-    return joined.withColumn(out_col, F.coalesce(F.col("__spans"), empty)).drop("__spans", key)
+    return joined.withColumn(out_col, F.coalesce(F.col(held), empty)).drop(held, key)
 
 
 def written(spans: Column) -> Column:
@@ -159,14 +185,24 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+def masked_text(text: str, spans: Iterable[tuple[int, int]], mask: str) -> str:
     """``text`` with its spans (by start) replaced; overlapping spans become one mask."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """``masked_text`` as a column; only texts with spans leave the JVM."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts, found):
+        import pandas as pd
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(put.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        return pd.Series([None if t is None else masked_text(t, [(s["start"], s["end"]) for s in own], mask) for t, own in zip(texts, found, strict=True)], dtype=object)
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    some = F.size(spans) > 0
+    return F.when(some, run(F.when(some, text), F.when(some, spans))).otherwise(text)

@@ -97,6 +97,32 @@ def test_query_equals_brute_force(spark):
     assert seen
 
 
+def test_the_ledger_is_a_table_that_grows(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    first = spark.createDataFrame([(1, "password=abcdefghijkl", "b", "r"), (2, "clean", "b", "r")], SCHEMA)
+    assert secrets.extend_ledger(first, path, secrets.RULES[:1]).count() == 2
+    assert secrets.extend_ledger(first, path, secrets.RULES[:1]).count() == 2  # nothing new, nothing appended
+    more = first.unionAll(spark.createDataFrame([(5, KEY, "b", "r")], SCHEMA))
+    whole = secrets.extend_ledger(more, path)
+    assert whole.count() == 5 and secrets.compacted(whole).count() == 3
+    for ledger in (whole, secrets.compacted(whole)):
+        assert {(r.doc_id, secrets_of(r)) for r in secrets.findings(more, ledger).collect()} == {(1, "assign:0:21"), (2, ""), (5, "access:0:18")}
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "__spans", "held_spans", "blob_id", "blob_id_2"]
+    df = spark.createDataFrame([(1, KEY, "a", "b", "c", "d")], names)
+    out = secrets.findings(df, secrets.update_ledger(df))
+    assert out.columns == [*names, "spans"] and secrets_of(out.first()) == "access:0:18" and out.first()["__spans"] == "a"
+
+
+def test_many_spans_are_masked_in_one_pass(spark):
+    text = " ".join(["0123456789abcdef"] * 40_000)
+    df = spark.createDataFrame([(1, text, "", "")], SCHEMA)
+    out = secrets.findings(df, secrets.update_ledger(df)).select(secrets.redact(F.col("text"), F.col("spans"), "*").alias("t"))
+    assert out.first().t == " ".join("*" * 40_000)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert secrets.findings(df, secrets.update_ledger(df)).count() == 0
