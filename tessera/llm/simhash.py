@@ -1,18 +1,20 @@
 """SimHash near-duplicates by vantage-point trees.
 
 Fingerprints are compared, not documents: equal fingerprints collapse first, by map-side
-aggregation, to one row with their smallest id.  A vantage-point tree built on a bounded sample
-deals the fingerprints into shards by Hamming distance.  At each node the closer half and the
-farther half part; a fingerprint whose distance lies so near the parting line that the triangle
-inequality allows a partner on the other side visits that side too.  Of two close fingerprints on
-different sides the closer one visits, so every pair meets in exactly one shard.  A shard runs
-the same tree on, down to small blocks, and reports a spanning forest of the pairs it found, so
-that a dense group costs rows in proportion to its members, not its pairs.  Components of all
-forests give the groups.
+aggregation, to one row with their smallest id.  A vantage-point tree deals the fingerprints into
+shards by Hamming distance.  At each node the closer half and the farther half part; a fingerprint
+whose distance lies so near the parting line that the triangle inequality allows a partner on the
+other side visits that side too.  Of two close fingerprints on different sides the closer one
+visits, so every pair meets in exactly one shard.  The tree grows in rounds of ``LEVELS`` levels:
+each shard of a round gets a tree of its own, built in a task from a sample of those that live
+there, so the sample as a whole grows with the fingerprints and neither it nor the tree is ever in
+one place.  A shard of the last round runs the same search on, down to small blocks, and reports a
+spanning forest of the pairs it found, so that a dense group costs rows in proportion to its
+members, not its pairs.  Components of all forests give the groups.
 
 Null and word-less texts have fingerprint zero, linked like any other.  Repeated rows get the same
-group.  Rows with a null id take part but never name a group, unless all of it is null: then the
-group is null.  An empty table gives an empty result.
+group.  Rows with a null id take part, and join others, but never name a group, unless all of it is
+null: then the group is null.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +36,11 @@ SEED = 42
 BITS = 64
 #: Fingerprints that a shard holds on average, at most.
 SHARD_SIZE = 8192
-#: Fingerprints from which the upper tree is built: its size bounds what the driver reads.
-SAMPLE = 4096
+#: Levels of a tree, and fingerprints from which one is built, on average (16 for each leaf).
+LEVELS = 8
+SAMPLE = 16 << LEVELS
+#: Visits of one shard that travel as one row.
+CHUNK = 8192
 #: Below this many members a shard compares directly.
 BLOCK = 192
 
@@ -79,8 +84,8 @@ def distances(values: np.ndarray, point: np.uint64) -> np.ndarray:
 
 
 class Tree:
-    """The upper tree: node i has vantage point ``points[i]`` and line ``lines[i]``; its closer
-    half (distance at most the line) is node 2i + 1 and its farther half 2i + 2."""
+    """Node i has vantage point ``points[i]`` and line ``lines[i]``; its closer half (distance at most
+    the line) is node 2i + 1 and its farther half 2i + 2.  Leaves are numbered from 0."""
 
     def __init__(self, sample: np.ndarray, depth: int):
         self.depth = depth
@@ -98,9 +103,21 @@ class Tree:
             near = distances(own, self.points[node]) <= self.lines[node]
             held[2 * node + 1], held[2 * node + 2] = own[near], own[~near]
 
-    def deal(self, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into ``values``, shard, whether it lives there) for all visits."""
-        index, node, home = np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+    def saved(self) -> tuple[bytes, bytes]:
+        return self.points.tobytes(), self.lines.tobytes()
+
+    @classmethod
+    def loaded(cls, points: bytes, lines: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.points, tree.lines = np.frombuffer(points, np.uint64), np.frombuffer(lines, np.int64)
+        tree.depth = int(len(tree.points) + 1).bit_length() - 1
+        return tree
+
+    def deal(self, values: np.ndarray, radius: int, resident: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into ``values``, leaf, whether it lives there) for all visits; who is no ``resident`` of
+        the whole tree lives in no leaf."""
+        index, node = np.arange(len(values)), np.zeros(len(values), np.int64)
+        home = np.ones(len(values), bool) if resident is None else resident
         for _ in range(self.depth):
             far = np.bitwise_count(values[index] ^ self.points[node]).astype(np.int64) - self.lines[node]
             lives = np.where(far <= 0, 2 * node + 1, 2 * node + 2)
@@ -110,7 +127,7 @@ class Tree:
             index = np.concatenate((index, index[cross]))
             node = np.concatenate((lives, other[cross]))
             home = np.concatenate((home, np.zeros(int(cross.sum()), bool)))
-        return index, node, home
+        return index, node - (2**self.depth - 1), home
 
 
 def close_pairs(asked: np.ndarray, held: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -141,33 +158,84 @@ def close_pairs(asked: np.ndarray, held: np.ndarray, radius: int) -> Iterator[tu
             todo.append((q[(seen >= inner - radius) & (seen <= outer + radius)], m[side]))
 
 
-def near_links(values: DataFrame, radius: int = 3) -> DataFrame:
-    """``values`` (id: long, fp: distinct longs) to links (a, b) between ids that connect all
-    fingerprints within ``radius`` bits."""
-    spark = values.sparkSession
-    ship(spark)
+VISIT = "shard long, home boolean, fp long"
+
+
+def visit_rows(tree: Tree, shard: int, fps: np.ndarray, home: np.ndarray, radius: int) -> pa.RecordBatch:
+    """The visits of a shard's fingerprints to the leaves of its tree."""
+    index, leaf, stays = tree.deal(fps.view(np.uint64), radius, home)
+    return pa.RecordBatch.from_arrays([pa.array((shard << tree.depth) + leaf), pa.array(stays), pa.array(fps[index])], names=["shard", "home", "fp"])
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Visits in the order of their shards to rows (shard, fps, homes) of at most ``CHUNK`` visits."""
+    for batch in batches:
+        shard, home, fps = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in range(3))
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1) != 0).tolist()
+        spans = [(at, min(at + CHUNK, end)) for begin, end in zip(cuts, [*cuts[1:], len(shard)], strict=False) for at in range(begin, end, CHUNK)]
+        columns = [pa.array(shard[[a for a, _ in spans]], pa.int64()), pa.array([fps[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([home[a:b].tobytes() for a, b in spans], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["shard", "fps", "homes"])
+
+
+def next_round(visits: DataFrame, turn: int, levels: int, share: float, radius: int) -> DataFrame:
+    """Visits of the shards of a round to those of the next: ``share`` of the residents of each shard make
+    its tree, and the shard's visits, in chunks, meet that tree."""
+
+    def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        points, lines = Tree(np.sort(frame["fp"].to_numpy(np.int64)).view(np.uint64), levels).saved()
+        return pd.DataFrame({"shard": [key[0]], "points": [points], "lines": [lines]})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                tree = Tree.loaded(row["points"], row["lines"]) if row["points"] is not None else Tree(np.empty(0, np.uint64), levels)
+                yield visit_rows(tree, row["shard"], np.frombuffer(row["fps"], np.int64), np.frombuffer(row["homes"], bool), radius)
+
+    drawn = visits.filter(F.col("home") & (F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(1_000_003)) < share * 1_000_003))
+    trees = drawn.select("shard", "fp").groupBy("shard").applyInPandas(grow, "shard long, points binary, lines binary")
+    ordered = visits.repartitionByRange("shard", "fp").sortWithinPartitions("shard")
+    chunks = ordered.mapInArrow(in_chunks, "shard long, fps binary, homes binary")
+    return chunks.join(materialize(trees, "vantage-trees"), "shard", "left").mapInArrow(deal, VISIT)
+
+
+def shard_visits(values: DataFrame, radius: int) -> DataFrame:
+    """(shard, home, fp): every fingerprint of ``values`` (distinct fp) once with ``home`` where it lives,
+    and in the other shards where one of its partners may live."""
     count = values.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, count) / SHARD_SIZE))))
-    drawn = values.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if depth else []
-    tree = Tree(np.array([row[0] for row in drawn], np.int64).view(np.uint64), depth)
+    left, done = max(0, int(np.ceil(np.log2(max(1, count) / SHARD_SIZE)))), 0
+    levels = min(left, LEVELS)
+    sample = values.select("fp").orderBy(F.xxhash64("fp")).limit(16 << levels).collect() if levels else []
+    tree = Tree(np.array([row[0] for row in sample], np.int64).view(np.uint64), levels)
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            index, shard, home = tree.deal(frame["fp"].to_numpy(np.int64).view(np.uint64), radius)
-            yield pd.DataFrame({"shard": shard, "home": home, "id": frame["id"].to_numpy()[index], "fp": frame["fp"].to_numpy()[index]})
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            yield visit_rows(tree, 0, fps, np.ones(len(fps), bool), radius)
+
+    visits = values.select("fp").mapInArrow(deal, VISIT)
+    while (left := left - levels) > 0:
+        done, levels = done + levels, min(left, LEVELS)
+        share = (16 << levels) * 2.0**done / count
+        visits = next_round(materialize(visits, "visits"), done, levels, share, radius)
+    return visits
+
+
+def near_links(values: DataFrame, radius: int = 3) -> DataFrame:
+    """``values`` (fp: distinct longs) to links (a, b) between fingerprints that connect all within
+    ``radius`` bits."""
+    ship(values.sparkSession)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        ids, fps = frame["id"].to_numpy(), frame["fp"].to_numpy(np.int64).view(np.uint64)
-        home = np.flatnonzero(frame["home"].to_numpy())
-        found = LocalComponents(len(ids))
+        frame = frame.sort_values("fp", kind="stable")
+        names = frame["fp"].to_numpy(np.int64)
+        fps, home = names.view(np.uint64), np.flatnonzero(frame["home"].to_numpy())
+        found = LocalComponents(len(fps))
         for i, j in close_pairs(fps, fps[home], radius):
             found.link(i, home[j])
         child, root = found.forest()
-        return pd.DataFrame({"a": ids[child], "b": ids[root]})
+        return pd.DataFrame({"a": names[child], "b": names[root]})
 
-    visits = values.select("id", "fp").mapInPandas(deal, "shard long, home boolean, id long, fp long")
-    return visits.groupBy("shard").applyInPandas(search, "a long, b long")
+    return shard_visits(values, radius).groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,11 +243,12 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str
     is reachable by links of at most ``radius`` bits."""
     docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
     values = materialize(docs.groupBy("fp").agg(F.min("id").alias("id")), "fingerprint-values")
-    named = values.filter("id is not null")
-    groups = connected_components(near_links(named, radius))
-    values = values.join(groups, values["id"] == groups["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    values = materialize(values, "fingerprint-groups")
-    return docs.join(values, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    groups = connected_components(near_links(values, radius))
+    named = values.join(groups, values["fp"] == groups["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "fingerprint-groups")
+    least = materialize(named.groupBy("component").agg(F.min("id").alias("component_id")), "fingerprint-names")
+    named = materialize(named.join(least, "component").select("fp", "component_id"), "named-fingerprints")
+    return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hexadecimal(fp) -> object:

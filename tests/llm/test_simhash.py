@@ -77,6 +77,55 @@ def test_many_shards_give_the_same_groups(spark, monkeypatch):
     assert got == brute(docs)
 
 
+def numbers(rng, n):
+    return rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+
+
+def test_deep_trees_grow_in_rounds_and_stay_even(spark, monkeypatch):
+    """Twelve levels in four rounds: shards are even, and all close pairs meet."""
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 8)
+    monkeypatch.setattr(simhash, "LEVELS", 3)
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    rng = np.random.default_rng(3)
+    base = numbers(rng, 10_000)
+    near = base[:2_000] ^ np.array([sum(1 << int(b) for b in rng.choice(63, 3, replace=False)) for _ in range(2_000)], np.int64)
+    both = np.unique(np.concatenate((base, near)))
+    values = spark.createDataFrame([(int(x),) for x in both], "fp long")
+    visits = simhash.shard_visits(values, 3).toPandas()
+    sizes = visits[visits["home"]].groupby("shard").size()
+    assert sizes.sum() == len(both) and visits["shard"].max() >= 2**10 and sizes.max() <= 8 * 8 and len(sizes) >= 2**11 * 0.7
+    links = simhash.near_links(values).collect()
+    local = LocalComponents(len(both))
+    at = {int(x): i for i, x in enumerate(both)}
+    local.link(np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    assert (local.root[[at[int(x)] for x in base[:2_000]]] == local.root[[at[int(x)] for x in near]]).all()
+
+
+def test_a_null_id_joins_two_groups(spark):
+    """The middle document has no id; the outer ones are close to it but not to each other."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)]
+    while len(texts) < 3:  # look for a chain of links by changing words
+        rng = np.random.default_rng(len(texts))
+        for _ in range(20_000):
+            own = texts[-1].split()
+            own[int(rng.integers(400))] = f"x{rng.integers(10**6)}"
+            made = " ".join(own)
+            far = [bin(plain(made) ^ plain(t)).count("1") for t in texts]
+            if far[-1] in (2, 3) and all(f > 3 for f in far[:-1]):
+                texts.append(made)
+                break
+    rows = [(9, texts[0], "", ""), (None, texts[1], "", ""), (4, texts[2], "", "")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {9: 4, None: 4, 4: 4}
+
+
+def test_string_ids(spark):
+    rows = [("b", "same words here", "", ""), ("a", "same words here", "", ""), ("c", "other words there", "", "")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string"))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
 def test_edges(spark):
     rows = [(3, None, "", ""), (1, "", "", ""), (1, "", "", ""), (None, "a b c", "", ""), (7, "a b c", "", ""), (8, "X y z " * 3000, "", ""), (None, "alone here now", "", "")]
     got = sorted(((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()), key=str)
