@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, packing, secrets, similar
-from tessera.llm.shared import materialize, scratch, ship
+from tessera.llm.shared import free_name, materialize, scratch, ship
 
 WORDS, SIMILARITY = 5, 0.8
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,9 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; ``n_chars`` follows where a text changes."""
-    found = secrets.findings(docs, secrets.update_ledger(docs), out_col="__spans_found")
-    changed = F.size("__spans_found") > 0
-    found = found.withColumn("text", secrets.redact(F.col("text"), F.col("__spans_found"), MASK))
+    spans = free_name(docs.columns, "spans")
+    found = secrets.findings(docs, secrets.update_ledger(docs), out_col=spans)
+    changed = F.size(spans) > 0
+    found = found.withColumn("text", secrets.redact(F.col("text"), F.col(spans), MASK))
     n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars).select(*docs.columns)
 
