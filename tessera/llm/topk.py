@@ -1,24 +1,31 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-The components of the vectors are split into m slices, and a vector's score is the sum of its m
-slice scores, as if m nodes each held one slice.  Vectors lie in packs, queries in blocks; every
-block meets every pack once a phase, as a few matrix products.
-
-Phase 1: in each pack, each slice lists the k best vectors by its own score; the listed vectors'
-full scores are gathered, and the k-th best of them over all packs is a lower bound t on the k-th
-best score of the query.  Phase 2: t is handed to all packs; a score of at least t needs a slice
-score of at least t / m somewhere, so vectors below that in every slice drop out unseen.  Phase 3:
-the rest get their full scores, each pack hands on its best k that reach t, and the best k of those are the answer.
-
-Components are floor(scale * x).  Vectors that are null or hold null or non-finite components take
-no part, nor do rows with a null id.  A vec_id that occurs again is one vector, its smallest
-embedding in array order.  Vectors are compared with those of equal length only.  Ties go to the
-smaller id.  Scores are exact; beyond the range of a long they are clamped to it.
+The components of the vectors are split into m slices; a vector's score is the sum of its m slice
+scores, and each slice is a table of its own, so that its score lists come from who holds the slice
+and nothing else.  Vectors lie in packs, queries in blocks; a block meets a slice of a pack as one
+matrix product.
+
+Phase 1 gathers local score lists: each slice of each pack lists its k + 1 best vectors for a query,
+the best of these lists over all packs stay, and the listed vectors' full scores are worked out.
+The k-th best of them is a safe cutoff t for the query: k vectors reach it.  Phase 2 hands t to all
+slices.  A score of at least t needs a slice score of at least t / m somewhere, so each slice sends
+just the entries that reach t / m, as a bit for each query and vector.  Phase 3 joins the entries of
+a block and a pack with their whole vectors and works out the scores of these alone, exactly; all
+other vectors are never scored.  The best k that reach t are the answer.
+
+Components are floor(scale * x), as whole numbers however large x is.  Vectors that are null or hold
+null or non-finite components take no part, nor do rows with a null id.  A vec_id that occurs again
+is one vector, its smallest embedding in array order.  Vectors are compared with those of equal
+length only.  Scores are exact; beyond the range of a long they are clamped to it, and ranked as
+clamped.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +33,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import materialize, parallelism, ship
+from tessera.llm.shared import broadcast_if_small, materialize, parallelism, ship
 
 SLICES = 4
 PACK, BLOCK = 1024, 512
-EXACT = 2.0**53
+#: Sums of products below these are exact as floats and as doubles.
+EXACT_FLOAT, EXACT_DOUBLE = 2.0**24, 2.0**53
 LONG = np.iinfo(np.int64)
+#: Bytes of all query vectors that may be broadcast to the packs; more meet them by exchange.
+SMALL_QUERIES = 64 << 20
+#: Pairs of queries and vectors whose vectors phase 3 gathers at once.
+GATHERED = 1 << 14
 PACKED = "dim int, ids binary, vectors binary"
 
 
@@ -43,7 +55,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def pack_rows(rows: DataFrame, size: int, scale: float) -> DataFrame:
+def pack_rows(rows: DataFrame, size: int) -> DataFrame:
     """Rows (id, vector) as matrices of at most ``size`` rows of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +63,7 @@ def pack_rows(rows: DataFrame, size: int, scale: float) -> DataFrame:
 
         def full(dim: int) -> pa.RecordBatch:
             ids, vectors = held.pop(dim)
-            matrix = np.floor(np.array(vectors, np.float64).reshape(len(ids), dim) * scale)
+            matrix = np.array(vectors, np.float64).reshape(len(ids), dim)
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
 
         for batch in batches:
@@ -68,59 +80,114 @@ def pack_rows(rows: DataFrame, size: int, scale: float) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def slice_scores(queries: np.ndarray, vectors: np.ndarray, slices: int) -> list[np.ndarray]:
-    """The score matrix of each slice of components.  Doubles are exact where no sum can pass
-    2**53; otherwise Python integers are."""
-    dim = queries.shape[1]
-    largest = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(dim, 1)
-    if largest >= EXACT:
-        queries, vectors = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, vectors))
-    cuts = np.linspace(0, dim, slices + 1).astype(int)
-    return [queries[:, a:b] @ vectors[:, a:b].T if b > a else np.zeros((len(queries), len(vectors))) for a, b in zip(cuts, cuts[1:], strict=False)]
+def sliced(packs: DataFrame, slices: int) -> DataFrame:
+    """(dim, slice, pack, n, vectors): the components of each slice of each pack."""
 
-
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k largest of each row, in any order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                vectors = matrix(row["vectors"], row["dim"])
+                cuts = slice_cuts(row["dim"], slices)
+                parts = [np.ascontiguousarray(vectors[:, a:b]).tobytes() for a, b in pairwise(cuts)]
+                m = len(parts)
+                columns = [pa.array([row["dim"]] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array([row["pack"]] * m, pa.int64()), pa.array([len(vectors)] * m, pa.int32()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["dim", "slice", "pack", "n", "vectors"])
+
+    return packs.select("dim", "pack", "vectors").mapInArrow(run, "dim int, slice int, pack long, n int, vectors binary")
+
+
+def slice_cuts(dim: int, slices: int) -> list[int]:
+    return np.linspace(0, dim, slices + 1).astype(int).tolist()
+
+
+def matrix(data: bytes, dim: int, n: int | None = None) -> np.ndarray:
+    held = np.frombuffer(data)
+    return held.reshape(n if n is not None else len(held) // max(dim, 1), dim)
+
+
+def whole_numbers(vectors: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x), as doubles, or as Python integers where doubles cannot hold it."""
+    with np.errstate(over="ignore"):
+        made = np.floor(vectors * scale)
+    if np.isfinite(made).all():
+        return made
+    exact = [[int(y) if math.isfinite(y) else math.floor(Fraction(x) * Fraction(scale)) for x, y in zip(*rows, strict=True)] for rows in zip(vectors.tolist(), made.tolist(), strict=True)]
+    return np.array(exact, object).reshape(made.shape)
+
+
+def integers(values: np.ndarray) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in values.tolist()], object).reshape(values.shape)
+
+
+def exact_type(queries: np.ndarray, vectors: np.ndarray) -> type:
+    """The cheapest type in which every sum of their products is exact."""
+    if queries.dtype == object or vectors.dtype == object:
+        return object
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(queries.shape[1], 1)
+    return np.float32 if largest < EXACT_FLOAT else np.float64 if largest < EXACT_DOUBLE else object
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """All inner products, exact."""
+    kind = exact_type(queries, vectors)
+    if kind is object:
+        queries, vectors = (m if m.dtype == object else integers(m) for m in (queries, vectors))
+        return queries @ vectors.T if queries.shape[1] else np.zeros((len(queries), len(vectors)))
+    return queries.astype(kind) @ vectors.astype(kind).T
+
+
+def pair_scores(queries: np.ndarray, vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The scores of the pairs (i, j) alone, exact, clamped to longs."""
+    kind = exact_type(queries, vectors)
+    out = np.empty(len(i), np.int64)
+    if kind is object:
+        queries, vectors = (m if m.dtype == object else integers(m) for m in (queries, vectors))
+    for at in range(0, len(i), GATHERED):
+        p, q = i[at : at + GATHERED], j[at : at + GATHERED]
+        if kind is object:
+            out[at : at + GATHERED] = [min(max(int(sum(a * b for a, b in zip(queries[x], vectors[y], strict=True))), LONG.min), LONG.max) for x, y in zip(p, q, strict=True)]
+        else:
+            out[at : at + GATHERED] = np.einsum("nd,nd->n", queries[p].astype(kind), vectors[q].astype(kind)).astype(np.int64)
+    return out
+
+
+def listed(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1 of a block and a slice of a pack: (query, vector, slice score rounded to a double) of the k
+    best of each query, by place."""
+    scores = products(queries, vectors)
+    if scores.dtype == object:
+        most = float(np.finfo(np.float64).max)
+        scores = np.array([[max(min(x, most), -most) for x in row] for row in scores.tolist()], np.float64).reshape(scores.shape)
     k = min(k, scores.shape[1])
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.broadcast_to(np.arange(k), scores.shape)
-
-
-def matrices(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-    return own, np.frombuffer(row["queries"]).reshape(len(own), row["dim"]), ids, np.frombuffer(row["vectors"]).reshape(len(ids), row["dim"])
-
-
-def listed(row: dict, k: int, slices: int) -> Iterator[tuple[int, float]]:
-    """Phase 1 of a block and a pack: per query the best k full scores of the listed vectors,
-    rounded down where they are no exact doubles."""
-    own, queries, ids, vectors = matrices(row)
-    parts = slice_scores(queries, vectors, slices)
-    total = sum(parts)
-    lists = np.concatenate([best(p.astype(np.float64), k + 1) for p in parts], axis=1)
-    for i, query in enumerate(own):
-        candidates = np.unique(lists[i])
-        candidates = candidates[ids[candidates] != query]
-        for score in sorted(total[i, candidates], reverse=True)[:k]:
-            yield int(query), float(score) if total.dtype != object else float(np.nextafter(float(score), -np.inf))
-
-
-def resolved(row: dict, k: int, slices: int) -> Iterator[tuple[int, int, int]]:
-    """Phases 2 and 3 of a block and a pack: (query, id, score)."""
-    own, queries, ids, vectors = matrices(row)
-    cutoff = np.frombuffer(row["cutoffs"])
-    parts = slice_scores(queries, vectors, slices)
-    reach = np.zeros((len(own), len(ids)), bool)
-    for p in parts:
-        reach |= (p * slices >= cutoff[:, None]).astype(bool)
-    reach &= ids[None, :] != own[:, None]
-    for i in np.flatnonzero(reach.any(axis=1)):
-        at = np.flatnonzero(reach[i])
-        score = sum(p[i, at] for p in parts)
-        keep = np.asarray(score >= cutoff[i], bool)
-        at, score = at[keep], score[keep]
-        order = np.lexsort((ids[at], -score)) if score.dtype != object else sorted(range(len(at)), key=lambda j: (-score[j], ids[at[j]]))
-        for j in order[:k]:
-            yield int(own[i]), int(ids[at[j]]), min(max(int(score[j]), LONG.min), LONG.max)
+    at = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.tile(np.arange(k), (len(scores), 1))
+    return np.repeat(np.arange(len(queries)), k), at.ravel(), np.take_along_axis(scores, at, 1).ravel().astype(np.float64)
+
+
+def reaching(queries: np.ndarray, vectors: np.ndarray, cutoffs: np.ndarray, slices: int) -> np.ndarray:
+    """Phase 2 of a block and a slice of a pack: whether each slice score reaches its query's cutoff over
+    the number of slices, as packed bits."""
+    scores = products(queries, vectors)
+    if scores.dtype == object:
+        reach = np.array([[x * slices >= int(t) for x in row] for row, t in zip(scores.tolist(), cutoffs.tolist(), strict=True)], bool).reshape(scores.shape)
+    else:
+        # Both sides are exact: a cutoff is a long, and slice scores are at most 2**53.
+        reach = scores >= np.ceil(cutoffs / slices)[:, None] if np.abs(cutoffs).max(initial=0) < EXACT_DOUBLE else scores.astype(np.float64) * slices >= np.nextafter(cutoffs.astype(np.float64), -np.inf)[:, None]
+    return np.packbits(reach)
+
+
+def resolved(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, entries: np.ndarray, cutoffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 3 of a block and a pack: (query id, vector id, score) of the best k that reach the cutoff,
+    scores worked out for the ``entries`` alone."""
+    reach = np.unpackbits(entries, count=len(own) * len(ids)).reshape(len(own), len(ids)).astype(bool)
+    i, j = np.nonzero(reach & (ids[None, :] != own[:, None]))
+    scores = pair_scores(queries, vectors, i, j)
+    keep = scores >= cutoffs[i]
+    i, j, scores = i[keep], j[keep], scores[keep]
+    order = np.lexsort((ids[j], -scores.astype(object) if (scores == LONG.min).any() else -scores, i))
+    i, j, scores = i[order], j[order], scores[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    first = nth < k
+    return own[i[first]], ids[j[first]], scores[first]
 
 
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding", slices: int = SLICES) -> DataFrame:
@@ -129,40 +196,92 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     spark = df.sparkSession
     ship(spark)
     vectors = materialize(usable(df, id_col, vector_col), "vectors")
-    packs = materialize(pack_rows(vectors, PACK, scale), "packs").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(parallelism(spark))).cast("int"))
+    packs = materialize(pack_rows(vectors, PACK).withColumn("pack", F.monotonically_increasing_id()), "packs")
+    holders = materialize(sliced(packs, slices), "slices")
     asked = vectors.filter(is_query)
     blocks = -(-asked.count() // BLOCK)
-    blocks = pack_rows(asked.repartition(max(1, blocks), "id"), BLOCK, scale).withColumnsRenamed({"ids": "query_ids", "vectors": "queries"})
+    blocks = pack_rows(asked.repartition(max(1, blocks), "id"), BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries"})
     blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(parallelism(spark) - 1))).alias("salt")
 
-    def met(given: DataFrame) -> DataFrame:
-        """Every block with every pack of its length; salts spread the packs of one length."""
-        return given.select("*", salts).join(packs, ["dim", "salt"])
+    def met(given: DataFrame, held: DataFrame) -> DataFrame:
+        """Every block with every row of ``held`` of its length: by broadcast, or by exchange, where salts
+        spread the packs of one length."""
+        small = broadcast_if_small(given, SMALL_QUERIES, F.length("queries"))
+        if small is not given:
+            return held.join(small, "dim")
+        salt = F.pmod(F.xxhash64("pack"), F.lit(4 * parallelism(spark))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(4 * parallelism(spark) - 1))).alias("salt")
+        return given.select("*", every).join(held.withColumn("salt", salt), ["dim", "salt"])
+
+    def parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, and the slice of the queries and of the vectors that a row of ``holders`` meets."""
+        own = np.frombuffer(row["query_ids"], np.int64)
+        a, b = slice_cuts(row["dim"], slices)[row["slice"] : row["slice"] + 2]
+        queries = matrix(row["queries"], row["dim"], len(own))[:, a:b]
+        return own, whole_numbers(queries, scale), whole_numbers(matrix(row["vectors"], b - a, row["n"]), scale)
 
     def phase_1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                made = list(listed(row, k, slices))
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64())], names=["query_id", "score"])
+                own, queries, held = parts(row)
+                i, j, scores = listed(queries, held, k + 1)
+                n = len(i)
+                columns = [pa.array(own[i]), pa.array(np.full(n, row["slice"], np.int32)), pa.array(np.full(n, row["pack"], np.int64)), pa.array(j.astype(np.int32)), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "slice", "pack", "place", "score"])
+
+    def score_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                one, other = (whole_numbers(np.array([row[x]], np.float64), scale) for x in ("one", "other"))
+                yield pa.RecordBatch.from_arrays([pa.array([row["query_id"]], pa.int64()), pa.array(pair_scores(one, other, np.zeros(1, int), np.zeros(1, int)))], names=["query_id", "score"])
 
     def phase_2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                made = list(resolved(row, k, slices))
-                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-    lists = met(blocks.select("dim", "block", "query_ids", "queries")).mapInArrow(phase_1, "query_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    lists = lists.withColumn("place", place).filter(F.col("place") <= k).filter(F.col("place") == k).select("query_id", F.col("score").alias("cutoff"))
-    blocks_with = materialize(_with_cutoffs(blocks, lists), "query-cutoffs")
-    found = met(blocks_with).mapInArrow(phase_2, "query_id long, vec_id long, score long")
+                _, queries, held = parts(row)
+                bits = reaching(queries, held, np.frombuffer(row["cutoffs"], np.int64), slices)
+                if bits.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["pack"]], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "pack", "bits"])
+
+    def phase_3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, ids = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                queries, held = (whole_numbers(matrix(row[x], row["dim"], n), scale) for x, n in (("queries", len(own)), ("vectors", len(ids))))
+                entries = np.bitwise_or.reduce([np.frombuffer(bits, np.uint8) for bits in row["entries"]])
+                made = resolved(own, queries, ids, held, entries, np.frombuffer(row["cutoffs"], np.int64), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["query_id", "vec_id", "score"])
+
+    # Phase 1: the best of each slice's lists, their full scores, and the k-th best of these.
+    lists = met(blocks, holders).mapInArrow(phase_1, "query_id long, slice int, pack long, place int, score double")
+    place = F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(F.desc("score"), "pack", "place"))
+    lists = materialize(lists.withColumn("nth", place).filter(F.col("nth") <= k + 1).select("query_id", "pack", "place").distinct(), "score-lists")
+    spots = packs.select("pack", "ids").mapInArrow(_spots, "pack long, place int, vec_id long")
+    named = lists.join(spots, ["pack", "place"]).filter(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id")
+    both = named.join(vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("one")), "query_id").join(vectors.select(F.col("id").alias("vec_id"), F.col("vector").alias("other")), "vec_id")
+    scored = both.select("query_id", "one", "other").mapInArrow(score_listed, "query_id long, score long")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    cutoffs = scored.withColumn("nth", nth).filter(F.col("nth") <= k).filter(F.col("nth") == k).select("query_id", F.col("score").alias("cutoff"))
+    told = materialize(_with_cutoffs(blocks, cutoffs), "query-cutoffs")
+    # Phase 2: entries that reach the cutoff's share.  Phase 3: their scores.
+    sent = materialize(met(told, holders).mapInArrow(phase_2, "block long, pack long, bits binary"), "entries")
+    sent = sent.groupBy("block", "pack").agg(F.collect_list("bits").alias("entries"))  # one for each slice
+    found = sent.join(told, "block").join(packs.drop("dim"), "pack").mapInArrow(phase_3, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The id at each place of a pack."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["pack"], np.int64)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["pack", "place", "vec_id"])
+
+
 def _with_cutoffs(blocks: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``blocks`` with ``cutoffs``: a double per query, in the order of its ids."""
+    """``blocks`` with ``cutoffs``: a long per query, in the order of its ids; the least one where fewer than
+    k vectors are listed, which are all there are."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,10 +292,10 @@ def _with_cutoffs(blocks: DataFrame, cutoffs: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(r["values"], np.float64).tobytes() for r in rows], pa.binary())], names=["block", "cutoffs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(r["values"], np.int64).tobytes() for r in rows], pa.binary())], names=["block", "cutoffs"])
 
     spots = blocks.select("query_ids", "block").mapInArrow(spread, "query_id long, block long, nth long")
-    told = spots.join(cutoffs, "query_id", "left").select("block", "nth", F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff"))
+    told = spots.join(cutoffs, "query_id", "left").select("block", "nth", F.coalesce("cutoff", F.lit(LONG.min).cast("long")).alias("cutoff"))
     told = told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("nth", "cutoff"))).alias("x"))  # a block's queries
     told = told.select("block", F.transform("x", lambda s: s["cutoff"]).alias("values")).mapInArrow(gather, "block long, cutoffs binary")
     return blocks.join(told, "block")

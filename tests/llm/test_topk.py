@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 from conftest import SMALL, same_rows
@@ -10,7 +11,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, score string, rank str
 
 
 def brute(vectors, k, scale=1024):
-    whole = {i: [math.floor(scale * float(x)) for x in v] for i, v in vectors.items()}
+    whole = {i: [math.floor(scale * Fraction(x)) for x in v] for i, v in vectors.items()}
     out = set()
     for q in whole:
         if q % 100 == 0:
@@ -53,3 +54,43 @@ def test_large_components_stay_exact(spark):
     vectors = {i: [float(np.float32(1e6 + i)), float(np.float32(-3e2 * i)), 1.0] for i in range(120)}
     df = spark.createDataFrame([(i, v, 1, "", "") for i, v in vectors.items()], SCHEMA)
     assert got(topk.exact_top_k(df, F.col("id") % 100 == 0, 5)) == brute(vectors, 5)
+
+
+def test_extreme_components(spark):
+    """Products beyond doubles, and scores beyond longs, which are clamped."""
+    vectors = {0: [1e306, 1.0], 1: [1e306, -2.0], 2: [-1e306, 3.0], 3: [1e-3, 4.0], 4: [5e-324, -1.5], 100: [-1e308, 0.5], 5: [1e30, 1e30]}
+    df = spark.createDataFrame([(i, v, 1, "", "") for i, v in vectors.items()], SCHEMA.replace("float", "double"))
+    limit = 2**63
+    want = set()
+    for q, n, i, score in brute(vectors, 10):
+        want.add((q, i, min(max(score, -limit), limit - 1)))
+    made = got(topk.exact_top_k(df, F.col("id") % 100 == 0, 10))
+    assert {(q, i, s) for q, _, i, s in made} == want
+    for q in (0, 100):
+        ranked = [(-s, i) for _, n, i, s in sorted(r for r in made if r[0] == q)]
+        assert ranked == sorted(ranked)
+
+
+def test_the_cutoff_saves_scores(spark, monkeypatch, tmp_path):
+    """Clustered vectors: phase 3 works out the scores of a small part of all pairs."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32))
+    vectors = centres[rng.integers(40, size=3000)] + 0.1 * rng.normal(size=(3000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "", "") for i, v in enumerate(vectors)], SCHEMA.replace("float", "double"))
+    held = {}
+    keep = topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda frame, tag, **more: held.setdefault(tag, keep(frame, tag, **more)))
+    made = got(topk.exact_top_k(df, F.col("id") % 100 == 0))
+    assert made == brute(dict(enumerate(vectors.tolist())), 10)
+    entries = sum(int(np.unpackbits(np.frombuffer(r.bits, np.uint8)).sum()) for r in held["entries"].collect())
+    assert 0 < entries < 0.5 * 30 * 3000  # of 90,000 pairs, slices counted apart
+
+
+def test_queries_that_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SMALL_QUERIES", 0)
+    monkeypatch.setattr(topk, "PACK", 30)
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(400)}
+    df = spark.createDataFrame([(i, v, 0, "", "") for i, v in vectors.items()], SCHEMA.replace("float", "double"))
+    assert got(topk.exact_top_k(df, F.col("id") % 100 == 0)) == brute(vectors, 10)
