@@ -12,6 +12,12 @@ hash of the id, whole texts.  Prediction reads the text alone.
 
 A text that is null or has no letter gets ``und`` with score 0, as do all texts if there is no
 language to learn from.  Repeated rows are predicted alike.
+
+``accepts`` is the decision of a filter: a text is rejected if it has no letter, or if no learned
+language explains it.  For that, a model without a language, in which all n-grams are as likely,
+competes with the chosen set: it wins if its log-likelihood is larger by the penalty and by
+``MARGIN`` for each word, as for scripts and languages that were never learned.  If there is no
+language to learn from, every text is accepted.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ SMOOTHING = 0.5
 ROUNDS = 12
 #: Weight of the penalty for another language, in units of half the logarithm of the words.
 PENALTY = 4.0
+#: Log-likelihood a word by which the model without a language must win.
+MARGIN = 2.0
 
 
 def fold(doc_id: Column) -> Column:
@@ -150,14 +158,20 @@ class Identifier:
         # Each order reads the whole word, so their mean is the scale of one reading of it.
         self.weights = np.zeros((BUCKETS + 1, len(model.languages)), np.float32)
         self.weights[:BUCKETS] = model.weights.T / len(ORDERS)
+        self.plain = -np.log(BUCKETS) / len(ORDERS)  # of an n-gram without a language
 
     def word_likelihoods(self, text: str) -> np.ndarray:
         """Log-likelihood of every word of ``text`` in every language."""
-        found = []
+        return self.read(text)[0]
+
+    def read(self, text: str) -> tuple[np.ndarray, int]:
+        """``word_likelihoods``, and how many n-grams were read."""
+        found, count = [], 0
         for part in blocks_of(text):
             buckets, starts = grams(part)
             if not len(starts):
                 continue
+            count += int((buckets < BUCKETS).sum())
             total = self.weights[buckets[0]]
             for row in buckets[1:]:
                 total += self.weights[row]
@@ -165,7 +179,7 @@ class Identifier:
             total[blank + 1] += total[blank]
             total[blank] = 0
             found.append(np.add.reduceat(total, starts, axis=0))
-        return np.concatenate(found) if found else np.empty((0, len(self.languages)), np.float32)
+        return (np.concatenate(found) if found else np.empty((0, len(self.languages)), np.float32)), count
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """(language, score, shares of the chosen languages)."""
@@ -174,6 +188,21 @@ class Identifier:
         logs = self.word_likelihoods(text)
         if not len(logs):
             return UNKNOWN, 0.0, {}
+        return self.mixture(logs)[:3]
+
+    def accepts(self, text: str | None) -> bool:
+        """Whether a filter by language keeps the text."""
+        if not self.languages:
+            return True
+        logs, count = self.read(text or "")
+        if not len(logs):
+            return False
+        explained = self.mixture(logs)[3] + float(logs.max(axis=1).sum())
+        return count * self.plain - explained <= PENALTY * 0.5 * np.log(1 + len(logs)) + MARGIN * len(logs)
+
+    def mixture(self, logs: np.ndarray) -> tuple[str, float, dict[str, float], float]:
+        """(language, score, shares of the chosen languages, their log-likelihood less that of each word's
+        best language)."""
         likelihood = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -50.0)).astype(np.float64)
         words, k = likelihood.shape
         share, _ = proportions(likelihood, np.full(k, 1 / k))
@@ -191,7 +220,7 @@ class Identifier:
         lead = int(np.argmax(best_share))
         # The score is what the full mixture gives the winner: a lone language is not certain.
         score = float(min(1.0, max(0.0, share[chosen[lead]])))
-        return self.languages[chosen[lead]], score, {self.languages[j]: float(s) for j, s in zip(chosen, best_share, strict=True)}
+        return self.languages[chosen[lead]], score, {self.languages[j]: float(s) for j, s in zip(chosen, best_share, strict=True)}, best
 
 
 def predictions(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,17 +238,17 @@ def predictions(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return source.mapInArrow(run, out)
 
 
-def predicted_language(model: Model, text: Column) -> Column:
-    """The predicted language of ``text`` as a column, for filters that keep a row's other columns."""
+def accepted(model: Model, text: Column) -> Column:
+    """Whether a filter by language keeps ``text``, as a column beside a row's other columns."""
 
-    @F.pandas_udf(T.StringType())
-    def predict(texts):
+    @F.pandas_udf(T.BooleanType())
+    def decide(texts):
         import pandas as pd
 
         own = _identifier(model)
-        return pd.Series([own.predict(x)[0] for x in texts])
+        return pd.Series([own.accepts(x) for x in texts], dtype=bool)
 
-    return predict(text.cast("string"))
+    return decide(text.cast("string"))
 
 
 _KEPT: dict[int, Identifier] = {}

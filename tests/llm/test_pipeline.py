@@ -140,7 +140,7 @@ def test_deduplicated_edges(spark):
 def test_stages(spark):
     docs = copies(6, 3)
     key = "password=abcdefghijkl0123"
-    rows = [(i, t, "en", "s", len(t)) for i, t in docs] + [(100, "12 34 !", "en", "s", 7), (101, None, "en", "s", 0), (102, f"here is a {key} in a text", "en", "s", 9)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in docs] + [(100, "12 34 !", "en", "s", 7), (101, None, "en", "s", 0), (103, "Распознавание неизвестного предложения продолжается следующими длинными словами", None, "s", 79), (102, f"here is a {key} in a text", "en", "s", 9)]
     frame = spark.createDataFrame(rows, SCHEMA)
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "secrets", "packing"]
