@@ -21,13 +21,11 @@ MASK = "[SECRET]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no letters at all) go; all stay if no language can
-    be learned."""
+    """Documents that no learned language explains go: those without letters, and those that a model
+    without a language explains better than the best set of languages (see ``langid.accepts``).  All
+    stay if no language can be learned."""
     ship(spark)
-    model = langid.train(docs)
-    if not model.languages:
-        return docs
-    return docs.filter(langid.predicted_language(model, F.col("text")) != langid.UNKNOWN)
+    return docs.filter(langid.accepted(langid.train(docs), F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
