@@ -1,29 +1,32 @@
-"""Near-duplicate documents at a given similarity, by wide SimHash sketches.
-
-Three bits of a 64-bit fingerprint link only texts that are nearly equal.  For a similarity of 0.8
-of shingle sets, about 15 % of the bits differ, and up to 19 % for texts of few shingles, so this
-operator takes sketches of 256 bits over five-word shingles and a wide radius, which follows from the
-numbers of shingles of the two texts, and then decides exactly:
-
-1. Texts become sketches; equal sketches collapse to a class with its smallest document.
-2. Classes are dealt into blocks of a bounded size: first by the number of their shingles, in steps
-   of 1 / ``similarity``, since sets that similar differ by one step at most, then by the leaves of a
-   vantage-point tree.  Blocks of one step or of neighbouring steps meet, unless their ranges of
-   distance from some vantage point lie farther apart than the radius.  (At this radius few do:
-   distances between unrelated sketches all lie near half the bits, so the triangle inequality parts
-   little, and the meetings within a step grow with the square of its classes.  They cost about 3 ns a
-   pair, and nothing but the links leaves a task.)
-3. A meeting hands on ``FORESTS`` successive minimum spanning forests of its links by distance, so a
-   dense group costs rows in proportion to its members.  It also names its open classes, the ends of
-   links that it held back.
-4. The links of the forests are verified: the Jaccard similarity of the two texts' shingle sets
-   must reach ``similarity``.
-5. Links that were held back and whose ends step 4 left in different components are looked at again:
-   open classes go to tasks with their shingles, in chunks of a bounded size, and every such link is
-   verified there.  Components of all verified links are the groups, so none is lost to the forests.
-
-Null texts and texts without words have one sketch and form one group.  Repeated rows are in the
-same group.  Null ids take part.  An empty table gives an empty result.
+"""Near-duplicate documents at a given similarity, by SimHash sketches and banded minima.
+
+Three bits of a 64-bit fingerprint link only texts that are nearly equal.  At a similarity of 0.8 of
+the shingle sets, about 15 % of the bits differ, and distances between unrelated texts all lie near
+half the bits: so wide a radius is more than the triangle inequality can prune, and trees would look
+at all pairs.  Trees therefore find what is nearly equal, banded minima of the shingle hashes find
+the rest, sketches of 256 bits sort the candidates, and every link is decided exactly:
+
+1. Texts with equal sets of word shingles collapse to a class.  A class has a sketch (majority bits),
+   whose first 64 bits are its fingerprint, and ``bands``: each a hash of the minima of ``ROWS``
+   orderings of its shingles, of which sets as similar as asked share at least one, but for a share
+   of ``MISS``.
+2. One link a class is verified first: to its partner in the vantage-point trees of operator 5, or
+   else to the smallest class with which it shares most bands.  Verified means that the Jaccard
+   similarity of the two shingle sets reaches ``similarity``.  That already joins most of any large
+   group of copies, at one link a member.
+3. Groups of classes with a band in common (equal groups only once) that still hold several
+   components meet: pairs in different components whose sketches lie within their radius are links
+   to verify, if the group is small; of larger groups, the ends of such pairs are open classes.  A
+   group of any size is met in blocks of a bounded size.
+4. Open classes go to tasks with their shingles, in chunks of a bounded size, and every link between
+   different components is verified there.  Components of all verified links are the groups.
+
+So the work follows the classes that share a band, not the square of all.  The radius of a pair of
+sketches follows from its two numbers of shingles, so that another ``MISS`` of the pairs that similar
+lie beyond it.
+
+Null texts and texts without words form one class.  Repeated rows are in the same group.  Null ids
+take part.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,15 +45,15 @@ from pyspark.sql import types as T
 
 from tessera.llm.components import LocalComponents, connected_components
 from tessera.llm.shared import broadcast_if_small, materialize, ship
-from tessera.llm.simhash import SAMPLE, SEED, Tree
+from tessera.llm.simhash import SEED, near_links
 
 WORDS_64 = 4
-#: Classes of a block, on average.
+#: Orderings whose minima make a band.
+ROWS = 4
+#: Classes of a block, on average, of a group too large to be compared at once.
 BLOCK = 6144
-#: Vantage points whose distance ranges a block keeps.
-VANTAGE = 8
-#: Pairs farther apart than their radius are never verified: of pairs at the similarity asked for, it
-#: leaves out this share, for all bits and once more for the first ones, which are looked at first.
+#: Of pairs at the similarity asked for, the share that no band finds; also the share that lies beyond
+#: the radius, for all bits and once more for the first ones, which are looked at first.
 MISS = 1e-9
 FIRST_WORDS = 2
 #: Up to so many shingles, a pair's radius is that of its two numbers; beyond, the share of differing
@@ -58,9 +61,8 @@ FIRST_WORDS = 2
 FEW = 64
 #: Rows of ids and versions (about 40 bytes each) that may be broadcast.
 SMALL_ROWS = 500_000
-#: Links that a meeting holds before it reduces them to forests.
-HELD_LINKS = 1 << 20
-FORESTS = 8
+#: Classes of a group whose close pairs are handed on one by one.
+TINY = 8
 #: Shingles (8 bytes each) of a chunk of open classes; two chunks meet in a task.
 CHUNK_SHINGLES = 2_000_000
 #: Shingle sets that verification keeps at hand.
@@ -105,22 +107,48 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.astype("<u8").tobytes()
 
 
-def sketches(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, version, sketch, n) per row; version is a hash of the text, which with the id names a row,
-    and n the number of its distinct shingles."""
+def band_count(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS))) if similarity < 1 else 1
+
+
+def bands(hashes: np.ndarray, count: int) -> np.ndarray:
+    """A key for each band: a hash of its number and of the least distinct shingles in ``ROWS`` orderings."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    # An ordering multiplies the hashes, which are random already, by an odd number.
+    factors = mixed(np.arange(count * ROWS, dtype=np.uint64), 1) | np.uint64(1)
+    least = np.full(count * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (hashes[at : at + 512, None] * factors).min(axis=0), out=least)
+    key = np.arange(1, count + 1, dtype=np.uint64)
+    for row in least.reshape(count, ROWS).T:
+        key = mixed(key ^ row, 1)
+    return key.view(np.int64)
+
+
+SKETCHED = [
+    T.StructField("version", T.LongType(), False), T.StructField("shingles", T.BinaryType(), False), T.StructField("n", T.LongType(), False),
+    T.StructField("fp", T.LongType(), False), T.StructField("sketch", T.BinaryType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False),
+]
+
+
+def sketches(df: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, version, shingles, n, fp, sketch, bands) per row: version is a hash of the text, which with
+    the id names a row, shingles a hash of the set of its n distinct shingles, fp the sketch's first bits."""
     ship(df.sparkSession)
-    text = F.col(text_col).cast("string")
+    text, count = F.col(text_col).cast("string"), band_count(similarity)
     source = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    out = T.StructType([source.schema["id"], T.StructField("version", T.LongType(), False), T.StructField("sketch", T.BinaryType(), False), T.StructField("n", T.LongType(), False)])
+    out = T.StructType([source.schema["id"], *SKETCHED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, sizes = [], []
-            for text in batch.column(2):
-                hashes = np.unique(shingle_hashes(text.as_py(), words))
-                made.append(sketch(hashes))
-                sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array(sizes, pa.int64())], names=out.names)
+            every = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column(2)]
+            made = [sketch(hashes) for hashes in every]
+            columns = [
+                pa.array([xxhash.xxh3_128_digest(hashes.tobytes()) for hashes in every], pa.binary()), pa.array([len(hashes) for hashes in every], pa.int64()),
+                pa.array(matrix(made)[:, 0].view(np.int64) if made else [], pa.int64()), pa.array(made, pa.binary()), pa.array([bands(hashes, count) for hashes in every], pa.list_(pa.field("element", pa.int64(), False))),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=out.names)
 
     return source.mapInArrow(run, out)
 
@@ -129,38 +157,6 @@ def matrix(sketched: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketched), "<u8").reshape(-1, WORDS_64)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which of the links (a, b) of lengths ``far`` form a minimum spanning forest."""
-    found, kept = LocalComponents(n), []
-    for length in np.unique(far):
-        todo = np.flatnonzero(far == length)
-        while len(todo):
-            ra, rb = found.root[a[todo]], found.root[b[todo]]
-            apart = ra != rb
-            todo, ra, rb = todo[apart], ra[apart], rb[apart]
-            if not len(todo):
-                break
-            # Each component takes its first link to a smaller one: such links close no circle.
-            _, first = np.unique(np.maximum(ra, rb), return_index=True)
-            pick = todo[first]
-            kept.append(pick)
-            found.link(a[pick], b[pick])
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
-
-
-def forests(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, count: int = FORESTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The links of ``count`` spanning forests, each of what the ones before left."""
-    left, kept = np.arange(len(a)), []
-    for _ in range(count):
-        if not len(left):
-            break
-        pick = forest(n, a[left], b[left], far[left])
-        kept.append(left[pick])
-        left = np.delete(left, pick)
-    pick = np.concatenate(kept) if kept else np.empty(0, np.int64)
-    return a[pick], b[pick], far[pick]
-
-
 def differing(shared: int, more: int, other: int) -> float:
     """The probability that a bit differs between two texts with so many shingles in common and on
     either side alone: each shingle sets it or not, at even odds, and the strict majority decides."""
@@ -229,96 +225,109 @@ def close(one: np.ndarray, n_one: np.ndarray, other: np.ndarray, n_other: np.nda
             yield p[near] + at, q[near], far[near]
 
 
-def meet(ids_a: np.ndarray, one: np.ndarray, n_one: np.ndarray, ids_b: np.ndarray, other: np.ndarray, n_other: np.ndarray, same: bool, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between the classes of two blocks, reduced to forests, and which classes (those of the
-    first block, then those of the second) have links that the forests leave out."""
-    shift = 0 if same else len(ids_a)
-    n = len(ids_a) + (0 if same else len(ids_b))
-    every = ids_a if same else np.concatenate((ids_a, ids_b))
-    left = np.zeros(n, bool)
-
-    def reduced(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        links = tuple(map(np.concatenate, zip(*parts, strict=True)))
-        kept = forests(n, *links)
-        left[np.bincount(np.concatenate(links[:2]), minlength=n) > np.bincount(np.concatenate(kept[:2]), minlength=n)] = True
-        return kept
-
-    held, size = [(np.empty(0, np.int64),) * 3], 0
-    for i, j, far in close(one, n_one, other, n_other, same, radius):
-        held.append((i, j + shift, far))
-        size += len(i)
-        if size > HELD_LINKS:
-            held = [reduced(held)]
-            size = len(held[0][0])
-    a, b, _ = reduced(held)
-    return every[a], every[b], left
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two arrays of distinct hashes."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
 
 
-def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(meeting, held_back, a, b): class ids whose sketches are close, reduced to forests; where
-    ``held_back`` is true, ``a`` is an open class and ``b`` the block of the meeting (0, 1) it is in."""
-    spark = classes.sparkSession
-    ship(spark)
+def band_groups(classes: DataFrame) -> DataFrame:
+    """(key, size, times, class): the members of every group of two or more classes that share a band;
+    ``times`` is how many bands the same classes share."""
+    keys = classes.select("class", F.explode("bands").alias("key"))
+    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("members")).filter("size > 1")
+    groups = groups.groupBy("size", "members").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "size", "times")
+    return keys.join(broadcast_if_small(materialize(groups, "band-groups"), SMALL_ROWS), "key").select("key", "size", "times", "class")
+
+
+def first_links(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): one link for each class that may have one, to its partner in the trees or to the least class
+    with which it shares most bands."""
+    leads = materialize(classes.filter("n > 0").groupBy("fp").agg(F.min("class").alias("lead")), "fingerprint-leads")
+    near = materialize(near_links(leads.select("fp")), "fingerprint-links")
+    one, other = leads.select(F.col("fp").alias("a"), F.col("lead").alias("class")), leads.select(F.col("fp").alias("b"), F.col("lead").alias("near"))
+    treed = near.join(one, "a").join(other, "b").select("class", "near")
+    treed = treed.unionAll(classes.join(leads, "fp").filter("n > 0 and class <> lead").select("class", F.col("lead").alias("near")))
+    least = materialize(members.groupBy("key").agg(F.min("class").alias("least")), "band-leads")
+    shared = members.join(least, "key").filter("class <> least").groupBy("class", "least").agg(F.sum("times").alias("times"))
+    most = shared.groupBy("class").agg(F.max_by("least", F.struct("times", -F.col("least"))).alias("least"))
+    both = most.join(treed, "class", "full_outer").select("class", F.coalesce("near", "least").alias("other"))
+    return both.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
+def with_components(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (class, ...) with ``component``."""
+    return rows.join(groups, rows["class"] == groups["node"], "left").select(*rows.columns, F.coalesce("component", "class").alias("component"))
+
+
+def of_several(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows of groups that hold several components."""
+    several = rows.groupBy(*by).agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    return rows.join(materialize(several.select(*by), "of-several"), [*by], "left_semi")
+
+
+MEETING = ("key", "one", "other")
+FOUND = "key long, one int, other int, second boolean, a long, b long"
+
+
+def meetings(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members with their sketches, by meeting (key, one, other): a group as it is, or two of its blocks,
+    where ``second`` tells the members of the second."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("class", "key"), blocks).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "partner").alias("one"), F.greatest("block", "partner").alias("other"), (F.col("block") > F.col("partner")).alias("second"), "size", "class", "component")
+    return rows.join(classes.select("class", "n", "sketch"), "class")
+
+
+def close_links(met: DataFrame, similarity: float) -> DataFrame:
+    """(key, one, other, second, a, b): links between components whose sketches are close, where b is not
+    null; otherwise ``a`` is an open class of the meeting."""
     radius = radii(similarity)
-    # Sets of a similarity s differ in size by a factor of s at most, so by one step.  Steps are
-    # computed from whole numbers, a little wide, so that rounding parts no two that may link.
-    step = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / (-np.log(similarity) + 1e-9)).cast("int")
-    stepped = classes.withColumn("step", step)
-    # A row per step: the logarithm of the largest text bounds their number.
-    counts = {row["step"]: row["count"] for row in stepped.groupBy("step").count().collect()}
-    levels = {k: max(0, int(np.ceil(np.log2(n / BLOCK)))) for k, n in counts.items()}
-    depth = max(levels.values(), default=0)
-    drawn = [row[0] for row in classes.select("sketch").orderBy(F.xxhash64("sketch")).limit(SAMPLE).collect()]
-    sample = matrix(drawn) if drawn else np.zeros((0, WORDS_64), np.uint64)
-    tree = Tree(sample[:, 0].copy(), depth)
-    points = sample[:VANTAGE].copy()
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = matrix(frame["sketch"].tolist())[:, 0].copy()
-            index, node, home = tree.deal(values, 0)
-            leaf = np.empty(len(values), np.int64)
-            leaf[index[home]] = node[home]
-            # A step with fewer classes uses an upper level of the tree.
-            up = depth - np.array([levels[k] for k in frame["step"]], np.int64)
-            yield frame.assign(part=((leaf + 1) >> up) - 1)
-
-    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        values = matrix(frame["sketch"].tolist())
-        reach = np.bitwise_count(values[:, None, :] ^ points[None, :, :]).sum(axis=2, dtype=np.int64)
-        return pd.DataFrame({"step": [key[0]], "part": [key[1]], "ids": [frame["class"].to_numpy(np.int64).tobytes()], "n": [frame["n"].to_numpy(np.int64).tobytes()], "sketches": [values.tobytes()], "low": [reach.min(axis=0).tolist()], "high": [reach.max(axis=0).tolist()]})
-
-    dealt = stepped.select("class", "sketch", "n", "step").mapInPandas(deal, "class long, sketch binary, n long, step int, part long")
-    blocks = dealt.groupBy("step", "part").applyInPandas(pack, "step int, part long, ids binary, n binary, sketches binary, low array<long>, high array<long>")
-    blocks = materialize(blocks, "sketch-blocks")
-    # Names and ranges only; a block asks for those of its own step (each two once) and of the next.
-    ranges = blocks.select("step", "part", "low", "high")
-    partner = ranges.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    most = int(radius[0].max())
-    apart = F.exists(F.arrays_zip("low", "high", "low_b", "high_b"), lambda x: (x["low"] > x["high_b"] + most) | (x["low_b"] > x["high"] + most))
-    pairs = ranges.withColumn("step_b", F.explode(F.array("step", F.col("step") + 1))).join(partner, "step_b")
-    pairs = pairs.filter((F.col("step_b") > F.col("step")) | (F.col("part_b") >= F.col("part"))).filter(~apart).select(F.monotonically_increasing_id().alias("meeting"), "step", "part", "step_b", "part_b")
-    one = blocks.select("step", "part", F.col("ids").alias("ids_a"), F.col("n").alias("n_a"), F.col("sketches").alias("one"))
-    other = blocks.select(F.col("step").alias("step_b"), F.col("part").alias("part_b"), F.col("ids").alias("ids_b"), F.col("n").alias("n_b"), F.col("sketches").alias("other"))
-    met = materialize(pairs, "sketch-meetings").join(one, ["step", "part"]).join(other, ["step_b", "part_b"])
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                same = row.step == row.step_b and row.part == row.part_b
-                ids_a, ids_b = np.frombuffer(row.ids_a, np.int64), np.frombuffer(row.ids_b, np.int64)
-                a, b, left = meet(ids_a, matrix([row.one]), np.frombuffer(row.n_a, np.int64), ids_b, matrix([row.other]), np.frombuffer(row.n_b, np.int64), same, radius)
-                yield pd.DataFrame({"meeting": row.meeting, "held_back": False, "a": a, "b": b})
-                side = np.flatnonzero(left) >= len(ids_a)
-                yield pd.DataFrame({"meeting": row.meeting, "held_back": True, "a": (ids_a if same else np.concatenate((ids_a, ids_b)))[left], "b": side.astype(np.int64)})
-
-    return met.mapInPandas(search, "meeting long, held_back boolean, a long, b long")
+    ship(met.sparkSession)
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, one, other, names, component, n = (rows[x].to_numpy() for x in (*MEETING, "class", "component", "n"))
+        second, values = rows["second"].to_numpy(zero_copy_only=False), matrix(rows["sketch"].to_pylist())
+        begins = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(one) != 0) | (np.diff(other) != 0)])
+        sizes = np.diff(np.r_[begins, len(key)])
+        group, few, tiny = np.repeat(np.arange(len(begins)), sizes), np.minimum(n, FEW + 1), np.repeat(sizes <= TINY, sizes)
+        links = []
+        for apart in range(1, min(TINY, len(key))):  # members of small groups, by their distance in the table
+            i = np.flatnonzero((group[:-apart] == group[apart:]) & tiny[:-apart] & (component[:-apart] != component[apart:]))
+            far = np.bitwise_count(values[i] ^ values[i + apart]).sum(axis=1, dtype=np.int64)
+            i = i[far <= radius[0][few[i], few[i + apart]]]
+            links.append(np.stack((names[i], names[i + apart])))
+        a, b = np.concatenate(links, axis=1) if links else np.empty((2, 0), np.int64)
+        nothing = pa.array(np.zeros(len(a), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), nothing, nothing, pa.array(np.zeros(len(a), bool)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=names_found)
+        for k in np.flatnonzero(sizes > TINY).tolist():
+            at = slice(begins[k], begins[k] + sizes[k])
+            open_ = np.zeros(sizes[k], bool)
+            for i, j in paired(second[at], component[at], values[at], n[at], radius):
+                open_[i] = open_[j] = True
+            own = np.flatnonzero(open_) + begins[k]
+            columns = [pa.array(x[own]) for x in (key, one, other, second, names)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(own), pa.int64())], names=names_found)
+
+    names_found = ["key", "one", "other", "second", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            # The last meeting may go on in the next batch.
+            last = [held[x].to_numpy() for x in MEETING]
+            same = np.logical_and.reduce([x == x[-1] for x in last]) if len(held) else np.empty(0, bool)
+            whole = int(np.argmax(same)) if len(held) else 0
+            if whole:
+                yield from found(held.slice(0, whole).combine_chunks())
+                held = held.slice(whole).combine_chunks()
+        if held is not None and len(held):
+            yield from found(held)
+
+    ordered = met.select(*MEETING, "second", "class", "component", "n", "sketch").repartition(*MEETING).sortWithinPartitions(*MEETING, "second", "class")
+    return ordered.mapInArrow(run, FOUND)
 
 
 def verified(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -345,20 +354,22 @@ def verified(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return links.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def paired(frame: pd.DataFrame, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in ``frame`` (sketch, n, second, component) of close classes in different components: of the
-    first and the second block or chunk, or of the first alone if it meets itself."""
-    second, component = frame["second"].to_numpy(bool), frame["component"].to_numpy(np.int64)
+def paired(second: np.ndarray, component: np.ndarray, values: np.ndarray, n: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of close classes in different components: of the first and the ``second`` block or chunk, or
+    of the first alone if it meets itself."""
     one, other = np.flatnonzero(~second), np.flatnonzero(second)
     same = not len(other)
     other = one if same else other
-    values, n = matrix(frame["sketch"].tolist()), frame["n"].to_numpy(np.int64)
     for i, j, _ in close(values[one], n[one], values[other], n[other], same, radius):
         a, b = one[i], other[j]
         apart = component[a] != component[b]
         yield a[apart], b[apart]
 
 
+def paired_rows(frame: pd.DataFrame, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return paired(frame["second"].to_numpy(bool), frame["component"].to_numpy(np.int64), matrix(frame["sketch"].tolist()), frame["n"].to_numpy(np.int64), radius)
+
+
 def chunked(frame: pd.DataFrame, radius: np.ndarray) -> pd.DataFrame:
     """The open classes of a meeting that still have a link to another component, once for each pair of
     chunks with such links that they belong to."""
@@ -369,12 +380,12 @@ def chunked(frame: pd.DataFrame, radius: np.ndarray) -> pd.DataFrame:
         chunk = np.where(second, chunk + 1, chunk)
     _, chunk = np.unique(chunk, return_inverse=True)
     meets = np.zeros((len(frame), int(chunk.max()) + 1), bool)
-    for a, b in paired(frame, radius):
+    for a, b in paired_rows(frame, radius):
         meets[a, chunk[b]] = meets[b, chunk[a]] = True
     row, partner = np.nonzero(meets)
     own = chunk[row]
-    out = frame.iloc[row].assign(one=np.minimum(own, partner), other=np.maximum(own, partner), second=own > partner)
-    return out[["meeting", "one", "other", "second", "class", "component", "n", "sketch"]]
+    out = frame.iloc[row].assign(low=np.minimum(own, partner), high=np.maximum(own, partner), second=own > partner)
+    return out[[*MEETING, "low", "high", "second", "class", "component", "n", "sketch"]]
 
 
 def settled(frame: pd.DataFrame, words: int, similarity: float, radius: np.ndarray) -> pd.DataFrame:
@@ -385,7 +396,7 @@ def settled(frame: pd.DataFrame, words: int, similarity: float, radius: np.ndarr
     ends = np.cumsum(n)
     names, first = frame["class"].to_numpy(np.int64), np.unique(frame["component"].to_numpy(np.int64), return_inverse=True)[1]
     joined, held, kept = LocalComponents(int(first.max()) + 1), np.zeros(len(every), bool), []
-    for a, b in paired(frame, radius):
+    for a, b in paired_rows(frame, radius):
         for i in np.unique(a):
             own = place[ends[i] - n[i] : ends[i]]
             todo = b[a == i]
@@ -416,33 +427,38 @@ def class_texts(df: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: st
 def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, version, component_id, kept) per distinct (id, version): kept is true for one row of
     each group, that with the smallest id (and, of those, the smallest version)."""
-    rows = materialize(sketches(df, words, id_col, text_col), "sketches")
+    rows = materialize(sketches(df, words, similarity, id_col, text_col), "sketches")
     name = F.struct(F.col("id").isNull().alias("last"), "id", "version")
-    classes = rows.groupBy("sketch", "n").agg(F.min(name).alias("least")).withColumn("class", F.monotonically_increasing_id())
-    classes = materialize(classes, "sketch-classes")
-    found = materialize(candidate_links(classes, similarity), "sketch-links")
-    links = materialize(found.filter("not held_back").select("a", "b").distinct(), "sketch-forests")
-    texts = class_texts(df, classes, links.select(F.explode(F.array("a", "b")).alias("class")), id_col, text_col)
-    good = materialize(verified(links, texts, words, similarity), "sketch-verified")
+    classes = rows.groupBy("shingles").agg(F.min(name).alias("least"), *[F.first(x).alias(x) for x in ("n", "fp", "sketch", "bands")])
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "sketch-classes")
+    members = materialize(band_groups(classes), "band-members")
+
+    def checked(links: DataFrame, tag: str) -> DataFrame:
+        texts = class_texts(df, classes, links.select(F.explode(F.array("a", "b")).alias("class")), id_col, text_col)
+        return materialize(verified(links, texts, words, similarity), tag)
+
+    first = materialize(first_links(classes, members), "first-links")
+    good = checked(first, "first-verified")
+    placed = of_several(materialize(with_components(members, connected_components(good)), "placed-members"), "key")
+    found = materialize(close_links(meetings(placed, classes), similarity), "close-links")
+    more = found.filter("b is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    good = good.unionAll(checked(materialize(more, "more-links"), "more-verified"))
     groups = connected_components(good)
-    # What the forests left out matters only between components.
-    left = found.filter("held_back").select("meeting", F.col("a").alias("class"), (F.col("b") == 1).alias("second"))
-    left = left.join(groups, left["class"] == groups["node"], "left").select("meeting", "class", "second", F.coalesce("component", "class").alias("component"))
-    left = materialize(left, "sketch-open")
-    several = left.groupBy("meeting").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
-    left = left.join(materialize(several, "sketch-several").select("meeting"), "meeting", "left_semi").join(classes.select("class", "sketch", "n"), "class")
+    # Open classes matter only between components.
+    left = found.filter("b is null").select(*MEETING, "second", F.col("a").alias("class"))
+    left = of_several(materialize(with_components(left, groups), "open-classes"), *MEETING).join(classes.select("class", "sketch", "n"), "class")
     radius = radii(similarity)
-    chunks = left.groupBy("meeting").applyInPandas(lambda frame: chunked(frame, radius), "meeting long, one long, other long, second boolean, class long, component long, n long, sketch binary")
+    chunks = left.groupBy(*MEETING).applyInPandas(lambda frame: chunked(frame, radius), "key long, one int, other int, low long, high long, second boolean, class long, component long, n long, sketch binary")
     chunks = materialize(chunks, "sketch-chunks")
     if chunks.limit(1).count():
         texts = class_texts(df, classes, chunks, id_col, text_col)
-        more = chunks.join(texts, "class").groupBy("meeting", "one", "other").applyInPandas(lambda frame: settled(frame, words, similarity, radius), "a long, b long")
-        groups = connected_components(good.unionAll(materialize(more, "sketch-settled")))
-    named = classes.join(groups, classes["class"] == groups["node"], "left").select("sketch", "n", "least", F.coalesce("component", "class").alias("component"))
-    named = materialize(named, "sketch-groups")
+        late = chunks.join(texts, "class").groupBy(*MEETING, "low", "high").applyInPandas(lambda frame: settled(frame, words, similarity, radius), "a long, b long")
+        groups = connected_components(good.unionAll(materialize(late, "sketch-settled")))
+    named = materialize(with_components(classes.select("class", "shingles", "least"), groups), "sketch-groups")
     least = materialize(named.groupBy("component").agg(F.min("least").alias("first")), "sketch-firsts")
-    named = materialize(named.join(least, "component").select("sketch", "n", "first"), "sketch-named")
-    out = rows.distinct().join(named, ["sketch", "n"]).select("id", "version", F.col("first.id").alias("component_id"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version"))).alias("kept"))
+    named = materialize(named.join(least, "component").select("shingles", "first"), "sketch-named")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version"))
+    out = rows.select("id", "version", "shingles").distinct().join(named, "shingles").select("id", "version", F.col("first.id").alias("component_id"), kept.alias("kept"))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -64,17 +64,24 @@ def test_similar_documents_of_the_tables(spark):
     assert {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()} == want
 
 
-def test_forests_keep_every_small_cut():
-    rng = np.random.default_rng(2)
-    a, b = rng.integers(0, 40, 600), rng.integers(0, 40, 600)
-    a, b = a[a != b], b[a != b]
-    far = rng.integers(1, 50, len(a))
-    x, y, z = similar.forests(40, a, b, far, 3)
-    kept = list(zip(x.tolist(), y.tolist(), z.tolist(), strict=True))
-    for node in range(40):
-        across = sorted(f for i, j, f in zip(a.tolist(), b.tolist(), far.tolist(), strict=True) if node in (i, j))
-        own = sorted(f for i, j, f in kept if node in (i, j))
-        assert len(own) >= min(3, len(across)) and own[:3] == across[:3]
+def test_bands_find_pairs_at_the_similarity_asked_for():
+    rng = np.random.default_rng(3)
+    count = similar.band_count(0.8)
+    assert (1 - 0.8**similar.ROWS) ** count <= similar.MISS
+    shares = []
+    for n, shared in [(5, 4), (10, 9), (90, 80), (450, 400), (4500, 4000)] * 60:
+        hashes = rng.integers(0, 2**64, 2 * n - shared, dtype=np.uint64)  # as similar as 0.8, or a little more for few
+        one, other = similar.bands(hashes[:n] if n > 5 else hashes[:4], count), similar.bands(hashes[n - shared :] if n > 5 else hashes[:5], count)
+        shares.append((one == other).mean())
+    assert min(shares) > 0 and abs(np.mean(shares) - 0.8**similar.ROWS) < 0.03
+    assert len(similar.bands(np.empty(0, np.uint64), count)) == 0
+
+
+def test_equal_sketches_do_not_make_a_class(spark, monkeypatch):
+    monkeypatch.setattr(similar, "sketch", lambda hashes: bytes(32))
+    docs = [(0, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g")]
+    out = similar.similar_documents(spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {0: 0, 1: 1, 2: 0}
 
 
 def templated(n_texts=400, seed=5):
@@ -91,12 +98,13 @@ def templated(n_texts=400, seed=5):
     return [(i, " ".join(w)) for i, w in enumerate(docs)]
 
 
-@pytest.mark.parametrize("chunk", [similar.CHUNK_SHINGLES, 20_000])
-def test_links_that_the_forests_leave_out_are_verified(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "block"), [(similar.CHUNK_SHINGLES, similar.BLOCK), (20_000, 50)])
+def test_links_of_large_groups_are_all_verified(spark, monkeypatch, chunk, block):
     docs = templated()
     want = groups(docs)
     assert 1 < len(set(want.values())) < len(docs)
     monkeypatch.setattr(similar, "CHUNK_SHINGLES", chunk)
+    monkeypatch.setattr(similar, "BLOCK", block)
     out = similar.similar_documents(spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], SCHEMA)).collect()
     assert {r.doc_id: r.component_id for r in out} == want
 
