@@ -12,6 +12,7 @@ from tessera import evaluation
 from tessera.operators import build, ingest
 from tessera.operators import index as I
 from tessera.service import Engine
+from tessera.shipping import ship
 from tessera.sources import golden
 
 
@@ -35,6 +36,7 @@ def main(argv: list[str]) -> int:
     test.add_argument("--json", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tessera").getOrCreate()
+    ship(spark)
     store = I.Store(spark, args.index)
     if args.command == "ingest":
         documents, quarantine = build.processed(ingest.raw_files(spark, args.raw))

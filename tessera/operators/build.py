@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import chunk, hooks, ingest, pages, sync
 from tessera.operators import index as I
+from tessera.operators.durable import materialize
 from tessera.schema import CHUNKING, LAYOUT, Chunking, Layout
+from tessera.shipping import ship
 from tessera.sources import parsers
 
 
@@ -61,24 +63,48 @@ def chunk_table(documents: DataFrame, config: Chunking = CHUNKING, embedder: hoo
     return hooks.embedded(rows, "index_text", embedder).withColumn("chunk_key", F.xxhash64("target_file", "seq"))
 
 
-def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layout = LAYOUT, config: Chunking = CHUNKING, *, force: bool = False) -> dict[str, int]:
-    """Bring the index up to date with a raw folder; returns how many documents took which action."""
-    documents, quarantine = processed(ingest.raw_files(spark, raw_root), layout)
-    documents = documents.withColumn("config_hash", F.lit(I.config_hash(chunking=config)))
+#: Changed files up to which a sync names them to the reader; beyond it reads the folder and joins.
+NAMED_FILES = 10_000
+PARSED = ["markdown", "excel", "docx"]
+
+
+def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layout = LAYOUT, config: Chunking = CHUNKING, *, force: bool = False, reader: pages.PageReader | None = None) -> dict[str, int]:
+    """Bring the index up to date with a raw folder; returns how many documents took which action.
+
+    The plan needs names, times and sizes alone.  Only what it wants indexed is read, parsed and written;
+    files that cannot be read are remembered as such and tried again when they change.  A folder without
+    documents clears the index."""
+    ship(spark)
+    settings = I.config_hash(chunking=config, reader=reader is not None)
+    fit, skipped = ingest.supported(ingest.raw_files(spark, raw_root).select("path", "mtime", "size"), layout)
+    wanted = F.col("parser").isin(PARSED) | F.lit(reader is not None)
+    target = F.concat(F.lit("data/processed/"), ingest.mirror_path(F.col("path")))
+    prints = fit.filter(wanted).select(target.alias("target_file"), "path", F.col("mtime").alias("source_mtime"), F.col("size").alias("source_size"), F.lit(settings).alias("config_hash"))
     manifest = store.load("manifest")
-    prints = documents.select("target_file", "source_mtime", "source_size", "config_hash")
-    if manifest is None:
-        plan = prints.select("target_file", F.lit("index").alias("action"))
-        old = None
-    else:
-        known = manifest.join(prints.select("config_hash").distinct(), "config_hash", "left_semi")  # another configuration indexes anew
-        plan = sync.update_plan(prints, known, force=force)
-        old = store.load("chunks")
-    counts = {row["action"]: row["count"] for row in plan.groupBy("action").count().collect()}
-    result = {name: counts.get(name, 0) for name in ("index", "unchanged", "removed")} | {"quarantined": quarantine.count()}
-    if old is not None and not result["index"] and not result["removed"]:
+    known = prints.limit(0).withColumn("readable", F.lit(True)) if manifest is None else manifest
+    # What another configuration made matches nothing.
+    stored = known.select("target_file", F.when(F.col("config_hash") == settings, F.col("source_mtime")).alias("source_mtime"), "source_size")
+    plan = materialize(sync.update_plan(prints, stored, force=force), "sync-plan")
+    actions = {row["action"]: row["count"] for row in plan.groupBy("action").count().collect()}
+    due, gone, same = (plan.filter(F.col("action") == a).select("target_file") for a in ("index", "removed", "unchanged"))
+    passed_over = skipped.count() + fit.filter(~wanted).count()
+    if manifest is not None and not actions.get("index") and not actions.get("unchanged"):
+        result = {"index": 0, "unchanged": 0, "removed": _readable(known, gone), "quarantined": passed_over}
+        store.clear()
         return result
-    changed = documents.join(plan.filter("action = 'index'").select("target_file"), "target_file", "left_semi")
-    fresh = chunk_table(changed, config)
-    store.save(fresh if old is None else sync.merged_index(old, plan, fresh.select(*old.columns)), prints)
-    return result
+    if not actions.get("index") and not actions.get("removed"):
+        return {"index": 0, "unchanged": _readable(known, same), "removed": 0, "quarantined": passed_over + known.filter("not readable").count()}
+    changed = materialize(prints.join(due, "target_file", "left_semi"), "changed-files")
+    files = ingest.raw_files(spark, raw_root, [r["path"] for r in changed.select("path").collect()] if actions.get("index", 0) <= NAMED_FILES else None)
+    documents, _ = processed(files.join(changed.select("path"), "path", "left_semi"), layout, reader)
+    documents = materialize(documents, "parsed-documents")
+    tried = changed.join(documents.select("target_file", F.lit(True).alias("readable")), "target_file", "left").withColumn("readable", F.coalesce("readable", F.lit(False)))
+    kept = None if manifest is None else known.join(same, "target_file", "left_semi")
+    store.save(chunk_table(documents, config), tried, kept)
+    now = store.load("manifest")
+    result = {"index": documents.count(), "unchanged": _readable(known, same), "removed": _readable(known, gone)}
+    return result | {"quarantined": passed_over + now.filter("not readable").count()}
+
+
+def _readable(manifest: DataFrame, targets: DataFrame) -> int:
+    return manifest.filter("readable").join(targets, "target_file", "left_semi").count()

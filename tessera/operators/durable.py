@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,19 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Paths written inside the open ``scratch`` blocks, innermost last.
-_SCRATCH: list[list[str]] = []
+class _Open(threading.local):
+    """Paths written inside the open ``scratch`` blocks of a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialised inside the block go when it ends, unless they were kept.  What
     reads them must have been written by then."""
-    _SCRATCH.append([])
+    _OPEN.blocks.append([])
     try:
         yield
     finally:
-        drop(spark, _SCRATCH.pop())
+        drop(spark, _OPEN.blocks.pop())
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -59,8 +66,8 @@ def materialize(df: DataFrame, tag: str, *, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if _OPEN.blocks and not keep:
+        _OPEN.blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

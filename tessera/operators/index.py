@@ -1,29 +1,38 @@
 """The retrieval index: postings and BM25 statistics, unit vectors, versioned storage.
 
-Tables: chunks (one row per chunk, with vector), postings (token, key, tf), token statistics
-(token, df, idf) and one row of corpus statistics.  All come out of one explode of the tokens with
-map-side counts; nothing is collected.
+A posting carries all that scoring needs: the length of its chunk, and the chunk's scope and place.
+So a search joins the tokens of its questions with the postings and nothing else; chunks are neither
+tokenised again nor joined to measure them.  Texts are tokenised once, when postings are made; token
+statistics and lengths follow from the postings.  Nothing is collected.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.durable import materialize
 from tessera.schema import RETRIEVAL, Retrieval
 
+#: What a posting carries of its chunk, for searches in scopes.
+PLACE = ("pos", "project", "build")
 
-def postings(chunks: DataFrame, key: str, text_col: str = "content") -> DataFrame:
-    """(token, key, tf)."""
-    return chunks.select(F.col(key), F.explode(X.tokens(F.col(text_col))).alias("token")).groupBy("token", key).agg(F.count("*").alias("tf"))
 
+def postings(chunks: DataFrame, key: str, text_col: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(token, key, *carry, length, tf): ``length`` is the number of tokens of the chunk."""
+    cut = chunks.select(F.col(key), *carry, X.tokens(F.col(text_col)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+    return cut.select(key, *carry, "length", F.explode("tokens").alias("token")).groupBy("token", key, *carry, "length").agg(F.count("*").alias("tf"))
 
-def lengths(chunks: DataFrame, key: str, text_col: str = "content") -> DataFrame:
-    return chunks.select(key, F.size(X.tokens(F.col(text_col))).cast("long").alias("length"))
+
+def lengths(chunks: DataFrame, posts: DataFrame, key: str) -> DataFrame:
+    """(key, length) of all chunks, those without a token included."""
+    known = posts.groupBy(key).agg(F.first("length").alias("length"))
+    return chunks.select(key).join(known, key, "left").select(key, F.coalesce("length", F.lit(0)).alias("length"))
 
 
 def corpus_stats(sizes: DataFrame) -> DataFrame:
@@ -31,16 +40,36 @@ def corpus_stats(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
 
 
-def token_stats(posts: DataFrame, stats: DataFrame, config: Retrieval = RETRIEVAL) -> DataFrame:
-    """(token, df, idf): Okapi weights; negative ones become epsilon times the mean of all."""
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats.select("n")), F.lit(True))  # one row
+def document_frequencies(posts: DataFrame) -> DataFrame:
+    return posts.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def token_stats(frequencies: DataFrame, stats: DataFrame, config: Retrieval = RETRIEVAL) -> DataFrame:
+    """(token, df) to (token, df, idf): Okapi weights; negative ones become epsilon times the mean of all."""
+    raw = frequencies.select("token", "df").join(F.broadcast(stats.select("n")), F.lit(True))  # one row
     raw = raw.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     both = raw.join(F.broadcast(mean), F.lit(True))  # one row
     return both.select("token", "df", F.when(F.col("raw") < 0, config.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+@dataclass(frozen=True)
+class Lexical:
+    """What sparse recall searches: postings, weights (token, df, idf) and one row of statistics."""
+
+    posts: DataFrame
+    weights: DataFrame
+    stats: DataFrame
+
+
+def lexical(chunks: DataFrame, key: str, text_col: str = "content", carry: tuple[str, ...] = PLACE, config: Retrieval = RETRIEVAL) -> Lexical:
+    """The lexical index of ``chunks``, its postings and weights written."""
+    posts = materialize(postings(chunks, key, text_col, carry), "postings")
+    stats = materialize(corpus_stats(lengths(chunks, posts, key)), "corpus-statistics")
+    frequencies = materialize(document_frequencies(posts), "document-frequencies")
+    return Lexical(posts, materialize(token_stats(frequencies, stats, config), "token-weights"), stats)
+
+
 def bm25(tf: Column, length: Column, avgdl: Column, idf: Column, times: Column, config: Retrieval = RETRIEVAL) -> Column:
     return times * idf * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * length / avgdl))
 
@@ -58,10 +87,14 @@ def config_hash(**parameters: object) -> str:
 
 
 class Store:
-    """An index on disk as versions: each build writes its own folder, the manifest row comes last,
-    and readers take the newest version that has one."""
+    """An index on disk as versions.
 
-    TABLES = ("chunks", "postings", "tokens")
+    A save writes one segment, with the chunks and postings of the documents that are new or changed, and
+    a manifest, which names for every document its fingerprint and the segment that holds it.  What stays
+    is not written again; rows of a segment that no manifest row names are dead.  Token frequencies go
+    from version to version by what was added and removed.  The manifest comes last, and readers take the
+    newest version that has one, so a save that fails leaves nothing behind that anyone reads.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -71,35 +104,71 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{path}")
+
     def versions(self) -> list[int]:
         fs, path = self._fs()
-        if not fs.exists(path(self.root)):
+        if not fs.exists(path(f"{self.root}/manifest")):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.root))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(path(f"{self.root}/{n}/manifest/_SUCCESS")))
-
-    def save(self, chunks: DataFrame, fingerprints: DataFrame, key: str = "chunk_key") -> int:
-        """Write a new version; (target_file, source_mtime, source_size) become its manifest."""
-        version = (self.versions() or [0])[-1] + 1
-        at = f"{self.root}/v{version}"
-        chunks.write.mode("overwrite").parquet(f"{at}/chunks")
-        stored = self.spark.read.parquet(f"{at}/chunks")
-        posts = postings(stored, key, "index_text")
-        posts.repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{at}/postings")
-        stats = corpus_stats(lengths(stored, key, "index_text"))
-        token_stats(self.spark.read.parquet(f"{at}/postings"), stats).write.mode("overwrite").parquet(f"{at}/tokens")
-        counted = fingerprints.withColumns({"version": F.lit(version), "built_at": F.current_timestamp()})
-        counted.write.mode("overwrite").parquet(f"{at}/manifest")
+        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.root}/manifest"))]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(path(f"{self.root}/manifest/{n}/_SUCCESS")))
+
+    def save(self, chunks: DataFrame, documents: DataFrame, kept: DataFrame | None = None, key: str = "chunk_key") -> int:
+        """Write a new version: ``chunks`` (target_file, key, index_text, project, build, ...) of ``documents``
+        (target_file and what else the manifest shall say of them), and of the manifest before, the rows
+        ``kept``; without those, the version holds ``documents`` alone."""
+        old = self.versions()
+        version = (old or [0])[-1] + 1
+        segment = f"segment={version}"
+        chunks.write.mode("overwrite").parquet(f"{self.root}/chunks/{segment}")
+        stored = self._read(f"chunks/{segment}").withColumn("document", F.xxhash64("target_file"))
+        stored = stored if "pos" in stored.columns else stored.withColumn("pos", F.col(key))
+        posts = postings(stored, key, "index_text", ("document", *PLACE))
+        posts.repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.root}/postings/{segment}")
+        stored.select("document", key, F.size(X.tokens(F.col("index_text"))).cast("long").alias("length")).write.mode("overwrite").parquet(f"{self.root}/lengths/{segment}")
+        manifest = documents.withColumns({"segment": F.lit(version), "built_at": F.current_timestamp()})
+        counts = document_frequencies(self._read(f"postings/{segment}"))
+        if kept is not None:
+            gone = self._live("postings", old[-1]).join(_named(kept), ["document", "segment"], "left_anti")
+            both = self._read(f"tokens/v{old[-1]}").select("token", "df").unionAll(counts).unionAll(document_frequencies(gone).select("token", (-F.col("df")).alias("df")))
+            counts = both.groupBy("token").agg(F.sum("df").alias("df")).filter("df > 0")
+            manifest = kept.unionByName(manifest, allowMissingColumns=True)
+        manifest = materialize(manifest, "manifest")
+        stats = corpus_stats(self.spark.read.parquet(f"{self.root}/lengths").join(_named(manifest), ["document", "segment"], "left_semi"))
+        stats.write.mode("overwrite").parquet(f"{self.root}/stats/v{version}")
+        token_stats(counts, self._read(f"stats/v{version}")).write.mode("overwrite").parquet(f"{self.root}/tokens/v{version}")
+        manifest.write.mode("overwrite").parquet(f"{self.root}/manifest/v{version}")
         return version
 
+    def _live(self, name: str, version: int) -> DataFrame:
+        """The rows of all segments that the manifest of ``version`` names."""
+        rows = self._read(name).filter(F.col("segment") <= version)
+        rows = rows if "document" in rows.columns else rows.withColumn("document", F.xxhash64("target_file"))
+        return rows.join(_named(self._read(f"manifest/v{version}")), ["document", "segment"], "left_semi")
+
     def load(self, name: str) -> DataFrame | None:
+        """``chunks``, ``postings``, ``tokens``, ``stats`` or ``manifest`` of the newest version."""
         found = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v{found[-1]}/{name}") if found else None
+        if not found:
+            return None
+        if name in ("chunks", "postings"):
+            return self._live(name, found[-1]).drop("document", "segment")
+        return self._read(f"{name}/v{found[-1]}")
+
+    def lexical(self) -> Lexical:
+        return Lexical(self.load("postings"), self.load("tokens"), self.load("stats"))
 
     def clear(self) -> int:
         """Remove all versions; returns how many documents the newest one had."""
         manifest = self.load("manifest")
+        if manifest is not None and "readable" in manifest.columns:
+            manifest = manifest.filter("readable")
         count = manifest.count() if manifest is not None else 0
         fs, path = self._fs()
         fs.delete(path(self.root), True)
         return count
+
+
+def _named(manifest: DataFrame) -> DataFrame:
+    return manifest.select(F.xxhash64("target_file").alias("document"), "segment")

@@ -5,6 +5,8 @@ Bad rows go to a quarantine with the reason; they never abort a run.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,13 @@ def image_folder(path: Column) -> Column:
     return F.concat(F.regexp_replace(mirror_path(path), r"[^/]*$", ""), F.lit("images/"), X.filename_slug(X.stem(mirror_path(path))))
 
 
-def raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to ``root``, mtime, size, content) of all files below it, contents unread until used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def raw_files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """(path relative to ``root``, mtime, size, content) of all files below it, or of those in ``only``;
+    contents stay unread until used."""
     base = root.rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    # Names are no patterns.
+    files = reader.load(root if only is None else [f"{base}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in only])
     relative = F.regexp_replace(F.col("path"), "^.*?\\Q" + base + "\\E/", "")
     return files.select(relative.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
 

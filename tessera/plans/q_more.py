@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.operators import answer as A
 from tessera.operators import hooks, pages
 from tessera.operators import index as I
+from tessera.operators.durable import shared_folder
 from tessera.plans.base import Plans
-from tessera.plans.q_retrieve import docs
+from tessera.plans.q_retrieve import STATS, docs
 from tessera.sources import views as V
 
 PLANS = Plans()
@@ -56,17 +57,21 @@ def s14(spark, d):
     return pages.with_descriptions(images, said)
 
 
-@add("S22_index_store", """
-SELECT count(*)::BIGINT AS chunks, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents
+@add("S22_index_store", f"""
+WITH {V.KB_DOCS}, {STATS}, live AS (SELECT doc_id FROM kb_docs WHERE doc_id % 7 <> 3)
+SELECT token, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf, sum(length)::BIGINT AS chars FROM posts JOIN sizes USING (doc_id) JOIN live USING (doc_id) GROUP BY 1
 """)
 def s22(spark, d):
-    """Save an index version and read it back."""
-    rows = docs(spark, d).withColumn("index_text", F.col("content"))
-    root = f"{spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()}/tessera-index-{spark.sparkContext.applicationId}"
-    store = I.Store(spark, root)
-    prints = rows.select(F.col("chunk_key").cast("string").alias("target_file"), F.lit(0.0).alias("source_mtime"), F.col("pos").alias("source_size"))
+    """Two index versions: all documents, then some changed and some gone; postings read back by token,
+    with the frequencies that went from version to version."""
+    rows = docs(spark, d).withColumns({"index_text": F.col("content"), "target_file": F.col("chunk_key").cast("string")})
+    prints = rows.select("target_file", F.lit(0.0).alias("source_mtime"), F.col("pos").alias("source_size"))
+    store = I.Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
     store.save(rows, prints)
-    return store.load("chunks").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
+    gone, again = F.col("target_file").cast("long") % 7 == 3, F.col("target_file").cast("long") % 7 == 5
+    store.save(rows.filter(again), prints.filter(again), store.load("manifest").filter(~gone & ~again))
+    posts = store.load("postings").groupBy("token").agg(F.sum("tf").alias("tf"), F.sum("length").alias("chars"))
+    return posts.join(store.load("tokens").select("token", "df"), "token").select("token", "df", "tf", "chars")
 
 
 @add("G10_classification", "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'debug' ELSE 'wiki' END AS task FROM conversations")

@@ -10,7 +10,6 @@ from tessera.operators import hooks
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
-from tessera.operators.durable import broadcast_if_small, materialize
 from tessera.plans.base import Plans
 from tessera.plans.q_scope import CATALOG
 from tessera.plans.q_text import BOOST
@@ -27,16 +26,17 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return V.kb_docs(spark, d).select(F.col("doc_id").alias("chunk_key"), F.col("doc_id").alias("pos"), "project", "build", "document_type", "content")
 
 
-def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, postings, lengths), the postings written once as an index would have them."""
+def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, I.Lexical]:
+    """(chunks, lexical index), the index written once as a store would have it."""
     rows = docs(spark, d)
-    return rows, materialize(I.postings(rows, "chunk_key"), "postings"), I.lengths(rows, "chunk_key")
+    return rows, I.lexical(rows, "chunk_key")
 
 
 STATS = f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(content, {TOKEN})) AS token FROM kb_docs),
 posts AS (SELECT token, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2), sizes AS (SELECT doc_id, len(regexp_extract_all(content, {TOKEN})) AS length FROM kb_docs),
 stats AS (SELECT count(*) AS n, avg(length) AS avgdl FROM sizes),
-raw AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM posts, stats GROUP BY token),
+seen AS (SELECT token, count(*) AS df FROM posts GROUP BY token),
+raw AS (SELECT token, df, ln((SELECT n FROM stats) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM seen),
 weights AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 SCORES = f"""asked AS (SELECT qid, token, count(*) AS times FROM (SELECT qid, unnest(regexp_extract_all(query, {TOKEN})) AS token FROM questions) GROUP BY 1, 2),
 scores AS (SELECT qid, doc_id, round(sum(times * idf * tf * (1.5::DOUBLE + 1) / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / avgdl))), 6) AS score
@@ -45,8 +45,7 @@ scores AS (SELECT qid, doc_id, round(sum(times * idf * tf * (1.5::DOUBLE + 1) /
 
 @add("X02_bm25_stats", f"WITH {V.KB_DOCS}, {STATS} SELECT token, df::BIGINT AS df, round(idf, 6) AS idf FROM weights")
 def x02(spark, d):
-    _, posts, sizes = indexed(spark, d)
-    return I.token_stats(posts, I.corpus_stats(sizes)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return indexed(spark, d)[1].weights.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @add("X08_search_text", f"WITH {V.KB_DOCS} SELECT doc_id, len(regexp_extract_all(project || chr(10) || chr(10) || content, {TOKEN}))::INTEGER AS n FROM kb_docs")
@@ -82,8 +81,7 @@ def r02(spark, d):
 
 @add("R03_bm25_scores", f"WITH {V.KB_DOCS}, {V.QUESTIONS}, {STATS}, {SCORES} SELECT qid, doc_id AS chunk_key, score FROM scores")
 def r03(spark, d):
-    _, posts, sizes = indexed(spark, d)
-    return R.bm25_scores(V.questions(spark, d), posts, sizes)
+    return R.bm25_scores(V.questions(spark, d), indexed(spark, d)[1])
 
 
 POOLED = "pool AS (SELECT qid, project, build FROM questions, (VALUES ('prj1', 'b2'), ('prj1', 'common'), ('global', 'global')) AS p(project, build))"
@@ -96,9 +94,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, do
 SELECT qid, doc_id AS chunk_key, score, rank FROM ranked WHERE rank <= 8
 """)
 def r04(spark, d):
-    rows, posts, sizes = indexed(spark, d)
+    rows, index = indexed(spark, d)
     pool = S.ranks(V.questions(spark, d).select("qid", F.lit("prj1").alias("project"), F.lit("b2").alias("build"))).select("qid", F.lit(0).alias("tier"), "project", "build")
-    found = R.sparse_recall(V.questions(spark, d), rows, pool, posts, sizes, 8)
+    found = R.sparse_recall(V.questions(spark, d), rows, pool, index, 8)
     return found.select("qid", "chunk_key", "score", "rank")
 
 
@@ -124,10 +122,13 @@ ranked AS (SELECT qid, doc_id, coalesce(score, 0.0) AS score, row_number() OVER
 SELECT qid, doc_id AS chunk_key, score, rank FROM ranked WHERE rank <= 4
 """)
 def r06(spark, d):
-    rows, posts, sizes = indexed(spark, d)
+    rows, index = indexed(spark, d)
     own = rows.filter(S.is_build_schematic(F.col("document_type"), F.col("project"), F.col("build"), F.lit("prj1"), F.lit(None).cast("string")))
-    pool = V.questions(spark, d).select("qid", F.lit(0).alias("tier")).join(broadcast_if_small(own.select("project", "build").distinct(), R.SMALL_CATALOG), F.lit(True))
-    found = R.sparse_recall(V.questions(spark, d), own, pool, posts, sizes, 4)
+    # All questions are of one project: its boards' scopes are one list, which each question unfolds.
+    scopes = own.agg(F.collect_set(F.struct("project", "build")).alias("scopes"))
+    pool = V.questions(spark, d).join(F.broadcast(scopes), F.lit(True)).select("qid", F.lit(0).alias("tier"), F.explode("scopes").alias("s")).select("qid", "tier", "s.project", "s.build")
+    posts = index.posts.join(own.select("chunk_key"), "chunk_key", "left_semi")
+    found = R.sparse_recall(V.questions(spark, d), own, pool, I.Lexical(posts, index.weights, index.stats), 4)
     return found.select("qid", "chunk_key", "score", "rank")
 
 
@@ -241,15 +242,15 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def searched(spark: SparkSession, d: str, use_cascade: bool) -> DataFrame:
-    rows, posts, sizes = indexed(spark, d)
-    return R.retrieve(asked(spark, d), rows, posts, sizes, S.catalog(rows), use_cascade=use_cascade)
+    rows, index = indexed(spark, d)
+    return R.retrieve(asked(spark, d), rows, index, S.catalog(rows), use_cascade=use_cascade)
 
 
 @add("R14_pool_retrieve", None)
 def r14(spark, d):
-    rows, posts, sizes = indexed(spark, d)
+    rows, index = indexed(spark, d)
     everywhere = V.questions(spark, d).withColumns({"project": F.lit(None).cast("string"), "build": F.lit(None).cast("string")})
-    return R.retrieve(everywhere, rows, posts, sizes, S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
+    return R.retrieve(everywhere, rows, index, S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
 
 
 RANK_BY_NAME = "CASE WHEN qid % 4 = 3 THEN 0 WHEN project = 'global' THEN 2 WHEN build = 'common' THEN 1 ELSE 0 END"

@@ -23,6 +23,7 @@ from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
 from tessera.schema import RETRIEVAL, Retrieval
+from tessera.shipping import ship
 
 TEMPLATE = "{{scope_rules}}\n\n{{context}}\n\n{{history}}\n\nQuestion: {{question}}"
 
@@ -84,22 +85,28 @@ class Engine:
     model: hooks.Model = hooks.extractive_model
     template: str = TEMPLATE
     gate: AdmissionGate = field(default_factory=AdmissionGate)
+    embedder: hooks.Embedder = hooks.hashing_embedder
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    lexical: I.Lexical | None = None
 
     def load(self) -> None:
         """Take the newest version of the index."""
+        ship(self.spark)
         chunks = self.store.load("chunks")
         if chunks is None:
             raise FileNotFoundError(f"no index under {self.store.root}")
-        self.tables = {"chunks": chunks, "posts": self.store.load("postings"), "sizes": I.lengths(chunks, "chunk_key", "index_text"), "catalog": S.catalog(chunks)}
+        self.tables = {"chunks": chunks.withColumn("pos", F.col("chunk_key")), "catalog": S.catalog(chunks)}
+        self.lexical = self.store.lexical()
 
     def retrieve(self, questions: DataFrame, config: Retrieval | None = None) -> DataFrame:
-        """``questions``: (qid, query, project, build)."""
+        """``questions``: (qid, query, project, build).  Dense recall comes first, then sparse."""
         if not self.tables:
             self.load()
-        t = self.tables
-        rows = t["chunks"].withColumn("pos", F.col("chunk_key"))
-        return R.retrieve(questions, rows, t["posts"], t["sizes"], t["catalog"], config or self.config)
+        chunks, catalog, config = self.tables["chunks"], self.tables["catalog"], config or self.config
+        vectors = I.unit_vectors(chunks.select("chunk_key", "project", "build", "embedding"))
+        asked = I.unit_vectors(hooks.embedded(questions, "query", self.embedder))
+        dense = R.dense_pool(asked, vectors, chunks, catalog, config)
+        return R.retrieve(questions, chunks, self.lexical, catalog, config, dense=dense)
 
     def query(self, request: dict, timeout: float | None = 300.0) -> dict:
         """Answer one request {question, project?, build?, history?}; past ``timeout`` its jobs are

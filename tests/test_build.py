@@ -79,6 +79,26 @@ def test_end_to_end(spark, raw, tmp_path):
     assert store.clear() == 4 and store.load("chunks") is None
 
 
+def test_a_sync_reads_and_writes_only_what_changed(spark, raw, tmp_path, monkeypatch):
+    store = I.Store(spark, str(tmp_path / "index"))
+    build.sync_index(spark, str(raw), store)
+    parsed = []
+    keep = build.processed
+    monkeypatch.setattr(build, "processed", lambda files, *more: parsed.append(sorted(r.path for r in files.select("path").collect())) or keep(files, *more))
+    (raw / "p1/b1/note/[new] *.md").write_bytes(b"# New\nA file whose name looks like a pattern.\n")
+    got = build.sync_index(spark, str(raw), store)
+    assert (got["index"], got["unchanged"], got["removed"], got["quarantined"]) == (1, 5, 0, 3) and parsed == [["p1/b1/note/[new] *.md"]]
+    assert spark.read.parquet(f"{tmp_path}/index/chunks/segment=2").count() == 1
+    fresh = I.lexical(store.load("chunks").withColumn("pos", F.col("chunk_key")), "chunk_key", "index_text")
+    rows = lambda df: sorted((r.token, r.df, round(r.idf, 9)) for r in df.collect())
+    assert rows(store.load("tokens")) == rows(fresh.weights)
+    for path in raw.rglob("*.*"):
+        if path.is_file():
+            path.unlink()
+    assert build.sync_index(spark, str(raw), store) == {"index": 0, "unchanged": 0, "removed": 6, "quarantined": 0}
+    assert store.load("chunks") is None and build.sync_index(spark, str(raw), store)["index"] == 0
+
+
 def test_stream_follows_a_folder(spark, raw, tmp_path):
     store = I.Store(spark, str(tmp_path / "index"))
     query = streaming.watch(spark, str(raw), store, str(tmp_path / "checkpoint"))
