@@ -31,7 +31,7 @@ def hashing_embedder(texts: list[str]) -> list[list[float]]:
     for row, text in enumerate(texts):
         for word in re.findall(r"\w+", text.lower()):
             if word not in seen:
-                digest = hashlib.blake2b(word.encode(), digest_size=8).digest()
+                digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
                 seen[word] = (digest[0] % DIMENSIONS, 1.0 if digest[1] & 1 else -1.0)
             at, sign = seen[word]
             out[row, at] += sign

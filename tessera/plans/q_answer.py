@@ -48,8 +48,9 @@ def g03(spark, d):
     return C.answer_history(C.history(turns), turns, cut=400)
 
 
-HITS = f"""hits AS (SELECT doc_id % 100 AS qid, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id)::INTEGER AS rank, doc_id, project, build, 'data/raw/' || path AS source_file, (doc_id % 3)::INTEGER AS page, 'd' || doc_id || '__body' AS chunk_id,
-  CASE WHEN doc_id % 2 = 0 THEN 'H › ' || doc_id ELSE '' END AS heading_path, content FROM kb_docs QUALIFY rank <= 3)"""
+#: Three documents in a row are the hits of one question, so that every document is one.
+HITS = f"""hits AS (SELECT doc_id // 3 AS qid, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id)::INTEGER AS rank, doc_id, project, build, 'data/raw/' || path AS source_file, (doc_id % 3)::INTEGER AS page, 'd' || doc_id || '__body' AS chunk_id,
+  CASE WHEN doc_id % 2 = 0 THEN 'H › ' || doc_id ELSE '' END AS heading_path, content FROM kb_docs)"""
 
 
 def hits(spark, d):
@@ -57,7 +58,7 @@ def hits(spark, d):
 
     order = F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))
     i = F.col("doc_id").cast("string")
-    rows = V.kb_docs(spark, d).withColumn("qid", F.col("doc_id") % 100).withColumn("rank", order).filter("rank <= 3")
+    rows = V.kb_docs(spark, d).withColumn("qid", F.floor(F.col("doc_id") / 3)).withColumn("rank", order)
     return rows.select("qid", "rank", "doc_id", "project", "build", F.concat(F.lit("data/raw/"), "path").alias("source_file"), (F.col("doc_id") % 3).cast("int").alias("page"), F.concat(F.lit("d"), i, F.lit("__body")).alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("H › "), i)).otherwise("").alias("heading_path"), "content", F.lit("").alias("target_file"))
 
 
@@ -180,12 +181,12 @@ def e02(spark, d):
     return E.questions(cases(spark, d))
 
 
-REQUIRED = "required AS (SELECT DISTINCT doc_id % 100 AS qid, CASE WHEN doc_id % 3 = 0 THEN 'data/processed/' || path ELSE 'data/raw/none/' || doc_id || '.md' END AS source FROM kb_docs)"
+REQUIRED = "required AS (SELECT DISTINCT doc_id // 3 AS qid, CASE WHEN doc_id % 3 = 0 THEN 'data/processed/' || path ELSE 'data/raw/none/' || doc_id || '.md' END AS source FROM kb_docs)"
 
 
 def required(spark, d):
     source = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("data/processed/"), "path")).otherwise(F.concat(F.lit("data/raw/none/"), F.col("doc_id").cast("string"), F.lit(".md")))
-    return V.kb_docs(spark, d).select((F.col("doc_id") % 100).alias("qid"), source.alias("source")).distinct()
+    return V.kb_docs(spark, d).select(F.floor(F.col("doc_id") / 3).alias("qid"), source.alias("source")).distinct()
 
 
 @add("E03_source_hits", f"""

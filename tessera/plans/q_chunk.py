@@ -88,11 +88,66 @@ def c11(spark, d):
     return C.chunk_documents(kb(spark, d)).select("target_file", "chunk_id", "content")
 
 
-@add("C12_block_packing", None)
+def made_docs(spark, d, content, kind="note"):
+    """One document for each part, with a content made from its number."""
+    k = F.col("p_partkey").cast("string")
+    return V.table(spark, d, "part").select(k.alias("target_file"), F.lit("d").alias("stem"), F.lit(kind).alias("document_type"), content(F.col("p_partkey"), k).alias("content"))
+
+
+@add("C05_lead_merge", """
+WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'short' ELSE chr(10) || repeat('long lead ', 9) || 'end' END AS lead FROM part), h AS (SELECT k, '## Part ' || k || lead AS head FROM p)
+SELECT k::VARCHAR AS target_file, 'd__part-' || k || '__preamble' AS chunk_id, head AS content FROM h WHERE k % 3 = 2
+UNION ALL SELECT k::VARCHAR, 'd__part-' || k || '__one', CASE WHEN k % 3 = 2 THEN '' ELSE head || chr(10) || chr(10) END || '### One' || chr(10) || 'alpha ' || k FROM h
+UNION ALL SELECT k::VARCHAR, 'd__part-' || k || '__two', '### Two' || chr(10) || 'beta' FROM h
+""")
+def c05(spark, d):
+    def content(k, name):
+        lead = F.when(k % 3 == 0, "").when(k % 3 == 1, "\nshort").otherwise("\n" + "long lead " * 9 + "end")
+        return F.concat(F.lit("## Part "), name, lead, F.lit("\n### One\nalpha "), name, F.lit("\n### Two\nbeta"))
+
+    return C.chunk_documents(made_docs(spark, d, content)).select("target_file", "chunk_id", "content")
+
+
+@add("C07_schematic_sections", """
+WITH p AS (SELECT p_partkey::VARCHAR AS k, repeat('lead text ', 6) || p_partkey AS lead, 'end of the page ' || p_partkey AS tail FROM part)
+SELECT k AS target_file, 'd__p001' AS chunk_id, 1 AS page, lead AS content FROM p
+UNION ALL SELECT k, 'd__p001__power-' || k, 1, '## Power ' || k || chr(10) || 'rails' FROM p
+UNION ALL SELECT k, 'd__p002__debug', 2, '## Debug' || chr(10) || '```' FROM p
+UNION ALL SELECT k, 'd__p002__fenced-' || k, 2, '## Fenced ' || k || chr(10) || '```' || chr(10) || tail FROM p
+""")
+def c07(spark, d):
+    """Pages of schematics part at second-level headings, inside fences too."""
+    def content(k, name):
+        return F.concat(F.lit("lead text " * 6), name, F.lit("\n## Power "), name, F.lit("\nrails\n\n---\n\n## Debug\n```\n## Fenced "), name, F.lit("\n```\nend of the page "), name)
+
+    return C.chunk_documents(made_docs(spark, d, content, "schematic")).select("target_file", "chunk_id", "page", "content")
+
+
+BLOCKS = """p AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 2 = 0 AS small, repeat('a', (200 + p_partkey % 700)::INTEGER) AS a, '```' || chr(10) || repeat('c', (CASE WHEN p_partkey % 2 = 0 THEN 300 ELSE 1600 END)::INTEGER) || chr(10) || '```' AS f, repeat('b', (1000 + p_partkey % 400)::INTEGER) AS b FROM part)"""
+
+
+def block_docs(spark, d):
+    """Prose, a fenced block of 308 or 1608 characters, and more prose than fits beside them."""
+    def content(k, _):
+        fence = F.concat(F.lit("\n\n```\n"), F.repeat(F.lit("c"), F.when(k % 2 == 0, 300).otherwise(1600)), F.lit("\n```\n\n"))
+        return F.concat(F.repeat(F.lit("a"), (200 + k % 700).cast("int")), fence, F.repeat(F.lit("b"), (1000 + k % 400).cast("int")))
+
+    return made_docs(spark, d, content)
+
+
+@add("C10_atomic_blocks", f"WITH {BLOCKS} SELECT k AS target_file, length(f)::INTEGER AS n FROM p")
+def c10(spark, d):
+    """Fenced blocks stay whole: the chunk that holds one has all of it."""
+    made = C.chunk_documents(block_docs(spark, d)).filter(F.contains("content", F.lit("```")))
+    return made.select("target_file", F.length(F.regexp_extract("content", r"(?s)```.*```", 0)).alias("n"))
+
+
+@add("C12_block_packing", f"""
+WITH {BLOCKS} SELECT k AS target_file, 'd__body' AS chunk_id, CASE WHEN small THEN a || chr(10) || chr(10) || f ELSE a END AS content FROM p
+UNION ALL SELECT k, 'd__body__w01', CASE WHEN small THEN b ELSE f END FROM p UNION ALL SELECT k, 'd__body__w02', b FROM p WHERE NOT small
+""")
 def c12(spark, d):
-    fence = "\n```\n" + "code line\n" * 120 + "```\n"
-    docs = V.markdown_docs(spark, d).select(F.col("page_id").cast("string").alias("target_file"), F.lit("p").alias("stem"), F.lit("note").alias("document_type"), F.concat("content", F.lit(fence), "content").alias("content"))
-    return C.chunk_documents(docs).select("target_file", "seq", "chunk_id", F.length("content").alias("n"))
+    return C.chunk_documents(block_docs(spark, d)).select("target_file", "chunk_id", "content")
 
 
 @add("C14_heading_path", f"""

@@ -11,7 +11,7 @@ from tessera.operators import hooks, pages
 from tessera.operators import index as I
 from tessera.operators.durable import shared_folder
 from tessera.plans.base import Plans
-from tessera.plans.q_retrieve import STATS, docs
+from tessera.plans.q_retrieve import EMBEDDED, STATS, docs, written_vector
 from tessera.sources import views as V
 
 PLANS = Plans()
@@ -74,12 +74,12 @@ def s22(spark, d):
     return posts.join(store.load("tokens").select("token", "df"), "token").select("token", "df", "tf", "chars")
 
 
-@add("G10_classification", "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'debug' ELSE 'wiki' END AS task FROM conversations")
+@add("G10_classification", "SELECT conv_id, turn, CASE WHEN contains(coalesce(text, ''), 'th') THEN 'debug' ELSE 'wiki' END AS task FROM conversations")
 def g10(spark, d):
-    rows = V.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, "board does not start").otherwise("hello").alias("question"))
+    rows = V.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))
 
     def model(prompts: list[str]) -> list[str]:
-        return ["Debug." if "does not start" in p else "?" for p in prompts]
+        return ["Debug." if "th" in p.partition("Question: ")[2] else "?" for p in prompts]
 
     return A.classified(rows, model).select("conv_id", "turn", "task")
 
@@ -93,6 +93,7 @@ def g15(spark, d):
     return V.table(spark, d, "orders").select(o.alias("qid"), A.prompt_for(route, F.concat(F.lit("q"), o.cast("string")), F.lit("h"), F.lit("ctx"), "{{context}} / {{question}}").alias("prompt"))
 
 
-@add("R01_query_embedding", None)
+@add("R01_query_embedding", f"WITH {V.QUESTIONS}, {EMBEDDED.format(key='qid', text='query', rows='questions')} SELECT qid, vector, 1.0::DOUBLE AS norm FROM embedded")
 def r01(spark, d):
-    return I.unit_vectors(hooks.embedded(V.questions(spark, d), "query")).select("qid", F.size("unit").alias("dim"))
+    units = I.unit_vectors(hooks.embedded(V.questions(spark, d), "query"))
+    return units.select("qid", written_vector().alias("vector"), F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))

@@ -53,9 +53,22 @@ def x08(spark, d):
     return V.kb_docs(spark, d).select("doc_id", F.size(X.tokens(X.index_text(F.col("project"), F.col("content")))).alias("n"))
 
 
-@add("X03_embed", None)
+#: What the offline embedder does: words hashed to a place and a sign.
+EMBEDDED = """words AS (SELECT {key}, md5(unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM {rows}),
+hashed AS (SELECT {key}, ('0x' || substr(h, 1, 2))::INTEGER % 64 AS place, CASE WHEN ('0x' || substr(h, 3, 2))::INTEGER % 2 = 1 THEN 1 ELSE -1 END AS sign FROM words),
+summed AS (SELECT {key}, place, sum(sign)::BIGINT AS v FROM hashed GROUP BY 1, 2 HAVING sum(sign) <> 0),
+embedded AS (SELECT {key}, string_agg(place || ':' || v, ' ' ORDER BY place) AS vector FROM summed GROUP BY 1)"""
+
+
+def written_vector():
+    """The places of an embedding that are not zero, as place:value."""
+    told = F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), x.cast("long").cast("string"))))
+    return F.array_join(told, " ")
+
+
+@add("X03_embed", f"WITH {V.KB_DOCS}, {EMBEDDED.format(key='doc_id', text='content', rows='kb_docs')} SELECT doc_id AS chunk_key, coalesce(vector, '') AS vector FROM kb_docs LEFT JOIN embedded USING (doc_id)")
 def x03(spark, d):
-    return hooks.embedded(docs(spark, d).select("chunk_key", "content"), "content").select("chunk_key", F.size("embedding").alias("dim"))
+    return hooks.embedded(docs(spark, d).select("chunk_key", "content"), "content").select("chunk_key", written_vector().alias("vector"))
 
 
 @add("X04_unit_vectors", """
@@ -246,13 +259,6 @@ def searched(spark: SparkSession, d: str, use_cascade: bool) -> DataFrame:
     return R.retrieve(asked(spark, d), rows, index, S.catalog(rows), use_cascade=use_cascade)
 
 
-@add("R14_pool_retrieve", None)
-def r14(spark, d):
-    rows, index = indexed(spark, d)
-    everywhere = V.questions(spark, d).withColumns({"project": F.lit(None).cast("string"), "build": F.lit(None).cast("string")})
-    return R.retrieve(everywhere, rows, index, S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
-
-
 RANK_BY_NAME = "CASE WHEN qid % 4 = 3 THEN 0 WHEN project = 'global' THEN 2 WHEN build = 'common' THEN 1 ELSE 0 END"
 SEARCHED = f"""targets AS (SELECT qid, query, {BOOST} AS words, qid % 4 = 3 AS free, 'prj' || (qid % 3) AS p, CASE WHEN qid % 4 < 2 THEN 'b' || (qid % 3 + 1) END AS b FROM questions),
 scopes AS (SELECT DISTINCT qid, project, build FROM targets, (SELECT DISTINCT project, build FROM kb_docs) WHERE free OR (project = p AND (build = 'common' OR (b IS NULL AND build <> 'common') OR build = b)) OR project = 'global'),
@@ -261,6 +267,16 @@ recalled AS (SELECT * FROM pooled QUALIFY row_number() OVER (PARTITION BY qid, t
 scored AS (SELECT r.*, len(list_filter(words, lambda t: contains(upper(content), upper(t)))) AS boost, round(CASE WHEN len(words) = 0 THEN -6.0 ELSE 8.0::DOUBLE * len(list_filter(words, lambda t: contains(upper(content), upper(t)))) / len(words) - 6.0 END, 6) AS score, 0 AS doc_rank, doc_id AS pos FROM recalled r JOIN targets USING (qid))"""
 
 
+@add("R14_pool_retrieve", f"""
+WITH {V.KB_DOCS}, {V.QUESTIONS}, {STATS}, {SCORES}, {SEARCHED.replace('TIERED', 'FALSE').replace('qid % 4 = 3', 'TRUE').replace('qid % 4 <> 3', 'FALSE')}
+SELECT qid, doc_id AS chunk_key, score, row_number() OVER (PARTITION BY qid ORDER BY {ORDER})::INTEGER AS rank FROM scored QUALIFY rank <= 8
+""")
+def r14(spark, d):
+    rows, index = indexed(spark, d)
+    everywhere = V.questions(spark, d).withColumns({"project": F.lit(None).cast("string"), "build": F.lit(None).cast("string")})
+    return R.retrieve(everywhere, rows, index, S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
+
+
 @add("R20_flat_retrieve", f"""
 WITH {V.KB_DOCS}, {V.QUESTIONS}, {STATS}, {SCORES}, {SEARCHED.replace('TIERED', 'FALSE')}
 SELECT qid, doc_id AS chunk_key, row_number() OVER (PARTITION BY qid ORDER BY {ORDER})::INTEGER AS rank, max(score) OVER (PARTITION BY qid) AS top_score FROM scored QUALIFY rank <= 8

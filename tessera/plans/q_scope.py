@@ -91,6 +91,21 @@ def f03(spark, d):
     return S.ranks(scoped(spark, d))
 
 
+BUILDS, PRODUCTS = "aimed AS (SELECT * FROM scoped WHERE qid % 2 = 1)", "whole AS (SELECT * FROM scoped WHERE qid % 2 = 0)"
+
+
+@add("F04_rank_resolution", f"""
+WITH {V.KB_DOCS}, {CATALOG}, {SCOPED}, {BUILDS}, {PRODUCTS}, {RANKS.replace('FROM scoped', 'FROM aimed')} SELECT qid, project, build, scope_rank FROM ranks
+UNION ALL SELECT qid, product, unnest(revisions), 0 FROM whole JOIN catalog ON product = project
+UNION ALL SELECT qid, project, 'common', 1 FROM whole UNION ALL SELECT qid, 'global', 'global', 2 FROM whole
+""")
+def f04(spark, d):
+    """Questions that name a build, and questions that name a product alone."""
+    rows = scoped(spark, d)
+    aimed, whole = rows.filter("qid % 2 = 1"), rows.filter("qid % 2 = 0").select("qid", F.col("project").alias("product"))
+    return S.ranks(aimed).unionByName(S.inherit_ranks(whole, products(spark, d)))
+
+
 @add("F05_inherit_ranks", f"""
 WITH {V.KB_DOCS}, {CATALOG}, {SCOPED} SELECT qid, product AS project, unnest(revisions) AS build, 0 AS scope_rank FROM scoped JOIN catalog ON product = project
 UNION ALL SELECT qid, project, 'common', 1 FROM scoped UNION ALL SELECT qid, 'global', 'global', 2 FROM scoped

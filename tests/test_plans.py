@@ -9,7 +9,7 @@ from tessera.plans import registry
 
 QUERIES = registry.queries()
 #: Queries whose hooks or folds run Python on purpose.
-WITH_PYTHON = {"C11_prose_windows", "C12_block_packing", "C13_section_driver", "C18_corpus_chunks", "X03_embed", "R01_query_embedding", "R02_dense_top_k", "R08_query_excerpt", "G10_classification", "G14_answers"}
+WITH_PYTHON = {"C11_prose_windows", "C12_block_packing", "C05_lead_merge", "C07_schematic_sections", "C10_atomic_blocks", "C13_section_driver", "C18_corpus_chunks", "X03_embed", "R01_query_embedding", "R02_dense_top_k", "R08_query_excerpt", "G10_classification", "G14_answers"}
 
 
 def plan(df):
