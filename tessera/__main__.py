@@ -1,4 +1,4 @@
-"""python -m tessera: ingest, index, sync, query, eval."""
+"""python -m tessera: ingest, index, sync, query, ask, eval, serve."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tessera import evaluation
+from tessera import evaluation, server
 from tessera.operators import build, ingest
 from tessera.operators import index as I
 from tessera.service import Engine
@@ -24,11 +24,17 @@ def main(argv: list[str]) -> int:
         one.add_argument("raw")
         one.add_argument("--index", default="data/index")
         one.add_argument("--force", action="store_true")
-    ask = commands.add_parser("query")
-    ask.add_argument("question")
-    ask.add_argument("--index", default="data/index")
-    ask.add_argument("--project")
-    ask.add_argument("--build")
+    for name in ("query", "ask"):  # the hits, or an answer from them
+        one = commands.add_parser(name)
+        one.add_argument("question")
+        one.add_argument("--index", default="data/index")
+        one.add_argument("--project")
+        one.add_argument("--build")
+    web = commands.add_parser("serve")
+    web.add_argument("--index", default="data/index")
+    web.add_argument("--mirror", default="data/processed")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
     test = commands.add_parser("eval")
     test.add_argument("dataset", help="golden set in YAML or JSON lines")
     test.add_argument("--index", default="data/index")
@@ -44,7 +50,16 @@ def main(argv: list[str]) -> int:
     elif args.command in ("index", "sync"):
         print(json.dumps(build.sync_index(spark, args.raw, store, force=args.force or args.command == "index")))
     elif args.command == "query":
+        asked = spark.createDataFrame([(0, args.question, args.project, args.build)], "qid long, query string, project string, build string")
+        for row in Engine(spark, store).retrieve(asked).orderBy("rank").collect():
+            print(json.dumps({k: row[k] for k in ("rank", "score", "project", "build", "document_type", "content")}, ensure_ascii=False))
+    elif args.command == "ask":
         print(json.dumps(Engine(spark, store).query({"question": args.question, "project": args.project, "build": args.build}), ensure_ascii=False, indent=2))
+    elif args.command == "serve":
+        app = server.App(Engine(spark, store), args.mirror)
+        app.warm_up()
+        with server.make_server(app, args.host, args.port) as running:
+            running.serve_forever()
     else:
         row = evaluation.run(Engine(spark, store), golden.load(spark, args.dataset), args.mode).first()
         print(json.dumps(row.asDict(), ensure_ascii=False, indent=2) if args.json else evaluation.text_report(row.asDict()))

@@ -1,4 +1,4 @@
-"""The service surface as plain functions: requests in, dictionaries out, no web server.
+"""The service surface as plain functions: requests in, dictionaries out (``server`` puts them on HTTP).
 
 ``AdmissionGate`` bounds concurrent requests, ``Engine`` keeps an index loaded and answers batches,
 ``stream`` yields the events of a streamed completion.
@@ -108,17 +108,21 @@ class Engine:
         dense = R.dense_pool(asked, vectors, chunks, catalog, config)
         return R.retrieve(questions, chunks, self.lexical, catalog, config, dense=dense)
 
-    def query(self, request: dict, timeout: float | None = 300.0) -> dict:
-        """Answer one request {question, project?, build?, history?}; past ``timeout`` its jobs are
-        cancelled."""
+    def query(self, request: dict, timeout: float | None = 300.0, tag: str | None = None) -> dict:
+        """Answer one request {question, project?, build?, history?}; past ``timeout`` its jobs, which run
+        under ``tag``, are cancelled and a TimeoutError is raised."""
         with self.gate.admitted():
-            began, tag = time.monotonic(), f"request-{id(request)}"
+            began, tag, late = time.monotonic(), tag or f"request-{id(request)}", threading.Event()
             self.spark.addTag(tag)
-            timer = threading.Timer(timeout, lambda: self.spark.interruptTag(tag)) if timeout and timeout > 0 else None
+            timer = threading.Timer(timeout, lambda: (late.set(), self.spark.interruptTag(tag))) if timeout and timeout > 0 else None
             if timer:
                 timer.start()
             try:
                 return self._answer(request) | {"seconds": round(time.monotonic() - began, 3)}
+            except Exception as failed:
+                if late.is_set():
+                    raise TimeoutError(f"no answer within {timeout} s") from failed
+                raise
             finally:
                 if timer:
                     timer.cancel()
@@ -135,7 +139,7 @@ class Engine:
         found.unpersist()
         return {"answer": row["answer"], "insufficient_context": row["insufficient_context"], "citations": [c.asDict() for c in row["citations"] or []]}
 
-    def complete(self, request: dict) -> dict:
+    def complete(self, request: dict, tag: str | None = None) -> dict:
         """A chat completion: messages in, one choice out.  Background prompts of a chat client skip
         retrieval and go to the model as they are."""
         asked = [m for m in request["messages"] if m["role"] == "user" and m["content"].strip()]
@@ -144,7 +148,7 @@ class Engine:
         last = asked[-1]["content"]
         if is_auxiliary(last):
             return _completion(self.model([last])[0], [])
-        got = self.query({"question": last, **{k: request.get(k) for k in ("project", "build")}})
+        got = self.query({"question": last, **{k: request.get(k) for k in ("project", "build")}}, tag=tag)
         return _completion(got["answer"], got["citations"])
 
 
