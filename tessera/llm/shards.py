@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialize, parallelism
 
-#: Hash ranges have this many hexadecimal digits.
-RANGE_DIGITS = 3
-#: Parts of a group that are ranked by themselves.
-CELLS = 64
+#: Hash ranges have at least so many hexadecimal digits, and as many as give about ``RANGE_ROWS`` rows each.
+RANGE_DIGITS, RANGE_ROWS = 3, 1_000_000
+#: A group is ranked in at least so many parts, and in as many as give a part of a group of all rows about
+#: ``CELL_ROWS`` rows.
+CELLS, CELL_ROWS = 64, 2_000_000
 #: Group ends fetched on either side of a position.
 NEARBY = 4096
 
@@ -89,19 +90,28 @@ def minimax_cuts(ends: Ends, largest: int, total: int, n_shards: int) -> tuple[i
     return held, cuts
 
 
+def range_digits(count: int) -> int:
+    digits = RANGE_DIGITS
+    while 16**digits * RANGE_ROWS < count:
+        digits += 1
+    return digits
+
+
 def shard_documents(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: the id, ``size``, ``text_crc32``, ``shard`` (0 to ``n_shards`` - 1), ``slot``
     (0 upwards without gaps within a shard), ``group_key`` and ``capacity``."""
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    count = df.count()
+    digits, n_cells = range_digits(count), max(CELLS, -(-count // CELL_ROWS))
     rows = materialize(df.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"),
-        F.sha2(text, 256).alias("key"), F.pmod(F.xxhash64(id_col), F.lit(CELLS)).cast("int").alias("cell"),
-    ).withColumn("part", F.substring("key", 1, RANGE_DIGITS)), "shard-rows")
+        F.sha2(text, 256).alias("key"), F.pmod(F.xxhash64(id_col), F.lit(n_cells)).cast("int").alias("cell"),
+    ).withColumn("part", F.substring("key", 1, digits)), "shard-rows")
     cells = materialize(rows.groupBy("part", "key", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-cells")
 
     parts = cells.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("b0"))
     by_cell = Window.partitionBy("part").orderBy("key", "cell")
     by_key = Window.partitionBy("part").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -10,6 +10,10 @@ from tessera.llm import queries, shards
 SCHEMA = "doc_id long, text string, shard int, key string"
 
 
+def test_ranges_and_parts_follow_the_rows():
+    assert [shards.range_digits(n) for n in (0, 10**6, 4096 * 10**6, 4097 * 10**6, 5 * 10**10)] == [3, 3, 3, 4, 4]
+
+
 class Listed:
     def __init__(self, ends):
         self.ends = ends
