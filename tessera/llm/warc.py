@@ -39,6 +39,8 @@ from tessera.llm.shared import materialize, parallelism, ship
 ARCHIVE_BYTES = 1 << 21
 #: Index entries of a range, on average.
 RANGE_ENTRIES = 50_000
+#: Runs that one loser tree merges.
+FAN_IN = 64
 #: Payloads of at least this many bytes are stored once.
 LEAST_BYTES = 0
 #: Fixed values of the format.
@@ -82,11 +84,19 @@ def record_id(capture_id: int | None, url: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{capture_id} {digest} {url}')}>"
 
 
-def capture_record(capture_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def target_uri(capture_id: int | None, url: str | None) -> str:
+    return quote(url, safe=":/?#[]@!$&'()*+,;=%-._~") if url else f"urn:capture:{capture_id}"
+
+
+def written_time(capture_id: int | None) -> str:
+    return capture_time(capture_id).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def capture_record(capture_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, revisit: bool) -> bytes:
+    """``refers_to`` and ``refers_url`` are those of the response that a revisit repeats."""
     digest = base32_sha1(payload)
-    target = quote(url, safe=":/?#[]@!$&'()*+,;=%-._~") if url else f"urn:capture:{capture_id}"
     headers = {
-        "WARC-Record-ID": record_id(capture_id, url, digest), "WARC-Date": capture_time(capture_id).strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Target-URI": target,
+        "WARC-Record-ID": record_id(capture_id, url, digest), "WARC-Date": written_time(capture_id), "WARC-Target-URI": target_uri(capture_id, url),
         "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": HTTP_TYPE,
     }
     if capture_id is not None:
@@ -96,7 +106,10 @@ def capture_record(capture_id: int | None, url: str | None, payload: bytes, refe
         return record("response", headers, head + payload)
     headers["WARC-Profile"] = REVISIT_PROFILE
     if refers_to is not None:
-        headers["X-Refers-To-Capture-Id"] = str(refers_to)
+        headers |= {
+            "WARC-Refers-To": record_id(refers_to, refers_url, digest), "WARC-Refers-To-Target-URI": target_uri(refers_to, refers_url), "WARC-Refers-To-Date": written_time(refers_to),
+            "X-Refers-To-Capture-Id": str(refers_to),
+        }
     return record("revisit", headers, head)
 
 
@@ -122,14 +135,16 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    known = materialize(rows.select("id", "digest", F.octet_length("payload").alias("n")), "payload-digests")
-    first = known.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    # Narrow on purpose: only ids travel here, by digest; a common digest may split.
-    later = materialize(known.join(first.select("digest", "first"), "digest").filter("id is null or id > first").select("id", "digest", "first").distinct(), "revisits")
+    known = materialize(rows.select("id", "url", "digest", F.octet_length("payload").alias("n")), "payload-digests")
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    first = known.filter(F.col("n") >= least_bytes).groupBy("digest").agg(least.alias("least"), F.count("*").alias("copies")).filter("copies > 1")
+    first = first.select("digest", F.col("least.id").alias("first"), F.col("least.url").alias("first_url"))
+    # Narrow on purpose: no payloads travel here, by digest; a common digest may split.
+    later = materialize(known.select("id", "digest").join(first, "digest").filter("id is null or id > first").distinct().select("id", "digest", "first", "first_url"), "revisits")
     later = later.withColumnsRenamed({"id": "of", "digest": "same"}).withColumn("revisit", F.lit(True))
-    told = rows.join(later, rows["id"].eqNullSafe(later["of"]) & (rows["digest"] == later["same"]), "left").select("id", "url", "payload", "first", F.coalesce("revisit", F.lit(False)).alias("revisit"))
+    told = rows.join(later, rows["id"].eqNullSafe(later["of"]) & (rows["digest"] == later["same"]), "left").select("id", "url", "payload", "first", "first_url", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # id, url, payload, first, first_url, revisit
         part, count = TaskContext.get().partitionId(), 0
         archive = None
 
@@ -140,8 +155,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for values in zip(*batch.columns, strict=True):
                 if archive is None:
                     archive, count = Archive(f"captures-{part:06d}-{count:06d}.warc.gz"), count + 1
-                capture, url, body, refers_to, revisit = (v.as_py() for v in values)
-                archive.add(capture_record(capture, url, body, refers_to, revisit))
+                archive.add(capture_record(*(v.as_py() for v in values)))
                 if archive.size >= ARCHIVE_BYTES:
                     yield closed()
                     archive = None
@@ -253,6 +267,13 @@ class LoserTree:
             self.champion = winner
 
 
+def merged_runs(runs: list[list[tuple]], fan_in: int = FAN_IN) -> Iterator[tuple]:
+    """All entries of sorted runs in order: in passes of trees with at most ``fan_in`` leaves."""
+    while len(runs) > fan_in:
+        runs = [list(LoserTree(runs[at : at + fan_in])) for at in range(0, len(runs), fan_in)]
+    return iter(LoserTree(runs))
+
+
 MERGED = T.StructType([*ENTRY.fields, T.StructField("range_no", T.IntegerType()), T.StructField("position", T.LongType())])
 
 
@@ -271,7 +292,7 @@ def merge_index(entries: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataF
         for slice_ in runs.values():
             slice_.sort(key=entry_key)  # in order already unless the shuffle mixed blocks of a run
         part = TaskContext.get().partitionId()
-        rows = list(LoserTree(list(runs.values())))
+        rows = list(merged_runs(list(runs.values())))
         schema = pa.schema([pa.field(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in ENTRY] + [pa.field("range_no", pa.int32()), pa.field("position", pa.int64())])
         if rows:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)]

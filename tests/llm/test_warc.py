@@ -67,7 +67,7 @@ def test_archives_are_plain_files(spark, monkeypatch):
 
 def test_damage_is_noticed():
     archive = warc.Archive("x")
-    raw = warc.capture_record(1, "http://e.org", b"payload", None, False)
+    raw = warc.capture_record(1, "http://e.org", b"payload", None, None, False)
     archive.add(raw.replace(b"payload", b"paXload"))
     with pytest.raises(ValueError, match="digest"):
         warc.entries_of("x", b"".join(archive.parts))
@@ -78,6 +78,7 @@ def test_loser_tree(runs):
     rng = np.random.default_rng(runs)
     made = [sorted(((f"k{rng.integers(5)}", str(rng.integers(3)), int(rng.integers(9)), 0, "", "response", None, f"a{i}", j, 1) for j in range(int(rng.integers(0, 9)))), key=warc.entry_key) for i in range(runs)]
     merged = list(warc.LoserTree(made))
+    assert list(warc.merged_runs(made, 2)) == list(warc.merged_runs(made, 3)) == merged
     assert merged == sorted((e for run in made for e in run), key=warc.entry_key)
 
 
@@ -96,3 +97,10 @@ def test_small_ranges_keep_the_order(spark):
 @pytest.mark.parametrize(("url", "want"), [("http://www.Example.COM:80/A?b=2&a=1#f", "com,example)/a?a=1&b=2"), ("https://a.b.org", "org,b,a)/"), ("http://e.org:8080/", "org,e:8080)/"), (None, ""), ("mailto:x", "mailto:x")])
 def test_url_keys(url, want):
     assert warc.url_key(url) == want
+
+
+def test_revisits_name_the_response():
+    response, _ = warc.parse_member(warc.capture_record(3, "http://e.org/a", b"same", None, None, False))
+    revisit, block = warc.parse_member(warc.capture_record(9, "http://e.org/b", b"same", 3, "http://e.org/a", True))
+    assert revisit["warc-refers-to"] == response["warc-record-id"] and revisit["warc-refers-to-target-uri"] == response["warc-target-uri"]
+    assert revisit["warc-refers-to-date"] == response["warc-date"] and b"same" not in block
