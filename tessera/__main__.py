@@ -24,6 +24,7 @@ def main(argv: list[str]) -> int:
         one.add_argument("raw")
         one.add_argument("--index", default="data/index")
         one.add_argument("--force", action="store_true")
+        one.add_argument("--under", default="", help="one folder (with a slash at its end) or one file below the raw folder")
     for name in ("query", "ask"):  # the hits, or an answer from them
         one = commands.add_parser(name)
         one.add_argument("question")
@@ -48,7 +49,7 @@ def main(argv: list[str]) -> int:
         documents, quarantine = build.processed(ingest.raw_files(spark, args.raw))
         print(json.dumps({"documents": documents.count(), "quarantined": [r.asDict() for r in quarantine.limit(1000).collect()]}, ensure_ascii=False))
     elif args.command in ("index", "sync"):
-        print(json.dumps(build.sync_index(spark, args.raw, store, force=args.force or args.command == "index")))
+        print(json.dumps(build.sync_index(spark, args.raw, store, force=args.force or args.command == "index", under=args.under)))
     elif args.command == "query":
         asked = spark.createDataFrame([(0, args.question, args.project, args.build)], "qid long, query string, project string, build string")
         for row in Engine(spark, store).retrieve(asked).orderBy("rank").collect():

@@ -68,10 +68,11 @@ NAMED_FILES = 10_000
 PARSED = ["markdown", "excel", "docx"]
 
 
-def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layout = LAYOUT, config: Chunking = CHUNKING, *, force: bool = False, reader: pages.PageReader | None = None) -> dict[str, int]:
+def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layout = LAYOUT, config: Chunking = CHUNKING, *, force: bool = False, reader: pages.PageReader | None = None, under: str = "") -> dict[str, int]:
     """Bring the index up to date with a raw folder; returns how many documents took which action.
 
-    The plan needs names, times and sizes alone.  Only what it wants indexed is read, parsed and written;
+    ``under`` limits this to one folder below (if it ends with a slash) or to one file, of which nothing is
+    removed; all other documents stay as they are.  The plan needs names, times and sizes alone.  Only what it wants indexed is read, parsed and written;
     files that cannot be read are remembered as such and tried again when they change.  A folder without
     documents clears the index."""
     ship(spark)
@@ -80,11 +81,17 @@ def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layou
     wanted = F.col("parser").isin(PARSED) | F.lit(reader is not None)
     target = F.concat(F.lit("data/processed/"), ingest.mirror_path(F.col("path")))
     prints = fit.filter(wanted).select(target.alias("target_file"), "path", F.col("mtime").alias("source_mtime"), F.col("size").alias("source_size"), F.lit(settings).alias("config_hash"))
+    inside = F.startswith("path", F.lit(under)) if under.endswith("/") else (F.col("path") == under) if under else F.lit(True)
+    prints = prints.filter(inside)
     manifest = store.load("manifest")
     known = prints.limit(0).withColumn("readable", F.lit(True)) if manifest is None else manifest
     # What another configuration made matches nothing.
-    stored = known.select("target_file", F.when(F.col("config_hash") == settings, F.col("source_mtime")).alias("source_mtime"), "source_size")
-    plan = materialize(sync.update_plan(prints, stored, force=force), "sync-plan")
+    stored = known.filter(inside).select("target_file", F.when(F.col("config_hash") == settings, F.col("source_mtime")).alias("source_mtime"), "source_size")
+    plan = sync.update_plan(prints, stored, force=force)
+    plan = plan.unionAll(known.filter(~inside).select("target_file", F.lit("unchanged")))
+    if under and not under.endswith("/"):
+        plan = plan.withColumn("action", F.when(F.col("action") == "removed", "unchanged").otherwise(F.col("action")))
+    plan = materialize(plan, "sync-plan")
     actions = {row["action"]: row["count"] for row in plan.groupBy("action").count().collect()}
     due, gone, same = (plan.filter(F.col("action") == a).select("target_file") for a in ("index", "removed", "unchanged"))
     passed_over = skipped.count() + fit.filter(~wanted).count()

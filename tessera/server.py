@@ -96,7 +96,7 @@ class Handler(BaseHTTPRequestHandler):
                 made = self.app.complete(request, tag)
             self.stream(made) if request.get("stream") else self.say(200, made)
         except service.Busy as full:
-            self.fail(429, str(full), Retry_After=str(full.retry_after))
+            self.fail(503, str(full), Retry_After=str(full.retry_after))
         except TimeoutError as late:
             self.fail(504, str(late))
         except (ValueError, KeyError, TypeError) as wrong:
