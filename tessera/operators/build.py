@@ -63,8 +63,9 @@ def chunk_table(documents: DataFrame, config: Chunking = CHUNKING, embedder: hoo
     return hooks.embedded(rows, "index_text", embedder).withColumn("chunk_key", F.xxhash64("target_file", "seq"))
 
 
-#: Changed files up to which a sync names them to the reader; beyond it reads the folder and joins.
-NAMED_FILES = 10_000
+#: Changed files up to which a sync names them to the reader, which looks each up; beyond, it reads the
+#: folder and keeps those that changed.
+NAMED_FILES = 500
 PARSED = ["markdown", "excel", "docx"]
 
 
@@ -102,8 +103,13 @@ def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layou
     if not actions.get("index") and not actions.get("removed"):
         return {"index": 0, "unchanged": _readable(known, same), "removed": 0, "quarantined": passed_over + known.filter("not readable").count()}
     changed = materialize(prints.join(due, "target_file", "left_semi"), "changed-files")
-    files = ingest.raw_files(spark, raw_root, [r["path"] for r in changed.select("path").collect()] if actions.get("index", 0) <= NAMED_FILES else None)
-    documents, _ = processed(files.join(changed.select("path"), "path", "left_semi"), layout, reader)
+    if actions.get("index", 0) <= NAMED_FILES:
+        files = ingest.raw_files(spark, raw_root, [r["path"] for r in changed.select("path").collect()])
+    else:
+        files = ingest.raw_files(spark, raw_root).filter(inside)
+        if actions.get("unchanged"):
+            files = files.join(changed.select("path"), "path", "left_semi")
+    documents, _ = processed(files, layout, reader)
     documents = materialize(documents, "parsed-documents")
     tried = changed.join(documents.select("target_file", F.lit(True).alias("readable")), "target_file", "left").withColumn("readable", F.coalesce("readable", F.lit(False)))
     kept = None if manifest is None else known.join(same, "target_file", "left_semi")
