@@ -25,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +50,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class JsonEncoder:
-    """Ids by a byte-level tokenizer file, through the slices and the cache of ``bpe``.
+    """Ids by a byte-level tokenizer file, through the faster merge library.
 
-    Special tokens are taken out of the text first, then the rest is encoded.  Ids equal those of the
-    file's own library if merges are ranked as their results' ids; that is checked, and otherwise the
-    file's own library encodes.
+    The library matches its pattern with a bounded stack and gives up on very long runs of white space;
+    such a text goes through the slices of ``bpe``, which give the same ids without a pattern.  Ids equal
+    those of the file's own library if merges are ranked as their results' ids; that is checked, and
+    otherwise the file's own library encodes.
     """
 
     def __init__(self, path: str):
@@ -68,8 +70,11 @@ class JsonEncoder:
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["normalizer"] is None
         plain = plain and all(a < b for a, b in zip(made, made[1:], strict=False)) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec.get("added_tokens", []))
         if plain:
-            self._codec = bpe.Codec({bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in added})
-            self._special = added
+            import public_tokenizers
+
+            ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items() if token not in added}
+            self._encoding = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+            self._codec, self._special = bpe.Codec(ranks), added
             longest_first = sorted(added, key=len, reverse=True)
             self._parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         else:
@@ -80,10 +85,14 @@ class JsonEncoder:
     def encode(self, text: str) -> list[int]:
         if self._own is not None:
             return self._own.encode(text, add_special_tokens=False).ids
-        if self._parts is None or not any(token in text for token in self._special):
-            return self._codec.encode(text)
-        parts = (([self._special[part]] if part in self._special else self._codec.encode(part)) for part in self._parts.split(text))
-        return [*chain.from_iterable(parts)]
+        try:
+            return self._encoding.encode(text, allowed_special="all")
+        except ValueError:
+            return self.encode_slices(text)
+
+    def encode_slices(self, text: str) -> list[int]:
+        parts = self._parts.split(text) if self._parts else [text]
+        return [*chain.from_iterable([self._special[part]] if part in self._special else self._codec.encode(part) for part in parts)]
 
 
 @lru_cache(4)

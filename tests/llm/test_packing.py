@@ -30,7 +30,8 @@ def test_ids_equal_the_library(library, text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "'s", "'ve", " ", "\n", "\t", "a", "Word", "12", "é你", "!?", "\u00a0", "\u3000"]), max_size=25).map("".join))
 def test_random_texts_equal_the_library(text):
-    assert packing.encoder(PATH).encode(text) == OWN.encode(text, add_special_tokens=False).ids
+    own = packing.encoder(PATH)
+    assert own.encode(text) == own.encode_slices(text) == OWN.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("unit", [" ", "\n", "^", "\t \u3000"])
