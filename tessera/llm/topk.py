@@ -42,6 +42,8 @@ EXACT_FLOAT, EXACT_DOUBLE = 2.0**24, 2.0**53
 LONG = np.iinfo(np.int64)
 #: Bytes of all query vectors that may be broadcast to the packs; more meet them by exchange.
 SMALL_QUERIES = 64 << 20
+#: Lists (of a block of queries and a slice, about 100 kB each) that a task of phase 1 merges into.
+HELD_LISTS = 256
 #: Pairs of queries and vectors whose vectors phase 3 gathers at once.
 GATHERED = 1 << 14
 PACKED = "dim int, ids binary, vectors binary"
@@ -151,16 +153,25 @@ def pair_scores(queries: np.ndarray, vectors: np.ndarray, i: np.ndarray, j: np.n
     return out
 
 
-def listed(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phase 1 of a block and a slice of a pack: (query, vector, slice score rounded to a double) of the k
-    best of each query, by place."""
+def listed(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 1 of a block and a slice of a pack: the k best slice scores of each query, rounded to doubles,
+    and their places."""
     scores = products(queries, vectors)
     if scores.dtype == object:
         most = float(np.finfo(np.float64).max)
         scores = np.array([[max(min(x, most), -most) for x in row] for row in scores.tolist()], np.float64).reshape(scores.shape)
     k = min(k, scores.shape[1])
     at = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.tile(np.arange(k), (len(scores), 1))
-    return np.repeat(np.arange(len(queries)), k), at.ravel(), np.take_along_axis(scores, at, 1).ravel().astype(np.float64)
+    return np.take_along_axis(scores, at, 1).astype(np.float64), at.astype(np.int32)
+
+
+def merged(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of two lists (query ids, scores, packs, places) of the same queries."""
+    own, scores, *rest = one[0], *(np.concatenate((a, b), axis=1) for a, b in zip(one[1:], other[1:], strict=True))
+    if scores.shape[1] <= k:
+        return own, scores, *rest
+    at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return own, *(np.take_along_axis(x, at, 1) for x in (scores, *rest))
 
 
 def reaching(queries: np.ndarray, vectors: np.ndarray, cutoffs: np.ndarray, slices: int) -> np.ndarray:
@@ -221,13 +232,26 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
         return own, whole_numbers(queries, scale), whole_numbers(matrix(row["vectors"], b - a, row["n"]), scale)
 
     def phase_1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lists of the packs of a task merge before they leave it; blocks of queries held at once are few.
+        held: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for (_, nth), (own, scores, pack, place) in held.items():
+                width = scores.shape[1]
+                columns = [pa.array(np.repeat(own, width)), pa.array(np.full(scores.size, nth, np.int32)), pa.array(pack.ravel()), pa.array(place.ravel()), pa.array(scores.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "slice", "pack", "place", "score"])
+            held.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
-                own, queries, held = parts(row)
-                i, j, scores = listed(queries, held, k + 1)
-                n = len(i)
-                columns = [pa.array(own[i]), pa.array(np.full(n, row["slice"], np.int32)), pa.array(np.full(n, row["pack"], np.int64)), pa.array(j.astype(np.int32)), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "slice", "pack", "place", "score"])
+                own, queries, vectors = parts(row)
+                scores, place = listed(queries, vectors, k + 1)
+                made = (own, scores, np.full(place.shape, row["pack"], np.int64), place)
+                key = row["block"], row["slice"]
+                held[key] = merged(held[key], made, k + 1) if key in held else made
+                if len(held) > HELD_LISTS:
+                    yield from lists()
+        yield from lists()
 
     def score_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
