@@ -18,8 +18,9 @@ the rest, sketches of 256 bits sort the candidates, and every link is decided ex
    components meet: pairs in different components whose sketches lie within their radius are links
    to verify, if the group is small; of larger groups, the ends of such pairs are open classes.  A
    group of any size is met in blocks of a bounded size.
-4. Open classes go to tasks with their shingles, in chunks of a bounded size, and every link between
-   different components is verified there.  Components of all verified links are the groups.
+4. Open classes of meetings that have classes in common form one group, so that each text is read once.
+   They go to tasks with their shingles, in chunks of a bounded size, and every link between different
+   components is verified there.  Components of all verified links are the groups.
 
 So the work follows the classes that share a band, not the square of all.  The radius of a pair of
 sketches follows from its two numbers of shingles, so that another ``MISS`` of the pairs that similar
@@ -119,7 +120,7 @@ def bands(hashes: np.ndarray, count: int) -> np.ndarray:
     factors = mixed(np.arange(count * ROWS, dtype=np.uint64), 1) | np.uint64(1)
     least = np.full(count * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 512):
-        np.minimum(least, (hashes[at : at + 512, None] * factors).min(axis=0), out=least)
+        np.minimum(least, np.minimum.reduce(hashes[at : at + 512, None] * factors, axis=0), out=least)
     key = np.arange(1, count + 1, dtype=np.uint64)
     for row in least.reshape(count, ROWS).T:
         key = mixed(key ^ row, 1)
@@ -414,6 +415,16 @@ def settled(frame: pd.DataFrame, words: int, similarity: float, radius: np.ndarr
     return pd.DataFrame({"a": a, "b": b})
 
 
+def open_clusters(left: DataFrame) -> DataFrame:
+    """Open classes (key, one, other, class, component) as members (key, size, class, component) of one group
+    for all meetings that have classes in common, so that a text is read once and not once a band."""
+    leads = left.groupBy(*MEETING).agg(F.min("class").alias("lead"))
+    links = left.join(materialize(leads, "open-leads"), [*MEETING]).select(F.col("class").alias("a"), F.col("lead").alias("b"))
+    clusters = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("key"))
+    members = materialize(left.select("class", "component").distinct().join(clusters, "class"), "open-members")
+    return members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key").select("key", "size", "class", "component")
+
+
 def class_texts(df: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(class, text) for the classes in ``wanted``."""
     wanted = wanted.select("class").distinct().join(classes.select("class", "least.id", "least.version"), "class")
@@ -445,12 +456,14 @@ def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, id
     good = good.unionAll(checked(materialize(more, "more-links"), "more-verified"))
     groups = connected_components(good)
     # Open classes matter only between components.
-    left = found.filter("b is null").select(*MEETING, "second", F.col("a").alias("class"))
-    left = of_several(materialize(with_components(left, groups), "open-classes"), *MEETING).join(classes.select("class", "sketch", "n"), "class")
-    radius = radii(similarity)
-    chunks = left.groupBy(*MEETING).applyInPandas(lambda frame: chunked(frame, radius), "key long, one int, other int, low long, high long, second boolean, class long, component long, n long, sketch binary")
-    chunks = materialize(chunks, "sketch-chunks")
-    if chunks.limit(1).count():
+    left = found.filter("b is null").select(*MEETING, F.col("a").alias("class"))
+    left = materialize(of_several(materialize(with_components(left, groups), "open-classes"), *MEETING), "left-open")
+    if left.limit(1).count():
+        left = open_clusters(left)
+        radius = radii(similarity)
+        met = meetings(left, classes).drop("size")
+        chunks = met.groupBy(*MEETING).applyInPandas(lambda frame: chunked(frame, radius), "key long, one int, other int, low long, high long, second boolean, class long, component long, n long, sketch binary")
+        chunks = materialize(chunks, "sketch-chunks")
         texts = class_texts(df, classes, chunks, id_col, text_col)
         late = chunks.join(texts, "class").groupBy(*MEETING, "low", "high").applyInPandas(lambda frame: settled(frame, words, similarity, radius), "a long, b long")
         groups = connected_components(good.unionAll(materialize(late, "sketch-settled")))
