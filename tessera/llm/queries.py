@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, hnsw, langid, merkle, packing, secrets, shards, simhash, topk, warc
+from tessera.llm import bpe, chat, hnsw, langid, lexical, merkle, packing, secrets, shards, simhash, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _sql_escape(name: str) -> str:
     out = f"replace({name}, '\\', '\\\\')"
     for word in chat.CONTROL:
@@ -230,12 +234,31 @@ FROM reached_{MERKLE_LEVELS - 1} r, (SELECT node FROM high_{MERKLE_LEVELS}) t
 """
 
 
+_TERMS = f"regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13_SQL = f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM rows WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+found AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM rows) SEMI JOIN asked USING (term) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM totals) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM found GROUP BY term),
+added AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * (SELECT docs FROM totals)) // (SELECT terms FROM totals)))) AS impact
+  FROM found JOIN weighed USING (term) JOIN sizes USING (r)
+),
+scored AS (SELECT item_id, r, sum(impact)::BIGINT AS score FROM asked JOIN added USING (term) GROUP BY item_id, r HAVING sum(impact) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM scored JOIN sizes USING (r) QUALIFY rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk, "op2_embeddings": op2_embeddings, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op7_packing": op7_packing,
-        "op8_bpe": op8_bpe, "op9_chat": op9_chat, "op10_language": op10_language, "op11_merkle": op11_merkle,
+        "op8_bpe": op8_bpe, "op9_chat": op9_chat, "op10_language": op10_language, "op11_merkle": op11_merkle, "op13_lexical": op13_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_embeddings": OP2_SQL, "op3_warc": OP3_SQL, "op9_chat": OP9_SQL, "op11_merkle": OP11_SQL}
+    return {"op1_topk": OP1_SQL, "op2_embeddings": OP2_SQL, "op3_warc": OP3_SQL, "op9_chat": OP9_SQL, "op11_merkle": OP11_SQL, "op13_lexical": OP13_SQL}
