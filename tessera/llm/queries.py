@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, hnsw, langid, lexical, merkle, packing, secrets, shards, simhash, topk, warc
+from tessera.llm import bpe, chat, hnsw, langid, lexical, merkle, packing, secrets, shards, simhash, tiers, topk, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+WORDS = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 N_SHARDS = 16
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -96,6 +97,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -256,7 +261,7 @@ FROM scored JOIN sizes USING (r) QUALIFY rank <= 50
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk, "op2_embeddings": op2_embeddings, "op3_warc": op3_warc, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_shards": op6_shards, "op7_packing": op7_packing,
-        "op8_bpe": op8_bpe, "op9_chat": op9_chat, "op10_language": op10_language, "op11_merkle": op11_merkle, "op13_lexical": op13_lexical,
+        "op8_bpe": op8_bpe, "op9_chat": op9_chat, "op10_language": op10_language, "op11_merkle": op11_merkle, "op12_tiers": op12_tiers, "op13_lexical": op13_lexical,
     }
 
 
