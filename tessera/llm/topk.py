@@ -9,7 +9,7 @@ Phase 1 gathers local score lists: each slice of each pack lists its k + 1 best
 the best of these lists over all packs stay, and the listed vectors' full scores are worked out.
 The k-th best of them is a safe cutoff t for the query: k vectors reach it.  Phase 2 hands t to all
 slices.  A score of at least t needs a slice score of at least t / m somewhere, so each slice sends
-just the entries that reach t / m, as a bit for each query and vector.  Phase 3 joins the entries of
+just the entries that reach t / m, as a list of places or, where they are many, a bit for each.  Phase 3 joins the entries of
 a block and a pack with their whole vectors and works out the scores of these alone, exactly; all
 other vectors are never scored.  The best k that reach t are the answer.
 
@@ -176,21 +176,37 @@ def merged(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], k: int) -
 
 def reaching(queries: np.ndarray, vectors: np.ndarray, cutoffs: np.ndarray, slices: int) -> np.ndarray:
     """Phase 2 of a block and a slice of a pack: whether each slice score reaches its query's cutoff over
-    the number of slices, as packed bits."""
+    the number of slices.  The least long is no cutoff: all reach it, also what is clamped to it."""
     scores = products(queries, vectors)
     if scores.dtype == object:
         reach = np.array([[x * slices >= int(t) for x in row] for row, t in zip(scores.tolist(), cutoffs.tolist(), strict=True)], bool).reshape(scores.shape)
     else:
         # Both sides are exact: a cutoff is a long, and slice scores are at most 2**53.
         reach = scores >= np.ceil(cutoffs / slices)[:, None] if np.abs(cutoffs).max(initial=0) < EXACT_DOUBLE else scores.astype(np.float64) * slices >= np.nextafter(cutoffs.astype(np.float64), -np.inf)[:, None]
-    return np.packbits(reach)
+    return reach | (cutoffs == LONG.min)[:, None]
+
+
+def entries_sent(reach: np.ndarray) -> bytes:
+    """Which entries are true: their places, or a bit for each if that is shorter."""
+    places = np.flatnonzero(reach)
+    return b"P" + places.astype("<u4").tobytes() if 32 * len(places) < reach.size else b"B" + np.packbits(reach).tobytes()
+
+
+def entries_read(sent: list[bytes], size: int) -> np.ndarray:
+    """Which entries some slice sent."""
+    out = np.zeros(size, bool)
+    for data in sent:
+        if data[:1] == b"P":
+            out[np.frombuffer(data, "<u4", offset=1)] = True
+        else:
+            out |= np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=size).astype(bool)
+    return out
 
 
 def resolved(own: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, entries: np.ndarray, cutoffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phase 3 of a block and a pack: (query id, vector id, score) of the best k that reach the cutoff,
     scores worked out for the ``entries`` alone."""
-    reach = np.unpackbits(entries, count=len(own) * len(ids)).reshape(len(own), len(ids)).astype(bool)
-    i, j = np.nonzero(reach & (ids[None, :] != own[:, None]))
+    i, j = np.nonzero(entries.reshape(len(own), len(ids)) & (ids[None, :] != own[:, None]))
     scores = pair_scores(queries, vectors, i, j)
     keep = scores >= cutoffs[i]
     i, j, scores = i[keep], j[keep], scores[keep]
@@ -263,16 +279,16 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
         for batch in batches:
             for row in batch.to_pylist():
                 _, queries, held = parts(row)
-                bits = reaching(queries, held, np.frombuffer(row["cutoffs"], np.int64), slices)
-                if bits.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["pack"]], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "pack", "bits"])
+                reach = reaching(queries, held, np.frombuffer(row["cutoffs"], np.int64), slices)
+                if reach.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["pack"]], pa.int64()), pa.array([entries_sent(reach)], pa.binary())], names=["block", "pack", "sent"])
 
     def phase_3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own, ids = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 queries, held = (whole_numbers(matrix(row[x], row["dim"], n), scale) for x, n in (("queries", len(own)), ("vectors", len(ids))))
-                entries = np.bitwise_or.reduce([np.frombuffer(bits, np.uint8) for bits in row["entries"]])
+                entries = entries_read(row["entries"], len(own) * len(ids))
                 made = resolved(own, queries, ids, held, entries, np.frombuffer(row["cutoffs"], np.int64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["query_id", "vec_id", "score"])
 
@@ -288,8 +304,8 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     cutoffs = scored.withColumn("nth", nth).filter(F.col("nth") <= k).filter(F.col("nth") == k).select("query_id", F.col("score").alias("cutoff"))
     told = materialize(_with_cutoffs(blocks, cutoffs), "query-cutoffs")
     # Phase 2: entries that reach the cutoff's share.  Phase 3: their scores.
-    sent = materialize(met(told, holders).mapInArrow(phase_2, "block long, pack long, bits binary"), "entries")
-    sent = sent.groupBy("block", "pack").agg(F.collect_list("bits").alias("entries"))  # one for each slice
+    sent = materialize(met(told, holders).mapInArrow(phase_2, "block long, pack long, sent binary"), "entries")
+    sent = sent.groupBy("block", "pack").agg(F.collect_list("sent").alias("entries"))  # one for each slice
     found = sent.join(told, "block").join(packs.drop("dim"), "pack").mapInArrow(phase_3, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -83,8 +83,29 @@ def test_the_cutoff_saves_scores(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(topk, "materialize", lambda frame, tag, **more: held.setdefault(tag, keep(frame, tag, **more)))
     made = got(topk.exact_top_k(df, F.col("id") % 100 == 0))
     assert made == brute(dict(enumerate(vectors.tolist())), 10)
-    entries = sum(int(np.unpackbits(np.frombuffer(r.bits, np.uint8)).sum()) for r in held["entries"].collect())
+    sent = [r.sent for r in held["entries"].collect()]
+    entries = sum((len(x) - 1) // 4 if x[:1] == b"P" else int(np.unpackbits(np.frombuffer(x, np.uint8, offset=1)).sum()) for x in sent)
     assert 0 < entries < 0.5 * 30 * 3000  # of 90,000 pairs, slices counted apart
+    assert sum(map(len, sent)) <= 4 * 30 * 3000 / 8 + 100 * len(sent)
+
+
+def test_entries_travel_either_way():
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.001, 0.02, 0.05, 0.5, 1.0):
+        one, other = (rng.random((37, 91)) < share for _ in range(2))
+        read = topk.entries_read([topk.entries_sent(one), topk.entries_sent(other)], one.size)
+        assert np.array_equal(read.reshape(one.shape), one | other)
+
+
+def test_scores_below_the_range_of_a_long(spark):
+    """Fewer candidates than asked for have no cutoff, and scores that are clamped to the least long reach it."""
+    few = {0: [1e8] * 4, 1: [-1e8] * 4, 2: [1e8, 1e8, -1e8, 1.0]}
+    many = few | {i: [-1e8] * 3 + [-1e8 - i] for i in range(3, 30)}
+    for vectors in (few, many):
+        df = spark.createDataFrame([(i, v, 0, "", "") for i, v in vectors.items()], SCHEMA.replace("float", "double"))
+        made = got(topk.exact_top_k(df, F.col("id") % 100 == 0, 5))
+        clamped = sorted((-max(-(2**63), min(2**63 - 1, sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(vectors[0], v)))), i) for i, v in vectors.items() if i)
+        assert made == {(0, n, i, -s) for n, (s, i) in enumerate(clamped[:5], 1)}
 
 
 def test_queries_that_are_too_many_to_broadcast(spark, monkeypatch):
