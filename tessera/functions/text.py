@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -399,15 +401,22 @@ def without_rules(text: Column) -> Column:
 def boost_tokens(query: Column) -> Column:
     """Query words that should rank literal matches higher, each once ignoring case."""
     found = F.filter(tokens(query), lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(STOP_TOKENS))
-    return F.filter(found, lambda t, i: F.array_position(F.transform(found, F.lower), F.lower(t)) == i + 1)
+    return let(F.transform(found, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))), lambda f: F.transform(
+        F.filter(f, lambda x, i: F.array_position(F.transform(f, lambda y: y["low"]), x["low"]) == i + 1), lambda x: x["t"]))
 
 
 def is_pin_query(query: Column) -> Column:
     return F.rlike(query, F.lit(PIN_WORDS)) & F.rlike(query, F.lit(INTERFACE_WORDS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once; a lambda would work out what it captures for every
+    element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hits_in(words: Column, text: Column) -> Column:
-    return F.size(F.filter(words, lambda t: F.contains(F.upper(text), F.upper(t))))
+    return let(F.upper(text), lambda upper: F.size(F.filter(words, lambda t: F.contains(upper, F.upper(t)))))
 
 
 def first_heading(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,3 +77,30 @@ def broadcast_if_small(df: DataFrame, most: int, weight: Column | None = None) -
     that); otherwise as it is, for a join by exchange.  Meant for written tables, which count fast."""
     size = df.count() if weight is None else (df.agg(F.sum(weight)).first()[0] or 0)
     return F.broadcast(df) if size <= most else df
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over all shuffle partitions, however few bytes they are: for what costs time
+    rather than bytes, where merging small partitions would leave one task with all the work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: What was made of a table in a session, by application, path, state and name.
+_KEPT: dict[tuple[str, ...], object] = {}
+
+
+def state(spark: SparkSession, path: str) -> str:
+    """What tells whether a table changed: how many files it has, their bytes, and when it was last written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    told = fs.getContentSummary(at)
+    return f"{told.getFileCount()}:{told.getLength()}:{fs.getFileStatus(at).getModificationTime()}"
+
+
+def kept(spark: SparkSession, path: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` makes of the table at ``path`` (tables it writes with ``keep``), made once as long as the
+    table does not change."""
+    key = (spark.sparkContext.applicationId, path, state(spark, path), name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
+from tessera.operators.durable import materialize
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Reranker = Callable[[list[str], list[str]], list[float]]
@@ -89,12 +90,57 @@ def lexical_reranker(queries: list[str], excerpts: list[str]) -> list[float]:
     return out
 
 
-def reranked(rows: DataFrame, query_col: str, excerpt_col: str, reranker: Reranker = lexical_reranker) -> DataFrame:
-    @F.pandas_udf(T.DoubleType())
-    def run(queries: pd.Series, excerpts: pd.Series) -> pd.Series:
-        return pd.Series(reranker(list(queries), list(excerpts)))
+#: Pairs that a model scores at a time, sorted by length so that a batch holds texts of like size.
+MODEL_BATCH = 64
+
+
+def loaded(make: Callable[[], Callable]) -> Callable:
+    """The model that ``make`` loads, once a worker; later batches and tasks of the worker reuse it."""
+    name = f"{make.__module__}.{make.__qualname__}"
+    if name not in _LOADED:
+        _LOADED[name] = make()
+    return _LOADED[name]
+
+
+_LOADED: dict[str, Callable] = {}
+
+
+def lazy(make: Callable[[], Callable]) -> Callable:
+    """A hook whose model is loaded by ``make``, a function of a module, where it first runs."""
+
+    def run(*columns: list):
+        return loaded(make)(*columns)
 
-    return rows.withColumn("logit", run(query_col, excerpt_col))
+    return run
+
+
+def by_length(model: Callable[..., list], columns: list[list], weigh: Callable[[int], int]) -> list:
+    """``model`` over rows in batches of like length; results in the order of the rows."""
+    order = sorted(range(len(columns[0])), key=weigh)
+    out: list = [None] * len(order)
+    for at in range(0, len(order), MODEL_BATCH):
+        own = order[at : at + MODEL_BATCH]
+        for i, value in zip(own, model(*([c[i] for i in own] for c in columns)), strict=True):
+            out[i] = value
+    return out
+
+
+def reranked(rows: DataFrame, query_col: str, content_col: str, words_col: str, reranker: Reranker = lexical_reranker, size: int = 512) -> DataFrame:
+    """``rows`` with ``logit``: the score of the question with the excerpt of the content that gathers most of
+    its words.  Each pair of a question and an excerpt is scored once, however many rows repeat it."""
+    with_excerpt = rows.withColumn("__excerpt", focused_excerpt(F.col(content_col), F.col(words_col), size))
+    asked = F.coalesce(F.col(query_col), F.lit(""))
+    with_excerpt = materialize(with_excerpt.withColumn("__pair", F.sha2(F.concat(F.length(asked).cast("string"), F.lit(":"), asked, F.col("__excerpt")).cast("binary"), 256)), "rerank-pairs")
+
+    @F.pandas_udf(T.DoubleType())
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, excerpts in batches:
+            asked, told = [q or "" for q in queries], [e or "" for e in excerpts]
+            yield pd.Series(by_length(reranker, [asked, told], lambda i: len(asked[i]) + len(told[i])), dtype="float64")
+
+    pairs = with_excerpt.groupBy("__pair").agg(F.first(query_col).alias("__asked"), F.first("__excerpt").alias("__told"))
+    scored = pairs.withColumn("logit", run("__asked", "__told")).select("__pair", "logit")
+    return with_excerpt.join(scored, "__pair").drop("__pair", "__excerpt")
 
 
 def extractive_model(prompts: list[str]) -> list[str]:

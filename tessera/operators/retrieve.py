@@ -1,54 +1,52 @@
 """Batch retrieval: recall, fusion, reranking, boosts, tier cascade and quotas for many questions.
 
-Questions are rows, so evaluating thousands of them is one job.  Sparse recall joins question
-tokens with postings on the token and the scope, so that only pairs inside a question's pool arise,
-and questions with fewer matches than asked for are filled up with the first chunks of their pool,
-which is what scores of zero in corpus order mean.  Dense recall joins blocks of questions with packs
-of vectors, both of a bounded size.
+Questions are rows, so evaluating thousands of them is one job.  Sparse recall searches packed postings
+by shard, dense recall packs of vectors (``postings``, ``vectors``); both skip what their bounds rule out.
+Questions with fewer matches than asked for are filled up with the first chunks of their pool, which is
+what scores of zero in corpus order mean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import hooks
 from tessera.operators import index as I
+from tessera.operators import postings as P
 from tessera.operators import scope as S
-from tessera.operators.durable import broadcast_if_small, materialize
+from tessera.operators import vectors as W
+from tessera.operators.durable import materialize, spread
+from tessera.operators.postings import DIGITS
 from tessera.schema import LAYOUT, RETRIEVAL, Layout, Retrieval
 
-#: Scores are compared after rounding, so that the order does not hang on the last bit.
-DIGITS = 6
-#: Tokens of questions, once for each scope they are asked in, that may be broadcast.
-SMALL_ASKED = 200_000
-#: Questions of a block and vectors of a pack of dense recall; blocks (a few MB each) that may be
-#: broadcast.
-BLOCK, PACK, SMALL_BLOCKS = 512, 2048, 16
 
+def asked_tokens(questions: DataFrame, index: I.Lexical, config: Retrieval = RETRIEVAL) -> DataFrame:
+    """(qid, tokens, weights): the tokens of ``questions`` that the index knows, each with its weight times
+    how often it is asked for."""
+    asked = materialize(questions.select("qid", F.explode(X.tokens(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times")), "question-tokens")
+    told = asked.join(index.weights(asked, config).select("token", "idf"), "token").select("qid", F.struct("token", (F.col("idf") * F.col("times")).alias("weight")).alias("x"))
+    told = told.groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a question's tokens
+    return told.select("qid", F.transform("x", lambda x: x["token"]).alias("tokens"), F.transform("x", lambda x: x["weight"]).alias("weights"))
 
-def asked_tokens(questions: DataFrame, index: I.Lexical) -> DataFrame:
-    """(qid, token, times, idf) of the tokens of ``questions`` that the index knows."""
-    asked = questions.select("qid", F.explode(X.tokens(F.col("query"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
-    return asked.join(index.weights.select("token", "idf"), "token")
 
-
-def bm25_scores(questions: DataFrame, index: I.Lexical, config: Retrieval = RETRIEVAL, key: str = "chunk_key", pool: DataFrame | None = None) -> DataFrame:
+def bm25_scores(questions: DataFrame, index: I.Lexical, config: Retrieval = RETRIEVAL, key: str = "chunk_key", pool: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """(qid, key, score) of all chunks that share a token with a question; or, with a ``pool`` (qid, tier,
-    project, build), (qid, tier, key, pos, score) of those in it.  Statistics are those of the whole
-    corpus, whatever the pool."""
-    asked, on, by = asked_tokens(questions, index), ["token"], ["qid", key]
-    if pool is not None:
-        asked, on, by = asked.join(pool.select("qid", "tier", "project", "build"), "qid"), ["token", "project", "build"], ["qid", "tier", key, "pos"]
-    asked = broadcast_if_small(materialize(asked, "asked-tokens"), SMALL_ASKED)
-    hits = index.posts.join(asked, on).join(F.broadcast(index.stats.select("avgdl")), F.lit(True))  # one row
-    part = I.bm25(F.col("tf"), F.col("length"), F.col("avgdl"), F.col("idf"), F.col("times"), config)
-    return hits.groupBy(*by).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    project, build), (qid, tier, key, pos, score) of those in it that may be among the ``k`` best.  Statistics
+    are those of the whole corpus, whatever the pool."""
+    told = asked_tokens(questions, index, config)
+    if pool is None:
+        # Every question sees every scope: one list of them, which each unfolds.
+        listed = index.leads.agg(F.collect_set(F.struct("project", "build")).alias("scopes"))
+        where = questions.select("qid").join(F.broadcast(listed), F.lit(True)).select("qid", F.lit(0).alias("tier"), F.explode("scopes").alias("s")).select("qid", "tier", "s.project", "s.build")  # one row
+    else:
+        where = pool.select("qid", "tier", "project", "build")
+    asked = materialize(where.join(told, "qid"), "asked")
+    found = P.search(index.packs, asked, index.stats.select("avgdl"), k, config, key)
+    return found if pool is not None else found.select("qid", key, "score")
 
 
 def top_k(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid",), rank: str = "rank") -> DataFrame:
@@ -56,14 +54,21 @@ def top_k(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid",
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def sparse_recall(questions: DataFrame, chunks: DataFrame, pool: DataFrame, index: I.Lexical, k: int, config: Retrieval = RETRIEVAL, key: str = "chunk_key") -> DataFrame:
+def sparse_recall(questions: DataFrame, pool: DataFrame, index: I.Lexical, k: int, config: Retrieval = RETRIEVAL, key: str = "chunk_key", chunks: DataFrame | None = None) -> DataFrame:
     """(qid, tier, key, pos, score, rank): the best k of each question's pool per tier.
 
-    ``pool``: (qid, tier, project, build); ``chunks``: (key, pos, project, build)."""
-    scored = bm25_scores(questions, index, config, key, pool)
+    ``pool``: (qid, tier, project, build).  ``chunks`` (key, pos, project, build) are needed only for more
+    results than the index keeps first chunks of a scope."""
+    scored = bm25_scores(questions, index, config, key, pool, k)
     # Zero scores in corpus order: the first k of every scope are enough.
-    lead = top_k(chunks.select(key, "pos", "project", "build"), k, F.col("pos"), by=("project", "build"), rank="nth").select(key, "pos", "project", "build")
-    zeros = pool.join(lead, ["project", "build"]).select("qid", "tier", key, "pos", F.lit(0.0).alias("score"))
+    if k > I.LEADS:
+        if chunks is None:
+            raise ValueError(f"more than {I.LEADS} results need the chunks")
+        lead = I.leads(chunks, key, k)
+    else:
+        lead = index.leads
+    zeros = pool.select("qid", "tier", "project", "build").join(top_k(lead.select(key, "pos", "project", "build"), k, F.col("pos"), by=("project", "build"), rank="nth").drop("nth"), ["project", "build"])
+    zeros = zeros.select("qid", "tier", key, "pos", F.lit(0.0).alias("score"))
     both = scored.unionByName(zeros).groupBy("qid", "tier", key, "pos").agg(F.max("score").alias("positive"), F.min("score").alias("least"))
     # A chunk that scores below zero also came in as a filler; its own score counts.
     real = both.select("qid", "tier", key, "pos", F.when(F.col("least") < 0, F.col("least")).otherwise(F.col("positive")).alias("score"))
@@ -72,58 +77,12 @@ def sparse_recall(questions: DataFrame, chunks: DataFrame, pool: DataFrame, inde
 
 def dense_recall(queries: DataFrame, vectors: DataFrame, k: int, key: str = "key") -> DataFrame:
     """(qid, key, score, rank): cosine top k.  ``queries``: (qid, unit [, scopes: array of names]);
-    ``vectors``: (key: long, unit [, scope]).  A question with scopes sees only vectors of those."""
-    scoped = "scopes" in queries.columns
-    asked = queries.select("qid", "unit", (F.col("scopes") if scoped else F.lit(None).cast("array<string>")).alias("scopes"))
-    held = vectors.select(F.col(key).alias("key"), "unit", (F.col("scope") if scoped else F.lit(None).cast("string")).alias("scope"))
-    # Vectors lie in packs; a block of questions visits every pack of its dimension, and both are bounded.
-    packs = held.mapInArrow(_packs, "dim int, keys array<long>, units array<double>, scopes array<string>")
-    blocks = materialize(asked.mapInArrow(_blocks, "dim int, qids array<long>, asked array<double>, allowed array<array<string>>"), "question-blocks")
-    small = broadcast_if_small(blocks, SMALL_BLOCKS)
-    if small is not blocks:
-        met = packs.join(small, "dim")
-    else:  # salts spread the packs over tasks
-        salts = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        every = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = packs.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int")).join(every, ["dim", "salt"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qids, keys = (np.asarray(batch.column(c)[i].values.to_numpy(zero_copy_only=False), np.int64) for c in ("qids", "keys"))
-                matrix, units = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in (("asked", len(qids)), ("units", len(keys))))
-                scores = np.round(matrix @ units.T, DIGITS)
-                if scoped:
-                    names, column = np.unique(batch.column("scopes")[i].as_py(), return_inverse=True)
-                    allowed = np.array([[n in (own or ()) for n in names] for own in batch.column("allowed")[i].as_py()], bool)
-                    scores = np.where(allowed[:, column], scores, -np.inf)
-                for q, own in zip(qids, scores, strict=True):
-                    order = np.lexsort((keys, -own))[:k]
-                    order = order[own[order] > -np.inf]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q)), pa.array(keys[order]), pa.array(own[order])], names=["qid", key, "score"])
-
-    found = met.select("qids", "asked", "allowed", "keys", "units", "scopes").mapInArrow(run, f"qid long, {key} long, score double")
-    return top_k(found, k, F.desc("score"), F.col(key))
-
-
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _together(batches, PACK, ["dim", "keys", "units", "scopes"], pa.string())
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _together(batches, BLOCK, ["dim", "qids", "asked", "allowed"], pa.list_(pa.string()))
-
-
-def _together(batches: Iterator[pa.RecordBatch], size: int, names: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows (name, unit, scopes) as arrays of at most ``size`` rows of one dimension."""
-    for batch in batches:
-        dims = np.array([len(x) for x in batch.column(1)], np.int64)
-        for dim in np.unique(dims).tolist():
-            rows = batch.filter(pa.array(dims == dim))
-            for at in range(0, rows.num_rows, size):
-                part = rows.slice(at, size)
-                columns = [pa.array([x], pa.list_(of)) for x, of in ((part.column(0), pa.int64()), (part.column(1).flatten(), pa.float64()), (part.column(2).to_pylist(), kind))]
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *columns], names=names)
+    ``vectors``: (key: long, unit [, scope]), or a written table of packs of them.  A question with scopes
+    sees only vectors of those."""
+    if "centre" not in vectors.columns:
+        held = vectors.select(F.col(key).alias("key"), "unit", (F.col("scope") if "scope" in vectors.columns else F.lit("")).alias("scope"))
+        vectors = materialize(W.pack_vectors(held), "vector-packs")
+    return W.dense_search(queries, vectors, k, key)
 
 
 def fused(*lists: DataFrame, by: tuple[str, ...] = ("qid",), key: str = "chunk_key") -> DataFrame:
@@ -136,7 +95,11 @@ def fused(*lists: DataFrame, by: tuple[str, ...] = ("qid",), key: str = "chunk_k
 
 def lexical_logit(words: Column, content: Column) -> Column:
     """The offline reranker: the share of the question's words that occur, from -6 to 2."""
-    return F.round(F.when(F.size(words) == 0, -6.0).otherwise(8.0 * X.hits_in(words, content) / F.size(words) - 6.0), DIGITS)
+    return share_logit(words, X.hits_in(words, content))
+
+
+def share_logit(words: Column, hits: Column) -> Column:
+    return F.round(F.when(F.size(words) == 0, -6.0).otherwise(8.0 * hits / F.size(words) - 6.0), DIGITS)
 
 
 def metadata_boost(words: Column, interfaces: Column, nets: Column, keywords: Column, title: Column) -> Column:
@@ -197,11 +160,11 @@ def cascade(candidates: DataFrame, k: int | None = None, threshold: float | None
     return final.withColumn("top_score", F.max("score").over(per_question))
 
 
-def scope_pool(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, tiered: bool) -> DataFrame:
-    """(qid, tier, project, build, scope_rank): where each question searches."""
+def scope_pool(questions: DataFrame, scopes: DataFrame, catalog: DataFrame, tiered: bool) -> DataFrame:
+    """(qid, tier, project, build, scope_rank): where each question searches; ``scopes``: (project, build, ...)."""
     known = questions.filter("project is not null and build is not null").select("qid", "project", "build")
     open_ = questions.filter("project is not null and build is null").select("qid", F.col("project").alias("product"))
-    every = chunks.select("project", "build").distinct()
+    every = scopes.select("project", "build").distinct()
     # A question without a project sees all scopes: one list of them, which each such question unfolds.
     listed = every.agg(F.collect_set(F.struct("project", "build")).alias("scopes"))
     free = questions.filter("project is null").select("qid").join(F.broadcast(listed), F.lit(True))  # one row
@@ -211,7 +174,7 @@ def scope_pool(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, tier
     return ranked.select("qid", tier.alias("tier"), "project", "build", "scope_rank")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog: DataFrame, config: Retrieval = RETRIEVAL, *, use_cascade: bool | None = None, dense: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog: DataFrame, config: Retrieval = RETRIEVAL, *, use_cascade: bool | None = None, dense: DataFrame | None = None, reranker: hooks.Reranker | None = None) -> DataFrame:
     """The whole of retrieval for ``questions`` (qid, query, project, build): recall per tier, fusion,
     reranking, boosts, cascade or flat order, and the score gate.
 
@@ -219,36 +182,41 @@ def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog:
     interfaces]); the columns in brackets feed the metadata part of the boost.  A question with a project
     alone inherits from all its builds; one without a project sees everything as one tier.  ``dense``:
     (qid, tier, chunk_key, pos, score) of a dense recall over each question's pool, which comes first in
-    the fusion (see ``dense_pool``)."""
+    the fusion (see ``dense_pool``).  A ``reranker`` scores each question with the excerpt of a chunk that
+    gathers most of its words; without one, the words are looked for in the whole chunk."""
     tiered = config.scope_cascade if use_cascade is None else use_cascade
-    free = questions.select("qid", X.boost_tokens(F.col("query")).alias("words"), X.is_pin_query(F.col("query")).alias("pin"))
-    pool = materialize(scope_pool(questions, chunks, catalog, tiered), "scope-pool")
-    sparse = sparse_recall(questions.select("qid", "query"), chunks, pool.select("qid", "tier", "project", "build"), index, config.sparse_k, config)
+    free = questions.select("qid", "query", X.boost_tokens(F.col("query")).alias("words"), X.is_pin_query(F.col("query")).alias("pin"))
+    pool = materialize(scope_pool(questions, index.leads, catalog, tiered), "scope-pool")
+    sparse = sparse_recall(questions.select("qid", "query"), pool, index, config.sparse_k, config, chunks=chunks)
     lists = [sparse]
     if dense is not None:
         lists.insert(0, top_k(dense, config.dense_k, F.desc("score"), F.col("pos"), by=("qid", "tier")))
-    found = fused(*lists, by=("qid", "tier")).drop("rank", "source")
+    found = materialize(fused(*lists, by=("qid", "tier")).drop("rank", "source"), "candidates")
     rows = found.join(chunks, "chunk_key").join(free, "qid").join(pool.select("qid", "project", "build", "scope_rank"), ["qid", "project", "build"])
-    hits = X.hits_in(F.col("words"), F.col("content"))
+    # The few candidates leave the scan of the chunks before the costly part, by question as the ranks need them.
+    rows = spread(rows, "qid").withColumn("hits", X.hits_in(F.col("words"), F.col("content")))
     told = [F.col(c) if c in chunks.columns else F.lit(None).cast(X.STRINGS) for c in ("interfaces", "nets", "keywords")]
     title = F.col("title") if "title" in chunks.columns else F.lit(None).cast("string")
     meta = metadata_boost(F.col("words"), *told, title) if {"title", "keywords"} & set(chunks.columns) else F.lit(0)
+    if reranker is None:
+        rows = rows.withColumn("score", share_logit(F.col("words"), F.col("hits")))
+    else:
+        rows = hooks.reranked(rows, "query", "content", "words", reranker, config.excerpt_chars).withColumn("score", F.round("logit", DIGITS))
     rows = rows.withColumns({
-        "score": lexical_logit(F.col("words"), F.col("content")), "boost": keyword_boost(hits, meta),
-        "doc_rank": document_rank(F.col("document_type"), F.col("project"), F.col("build"), F.col("pin")),
+        "boost": keyword_boost(F.col("hits"), meta), "doc_rank": document_rank(F.col("document_type"), F.col("project"), F.col("build"), F.col("pin")),
     }).select("qid", "tier", "chunk_key", "pos", "scope_rank", "doc_rank", "boost", "score", "content", "project", "build", "document_type")
     final = cascade(rows, config=config) if tiered else flat_results(rows, config.final_k)
     return final if config.minimum_score is None else final.filter(F.col("top_score") >= config.minimum_score)
 
 
-def dense_pool(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, catalog: DataFrame, config: Retrieval = RETRIEVAL, *, use_cascade: bool | None = None) -> DataFrame:
+def dense_pool(questions: DataFrame, packs: DataFrame, chunks: DataFrame, scopes: DataFrame, catalog: DataFrame, config: Retrieval = RETRIEVAL, *, use_cascade: bool | None = None) -> DataFrame:
     """(qid, tier, chunk_key, pos, score): dense recall per question and tier.  ``questions``: with ``unit``;
-    ``vectors``: (chunk_key, unit, project, build)."""
+    ``packs``: packs of vectors whose scopes are project and build, joined by a unit separator."""
     tiered = config.scope_cascade if use_cascade is None else use_cascade
     scope = F.concat_ws("\x1f", "project", "build")
-    pool = scope_pool(questions, chunks, catalog, tiered).groupBy("qid", "tier").agg(F.collect_set(scope).alias("scopes"))
+    pool = scope_pool(questions, scopes, catalog, tiered).groupBy("qid", "tier").agg(F.collect_set(scope).alias("scopes"))
     # A question asks once for each of its tiers.
     asked = materialize(pool.join(questions.select("qid", "unit"), "qid").withColumn("nth", F.monotonically_increasing_id()), "dense-questions")
-    found = dense_recall(asked.select(F.col("nth").alias("qid"), "unit", "scopes"), vectors.select(F.col("chunk_key").alias("key"), "unit", scope.alias("scope")), config.dense_k)
+    found = W.dense_search(asked.select(F.col("nth").alias("qid"), "unit", "scopes"), packs, config.dense_k)
     named = found.select(F.col("qid").alias("nth"), F.col("key").alias("chunk_key"), "score").join(asked.select("nth", "qid", "tier"), "nth")
     return named.join(chunks.select("chunk_key", "pos"), "chunk_key").select("qid", "tier", "chunk_key", "pos", "score")

@@ -10,6 +10,8 @@ from tessera.operators import hooks
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
+from tessera.operators import vectors as W
+from tessera.operators.durable import kept, materialize
 from tessera.plans.base import Plans
 from tessera.plans.q_scope import CATALOG
 from tessera.plans.q_text import BOOST
@@ -27,9 +29,9 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, I.Lexical]:
-    """(chunks, lexical index), the index written once as a store would have it."""
+    """(chunks, lexical index); the index is written once for each state of the table."""
     rows = docs(spark, d)
-    return rows, I.lexical(rows, "chunk_key")
+    return rows, kept(spark, f"{d}/documents.parquet", "lexical", lambda: I.lexical(rows, "chunk_key"))
 
 
 STATS = f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(content, {TOKEN})) AS token FROM kb_docs),
@@ -45,7 +47,7 @@ scores AS (SELECT qid, doc_id, round(sum(times * idf * tf * (1.5::DOUBLE + 1) /
 
 @add("X02_bm25_stats", f"WITH {V.KB_DOCS}, {STATS} SELECT token, df::BIGINT AS df, round(idf, 6) AS idf FROM weights")
 def x02(spark, d):
-    return indexed(spark, d)[1].weights.select("token", "df", F.round("idf", 6).alias("idf"))
+    return indexed(spark, d)[1].weights().select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @add("X08_search_text", f"WITH {V.KB_DOCS} SELECT doc_id, len(regexp_extract_all(project || chr(10) || chr(10) || content, {TOKEN}))::INTEGER AS n FROM kb_docs")
@@ -87,9 +89,10 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (
 SELECT qid, key, score, rank FROM r WHERE rank <= 4
 """)
 def r02(spark, d):
-    units = I.unit_vectors(V.table(spark, d, "embeddings")).select(F.col("vec_id").alias("key"), "unit")
+    units = I.unit_vectors(V.table(spark, d, "embeddings")).select(F.col("vec_id").alias("key"), "unit", F.lit("").alias("scope"))
     asked = units.filter("key % 50 = 0").select(F.col("key").alias("qid"), "unit")
-    return R.dense_recall(asked, units, 4)
+    packs = kept(spark, f"{d}/embeddings.parquet", "vectors", lambda: materialize(W.pack_vectors(units), "vector-packs", keep=True))
+    return R.dense_recall(asked, packs, 4)
 
 
 @add("R03_bm25_scores", f"WITH {V.KB_DOCS}, {V.QUESTIONS}, {STATS}, {SCORES} SELECT qid, doc_id AS chunk_key, score FROM scores")
@@ -109,7 +112,7 @@ SELECT qid, doc_id AS chunk_key, score, rank FROM ranked WHERE rank <= 8
 def r04(spark, d):
     rows, index = indexed(spark, d)
     pool = S.ranks(V.questions(spark, d).select("qid", F.lit("prj1").alias("project"), F.lit("b2").alias("build"))).select("qid", F.lit(0).alias("tier"), "project", "build")
-    found = R.sparse_recall(V.questions(spark, d), rows, pool, index, 8)
+    found = R.sparse_recall(V.questions(spark, d), pool, index, 8)
     return found.select("qid", "chunk_key", "score", "rank")
 
 
@@ -140,8 +143,9 @@ def r06(spark, d):
     # All questions are of one project: its boards' scopes are one list, which each question unfolds.
     scopes = own.agg(F.collect_set(F.struct("project", "build")).alias("scopes"))
     pool = V.questions(spark, d).join(F.broadcast(scopes), F.lit(True)).select("qid", F.lit(0).alias("tier"), F.explode("scopes").alias("s")).select("qid", "tier", "s.project", "s.build")
-    posts = index.posts.join(own.select("chunk_key"), "chunk_key", "left_semi")
-    found = R.sparse_recall(V.questions(spark, d), own, pool, I.Lexical(posts, index.weights, index.stats), 4)
+    mine = kept(spark, f"{d}/documents.parquet", "schematics", lambda: I.lexical(own, "chunk_key"))
+    # Only schematics are searched, with the statistics of the whole corpus.
+    found = R.sparse_recall(V.questions(spark, d), pool, I.Lexical(mine.packs, index.frequencies, index.stats, mine.leads), 4)
     return found.select("qid", "chunk_key", "score", "rank")
 
 
@@ -256,7 +260,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 def searched(spark: SparkSession, d: str, use_cascade: bool) -> DataFrame:
     rows, index = indexed(spark, d)
-    return R.retrieve(asked(spark, d), rows, index, S.catalog(rows), use_cascade=use_cascade)
+    return R.retrieve(asked(spark, d), rows, index, S.catalog(index.leads), use_cascade=use_cascade)
 
 
 RANK_BY_NAME = "CASE WHEN qid % 4 = 3 THEN 0 WHEN project = 'global' THEN 2 WHEN build = 'common' THEN 1 ELSE 0 END"
@@ -274,7 +278,7 @@ SELECT qid, doc_id AS chunk_key, score, row_number() OVER (PARTITION BY qid ORDE
 def r14(spark, d):
     rows, index = indexed(spark, d)
     everywhere = V.questions(spark, d).withColumns({"project": F.lit(None).cast("string"), "build": F.lit(None).cast("string")})
-    return R.retrieve(everywhere, rows, index, S.catalog(rows), use_cascade=False).select("qid", "chunk_key", "score", "rank")
+    return R.retrieve(everywhere, rows, index, S.catalog(index.leads), use_cascade=False).select("qid", "chunk_key", "score", "rank")
 
 
 @add("R20_flat_retrieve", f"""

@@ -86,6 +86,7 @@ class Engine:
     template: str = TEMPLATE
     gate: AdmissionGate = field(default_factory=AdmissionGate)
     embedder: hooks.Embedder = hooks.hashing_embedder
+    reranker: hooks.Reranker = hooks.lexical_reranker
     tables: dict[str, DataFrame] = field(default_factory=dict)
     lexical: I.Lexical | None = None
 
@@ -95,18 +96,19 @@ class Engine:
         chunks = self.store.load("chunks")
         if chunks is None:
             raise FileNotFoundError(f"no index under {self.store.root}")
-        self.tables = {"chunks": chunks.withColumn("pos", F.col("chunk_key")), "catalog": S.catalog(chunks)}
         self.lexical = self.store.lexical()
+        self.tables = {"chunks": chunks, "catalog": S.catalog(self.lexical.leads), "vectors": self.store.load("vectors")}
 
     def retrieve(self, questions: DataFrame, config: Retrieval | None = None) -> DataFrame:
         """``questions``: (qid, query, project, build).  Dense recall comes first, then sparse."""
         if not self.tables:
             self.load()
         chunks, catalog, config = self.tables["chunks"], self.tables["catalog"], config or self.config
-        vectors = I.unit_vectors(chunks.select("chunk_key", "project", "build", "embedding"))
-        asked = I.unit_vectors(hooks.embedded(questions, "query", self.embedder))
-        dense = R.dense_pool(asked, vectors, chunks, catalog, config)
-        return R.retrieve(questions, chunks, self.lexical, catalog, config, dense=dense)
+        dense = None
+        if self.tables["vectors"] is not None:
+            asked = I.unit_vectors(hooks.embedded(questions, "query", self.embedder))
+            dense = R.dense_pool(asked, self.tables["vectors"], chunks, self.lexical.leads, catalog, config)
+        return R.retrieve(questions, chunks, self.lexical, catalog, config, dense=dense, reranker=self.reranker)
 
     def query(self, request: dict, timeout: float | None = 300.0, tag: str | None = None) -> dict:
         """Answer one request {question, project?, build?, history?}; past ``timeout`` its jobs, which run

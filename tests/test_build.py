@@ -89,15 +89,15 @@ def test_a_sync_reads_and_writes_only_what_changed(spark, raw, tmp_path, monkeyp
     got = build.sync_index(spark, str(raw), store)
     assert (got["index"], got["unchanged"], got["removed"], got["quarantined"]) == (1, 5, 0, 3) and parsed == [["p1/b1/note/[new] *.md"]]
     assert spark.read.parquet(f"{tmp_path}/index/chunks/segment=2").count() == 1
-    fresh = I.lexical(store.load("chunks").withColumn("pos", F.col("chunk_key")), "chunk_key", "index_text")
+    fresh = I.lexical(store.load("chunks"), "chunk_key", "index_text")
     (raw / "p1/common/sop/beta.txt").write_bytes(b"Changed, but not looked at.")
     (raw / "p1/b1/note/alpha.md").unlink()
     got = build.sync_index(spark, str(raw), store, under="p1/b1/")
     assert (got["index"], got["removed"]) == (0, 1) and build.sync_index(spark, str(raw), store, under="p1/b1/note/alpha.md")["removed"] == 0
     assert build.sync_index(spark, str(raw), store, under="p1/common/sop/beta.txt")["index"] == 1
-    fresh = I.lexical(store.load("chunks").withColumn("pos", F.col("chunk_key")), "chunk_key", "index_text")
+    fresh = I.lexical(store.load("chunks"), "chunk_key", "index_text")
     rows = lambda df: sorted((r.token, r.df, round(r.idf, 9)) for r in df.collect())
-    assert rows(store.load("tokens")) == rows(fresh.weights)
+    assert rows(store.load("tokens")) == rows(fresh.weights())
     for path in raw.rglob("*.*"):
         if path.is_file():
             path.unlink()

@@ -66,7 +66,7 @@ def test_sparse_recall_fills_up_with_zero_scores(spark):
     chunks = spark.createDataFrame([(1, 1, "p", "b", "alpha beta"), (2, 2, "p", "b", "gamma"), (3, 3, "p", "b", "alpha"), (4, 4, "q", "b", "alpha")], "chunk_key long, pos long, project string, build string, content string")
     pool = spark.createDataFrame([(1, 0, "p", "b")], "qid long, tier int, project string, build string")
     asked = spark.createDataFrame([(1, "gamma")], "qid long, query string")
-    found = R.sparse_recall(asked, chunks, pool, I.lexical(chunks, "chunk_key"), 3)
+    found = R.sparse_recall(asked, pool, I.lexical(chunks, "chunk_key"), 3)
     assert [r.chunk_key for r in found.orderBy("rank").collect()] == [2, 1, 3]
 
 
