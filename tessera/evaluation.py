@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.config import Config, for_evaluation
 from tessera.functions import text as X
-from tessera.operators import answer as A
 from tessera.operators import evaluate as E
 from tessera.schema import EVALUATION, Evaluation
 from tessera.service import Engine
@@ -32,7 +34,7 @@ def retrieval_metrics(engine: Engine, asked: DataFrame, hits: DataFrame) -> Data
 def answer_metrics(engine: Engine, asked: DataFrame, hits: DataFrame, config: Evaluation = EVALUATION) -> DataFrame:
     """Metrics of the answers to each case's own question (not its paraphrases)."""
     first = asked.filter("variant = 0")
-    made = A.answers(first.select("qid", "question", F.lit("(none)").alias("history")), hits, engine.template.replace("{{scope_rules}}", ""), engine.model)
+    made = engine.answers(first.select("qid", "question", "project", "build"))
     cited = F.coalesce(F.transform("citations", lambda c: c["source_file"]), F.array().cast(X.STRINGS))
     rows = first.join(made.select("qid", "answer", F.col("insufficient_context").alias("insufficient"), cited.alias("cited")), "qid").withColumn("required", F.col("required_sources"))
     return E.answer_metrics(rows, config)
@@ -42,6 +44,8 @@ def run(engine: Engine, cases: DataFrame, mode: str = "retrieval", config: Evalu
     """One report row for ``cases`` (see ``sources.golden``)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    # Deterministic: no rewriting, classification, scope inference or fallback.
+    engine = replace(engine, generation=for_evaluation(Config(generation=engine.generation)).generation)
     engine.load()
     asked = variants(cases)
     found = engine.retrieve(asked.select("qid", F.col("question").alias("query"), "project", "build"))

@@ -43,18 +43,85 @@ def processed(files: DataFrame, layout: Layout = LAYOUT, reader: pages.PageReade
     return documents, skipped.unionByName(bad).unionByName(later)
 
 
+MIRROR = "target_file string, path string, stem string, title string, source_file string, source_mtime double, source_size long, keywords array<string>, content string, sidecar string, project string, build string, document_type string"
+#: Folders of the mirror: a scope and a type each.
+MIRROR_PARTS = ("project", "build", "document_type")
+
+
 def write_processed(documents: DataFrame, root: str) -> None:
-    """The processed mirror: texts with their metadata as a sidecar column, by scope and type."""
+    """The processed mirror: texts with their metadata as a sidecar column, by scope and type.  Scopes and types
+    that ``documents`` has are written anew, others stay."""
     rows = documents.withColumn("sidecar", ingest.metadata_json(documents))
-    rows.write.mode("overwrite").partitionBy("project", "build", "document_type").parquet(root)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MIRROR_PARTS).parquet(root)
 
 
 def read_processed(spark: SparkSession, root: str) -> DataFrame:
     """The mirror back, metadata read leniently from the sidecar."""
-    rows = spark.read.parquet(root)
+    rows = spark.read.schema(MIRROR).parquet(root)  # folders named by numbers stay texts
     return rows.withColumn("metadata", ingest.metadata_from_json(F.coalesce("sidecar", F.lit("{}"))))
 
 
+def _exists(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(path))
+
+
+def ingest_folder(spark: SparkSession, raw_root: str, mirror: str, layout: Layout = LAYOUT, *, force: bool = False, reader: pages.PageReader | None = None, under: str = "") -> dict[str, object]:
+    """Bring the processed mirror up to date with a raw folder: parse what is new or changed (all, with
+    ``force``), drop what is gone, and say how many documents took which action and what could not be read.
+
+    Only the scopes and types with a change are written, each from what stays and what is new; a failed
+    write leaves them as they were.  ``under`` limits this to one folder (with a slash at its end) or file."""
+    ship(spark)
+    fit, skipped = ingest.supported(ingest.raw_files(spark, raw_root).select("path", "mtime", "size"), layout)
+    readable = PARSED if reader is None else [*PARSED, "prose_pdf", "datasheet_pdf", "schematic_pdf"]
+    inside = F.startswith("path", F.lit(under)) if under.endswith("/") else (F.col("path") == under) if under else F.lit(True)
+    raw = materialize(fit.filter(inside & F.col("parser").isin(readable)).select("path", "mtime", "size"), "raw-files")
+    old = read_processed(spark, mirror) if _exists(spark, mirror) else None
+    if old is None:
+        known = raw.select("path", "mtime", "size").limit(0).withColumn("has_sidecar", F.lit(True))
+    else:
+        known = old.select("path", F.col("metadata.source_mtime").alias("mtime"), F.col("metadata.source_size").alias("size"), (F.col("sidecar").isNotNull() & F.col("content").isNotNull()).alias("has_sidecar"))
+    plan = materialize(sync.needs_ingest(raw, known), "ingest-plan")
+    due = plan.filter(F.col("ingest") | F.lit(force)).select("path")
+    prefix = under if under.endswith("/") else ""
+    gone = known.select("path").limit(0) if under and not prefix else sync.orphans(known.select("path"), fit.select("path"), prefix)
+    gone = materialize(gone, "orphans")
+    few = [r["path"] for r in due.limit(NAMED_FILES + 1).collect()]
+    counts = {"ingested": 0, "unchanged": plan.count() - due.count(), "removed": gone.count()}
+    later = fit.filter(inside & ~F.col("parser").isin(readable)).select("path", F.lit("needs a parser hook").alias("reason"))
+    bad = skipped.filter(inside).unionByName(later)
+    changed = None
+    if few:
+        files = ingest.raw_files(spark, raw_root, few) if len(few) <= NAMED_FILES else ingest.raw_files(spark, raw_root).join(due, "path", "left_semi")
+        documents, unread = processed(files, layout, reader)
+        changed = materialize(documents, "ingested-documents")
+        counts["ingested"] = changed.count()
+        bad = bad.unionByName(unread)
+    if changed is not None or counts["removed"]:
+        parts = old.join(gone, "path", "left_semi").select(*MIRROR_PARTS) if old is not None else None
+        if changed is not None:
+            parts = changed.select(*MIRROR_PARTS) if parts is None else parts.unionByName(changed.select(*MIRROR_PARTS))
+        parts = materialize(parts.distinct(), "mirror-parts")
+        rows = changed
+        if old is not None:
+            kept = old.drop("metadata", "sidecar").join(parts, [*MIRROR_PARTS], "left_semi").join(due, "path", "left_anti").join(gone, "path", "left_anti")
+            rows = kept if changed is None else kept.unionByName(changed)
+        rows = materialize(rows, "mirror-rows")  # read before it is overwritten
+        write_processed(rows, mirror)
+        _drop_empty(spark, mirror, parts.join(rows.select(*MIRROR_PARTS).distinct(), [*MIRROR_PARTS], "left_anti"))
+    told = [r.asDict() for r in bad.orderBy("path").limit(1000).collect()]
+    return counts | {"quarantined": told}
+
+
+def _drop_empty(spark: SparkSession, mirror: str, parts: DataFrame) -> None:
+    """Folders whose last document is gone."""
+    for r in parts.collect():  # a row a scope and type
+        path = spark._jvm.org.apache.hadoop.fs.Path("/".join([mirror.rstrip("/"), *(f"{c}={r[c]}" for c in MIRROR_PARTS)]))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunk_table(documents: DataFrame, config: Chunking = CHUNKING, embedder: hooks.Embedder = hooks.hashing_embedder) -> DataFrame:
     """Chunks with their document's metadata, index text, vector and a key of (target_file, seq)."""
     pieces = chunk.chunk_documents(documents, config)

@@ -153,9 +153,13 @@ def extractive_model(prompts: list[str]) -> list[str]:
 
 
 def generated(rows: DataFrame, prompt_col: str, model: Model = extractive_model, out: str = "answer") -> DataFrame:
+    """``rows`` with the model's reply to a prompt, in batches of like length."""
+
     @F.pandas_udf(T.StringType())
-    def run(prompts: pd.Series) -> pd.Series:
-        return pd.Series(model([p or "" for p in prompts]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            asked = [p or "" for p in prompts]
+            yield pd.Series(by_length(model, [asked], lambda i: len(asked[i])), dtype="object")
 
     return rows.withColumn(out, run(prompt_col))
 

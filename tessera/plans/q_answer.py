@@ -289,3 +289,75 @@ def e11(spark, d):
 def e14(spark, d):
     sources = F.when(F.col("item_id") % 2 == 0, F.array().cast(X.STRINGS)).otherwise(F.array(F.lit("data/raw/a.md")))
     return E.invalid_cases(cases(spark, d).withColumn("required_sources", sources)).select("case_id", F.array_join("broken", ",").alias("broken"))
+
+
+# --- the whole way of a request -----------------------------------------------------------------
+
+
+def lifecycle_model():
+    """A stub: names a task and a product by the length of the question, and answers with a fixed text."""
+
+    def model(prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            if "Answer with the lines" not in prompt:
+                out.append("an answer [1]")
+                continue
+            n = len(prompt.split("\n\nQuestion: ", 1)[1].rsplit("\n\nAnswer with the lines", 1)[0])
+            out.append(f"TASK: {('wiki', 'translate', 'fa')[n % 3]}\nPRODUCT: {'none' if n % 2 else f'prj{n % 3}'}\nREVISION: none\nLAYER: inherit")
+        return out
+
+    return model
+
+
+# The caller names a scope for half of the questions; the model prepares what has no scope or no task.
+_N = f"length({S.format('query')})"
+_FREE = f"(qid % 4 >= 2 AND {_N} % 2 = 1)"
+_TASK = f"CASE WHEN qid % 7 = 1 THEN 'translate' WHEN qid % 7 = 2 THEN 'debug' ELSE (['wiki','translate','fa'])[{_N} % 3 + 1] END"
+_ASKED = f"qid % 11 <> 0 AND {_TASK} <> 'translate'"
+
+
+def lifecycle_sql() -> str:
+    from tessera.plans import q_retrieve as Q
+
+    searched = Q.SEARCHED.replace("TIERED", "TRUE").replace("qid % 4 = 3", _FREE).replace("qid % 4 <> 3", f"NOT {_FREE}")
+    searched = searched.replace("'prj' || (qid % 3) AS p", f"CASE WHEN qid % 4 < 2 THEN 'prj' || (qid % 3) ELSE 'prj' || ({_N} % 3) END AS p")
+    # The rank of a scope is asked for where the text of the question is no longer there.
+    searched = searched.replace("SELECT qid, CASE WHEN tiered AND NOT " + _FREE, "SELECT qid, CASE WHEN tiered AND NOT free").replace(Q.RANK_BY_NAME.replace("qid % 4 = 3", _FREE), Q.RANK_BY_NAME.replace("qid % 4 = 3", "free"))
+    searched = searched.replace("SELECT DISTINCT qid, project, build FROM targets", "SELECT DISTINCT qid, free, project, build FROM targets")
+    return f"""
+WITH {V.KB_DOCS}, {V.QUESTIONS}, {Q.STATS}, {Q.SCORES}, {searched},
+merged AS (SELECT *, row_number() OVER (PARTITION BY qid, tier ORDER BY score DESC, {Q.ORDER}) AS tier_rank FROM scored),
+led AS (SELECT *, coalesce(min(CASE WHEN score >= -3.0 THEN tier END) OVER (PARTITION BY qid), max(tier) OVER (PARTITION BY qid)) AS primary_tier FROM merged),
+capped AS (SELECT * FROM led WHERE tier >= primary_tier AND tier_rank <= CASE WHEN tier = primary_tier THEN ([6, 6, 8])[primary_tier + 1] ELSE ([6, 2, 2])[tier + 1] END),
+hits AS (SELECT qid, score, row_number() OVER (PARTITION BY qid ORDER BY tier, tier_rank) AS rank FROM capped QUALIFY rank <= 8),
+found AS (SELECT qid, count(*)::INTEGER AS hit_count, max(score) AS top_score FROM hits GROUP BY qid),
+told AS (
+  SELECT qid, CASE WHEN qid % 11 = 0 THEN 'cancelled' WHEN {_TASK} = 'translate' THEN 'translation'
+    WHEN (qid % 7 <> 2) AND (coalesce(hit_count, 0) = 0 OR coalesce(top_score < -4.0, FALSE)) THEN 'assistant' WHEN coalesce(hit_count, 0) = 0 THEN 'insufficient' ELSE 'prepared' END AS route,
+    CASE WHEN qid % 11 = 0 THEN (CASE qid % 7 WHEN 1 THEN 'translate' WHEN 2 THEN 'debug' END) ELSE {_TASK} END AS task,
+    CASE WHEN {_ASKED} THEN coalesce(hit_count, 0) ELSE 0 END AS hit_count, CASE WHEN {_ASKED} THEN top_score END AS top_score,
+    qid % 11 <> 0 AND qid % 7 <> 1 AND (qid % 7 <> 2 OR qid % 4 >= 2) AS model_prepared
+  FROM questions LEFT JOIN found USING (qid)
+)
+SELECT *, CASE WHEN route IN ('translation', 'assistant', 'prepared') THEN 'an answer [1]' ELSE '' END AS answer FROM told"""
+
+
+@add("G13_lifecycle", lifecycle_sql())
+def g13_lifecycle(spark, d):
+    from tessera.operators import lifecycle as L
+    from tessera.operators import retrieve as R
+    from tessera.operators import scope
+    from tessera.plans import q_retrieve as Q
+
+    rows, index = Q.indexed(spark, d)
+    q = F.col("qid")
+    own = V.questions(spark, d).select(
+        "qid", F.col("query").alias("question"), F.when(q % 4 < 2, F.concat(F.lit("prj"), (q % 3).cast("string"))).alias("project"), F.when(q % 4 < 2, F.concat(F.lit("b"), (q % 3 + 1).cast("string"))).alias("build"),
+        F.when(q % 7 == 1, "translate").when(q % 7 == 2, "debug").alias("task"), (q % 11 == 0).alias("cancelled"),
+    )
+    catalog = scope.catalog(index.leads)
+    none = F.lit(None).cast("string")
+    chunks = rows.select("chunk_key", F.col("chunk_key").cast("string").alias("chunk_id"), none.alias("source_file"), none.alias("target_file"), F.lit(0).alias("page"), none.alias("heading_path"))
+    made = L.answered(own, lambda asked: R.retrieve(asked, rows, index, catalog), catalog, chunks, lifecycle_model(), "{{context}}\n\nQ: {{question}}")
+    return made.select("qid", "route", "task", "hit_count", "top_score", "model_prepared", F.regexp_replace("answer", r"(?s)\n\n---.*$", "").alias("answer"))

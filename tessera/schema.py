@@ -42,6 +42,7 @@ class Retrieval:
     b: float = 0.75
     epsilon: float = 0.25
     excerpt_chars: int = 512
+    expand_sections: bool = False
 
 
 @dataclass(frozen=True)

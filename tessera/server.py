@@ -16,10 +16,14 @@ from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import unquote, urlsplit
 
+from pyspark.errors import AnalysisException
+
 from tessera import service
 
 #: Seconds between two looks at whether a client is still there.
 WATCH = 0.5
+#: Failures and the codes that tell of them, the first that fits; a missing index or mirror is not the client's.
+STATUSES = [(service.Busy, 503), (TimeoutError, 504), (FileNotFoundError, 503), (AnalysisException, 503), (ValueError, 400), (KeyError, 400), (TypeError, 400), (AttributeError, 400)]
 
 
 class App:
@@ -44,6 +48,9 @@ class App:
     def complete(self, request: dict, tag: str) -> dict:
         return self.engine.complete(request, tag)
 
+    def query(self, request: dict, tag: str) -> dict:
+        return self.engine.query(request, self.engine.timeout, tag)
+
     def cancel(self, tag: str) -> None:
         self.engine.spark.interruptTag(tag)
 
@@ -56,6 +63,7 @@ class Handler(BaseHTTPRequestHandler):
         """Requests are not logged here."""
 
     def send(self, status: int, body: bytes, kind: str = "application/json", **headers: str) -> None:
+        self.begun = True
         self.send_response(status)
         for name, value in {"Content-Type": kind, "Content-Length": str(len(body)), **headers}.items():
             self.send_header(name.replace("_", "-"), value)
@@ -68,7 +76,35 @@ class Handler(BaseHTTPRequestHandler):
     def fail(self, status: int, message: str, **headers: str) -> None:
         self.say(status, {"error": {"message": message, "code": status}}, **headers)
 
+    @contextmanager
+    def told(self) -> Iterator[None]:
+        """Every failure becomes a response, unless one has begun."""
+        self.begun = False
+        try:
+            yield
+        except ConnectionError:
+            self.close_connection = True
+        except Exception as failed:  # noqa: BLE001
+            for kind, status in STATUSES:
+                if isinstance(failed, kind):
+                    break
+            else:
+                status = 500
+            if self.begun:
+                self.close_connection = True
+                return
+            more = {"Retry_After": str(failed.retry_after)} if isinstance(failed, service.Busy) else {}
+            self.fail(status, f"bad request: {failed}" if status == 400 else str(failed).split("\n")[0] or type(failed).__name__, **more)
+
     def do_GET(self) -> None:
+        with self.told():
+            self.get()
+
+    def do_POST(self) -> None:
+        with self.told():
+            self.post()
+
+    def get(self) -> None:
         path = urlsplit(self.path).path
         if path == "/health":
             self.say(200, service.health() | {"admission": self.app.engine.gate.snapshot()})
@@ -84,34 +120,50 @@ class Handler(BaseHTTPRequestHandler):
         else:
             self.fail(404, "no such route")
 
-    def do_POST(self) -> None:
-        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-        if urlsplit(self.path).path != "/v1/chat/completions":
+    def post(self) -> None:
+        size = self.headers.get("Content-Length") or "0"
+        body = self.rfile.read(int(size)) if size.isdigit() else b""
+        route = urlsplit(self.path).path
+        if route not in ("/v1/chat/completions", "/v1/query"):
             self.fail(404, "no such route")
             return
-        try:
-            request = json.loads(body)
-            tag = f"chat-{id(self)}-{threading.get_ident()}"
+        request = json.loads(body)
+        if not isinstance(request, dict):
+            raise ValueError("a request must be an object")
+        tag = f"chat-{id(self)}-{threading.get_ident()}"
+        if route == "/v1/query":
+            if not isinstance(request.get("question"), str) or not request["question"].strip():
+                raise ValueError("question must be a text")
+            with self.watched(tag):
+                made = self.app.query(request, tag)
+            self.say(200, made)
+        elif request.get("stream"):
+            self.stream(request, tag)
+        else:
             with self.watched(tag):
                 made = self.app.complete(request, tag)
-            self.stream(made) if request.get("stream") else self.say(200, made)
-        except service.Busy as full:
-            self.fail(503, str(full), Retry_After=str(full.retry_after))
-        except TimeoutError as late:
-            self.fail(504, str(late))
-        except (ValueError, KeyError, TypeError) as wrong:
-            self.fail(400, f"bad request: {wrong}")
-        except ConnectionError:
+            self.say(200, made)
+
+    def stream(self, request: dict, tag: str) -> None:
+        """Events while the answer is being made: a status at once, the text when it is there."""
+        service.last_message(request)  # what is wrong with a request is told before the stream begins
+        self.app.engine.gate.check()
+        with self.watched(tag):
+            self.begun = True
+            self.send_response(200)
+            self.send_header("Content-Type", "text/event-stream")
+            self.send_header("Connection", "close")
+            self.end_headers()
+            self.wfile.write(service.status_frame("searching").encode())
+            self.wfile.flush()
             self.close_connection = True
-
-    def stream(self, made: dict) -> None:
-        self.send_response(200)
-        self.send_header("Content-Type", "text/event-stream")
-        self.send_header("Connection", "close")
-        self.end_headers()
-        for event in service.stream(made["choices"][0]["message"]["content"], status="done"):
-            self.wfile.write(event.encode())
-        self.close_connection = True
+            try:
+                made = self.app.complete(request, tag)
+            except (service.Busy, TimeoutError, ValueError, KeyError) as failed:
+                self.wfile.write((service.frame({"error": {"message": str(failed)}}) + service.frame("[DONE]")).encode())
+                return
+            for event in service.stream(made["choices"][0]["message"]["content"]):
+                self.wfile.write(event.encode())
 
     @contextmanager
     def watched(self, tag: str) -> Iterator[None]:

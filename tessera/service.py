@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import answer as A
-from tessera.operators import hooks
+from tessera.config import Generation
+from tessera.operators import conversation, hooks, lifecycle
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
 from tessera.schema import RETRIEVAL, Retrieval
 from tessera.shipping import ship
 
+REQUEST = {"qid": "long", "question": "string", "project": "string", "build": "string", "task": "string", "history": "string", "prior_user": "boolean"}
 TEMPLATE = "{{scope_rules}}\n\n{{context}}\n\n{{history}}\n\nQuestion: {{question}}"
 
 
@@ -62,6 +63,12 @@ class AdmissionGate:
             with self._lock:
                 self._admitted -= 1
 
+    def check(self) -> None:
+        """Turn a request away before its response begins, if there is no place."""
+        with self._lock:
+            if self._admitted >= self.concurrent + self.depth:
+                raise Busy(self.retry_after)
+
     def snapshot(self) -> dict[str, int]:
         with self._lock:
             return {"active": self._active, "waiting": self._admitted - self._active, "capacity": self.concurrent + self.depth}
@@ -87,8 +94,11 @@ class Engine:
     gate: AdmissionGate = field(default_factory=AdmissionGate)
     embedder: hooks.Embedder = hooks.hashing_embedder
     reranker: hooks.Reranker = hooks.lexical_reranker
+    generation: Generation = field(default_factory=Generation)
+    base_url: str = "http://localhost:8000"
     tables: dict[str, DataFrame] = field(default_factory=dict)
     lexical: I.Lexical | None = None
+    timeout: float | None = 300.0
 
     def load(self) -> None:
         """Take the newest version of the index."""
@@ -130,30 +140,59 @@ class Engine:
                     timer.cancel()
                 self.spark.removeTag(tag)
 
+    def answers(self, requests: DataFrame) -> DataFrame:
+        """The whole way of ``requests`` (see ``lifecycle.requests``) to answers."""
+        if not self.tables:
+            self.load()
+        return lifecycle.answered(requests, self.retrieve, self.tables["catalog"], self.tables["chunks"], self.model, self.template.replace("{{scope_rules}}", ""), self.generation, self.config, self.base_url, self.config.expand_sections)
+
     def _answer(self, request: dict) -> dict:
-        question = request["question"].strip()
-        one = self.spark.createDataFrame([(0, question, request.get("project"), request.get("build"))], "qid long, query string, project string, build string")
-        found = self.retrieve(one).cache()
-        meta = self.tables["chunks"].select("chunk_key", "chunk_id", "source_file", "target_file", "page", "heading_path")
-        hits = found.join(meta, "chunk_key").select("qid", "rank", "project", "build", "source_file", "target_file", "page", "chunk_id", "heading_path", "content")
-        asked = self.spark.createDataFrame([(0, question, request.get("history") or "(none)")], "qid long, question string, history string")
-        row = A.answers(asked, hits, self.template.replace("{{scope_rules}}", ""), self.model).first()
-        found.unpersist()
-        return {"answer": row["answer"], "insufficient_context": row["insufficient_context"], "citations": [c.asDict() for c in row["citations"] or []]}
+        told = {c: request.get(c) for c in ("project", "build", "task")}
+        turns = [t for t in request.get("history") or [] if t.get("role") in ("user", "assistant") and str(t.get("content") or "").strip()] if not isinstance(request.get("history"), str) else []
+        told |= {"history": request["history"]} if isinstance(request.get("history"), str) else {}
+        row = {"qid": 0, "question": request["question"].strip(), "prior_user": any(t["role"] == "user" for t in turns), **told}
+        asked = self.spark.createDataFrame([tuple(row.get(c) for c in REQUEST)], ", ".join(f"{c} {kind}" for c, kind in REQUEST.items()))
+        if turns:
+            said = self.spark.createDataFrame([(0, i, t["role"], str(t["content"])) for i, t in enumerate(turns)], "conv_id long, turn int, role string, content string")
+            recent = conversation.rewrite_history(said, self.generation.history_turns).select(F.col("conv_id").alias("qid"), F.col("history").alias("recent"))
+            block = conversation.answer_history(said, said).select(F.col("conv_id").alias("qid"), "history")
+            asked = asked.drop("history").join(recent, "qid", "left").join(block, "qid", "left")
+        row = self.answers(asked).first()
+        return {"answer": row["answer"], "route": row["route"], "insufficient_context": row["insufficient_context"], "citations": [c.asDict() for c in row["citations"] or []]}
 
     def complete(self, request: dict, tag: str | None = None) -> dict:
         """A chat completion: messages in, one choice out.  Background prompts of a chat client skip
         retrieval and go to the model as they are."""
-        asked = [m for m in request["messages"] if m["role"] == "user" and m["content"].strip()]
-        if not asked:
-            raise ValueError("no user message")
-        last = asked[-1]["content"]
+        last, history = last_message(request)
         if is_auxiliary(last):
             return _completion(self.model([last])[0], [])
-        got = self.query({"question": last, **{k: request.get(k) for k in ("project", "build")}}, tag=tag)
+        got = self.query({"question": last, "history": history, **{k: request.get(k) for k in ("project", "build", "task")}}, self.timeout, tag)
         return _completion(got["answer"], got["citations"])
 
 
+def last_message(request: dict) -> tuple[str, list[dict]]:
+    """The last user message that is not blank, and the turns before it.  Contents may be texts or lists of
+    parts, of which the texts count."""
+    messages = request.get("messages")
+    if not isinstance(messages, list) or not all(isinstance(m, dict) for m in messages):
+        raise ValueError("messages must be a list of objects")
+    turns = [{"role": m.get("role"), "content": content_text(m.get("content"))} for m in messages]
+    asked = [i for i, t in enumerate(turns) if t["role"] == "user" and t["content"].strip()]
+    if not asked:
+        raise ValueError("no user message")
+    return turns[asked[-1]]["content"], turns[: asked[-1]]
+
+
+def content_text(content: object) -> str:
+    if content is None:
+        return ""
+    if isinstance(content, str):
+        return content
+    if isinstance(content, list):
+        return "\n".join(str(p.get("text") or "") for p in content if isinstance(p, dict) and p.get("type", "text") == "text")
+    raise ValueError("content must be a text or a list of parts")
+
+
 def source_text(spark: SparkSession, mirror_root: str, target_file: str) -> str | None:
     """The processed text of a document, by its label; null if there is none."""
     row = spark.read.parquet(mirror_root).filter(F.col("target_file") == target_file).select("content").first()
@@ -206,9 +245,13 @@ def parse_frame(line: str) -> dict | str | None:
     return body if body == "[DONE]" else json.loads(body)
 
 
+def status_frame(text: str, done: bool = False) -> str:
+    return frame({"event": {"type": "status", "data": {"description": text, "done": done}}})
+
+
 def stream(answer: str, size: int = 200, status: str | None = None) -> Iterator[str]:
     if status:
-        yield frame({"event": {"type": "status", "data": {"description": status, "done": False}}})
+        yield status_frame(status)
     for at in range(0, len(answer), size):
         yield frame({"object": "chat.completion.chunk", "choices": [{"index": 0, "delta": {"content": answer[at : at + size]}, "finish_reason": None}]})
     yield frame({"object": "chat.completion.chunk", "choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]})

@@ -112,6 +112,53 @@ def test_stream_follows_a_folder(spark, raw, tmp_path):
     assert store.versions() == [1]
 
 
+def said(capsys):
+    return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+
+def test_ingest_command_keeps_a_mirror(spark, raw, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    mirror = str(tmp_path / "processed")
+    assert main(["ingest", str(raw), "--mirror", mirror]) == 0
+    first = said(capsys)
+    assert (first["ingested"], first["unchanged"], first["removed"]) == (5, 0, 0)
+    assert {r["path"]: r["reason"] for r in first["quarantined"]}["p1/b1/note/broken.docx"] == "no readable text"
+    assert "LCD header" in source_text(spark, mirror, "data/processed/p1/b1/note/alpha.md")
+    files = lambda part: {p.name for p in (tmp_path / "processed" / part).glob("*.parquet")}
+    other = files("project=global/build=global/document_type=datasheet")
+    (raw / "p1/b1/note/alpha.md").write_bytes(b"# Alpha\nChanged text of another size.\n")
+    (raw / "p1/common/sop/beta.txt").unlink()
+    main(["ingest", str(raw), "--mirror", mirror])
+    again = said(capsys)
+    # The broken file is tried again: nothing in the mirror says that it was read.
+    assert (again["ingested"], again["unchanged"], again["removed"]) == (1, 3, 1)
+    assert "Changed text" in source_text(spark, mirror, "data/processed/p1/b1/note/alpha.md") and source_text(spark, mirror, "data/processed/p1/common/sop/beta.md") is None
+    assert files("project=global/build=global/document_type=datasheet") == other  # what did not change is not written
+    assert build.read_processed(spark, mirror).count() == 4
+    (raw / "p1/b1/note/memo.docx").unlink()
+    main(["ingest", str(raw), "--mirror", mirror, "--under", "global/", "--force"])
+    assert {k: v for k, v in said(capsys).items() if k != "quarantined"} == {"ingested": 1, "unchanged": 0, "removed": 0}
+    main(["ingest", str(raw), "--mirror", mirror, "--under", "p1/b1/note/alpha.md"])
+    assert said(capsys)["removed"] == 0 and build.read_processed(spark, mirror).count() == 4
+
+
+def test_settings_reach_the_commands(spark, raw, tmp_path, capsys, monkeypatch):
+    from tessera.__main__ import main
+
+    settings = tmp_path / "settings.yaml"
+    settings.write_text("retrieval:\n  final_k: 1\nchunking:\n  max_chars: 30\n  overlap_chars: 5\n  min_chars: 1\n")
+    index = str(tmp_path / "index")
+    main(["index", str(raw), "--index", index, "--config", str(settings)])
+    capsys.readouterr()
+    assert I.Store(spark, index).load("chunks").agg(F.max(F.length("content"))).first()[0] <= 45
+    main(["query", "regulator rail", "--index", index, "--config", str(settings)])
+    assert len(capsys.readouterr().out.strip().splitlines()) == 1
+    monkeypatch.setenv("TESSERA_RETRIEVAL_FINAL_K", "3")
+    main(["query", "regulator rail", "--index", index, "--config", str(settings)])
+    assert len(capsys.readouterr().out.strip().splitlines()) == 3
+
+
 def test_workbooks_and_documents():
     assert parsers.workbook_rows(workbook()) == [("Rails", [["net", "", "a|b"], [], ["3.3"]])]
     assert parsers.document_markdown(document()) == "## Power\n\nRail text"

@@ -11,6 +11,7 @@ from tessera import server, service
 
 class Engine:
     gate = service.AdmissionGate()
+    timeout = 5.0
 
 
 class App(server.App):
@@ -30,6 +31,13 @@ class App(server.App):
         self.cancelled.set()
         self.hold.set()
 
+    def query(self, request, tag):
+        if request["question"] == "no index":
+            raise FileNotFoundError("no index under data/index")
+        if request["question"] == "broken":
+            raise RuntimeError("out of luck")
+        return {"answer": request["question"], "citations": []}
+
     def complete(self, request, tag):
         said = request["messages"][-1]["content"]
         if said == "full":
@@ -96,3 +104,33 @@ def test_a_client_that_leaves_cancels_its_jobs(running, monkeypatch):
         client.sendall(b"POST /v1/chat/completions HTTP/1.1\r\nHost: x\r\nContent-Length: %d\r\n\r\n" % len(body) + body)
         assert not app.cancelled.wait(0.3)
     assert app.cancelled.wait(10)
+
+
+def test_every_request_gets_a_response(running):
+    _, base, _ = running
+    path = "/v1/chat/completions"
+    for wrong in ([], "text", {"messages": None}, {"messages": ["x"]}, {"messages": [{"role": "user", "content": None}]}, {"messages": [{"role": "user", "content": 3}], "stream": True}, {"messages": [], "stream": True}):
+        assert ask(base, path, wrong)[0] == 400
+    status, _, body = ask(base, "/v1/query", {"question": "why?"})
+    assert status == 200 and json.loads(body)["answer"] == "why?"
+    assert [ask(base, "/v1/query", {"question": q})[0] for q in ("no index", "broken", "", 5)] == [503, 500, 400, 400]
+    assert ask(base, "/v1/query", b"")[0] == 400 and ask(base, "/v1/query", {"q": 1})[0] == 400
+
+
+def test_a_stream_begins_before_the_answer_is_there(running):
+    app, base, address = running
+    body = json.dumps(said("wait", stream=True)).encode()
+    with socket.create_connection(address) as client:
+        client.settimeout(10)
+        client.sendall(b"POST /v1/chat/completions HTTP/1.1\r\nHost: x\r\nContent-Length: %d\r\n\r\n" % len(body) + body)
+        got = b""
+        while b"searching" not in got:
+            got += client.recv(4096)
+    assert b"200" in got.split(b"\r\n")[0] and not app.hold.is_set()
+    app.hold.set()
+
+
+def test_contents_and_history():
+    parts = [{"type": "text", "text": "one"}, {"type": "image_url", "image_url": "x"}, {"type": "text", "text": "two"}]
+    last, before = service.last_message({"messages": [{"role": "user", "content": "first"}, {"role": "assistant", "content": None}, {"role": "user", "content": parts}, {"role": "user", "content": " "}]})
+    assert last == "one\ntwo" and before == [{"role": "user", "content": "first"}, {"role": "assistant", "content": ""}]
