@@ -186,5 +186,48 @@ def sync_index(spark: SparkSession, raw_root: str, store: I.Store, layout: Layou
     return result | {"quarantined": passed_over + now.filter("not readable").count()}
 
 
+def sync_files(spark: SparkSession, raw_root: str, store: I.Store, due: DataFrame, gone: DataFrame, layout: Layout = LAYOUT, config: Chunking = CHUNKING, *, reader: pages.PageReader | None = None) -> dict[str, int]:
+    """Bring the index up to date for the files ``due`` (path) and ``gone`` (path) alone; the folder is not
+    looked at.  Files that the index holds with the same time and size are left out, so that it does not
+    matter how often this runs."""
+    ship(spark)
+    settings = I.config_hash(chunking=config, reader=reader is not None)
+    manifest = store.load("manifest")
+    named = [r["path"] for r in due.select("path").distinct().limit(NAMED_FILES + 1).collect()]
+    result = {"index": 0, "removed": 0, "read": 0}
+    documents = tried = None
+    if named:
+        # What vanished meanwhile is no file to read; a later batch tells that it is gone.
+        files = ingest.raw_files(spark, raw_root, named, missing=True) if len(named) <= NAMED_FILES else ingest.raw_files(spark, raw_root).join(due, "path", "left_semi")
+        fit, _ = ingest.supported(files.select("path", "mtime", "size"), layout)
+        target = F.concat(F.lit("data/processed/"), ingest.mirror_path(F.col("path")))
+        wanted = F.col("parser").isin(PARSED) | F.lit(reader is not None)
+        prints = fit.filter(wanted).select(target.alias("target_file"), "path", F.col("mtime").alias("source_mtime"), F.col("size").alias("source_size"), F.lit(settings).alias("config_hash"))
+        if manifest is not None:
+            prints = prints.join(manifest.select("target_file", "source_mtime", "source_size", "config_hash"), ["target_file", "source_mtime", "source_size", "config_hash"], "left_anti")
+        tried = materialize(prints, "due-files")
+        paths = [r["path"] for r in tried.select("path").limit(NAMED_FILES + 1).collect()]
+        if paths:
+            result["read"] = tried.count()
+            files = ingest.raw_files(spark, raw_root, paths, missing=True) if len(paths) <= NAMED_FILES else files.join(tried.select("path"), "path", "left_semi")
+            documents = materialize(processed(files, layout, reader)[0], "parsed-documents")
+            tried = tried.join(documents.select("target_file", F.lit(True).alias("readable")), "target_file", "left").withColumn("readable", F.coalesce("readable", F.lit(False)))
+    lost = None
+    if manifest is not None:
+        lost = materialize(manifest.join(gone.select("path").distinct(), "path", "left_semi").select("target_file"), "gone-files")
+        result["removed"] = lost.count()
+    if documents is None and not result["removed"]:
+        return result
+    if documents is None:
+        documents = processed(ingest.raw_files(spark, raw_root).limit(0), layout, reader)[0]
+        tried = manifest.limit(0).drop("segment", "built_at")
+    result["index"] = documents.count()
+    kept = None
+    if manifest is not None:
+        kept = manifest.join(tried.select("target_file").unionAll(lost), "target_file", "left_anti")
+    store.save(chunk_table(documents, config), tried, kept)
+    return result
+
+
 def _readable(manifest: DataFrame, targets: DataFrame) -> int:
     return manifest.filter("readable").join(targets, "target_file", "left_semi").count()

@@ -64,11 +64,17 @@ def image_folder(path: Column) -> Column:
     return F.concat(F.regexp_replace(mirror_path(path), r"[^/]*$", ""), F.lit("images/"), X.filename_slug(X.stem(mirror_path(path))))
 
 
-def raw_files(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
-    """(path relative to ``root``, mtime, size, content) of all files below it, or of those in ``only``;
-    contents stay unread until used."""
+def raw_files(spark: SparkSession, root: str, only: list[str] | None = None, *, missing: bool = False) -> DataFrame:
+    """(path relative to ``root``, mtime, size, content) of all files below it, or of those in ``only``, of
+    which some may be ``missing``; contents stay unread until used."""
     base = root.rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if missing:
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(base).getFileSystem(spark._jsc.hadoopConfiguration())
+        only = [path for path in only or [] if fs.exists(at(f"{base}/{path}"))]
+        if not only:
+            return reader.load(root).limit(0).select(F.col("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
     # Names are no patterns.
     files = reader.load(root if only is None else [f"{base}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in only])
     relative = F.regexp_replace(F.col("path"), "^.*?\\Q" + base + "\\E/", "")

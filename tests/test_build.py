@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -105,11 +106,33 @@ def test_a_sync_reads_and_writes_only_what_changed(spark, raw, tmp_path, monkeyp
     assert store.load("chunks") is None and build.sync_index(spark, str(raw), store)["index"] == 0
 
 
-def test_stream_follows_a_folder(spark, raw, tmp_path):
-    store = I.Store(spark, str(tmp_path / "index"))
-    query = streaming.watch(spark, str(raw), store, str(tmp_path / "checkpoint"))
-    query.awaitTermination(120)
-    assert store.versions() == [1]
+def test_stream_follows_a_folder(spark, raw, tmp_path, monkeypatch):
+    """A batch reads what is new, changes in place and deletions are seen, a batch run again does nothing."""
+    store, checkpoint, did = I.Store(spark, str(tmp_path / "index")), str(tmp_path / "checkpoint"), []
+
+    def turn(grace=600_000):
+        streaming.watch(spark, str(raw), store, checkpoint, grace=grace, started=did).awaitTermination(180)
+        return did[-1]
+
+    assert turn(4_000) == {"index": 5, "removed": 0, "read": 6} and store.versions() == [1]
+    (raw / "p1/b1/note/alpha.md").write_bytes(b"# Alpha\nOther text, of another length.\n")
+    (raw / "p1/b1/note/new.md").write_bytes(b"# New\nA file that came later.\n")
+    (raw / "p1/common/sop/beta.txt").unlink()
+    read = []
+    keep = ingest.raw_files
+    monkeypatch.setattr(ingest, "raw_files", lambda spark, root, only=None, **more: read.append(only) or keep(spark, root, only, **more))
+    time.sleep(4.5)
+    changed = turn()
+    assert (changed["index"], changed["read"]) == (2, 2) and sorted(read[0]) == ["p1/b1/note/alpha.md", "p1/b1/note/new.md"] and None not in read[:2]
+    for _ in range(2):  # the timer of a deleted file fires in a batch after its end
+        if changed["removed"] == 0:
+            changed = turn()
+    assert changed["removed"] == 1
+    assert {r.target_file.rsplit("/", 1)[1] for r in store.load("manifest").filter("readable").collect()} == {"alpha.md", "new.md", "gamma.md", "rails.md", "memo.md"}
+    version = store.versions()[-1]
+    paths = spark.createDataFrame([("p1/b1/note/new.md",), ("p1/b1/note/alpha.md",), ("none.md",)], "path string")
+    gone = spark.createDataFrame([("p1/common/sop/beta.txt",)], "path string")
+    assert build.sync_files(spark, str(raw), store, paths, gone) == {"index": 0, "removed": 0, "read": 0} and store.versions()[-1] == version
 
 
 def said(capsys):
