@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config, for_evaluation
 from tessera.functions import text as X
 from tessera.operators import evaluate as E
+from tessera.operators.durable import materialize
 from tessera.schema import EVALUATION, Evaluation
 from tessera.service import Engine
 
@@ -47,10 +48,10 @@ def run(engine: Engine, cases: DataFrame, mode: str = "retrieval", config: Evalu
     # Deterministic: no rewriting, classification, scope inference or fallback.
     engine = replace(engine, generation=for_evaluation(Config(generation=engine.generation)).generation)
     engine.load()
-    asked = variants(cases)
+    asked = materialize(variants(cases), "eval-questions")
     found = engine.retrieve(asked.select("qid", F.col("question").alias("query"), "project", "build"))
     meta = engine.tables["chunks"].select("chunk_key", "chunk_id", "source_file", "target_file", "page", "heading_path")
-    hits = found.join(meta, "chunk_key")
+    hits = materialize(found.join(meta, "chunk_key"), "eval-hits")  # read by every metric
     metrics = retrieval_metrics(engine, asked, hits)
     verdicts = E.case_verdicts(metrics, config).join(cases.select("case_id", "mandatory"), "case_id")
     verdicts = verdicts.join(metrics.groupBy("case_id").agg(F.some("source_hit").alias("source_hit")), "case_id")

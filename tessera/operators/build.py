@@ -11,6 +11,7 @@ from tessera.operators import index as I
 from tessera.operators.durable import materialize
 from tessera.schema import CHUNKING, LAYOUT, Chunking, Layout
 from tessera.shipping import ship
+from tessera.sources import mirror as mirror_files
 from tessera.sources import parsers
 
 
@@ -61,6 +62,15 @@ def read_processed(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("metadata", ingest.metadata_from_json(F.coalesce("sidecar", F.lit("{}"))))
 
 
+def export_files(documents: DataFrame, root: str, mode: str = "append") -> None:
+    """The mirror as files, a text and a ``.meta.json`` for each document (see ``sources.mirror``)."""
+    spark = documents.sparkSession
+    ship(spark)
+    spark.dataSource.register(mirror_files.Mirror)
+    rows = documents.select("target_file", "content", ingest.metadata_json(documents).alias("sidecar"))
+    rows.write.format("mirror").mode(mode).save(root)
+
+
 def _exists(spark: SparkSession, root: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -40,9 +40,13 @@ def hashing_embedder(texts: list[str]) -> list[list[float]]:
 
 
 def embedded(rows: DataFrame, text_col: str, embedder: Embedder = hashing_embedder, out: str = "embedding") -> DataFrame:
+    """``rows`` with the vector of a text, texts in batches of like length."""
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder([t or "" for t in texts]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            given = [t or "" for t in texts]
+            yield pd.Series(by_length(embedder, [given], lambda i: len(given[i])))
 
     return rows.withColumn(out, run(text_col))
 
@@ -95,7 +99,8 @@ MODEL_BATCH = 64
 
 
 def loaded(make: Callable[[], Callable]) -> Callable:
-    """The model that ``make`` loads, once a worker; later batches and tasks of the worker reuse it."""
+    """The model that ``make`` loads, once a worker; later batches and tasks of the worker reuse it.  Models
+    are told apart by the module and name of what loads them."""
     name = f"{make.__module__}.{make.__qualname__}"
     if name not in _LOADED:
         _LOADED[name] = make()

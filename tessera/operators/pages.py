@@ -14,17 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import ingest
+from tessera.operators import ingest, reply
 
 PAGES = "doc string, title string, page int, text string, lines int, image_ratio double, scanned string, described string"
 PageReader = Callable[[str, bytes], list[dict]]
 
 
 def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
-    """``files`` (path, title, content) through a reader hook; a file that it cannot read has no pages."""
+    """``files`` (path, title, content) through a reader hook; a file that it cannot read has no pages.  What a
+    vision model wrote of a page is read leniently (see ``reply``)."""
+
+    def told(page: dict) -> dict:
+        return page | {"described": reply.parsed(page["described"])["markdown"] or None} if page.get("described") else page
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"doc": f.path, "title": f.title, **page} for f in frame.itertuples() for page in reader(f.path, f.content)]
+            rows = [{"doc": f.path, "title": f.title, **told(page)} for f in frame.itertuples() for page in reader(f.path, f.content)]
             yield pd.DataFrame(rows, columns=["doc", "title", "page", "text", "lines", "image_ratio", "scanned", "described"])
 
     return files.select("path", "title", "content").mapInPandas(run, PAGES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import ingest as N
+from tessera.operators import reply
 from tessera.operators import sync as Y
 from tessera.plans.base import Plans
 from tessera.sources import views as V
@@ -222,3 +223,27 @@ def k14(spark, d):
 def k16(spark, d):
     docs = V.kb_docs(spark, d)
     return Y.cascade_removed(docs.select(F.col("path").alias("target_file")), docs.filter("doc_id % 3 <> 0").select(F.col("path").alias("target_file")))
+
+
+REPLIED = """replied AS (
+  SELECT page_id, page_id % 4 AS form, CASE WHEN page_id % 4 = 1 THEN substr(text, 1, 40) ELSE text END AS markdown FROM hw_pages
+)"""
+
+
+@add("S19_reply", f"""
+WITH {V.HW_PAGES}, {REPLIED}
+SELECT page_id, markdown, CASE WHEN form IN (0, 2) THEN 'C7,U' || page_id ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(markdown, '(?i)\\b([UCRLDQXJFETSW]\\d+[A-Z]?)\\b', 1))), ',') END AS components,
+  CASE WHEN form IN (0, 2) THEN 'N_' || page_id ELSE '' END AS nets
+FROM replied
+""")
+def s19_reply(spark, d):
+    """Replies whole, broken off, with a comment of lists, and fenced."""
+    n, text, form = F.col("page_id").cast("string"), F.col("text"), F.col("page_id") % 4
+    lists = {"major_components": F.array(F.concat(F.lit("U"), n), F.lit("C7")), "nets": F.array(F.concat(F.lit("N_"), n)), "interfaces": F.array(F.lit("I2C"))}
+    whole = F.to_json(F.struct(text.alias("markdown"), *(v.alias(k) for k, v in lists.items())))
+    cut = F.concat(F.lit('{"markdown": "'), F.replace(F.substring(text, 1, 40), F.lit("\n"), F.lit("\\n")))
+    meta = F.concat(text, F.lit("\n<!-- x:major_components=U"), n, F.lit(", C7;nets=N_"), n, F.lit(";interfaces=I2C -->"))
+    said = F.when(form == 0, whole).when(form == 1, cut).when(form == 2, meta).otherwise(F.concat(F.lit("```markdown\n"), text, F.lit("\n```")))
+    rows = reply.with_parsed(V.hw_pages(spark, d).select("page_id", said.alias("reply")), "reply")
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return rows.select("page_id", "parsed.markdown", joined(F.col("parsed.major_components")).alias("components"), joined(F.col("parsed.nets")).alias("nets"))

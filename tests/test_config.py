@@ -33,7 +33,7 @@ def test_pdfs_through_a_reader(spark):
     def reader(path, content):
         if content == b"broken":
             return []
-        return [{"page": 1, "text": "LCD & TOUCH\nLCD_D1 LCD_D0 LCD_SCL GND U7", "lines": 3, "image_ratio": 0.0, "scanned": None, "described": None}, {"page": 2, "text": "", "lines": 80, "image_ratio": 0.0, "scanned": "scanned words", "described": "| a table |"}]
+        return [{"page": 1, "text": "LCD & TOUCH\nLCD_D1 LCD_D0 LCD_SCL GND U7", "lines": 3, "image_ratio": 0.0, "scanned": None, "described": None}, {"page": 2, "text": "", "lines": 80, "image_ratio": 0.0, "scanned": "scanned words", "described": '```json\n{"markdown": "| a table |", "nets": ["A"'}]
 
     files = spark.createDataFrame([(f"p/b/{t}/f.pdf", 1.0, 2, b"x") for t in ("note", "datasheet", "schematic")] + [("p/b/note/bad.pdf", 1.0, 2, b"broken")], "path string, mtime double, size long, content binary")
     documents, quarantine = build.processed(files, reader=reader)
