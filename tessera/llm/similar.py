@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import LocalComponents, connected_components
-from tessera.llm.shared import broadcast_if_small, materialize, ship
+from tessera.llm.shared import broadcast_if_small, free_name, materialize, ship
 from tessera.llm.simhash import SEED, near_links
 
 WORDS_64 = 4
@@ -477,16 +477,18 @@ def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, id
 
 def deduplicated(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group of near-duplicates; all its columns stay as they are."""
+    of = free_name(df.columns, "near_id")
+    at = free_name([*df.columns, of], "near_version")
     found = materialize(similar_documents(df, words, similarity, id_col, text_col), "similar")
-    lost = materialize(found.filter("not kept").select(F.col(id_col).alias("__id"), F.col("version").alias("__at")), "lost")
+    lost = materialize(found.filter("not kept").select(F.col(id_col).alias(of), F.col("version").alias(at)), "lost")
     lost = broadcast_if_small(lost, SMALL_ROWS)
     version = F.xxhash64(F.col(text_col).cast("string"))
-    left = df.join(lost, df[id_col].eqNullSafe(F.col("__id")) & (version == F.col("__at")), "left_anti")
+    left = df.join(lost, df[id_col].eqNullSafe(F.col(of)) & (version == F.col(at)), "left_anti")
     # Rows that repeat both id and text share a name; only those are looked at again.
-    names = df.select(F.col(id_col).alias("__id"), version.alias("__at")).groupBy("__id", "__at").agg(F.count("*").alias("n")).filter("n > 1")
-    names = materialize(names.select("__id", "__at"), "repeated")
+    names = df.select(F.col(id_col).alias(of), version.alias(at)).groupBy(of, at).agg(F.count("*").alias("near_rows")).filter("near_rows > 1")
+    names = materialize(names.select(of, at), "repeated")
     if not names.limit(1).count():
         return left
-    on = left[id_col].eqNullSafe(F.col("__id")) & (version == F.col("__at"))
-    once = left.join(names, on, "left_semi").withColumn("__at", version)
-    return left.join(names, on, "left_anti").unionByName(once.dropDuplicates([id_col, "__at"]).drop("__at"))
+    on = left[id_col].eqNullSafe(F.col(of)) & (version == F.col(at))
+    once = left.join(names, on, "left_semi").withColumn(at, version)
+    return left.join(names, on, "left_anti").unionByName(once.dropDuplicates([id_col, at]).drop(at))

@@ -173,15 +173,24 @@ def parse_member(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
+#: Bytes of an archive that the inflater gets at a time, and so at most looks at beyond a record's end.
+WINDOW = 8192
+
+
 def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of an archive's members."""
-    at = 0
-    while at < len(content):
-        one = zlib.decompressobj(31)
-        raw = one.decompress(content[at:] if at else content) + one.flush()
-        length = len(content) - at - len(one.unused_data)
-        yield at, length, raw
-        at += length
+    """(offset, length, record) of an archive's members, in time linear in the archive."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        one, parts, end = zlib.decompressobj(31), [], at
+        while not one.eof:
+            window = view[end : end + WINDOW]
+            if not window:
+                raise ValueError(f"the record at {at} breaks off")
+            parts.append(one.decompress(window))
+            end += len(window)
+        end -= len(one.unused_data)
+        yield at, end - at, b"".join(parts)
+        at = end
 
 
 ENTRY = T.StructType([

@@ -145,6 +145,15 @@ def test_deduplicated_edges(spark):
     assert similar.deduplicated(df.limit(0)).count() == 0
 
 
+def test_deduplication_with_clashing_names(spark):
+    """Columns of any name stay as they are."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, 7, 8, "a"), (2, text, 9, 8, "b"), (3, "other words altogether here", 1, 2, "c"), (3, "other words altogether here", 1, 2, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_id long, near_version long, __id string").withColumn("__at", F.lit(1))
+    out = similar.deduplicated(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.near_id, r["__id"]) for r in out.collect()) == [(1, 7, "a"), (3, 1, "c")]
+
+
 def test_stages(spark):
     docs = copies(6, 3)
     key = "password=abcdefghijkl0123"

@@ -104,3 +104,18 @@ def test_revisits_name_the_response():
     revisit, block = warc.parse_member(warc.capture_record(9, "http://e.org/b", b"same", 3, "http://e.org/a", True))
     assert revisit["warc-refers-to"] == response["warc-record-id"] and revisit["warc-refers-to-target-uri"] == response["warc-target-uri"]
     assert revisit["warc-refers-to-date"] == response["warc-date"] and b"same" not in block
+
+
+def test_reading_is_linear_and_large_payloads_are_whole(spark):
+    """Every byte of an archive goes to the inflater once, but for a window at a record's end."""
+    archive = warc.Archive("a")
+    sizes = [0, 1, 50, 9_000, 300_000, 5_000_000] + [200] * 3000
+    rng = np.random.default_rng(0)
+    for i, n in enumerate(sizes):
+        archive.add(warc.capture_record(i, f"http://h/{i}", rng.bytes(n), None, None, False))
+    content = b"".join(archive.parts)
+    found = [*warc.members(content)]
+    captures = [warc.parse_member(raw)[1].partition(b"\r\n\r\n")[2] for _, _, raw in found if b"WARC-Type: response" in raw[:400]]
+    assert [len(x) for x in captures] == sizes and sum(n for _, n, _ in found) == len(content)
+    with pytest.raises(ValueError, match="breaks off"):
+        [*warc.members(content[:-5])]
