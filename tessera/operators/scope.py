@@ -1,13 +1,19 @@
 """Scope algebra: which projects and builds a question may draw on, and in what order.
 
 Scopes are rows (project, build, scope_rank) or columns derived from them; membership is a semi
-join.  The catalog of products and revisions is a table too, so nothing here grows on the driver.
+join.  The catalog of products and revisions is a table too; it is collected only up to a checked size.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.schema import LAYOUT, Layout
@@ -87,14 +93,113 @@ def layer_name(raw: Column) -> Column:
             .when(word.isin("project_common", "common", "project-common"), "project_common").when(word.isin("enterprise", "global"), "enterprise"))
 
 
+#: Products and revisions up to which a catalog goes to every task as an automaton.
+SMALL_CATALOG = 200_000
+WORD = re.compile(r"\w")
+
+
+class Names:
+    """All product names of a catalog in one automaton, and the revisions of each by name and length."""
+
+    def __init__(self, rows: list[tuple[str, list[str]]], layout: Layout):
+        self.automaton, self.layout = ahocorasick.Automaton(), layout
+        self.products: dict[str, list[str]] = {}
+        self.revisions: dict[str, dict[str, list[str]]] = {}
+        for product, revisions in rows:
+            self.products.setdefault(product.lower(), []).append(product)
+            own = self.revisions.setdefault(product, {})
+            for revision in revisions or []:
+                own.setdefault(revision.lower(), []).append(revision)
+        for name in filter(None, self.products):
+            self.automaton.add_word(name, name)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        self.lengths = {product: sorted({len(r) for r in own}, reverse=True) for product, own in self.revisions.items()}
+
+    def named(self, query: str) -> list[tuple[str, list[int]]]:
+        """The products that stand in a query as words, in order, and where each ends."""
+        low = query.lower()
+        if len(low) != len(query):  # some letters grow; places must agree
+            low = "".join(x if len(x := c.lower()) == 1 else c for c in query)
+        ends: dict[str, list[int]] = {}
+        for last, name in self.automaton.iter(low) if len(self.automaton) else ():
+            if bounded(low, last - len(name) + 1) and bounded(low, last + 1):
+                for product in self.products[name]:
+                    ends.setdefault(product, []).append(last + 1)
+        return sorted(ends.items())
+
+    def rule(self, query: str) -> tuple[str | None, str | None, str | None, str | None]:
+        """(product, revision, layer, separator) by the first rule that holds."""
+        if ENTERPRISE.search(query):
+            return None, None, "enterprise", None
+        found = self.named(query)
+        shared = re.compile(rf"\s+{re.escape(self.layout.shared_build)}\b", re.IGNORECASE)
+        for product, ends in found:
+            if any(shared.match(query, end) for end in ends):
+                return product, None, "project_common", None
+        for product, ends in found:
+            best = None
+            for end in ends:
+                for separator, pattern in ((0, SLASH), (1, BLANK)):
+                    if not (gap := pattern.match(query, end)):
+                        continue
+                    rest = query[gap.end() :].lower()
+                    for length in self.lengths[product]:
+                        for revision in self.revisions[product].get(rest[:length], ()) if length <= len(rest) and bounded(query, gap.end() + length) else ():
+                            best = min(best or (1, 0, ""), (-2 * length + separator, separator, revision), key=lambda x: (x[0], x[2]))
+            if best and best[2]:
+                return product, best[2], "build", "/" if best[1] == 0 else " "
+        if found:
+            return min(found, key=lambda x: (-len(x[0]), x[0]))[0], None, "inherit", None
+        return None, None, None, None
+
+
+SLASH, BLANK = re.compile(r"\s*/\s*"), re.compile(r"\s+")
+ENTERPRISE = re.compile(ENTERPRISE_WORDS)
+
+
+def bounded(text: str, at: int) -> bool:
+    """Whether a word begins or ends at a place."""
+    before, after = at > 0 and WORD.match(text[at - 1]), at < len(text) and WORD.match(text[at])
+    return bool(before) != bool(after)
+
+
 def extracted(queries: DataFrame, products: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """``queries`` (qid, query) with (product, revision, layer, stripped): the scope that rules find.
 
     Precedence: an enterprise word; a product with the shared build; a product with a revision,
     products in order, longer revisions first, a slash before a blank; a product alone, longer names
-    first.  Null layer: nothing matched.  Products and queries meet on a word they share, not all
-    with all: a product or revision name must occur as a word of the query.
-    """
+    first.  Null layer: nothing matched.  One automaton finds all products of a query in a pass over its
+    text, whatever the size of the catalog; catalogs that are too large to send to every task are joined
+    with the words of the queries instead (``joined_rules``), with the same rows."""
+    size = products.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("revisions")), F.lit(0)).alias("r")).first()
+    if size["n"] + size["r"] > SMALL_CATALOG:
+        return joined_rules(queries, products, layout)
+    told = [(r["product"], r["revisions"]) for r in products.select("product", "revisions").collect() if r["product"] is not None]
+    catalog = queries.sparkSession.sparkContext.broadcast(told)
+    asked = queries.select("qid", F.trim("query").alias("query"))
+    schema = T.StructType([*asked.schema, *(T.StructField(c, T.StringType()) for c in ("product", "revision", "layer", "separator"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(catalog.value, layout)
+        for batch in batches:
+            found = [names.rule(q) if q else (None,) * 4 for q in batch.column(1).to_pylist()]
+            columns = zip(*found, strict=True) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in columns)], names=schema.names)
+
+    out = asked.mapInArrow(run, schema)
+    # What goes from the query is decided by one pattern, of the rule that holds.
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
+    name = F.concat(F.lit(r"(?iU)\b"), quoted("product"))
+    pattern = F.when(F.col("layer") == "enterprise", ENTERPRISE_WORDS.replace("(?i)", "(?iU)")).when(F.col("layer") == "project_common", F.concat(name, F.lit(rf"\s+{layout.shared_build}\b")))
+    pattern = pattern.when(F.col("layer") == "build", F.concat(name, F.when(F.col("separator") == "/", r"\s*/\s*").otherwise(r"\s+"), quoted("revision"), F.lit(r"\b"))).when(F.col("layer") == "inherit", F.concat(name, F.lit(r"\b")))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("query", F.coalesce(pattern, F.lit("$^")), F.lit(" ")), r"\s+", " "))
+    return out.select("qid", "product", "revision", "layer", F.when(F.col("layer").isNull() | (clean == ""), F.col("query")).otherwise(clean).alias("stripped"))
+
+
+def joined_rules(queries: DataFrame, products: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
+    """The same as ``extracted``, for catalogs of any size: products and queries meet on a word they share,
+    and a pattern decides for each pair."""
     escape = lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))
     asked = queries.select("qid", F.trim("query").alias("query"))
     first_word = lambda c: F.lower(F.regexp_extract(c, r"(?U)[\w]+", 0))

@@ -9,7 +9,7 @@ from tessera.plans import registry
 
 QUERIES = registry.queries()
 #: Queries whose hooks, folds or packed postings run Python on purpose.
-WITH_PYTHON = {"C11_prose_windows", "C12_block_packing", "C05_lead_merge", "C07_schematic_sections", "C10_atomic_blocks", "C13_section_driver", "C18_corpus_chunks", "X03_embed", "R01_query_embedding", "R02_dense_top_k", "R08_query_excerpt", "S22_index_store", "R03_bm25_scores", "R04_bm25_top_k", "R06_schematic_recall", "R14_pool_retrieve", "R20_flat_retrieve", "R21_retrieve", "G10_classification", "G14_answers", "G13_lifecycle", "S19_reply"}
+WITH_PYTHON = {"C11_prose_windows", "C12_block_packing", "C05_lead_merge", "C07_schematic_sections", "C10_atomic_blocks", "C13_section_driver", "C18_corpus_chunks", "X03_embed", "R01_query_embedding", "R02_dense_top_k", "R08_query_excerpt", "S22_index_store", "R03_bm25_scores", "R04_bm25_top_k", "R06_schematic_recall", "R14_pool_retrieve", "R20_flat_retrieve", "R21_retrieve", "G10_classification", "G14_answers", "G13_lifecycle", "S19_reply", "F09_scope_extraction"}
 
 
 def plan(df):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -91,6 +93,40 @@ def test_scope_extraction(spark, query, want):
     assert (row.product, row.revision, row.layer, row.stripped) == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_automaton_equals_the_join(spark, seed):
+    """Random catalogs with names inside names, cases, blanks and other signs."""
+    rng = np.random.default_rng(seed)
+    parts = ["p1", "P1", "p10", "alpha", "alpha beta", "x-1", "Ünï", "b", "b1", "b10", "common", "rev c", "a.b", "g_h", "1"]
+    products = {str(rng.choice(parts)): [str(x) for x in rng.choice(parts, int(rng.integers(0, 5)), False)] for _ in range(9)}
+    signs = [" ", " ", " ", "/", " / ", "-", ", ", "", "  "]
+    texts = ["".join(str(rng.choice([*parts, "of", "global", "Common", "ALPHA", "全局"] if rng.random() < 0.97 else ["global"])) + str(rng.choice(signs)) for _ in range(int(rng.integers(0, 7)))) for _ in range(250)]
+    catalog = spark.createDataFrame([*products.items()], "product string, revisions array<string>")
+    asked = spark.createDataFrame([*enumerate(texts)], "qid long, query string")
+    rows = lambda df: {r.qid: (r.product, r.revision, r.layer, r.stripped) for r in df.collect()}
+    one, other = rows(S.extracted(asked, catalog)), rows(S.joined_rules(asked, catalog))
+    assert {q: (texts[q], one[q], other[q]) for q in one if one[q] != other[q]} == {}
+
+
+def test_cost_follows_the_text(spark):
+    """Ten thousand products that share words with every question."""
+    rows = [(f"board {i}", [f"rev {j}" for j in range(4)]) for i in range(10_000)]
+    names = S.Names(rows, S.LAYOUT)
+    assert names.rule("pins of board 77 rev 3 board") == ("board 77", "rev 3", "build", " ")
+    few = S.Names(rows[:100], S.LAYOUT)
+    took = {}
+    for name, own in (("many", names), ("few", few)):
+        began = time.perf_counter()
+        for i in range(2000):
+            own.rule(f"what is on board {i % 90} of the board family")
+        took[name] = time.perf_counter() - began
+    assert took["many"] < 5 * took["few"] + 0.2
+    catalog = spark.createDataFrame(rows, "product string, revisions array<string>")
+    asked = spark.createDataFrame([(i, f"board {i} / rev 1 of board") for i in range(500)], "qid long, query string")
+    assert S.extracted(asked, catalog).filter("layer = 'build' and revision = 'rev 1' and product = concat('board ', qid)").count() == 500
+    assert S.extracted(asked, catalog.limit(0)).filter("layer is not null").count() == 0
+
+
 def test_expansion(spark):
     rows = spark.createDataFrame([(1, "p", "b"), (2, "p", "common"), (3, "global", "x")], "qid long, project string, build string")
     got = {}
