@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import text as X
 from tessera.schema import LAYOUT, Layout
 
 BUILD, SHARED, GLOBAL = 0, 1, 2

@@ -13,7 +13,6 @@ from tessera.operators import scope as S
 from tessera.operators import vectors as W
 from tessera.operators.durable import kept, materialize
 from tessera.plans.base import Plans
-from tessera.plans.q_scope import CATALOG
 from tessera.plans.q_text import BOOST
 from tessera.sources import views as V
 

@@ -22,6 +22,7 @@ from tessera.operators import conversation, hooks, lifecycle
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
+from tessera.operators.durable import materialize
 from tessera.schema import RETRIEVAL, Retrieval
 from tessera.shipping import ship
 
@@ -107,7 +108,7 @@ class Engine:
         if chunks is None:
             raise FileNotFoundError(f"no index under {self.store.root}")
         self.lexical = self.store.lexical()
-        self.tables = {"chunks": chunks, "catalog": S.catalog(self.lexical.leads), "vectors": self.store.load("vectors")}
+        self.tables = {"chunks": chunks, "catalog": materialize(S.catalog(self.lexical.leads), "catalog", keep=True), "vectors": self.store.load("vectors")}
 
     def retrieve(self, questions: DataFrame, config: Retrieval | None = None) -> DataFrame:
         """``questions``: (qid, query, project, build).  Dense recall comes first, then sparse."""

@@ -3,7 +3,6 @@
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.config import Generation
 from tessera.operators import answer as A

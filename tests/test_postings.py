@@ -2,7 +2,6 @@
 
 import re
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
