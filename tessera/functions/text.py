@@ -401,8 +401,16 @@ def without_rules(text: Column) -> Column:
 def boost_tokens(query: Column) -> Column:
     """Query words that should rank literal matches higher, each once ignoring case."""
     found = F.filter(tokens(query), lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(STOP_TOKENS))
-    return let(F.transform(found, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))), lambda f: F.transform(
-        F.filter(f, lambda x, i: F.array_position(F.transform(f, lambda y: y["low"]), x["low"]) == i + 1), lambda x: x["t"]))
+    start = F.struct(F.array().cast(STRINGS).alias("kept"), F.array().cast(STRINGS).alias("lows"))
+
+    def step(acc: Column, t: Column) -> Column:
+        low = F.lower(t)
+        more = F.struct(F.array_append(acc["kept"], t).alias("kept"), F.array_append(acc["lows"], low).alias("lows"))
+        return F.when(F.array_contains(acc["lows"], low), acc).otherwise(more)
+
+    # A fold, because Spark may leave a Python function unplanned when in its arguments a lambda uses a variable
+    # of an outer one, as with ``let``.
+    return F.aggregate(found, start, step, lambda acc: acc["kept"])
 
 
 def is_pin_query(query: Column) -> Column:
@@ -411,7 +419,7 @@ def is_pin_query(query: Column) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is worked out once; a lambda would work out what it captures for every
-    element."""
+    element.  Not for arguments of Python functions: see ``boost_tokens``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

@@ -1,12 +1,16 @@
 """Model calls: a model is loaded once a worker, batches hold like sizes, repeated pairs are scored once."""
 
 import os
+import re
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import hooks
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
+from tessera.plans import registry
 
 
 def loader(folder, kind):
@@ -67,3 +71,36 @@ def test_retrieval_asks_the_reranker_about_excerpts(spark):
 
     found = R.retrieve(asked, chunks, I.lexical(chunks, "chunk_key"), products, reranker=model).orderBy("rank").collect()
     assert [(r.chunk_key, r.score) for r in found] == [(1, 1.5), (2, -1.0)]
+
+
+def plain_excerpt(content, terms, size=512):
+    """What an excerpt is, window by window."""
+    text = content.strip()
+    upper, best, most = text.upper(), 0, 0
+    if len(text) <= size:
+        return text
+    for term in terms:
+        for match in re.finditer(re.escape(term), text, re.IGNORECASE):
+            at = max(0, match.start() - size // 3)
+            score = sum(t.upper() in upper[at : at + size] for t in terms)
+            if score > most:
+                most, best = score, at
+    return text[best : best + size]
+
+
+def test_the_excerpt_query_runs_each_time_it_is_built(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    want = {i: plain_excerpt(t, ["the", "interface", "andthe", "erth"]) for i, t in texts.items() if len(t.strip().upper()) == len(t.strip())}
+    assert len(want) > 150
+    for _ in range(4):
+        got = {r.doc_id: r.excerpt for r in registry.queries()["R08_query_excerpt"](spark, SMALL).collect()}
+        assert set(got) == set(texts) and {i: got[i] for i in want} == want
+
+
+def test_words_of_a_question_reach_a_python_function(spark):
+    path = "a" * 600 + " The LCD pin " + "b" * 600
+    rows = spark.createDataFrame([(1, "the THE lcd", path), (2, None, path), (3, "pin", path), (4, "the", None)], "id long, query string, content string").repartition(2)
+    for _ in range(4):
+        words = X.boost_tokens(F.col("query"))
+        found = {r.id: (r.words, r.excerpt) for r in rows.select("id", words.alias("words"), hooks.focused_excerpt(F.col("content"), words).alias("excerpt")).collect()}
+        assert found == {1: (["the", "lcd"], path[601 - 170 :][:512]), 2: (None, path[:512]), 3: ([], path[:512]), 4: (["the"], "")}
