@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -423,8 +424,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def hits_in(words: Column, text: Column) -> Column:
-    return let(F.upper(text), lambda upper: F.size(F.filter(words, lambda t: F.contains(upper, F.upper(t)))))
+def hits_in(words: Column, text: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
+    return let(upper(text), lambda told: F.size(F.filter(words, lambda t: F.contains(told, upper(t)))))
+
+
+@cache
+def case_letters(upper: bool) -> tuple[str, str]:
+    """Letters that have one other letter in upper (or lower) case, as SQL has it, and those others."""
+    told = {}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):  # none follow
+        # Some have an upper case of several letters, but a title of one.
+        ways = ("ẞ" if c == "ß" else c.upper(), c.title()) if upper else ("i" if c == "İ" else c.lower(),)
+        other = next((x for x in ways if len(x) == 1), c)
+        if other != c:
+            told[c] = other
+    return "".join(told), "".join(told.values())
+
+
+def upper_by_letter(text: Column) -> Column:
+    """``text`` in upper case letter by letter, as SQL has it; ``upper`` writes some as two, as ``ß`` as ``SS``."""
+    return F.translate(text, *case_letters(True))
+
+
+def lower_by_letter(text: Column) -> Column:
+    """``text`` in lower case letter by letter, as SQL has it, whatever stands around a letter."""
+    return F.translate(text, *case_letters(False))
+
+
+def boost_tokens_by_letter(query: Column) -> Column:
+    """``boost_tokens`` in lower case, with the case of SQL."""
+    found = F.array_distinct(F.transform(tokens(query), lower_by_letter))
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(STOP_TOKENS))
 
 
 def first_heading(text: Column) -> Column:

@@ -8,6 +8,7 @@ what scores of zero in corpus order mean.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,10 +103,10 @@ def share_logit(words: Column, hits: Column) -> Column:
     return F.round(F.when(F.size(words) == 0, -6.0).otherwise(8.0 * hits / F.size(words) - 6.0), DIGITS)
 
 
-def metadata_boost(words: Column, interfaces: Column, nets: Column, keywords: Column, title: Column) -> Column:
+def metadata_boost(words: Column, interfaces: Column, nets: Column, keywords: Column, title: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
     """How many of the words occur in the metadata."""
     lists = [F.coalesce(F.array_join(c, " "), F.lit("")) for c in (interfaces, nets, keywords)]
-    return X.hits_in(words, F.concat_ws(" ", *lists, F.coalesce(title, F.lit(""))))
+    return X.hits_in(words, F.concat_ws(" ", *lists, F.coalesce(title, F.lit(""))), upper)
 
 
 def keyword_boost(content_hits: Column, metadata_hits: Column) -> Column:
@@ -174,7 +175,7 @@ def scope_pool(questions: DataFrame, scopes: DataFrame, catalog: DataFrame, tier
     return ranked.select("qid", tier.alias("tier"), "project", "build", "scope_rank")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog: DataFrame, config: Retrieval = RETRIEVAL, *, use_cascade: bool | None = None, dense: DataFrame | None = None, reranker: hooks.Reranker | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog: DataFrame, config: Retrieval = RETRIEVAL, *, use_cascade: bool | None = None, dense: DataFrame | None = None, reranker: hooks.Reranker | None = None, by_letter: bool = False) -> DataFrame:
     """The whole of retrieval for ``questions`` (qid, query, project, build): recall per tier, fusion,
     reranking, boosts, cascade or flat order, and the score gate.
 
@@ -183,9 +184,11 @@ def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog:
     alone inherits from all its builds; one without a project sees everything as one tier.  ``dense``:
     (qid, tier, chunk_key, pos, score) of a dense recall over each question's pool, which comes first in
     the fusion (see ``dense_pool``).  A ``reranker`` scores each question with the excerpt of a chunk that
-    gathers most of its words; without one, the words are looked for in the whole chunk."""
+    gathers most of its words; without one, the words are looked for in the whole chunk.  ``by_letter``: words
+    meet texts in the case of SQL, where ``ß`` is one letter."""
     tiered = config.scope_cascade if use_cascade is None else use_cascade
-    free = questions.select("qid", "query", X.boost_tokens(F.col("query")).alias("words"), X.is_pin_query(F.col("query")).alias("pin"))
+    boost_tokens, upper = (X.boost_tokens_by_letter, X.upper_by_letter) if by_letter else (X.boost_tokens, F.upper)
+    free = questions.select("qid", "query", boost_tokens(F.col("query")).alias("words"), X.is_pin_query(F.col("query")).alias("pin"))
     pool = materialize(scope_pool(questions, index.leads, catalog, tiered), "scope-pool")
     sparse = sparse_recall(questions.select("qid", "query"), pool, index, config.sparse_k, config, chunks=chunks)
     lists = [sparse]
@@ -194,10 +197,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, index: I.Lexical, catalog:
     found = materialize(fused(*lists, by=("qid", "tier")).drop("rank", "source"), "candidates")
     rows = found.join(chunks, "chunk_key").join(free, "qid").join(pool.select("qid", "project", "build", "scope_rank"), ["qid", "project", "build"])
     # The few candidates leave the scan of the chunks before the costly part, by question as the ranks need them.
-    rows = spread(rows, "qid").withColumn("hits", X.hits_in(F.col("words"), F.col("content")))
+    rows = spread(rows, "qid").withColumn("hits", X.hits_in(F.col("words"), F.col("content"), upper))
     told = [F.col(c) if c in chunks.columns else F.lit(None).cast(X.STRINGS) for c in ("interfaces", "nets", "keywords")]
     title = F.col("title") if "title" in chunks.columns else F.lit(None).cast("string")
-    meta = metadata_boost(F.col("words"), *told, title) if {"title", "keywords"} & set(chunks.columns) else F.lit(0)
+    meta = metadata_boost(F.col("words"), *told, title, upper) if {"title", "keywords"} & set(chunks.columns) else F.lit(0)
     if reranker is None:
         rows = rows.withColumn("score", share_logit(F.col("words"), F.col("hits")))
     else:

@@ -1,14 +1,18 @@
 import time
 
+import duckdb
 import numpy as np
 import pytest
+from conftest import same_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import index as I
 from tessera.operators import retrieve as R
 from tessera.operators import scope as S
+from tessera.plans import registry
 
 COLUMNS = "qid long, tier int, pos long, scope_rank int, doc_rank int, boost int, score double"
 
@@ -140,3 +144,24 @@ def test_expansion(spark):
 def test_simulation_never_exceeds_k(rows, k):
     made = [(1, t, i, 0, 0, 0, s / 10) for i, (t, s) in enumerate(rows)]
     assert len(simulated(made, k)) <= k
+
+
+def test_letters_change_case_as_in_sql(spark, duck):
+    """Every letter; ``upper`` alone would write ß as SS."""
+    letters = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x110000)]]
+    told = spark.createDataFrame([(c,) for c in letters], "c string").select("c", X.upper_by_letter(F.col("c")).alias("u"), X.lower_by_letter(F.col("c")).alias("l"))
+    want = duck.execute("SELECT c, upper(c), lower(c) FROM (SELECT chr(i::INTEGER) AS c FROM range(1, 1114112) r(i) WHERE i < 55296 OR i > 57343)").fetchall()
+    assert {tuple(r) for r in told.collect()} == set(want)
+
+
+@pytest.mark.parametrize("name", ["R14_pool_retrieve", "R20_flat_retrieve"])
+def test_retrieval_matches_words_as_its_sql_does(spark, tmp_path, name):
+    """Words whose upper or lower case Java and SQL write differently."""
+    texts = ["große straße", "GROSSE STRASSE", "GROẞE STRAẞE", "STRASSE und große", "ohm Ω kelvin 3K", "OHM Ω KELVIN 3K", "ﬁlter ΟΔΟΣ", "FILTER οδος", "οδοσ İstanbul", "ISTANBUL istanbul", "maſs MASS", "ŉa ǰa"]
+    asked = ["große straße", "strasse grosse x", "3K Ωm ohm", "ΟΔΟΣ οδος ﬁlter", "İstanbul MAẞ maſs", "straße STRASSE STRAẞE", "ŉa ǰa ΟΔΟΣ οδοσ", "große οδος 3k"]
+    spark.createDataFrame([(i, texts[i % 12] + f" n{i}") for i in range(240)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    same_rows(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])
