@@ -154,7 +154,7 @@ def test_letters_change_case_as_in_sql(spark, duck):
     assert {tuple(r) for r in told.collect()} == set(want)
 
 
-@pytest.mark.parametrize("name", ["R14_pool_retrieve", "R20_flat_retrieve"])
+@pytest.mark.parametrize("name", ["R14_pool_retrieve", "R20_flat_retrieve", "R21_retrieve"])
 def test_retrieval_matches_words_as_its_sql_does(spark, tmp_path, name):
     """Words whose upper or lower case Java and SQL write differently."""
     texts = ["große straße", "GROSSE STRASSE", "GROẞE STRAẞE", "STRASSE und große", "ohm Ω kelvin 3K", "OHM Ω KELVIN 3K", "ﬁlter ΟΔΟΣ", "FILTER οδος", "οδοσ İstanbul", "ISTANBUL istanbul", "maſs MASS", "ŉa ǰa"]
