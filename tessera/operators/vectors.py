@@ -3,8 +3,10 @@
 A pack holds up to ``PACK`` unit vectors of one scope that lie close together, their centre and the widest
 angle between it and one of them.  For a question the angle to a pack's centre, less that width, bounds
 the cosine of all its vectors.  A search first visits, for each question, the packs whose centres lie
-nearest; the k-th best score there is one that k vectors reach, and of all other packs those are visited
-whose bound reaches it.  Scores are exact, and rows equal those of a search that visits every pack.
+nearest; the k-th best score there is one that k vectors reach, and of all packs those are visited whose
+bound reaches it.  For that, groups of packs meet blocks of questions, both of a bounded number, in tasks that
+hold bounds and scores: what moves grows with the blocks and groups, not with the visits.  Scores are exact,
+and rows equal those of a search that visits every pack.
 
 Packs come from two steps: vectors of a scope that is large go to the nearest of a bounded number of
 pivots, drawn from the scope, and in parts of a bounded number into local clusters.  Pivots and clusters
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,8 @@ ROUNDS = 4
 FIRST_PACKS = 4
 #: Centres, and questions, that meet in a task.
 CENTRES, QUESTIONS = 8192, 512
+#: Vectors, and questions, that meet in a task where scores are taken; questions go by ``QUESTIONS`` there.
+VECTORS, ASKED = 16_384, 4096
 #: Rows that may be broadcast.
 SMALL = 200_000
 #: Rounding of angles.
@@ -60,6 +65,7 @@ def pack_vectors(vectors: DataFrame, key: str = "key", extra: tuple[str, ...] =
     """(scope, dim, pack, n, centre, width, keys, units, *extra) of ``vectors`` (key: long, unit, scope: string,
     *extra: long); ``pack`` is unique.  Vectors of other lengths are other scopes."""
     rows = vectors.select(F.coalesce("scope", F.lit("")).alias("scope"), F.size("unit").alias("dim"), F.col(key).cast("long").alias("key"), "unit", *extra)
+    rows = materialize(rows, "vector-units")
     sizes = rows.groupBy("scope", "dim").agg(F.count("*").alias("count"))
     sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("count") / PART).cast("int")), "vector-scopes")
     rows = rows.join(broadcast_if_small(sizes, SMALL), ["scope", "dim"])
@@ -168,7 +174,8 @@ def dense_search(queries: DataFrame, packs: DataFrame, k: int, key: str = "key",
         turn = F.pmod(F.xxhash64("qid"), F.lit(turns)).cast("int")
         asking = asking.groupBy("pack", turn.alias("turn")).agg(F.collect_list("qid").alias("qids"), F.collect_list("unit").alias("asked"))
         live = ["live"] if "live" in packs.columns else []
-        met = packs.select("pack", "dim", "keys", "units", *live).join(asking, "pack")
+        # What a pack is asked is larger than estimated from the visits: no broadcast.
+        met = packs.select("pack", "dim", "keys", "units", *live).join(asking.hint("merge"), "pack")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -187,6 +194,55 @@ def dense_search(queries: DataFrame, packs: DataFrame, k: int, key: str = "key",
 
         return met.select("pack", "dim", "keys", "units", "qids", "asked", *live).mapInArrow(run, "qid long, key long, score double")
 
+    def scored(questions: DataFrame) -> DataFrame:
+        """(qid, key, score): of each question (with its cutoff) and group of packs, the best k among the packs
+        whose bound reaches the cutoff."""
+        live = ["live"] if "live" in packs.columns else []
+        meet = packs.groupBy(*by).agg(F.ceil(F.sum("n") / VECTORS).cast("int").alias("groups"))
+        meet = meet.join(asked.groupBy(*by).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns")), by)
+        meet = broadcast_if_small(materialize(meet, "score-meetings"), SMALL)
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        held = packs.select(*by, "pack", "centre", "width", "keys", "units", *live).join(meet, by)
+        held = held.withColumn("group", F.pmod(F.xxhash64("pack"), "groups").cast("int")).withColumn("turn", each("turns")).drop("pack", "groups", "turns")
+        own = questions.select(*by, "qid", "unit", "cutoff").join(meet, by)
+        own = own.withColumn("turn", F.pmod(F.xxhash64("qid"), "turns").cast("int")).withColumn("group", each("groups")).drop("groups", "turns")
+        met = [*by, "group", "turn"]
+
+        def run(table: pa.Table, asking: pa.Table) -> pa.Table:
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+            if table.num_rows and asking.num_rows:
+                dim = asking.column("dim")[0].as_py()
+                keys = table.column("keys").combine_chunks()
+                ends = np.cumsum(pc.list_value_length(keys).to_numpy(zero_copy_only=False))
+                keys = keys.flatten().to_numpy(zero_copy_only=False)
+                units = np.frombuffer(b"".join(table.column("units").to_pylist())).reshape(-1, dim)
+                middle, width = np.frombuffer(b"".join(table.column("centre").to_pylist())).reshape(-1, dim), table.column("width").to_numpy()
+                dead = np.concatenate([np.full(n, False) if x is None else ~np.array(x, bool) for x, n in zip(table.column("live").to_pylist(), np.diff(ends, prepend=0), strict=True)]) if live else None
+                qids, cutoffs = asking.column("qid").to_numpy(), asking.column("cutoff").to_numpy()
+                matrix = asking.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(qids), dim)
+                for at in range(0, len(qids), QUESTIONS):
+                    some, cutoff = matrix[at : at + QUESTIONS], cutoffs[at : at + QUESTIONS, None]
+                    bound = np.cos(np.maximum(np.arccos(np.clip(some @ middle.T, -1, 1)) - width, 0))
+                    visit = bound + SLACK >= cutoff
+                    scores = np.full((len(some), len(keys)), -np.inf)
+                    for pack in np.flatnonzero(visit.any(0)):
+                        rows, span = np.flatnonzero(visit[:, pack]), slice(ends[pack - 1] if pack else 0, ends[pack])
+                        scores[rows, span] = some[rows] @ units[span].T
+                    if dead is not None:
+                        scores[:, dead] = -np.inf
+                    np.round(scores, DIGITS, out=scores)
+                    least = max(0, len(keys) - k)
+                    kth = np.partition(scores, least, axis=1)[:, least, None]
+                    i, j = np.nonzero((scores >= np.maximum(kth, cutoff - SLACK)) & (scores > -np.inf))
+                    order = np.lexsort((keys[j], -scores[i, j], i))
+                    i, j = i[order], j[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    for column, value in zip(out, (qids[at + i[keep]], keys[j[keep]], scores[i[keep], j[keep]]), strict=True):
+                        column.append(value)
+            return pa.table([pa.array(np.concatenate(c)) for c in out], names=["qid", "key", "score"])
+
+        return spread(held, *met).groupBy(*met).cogroup(spread(apart(own), *met).groupBy(*met)).applyInArrow(run, "qid long, key long, score double")
+
     turns = max(1, -(-asked.count() // QUESTIONS))
     by_near = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "pack"))
     opened = pairs(blocked, True).withColumn("nth", by_near).filter(F.col("nth") <= FIRST_PACKS).select("qid", "pack")
@@ -195,8 +251,7 @@ def dense_search(queries: DataFrame, packs: DataFrame, k: int, key: str = "key",
     start = visited(opened, asked).withColumn("nth", best).filter(F.col("nth") <= k)
     cutoffs = materialize(start.filter(F.col("nth") == k).select("qid", F.col("score").alias("cutoff")), "dense-cutoffs")
     told_cutoff = blocked.join(cutoffs, "qid", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(-2.0)))
-    due = materialize(pairs(told_cutoff, False).select("qid", "pack"), "visits")
     if visits is not None:
-        visits.append(due)
-    found = visited(due, asked).withColumn("rank", best).filter(F.col("rank") <= k)
+        visits.append(materialize(pairs(told_cutoff, False).select("qid", "pack"), "visits"))
+    found = scored(told_cutoff).withColumn("rank", best).filter(F.col("rank") <= k)
     return found.select("qid", F.col("key").alias(key), "score", "rank")

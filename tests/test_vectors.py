@@ -70,3 +70,42 @@ def test_scopes_lengths_and_dead_vectors(spark):
     assert got(W.dense_search(rows, dead, 5)) == brute(asked, units, 5, lambda q, i: allowed(q, i) and i % 5 != 0)
     assert W.dense_search(rows.filter("qid < 0"), packs, 5).count() == 0
     assert R.dense_recall(rows.select("qid", "unit"), held.filter("key < 0"), 2).count() == 0
+
+
+def moved(plan):
+    """Bytes that the exchanges of a plan that ran have written or broadcast."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return moved(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return moved(plan.plan())
+    size, below = plan.metrics().get("dataSize"), plan.children()
+    return (size.get().value() if size.isDefined() else 0) + sum(moved(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("spread", [0.1, 50.0])
+def test_what_moves_does_not_grow_with_the_visits(spark, spread):
+    """On vectors without clusters every question visits nearly every pack; vectors and questions move few times."""
+    units = clustered(4, 6000, 64, 30, spread)
+    held = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(units)], "key long, unit array<double>, scope string")
+    packs = W.materialize(W.pack_vectors(held), "packs-moved")
+    asked = {i: units[i] for i in range(0, 6000, 15)}
+    visits = []
+    found = W.dense_search(spark.createDataFrame([(i, v.tolist()) for i, v in asked.items()], "qid long, unit array<double>"), packs, 4, visits=visits)
+    assert got(found) == brute(asked, units, 4)
+    if spread > 1:
+        assert visits[0].count() > 0.8 * packs.count() * len(asked)
+    assert 0 < moved(found._jdf.queryExecution().executedPlan()) < 3 * (units.nbytes + len(asked) * 64 * 8)
+
+
+def test_groups_of_packs_and_turns_of_questions(spark, monkeypatch):
+    """Many meetings of a scope, ties across them, and vectors that do not count."""
+    for name, value in (("VECTORS", 150), ("ASKED", 20), ("QUESTIONS", 7)):
+        monkeypatch.setattr(W, name, value)
+    units = clustered(5, 900, 8, 6, 0.5)
+    units[100:200] = units[100]
+    held = spark.createDataFrame([(i, v.tolist(), f"s{i % 2}") for i, v in enumerate(units)], "key long, unit array<double>, scope string")
+    packs = W.materialize(W.pack_vectors(held).withColumn("live", F.when(F.col("scope") == "s1", F.transform("keys", lambda x: x % 5 != 0))), "packs-met")
+    asked = {q: units[q] for q in range(0, 900, 9)}
+    rows = spark.createDataFrame([(q, v.tolist(), ["s0", "s1"] if q % 2 else ["s1"]) for q, v in asked.items()], "qid long, unit array<double>, scopes array<string>")
+    assert got(W.dense_search(rows, packs, 6)) == brute(asked, units, 6, lambda q, i: (i % 2 or q % 2) and (i % 2 == 0 or i % 5))
