@@ -150,29 +150,34 @@ def known_prefixes(text: Column) -> Column:
 
 def recovered_nets(text: Column, most: int = 15) -> Column:
     """``PREFIX_Dn`` nets inside noise: the shortest known suffix of the prefix, n up to ``most``."""
-    clean = single_underscores(text)
-    known = known_prefixes(clean)
+    return let(single_underscores(text), lambda clean: _recovered(clean, most))
 
-    def net(match: Column) -> Column:
-        raw = F.upper(F.regexp_extract(match, DATA_NET, 1))
-        suffixes = F.transform(F.sequence(F.lit(2), F.greatest(F.length(raw), F.lit(2))), lambda n: F.right(raw, n))
-        fit = F.filter(suffixes, lambda s: F.array_contains(known, s) & (F.length(s) >= 2))
-        return F.concat(F.coalesce(F.get(fit, 0), raw), F.lit("_D"), F.regexp_extract(match, DATA_NET, 2).cast("int").cast("string"))
+
+def _recovered(clean: Column, most: int = 15) -> Column:
+    def net(match: Column, known: Column) -> Column:
+        def named(raw: Column) -> Column:
+            suffixes = F.transform(F.sequence(F.lit(2), F.greatest(F.length(raw), F.lit(2))), lambda n: F.right(raw, n))
+            fit = F.filter(suffixes, lambda s: F.array_contains(known, s) & (F.length(s) >= 2))
+            return F.coalesce(F.get(fit, 0), raw)
+
+        return F.concat(let(F.upper(F.regexp_extract(match, DATA_NET, 1)), named), F.lit("_D"), F.regexp_extract(match, DATA_NET, 2).cast("int").cast("string"))
 
     matches = F.regexp_extract_all(clean, F.lit(DATA_NET), F.lit(0))
-    fit = F.filter(matches, lambda m: (F.length(F.regexp_extract(m, DATA_NET, 2)) <= 9) & (F.regexp_extract(m, DATA_NET, 2).try_cast("int") <= most))
-    return F.array_distinct(F.transform(fit, net))
+    digits = F.transform(matches, lambda m: F.struct(m.alias("m"), F.regexp_extract(m, DATA_NET, 2).alias("i")))
+    fit = F.filter(digits, lambda x: (F.length(x["i"]) <= 9) & (x["i"].try_cast("int") <= most))
+    return let(known_prefixes(clean), lambda known: F.array_distinct(F.transform(fit, lambda x: net(x["m"], known))))
 
 
 def nets(text: Column) -> Column:
-    clean = single_underscores(text)
-    found = F.array_union(F.regexp_extract_all(clean, F.lit(NAMED_NET), F.lit(1)), F.regexp_extract_all(clean, F.lit(POWER_NET), F.lit(1)))
-    found = F.filter(F.array_union(found, recovered_nets(text)), lambda n: ~F.rlike(n, F.lit(r"^[URCLQD]\d{1,5}$")))
-    return by_upper(found)
+    def found(clean: Column) -> Column:
+        own = F.array_union(F.regexp_extract_all(clean, F.lit(NAMED_NET), F.lit(1)), F.regexp_extract_all(clean, F.lit(POWER_NET), F.lit(1)))
+        return F.filter(F.array_union(own, _recovered(clean)), lambda n: ~F.rlike(n, F.lit(r"^[URCLQD]\d{1,5}$")))
+
+    return by_upper(let(single_underscores(text), found))
 
 
 def by_upper(values: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(values, lambda n: F.struct(F.upper(n).alias("u"), n.alias("n")))), lambda s: s["n"])
+    return F.transform(F.sort_array(F.transform(values, lambda n: F.struct(F.upper(n).alias("u"), n.alias("n")))), lambda s: s["n"])
 
 
 def components(text: Column) -> Column:
@@ -181,7 +186,7 @@ def components(text: Column) -> Column:
 
 def major_components(text: Column) -> Column:
     chips = F.filter(components(text), lambda c: F.startswith(c, F.lit("U")))
-    return F.when(F.size(chips) > 0, chips).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(CHIP), F.lit(1))))
+    return let(chips, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(CHIP), F.lit(1)))))
 
 
 def module_labels(text: Column) -> Column:
@@ -203,18 +208,23 @@ def ordered_distinct(values: Column) -> Column:
 
 def module_region(label: Column, text: Column, labels: Column, window: int = 3000) -> Column:
     """``text`` from ``label`` to the next other label, at most ``window`` characters; all upper case."""
-    upper, own = F.upper(text), F.upper(label)
-    at = F.position(own, upper)
-    others = F.filter(F.transform(labels, F.upper), lambda x: x != own)
-    starts = F.filter(F.transform(others, lambda x: F.position(x, upper, at + F.length(own))), lambda p: p > at)
-    end = F.least(F.length(upper) + 1, at + window, F.coalesce(F.array_min(starts), F.lit(2**31 - 1)))
-    return F.when(at == 0, "").otherwise(F.substring(upper, at, end - at))
+
+    def region(x: Column) -> Column:
+        upper, own, at = x["upper"], x["own"], x["at"]
+        others = F.filter(F.transform(labels, F.upper), lambda o: o != own)
+        starts = F.filter(F.transform(others, lambda o: F.position(o, upper, at + F.length(own))), lambda p: p > at)
+        end = F.least(F.length(upper) + 1, at + window, F.coalesce(F.array_min(starts), F.lit(2**31 - 1)))
+        return F.when(at == 0, "").otherwise(F.substring(upper, at, end - at))
+
+    told = let(F.struct(F.upper(text).alias("upper"), F.upper(label).alias("own")), lambda x: F.struct(x["upper"].alias("upper"), x["own"].alias("own"), F.position(x["own"], x["upper"]).alias("at")))
+    return let(told, region)
 
 
 def nets_in_region(label: Column, region: Column, found: Column) -> Column:
     """Nets in a label's region, or whose prefix is a word of the label."""
     words = F.filter(F.split(F.upper(label), r"[&/\s]+"), lambda w: F.length(w) >= 2)
-    return by_upper(F.array_distinct(F.filter(found, lambda n: F.contains(region, F.upper(n)) | F.array_contains(words, F.upper(F.substring_index(n, "_", 1))))))
+    own = let(words, lambda w: F.filter(found, lambda n: F.contains(region, F.upper(n)) | F.array_contains(w, F.upper(F.substring_index(n, "_", 1)))))
+    return by_upper(F.array_distinct(own))
 
 
 def module_zones(labels: Column, found: Column, text: Column) -> Column:

@@ -166,13 +166,14 @@ def distinct_images(images: DataFrame, most_pages: int = 3) -> DataFrame:
 
 
 def merged_schematic(pages: DataFrame) -> DataFrame:
-    """``pages`` (doc, page, text, nets, interfaces) to one row a document: texts between page breaks,
+    """``pages`` (doc, page, text, nets, interfaces [, title]) to one row a document: texts between page breaks,
     lists in order, each entry once."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text", "nets", "interfaces")))
-    rows = pages.groupBy("doc").agg(ordered.alias("p"), F.count("*").alias("page_count"))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text", "nets", "interfaces")))
+    more = ["title"] if "title" in pages.columns else []
+    rows = pages.groupBy("doc").agg(ordered.alias("p"), F.count("*").alias("page_count"), *(F.first(c).alias(c) for c in more))
     both = lambda c: X.ordered_distinct(F.flatten(F.transform("p", lambda x: x[c])))
     text = F.array_join(F.filter(F.transform("p", lambda x: X.strip(x["text"])), lambda t: t != ""), "\n\n---\n\n")
-    return rows.select("doc", "page_count", text.alias("content"), both("nets").alias("nets"), both("interfaces").alias("interfaces"))
+    return rows.select("doc", "page_count", text.alias("content"), both("nets").alias("nets"), both("interfaces").alias("interfaces"), *more)
 
 
 APPENDIX = "## 5. OCR 保真摘录（检索依据，禁止改写）"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import ingest, reply
+from tessera.operators.durable import spread
 
 PAGES = "doc string, title string, page int, text string, lines int, image_ratio double, scanned string, described string"
 PageReader = Callable[[str, bytes], list[dict]]
@@ -77,22 +78,25 @@ def prefix_groups(nets: Column, level: int) -> Column:
     """Lines that list nets by the word before their first underscore: data buses in number order, then
     the others."""
     named = F.filter(nets, lambda n: F.contains(n, F.lit("_")))
-    prefix = lambda n: F.upper(F.substring_index(n, "_", 1))
+    told = F.transform(named, lambda n: F.struct(F.upper(F.substring_index(n, "_", 1)).alias("p"), F.regexp_extract(n, r"(?i)^[^_]*_D(\d+)$", 1).alias("i"), n.alias("n")))
+    none = F.array().cast(X.STRINGS)
 
-    def block(p: Column) -> Column:
-        own = F.filter(named, lambda n: prefix(n) == p)
-        number = lambda n: F.regexp_extract(n, r"(?i)^[^_]*_D(\d+)$", 1)
-        bus = F.array_sort(F.transform(F.filter(own, lambda n: number(n) != ""), lambda n: F.struct(number(n).try_cast("int").alias("i"), n.alias("n"))))
-        rest = X.by_upper(F.filter(own, lambda n: number(n) == ""))
-        part = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.array(heading(level, F.concat(F.lit(title + "（"), p, F.lit("）")))), _items(lines), F.array(F.lit("")))).otherwise(F.array().cast(X.STRINGS))
-        return F.concat(part("数据总线", F.transform(bus, lambda s: s["n"])), part("控制与时钟", rest))
+    def lines(title: str, p: Column, own: Column) -> Column:
+        return X.let(own, lambda found: F.when(F.size(found) > 0, F.concat(F.array(heading(level, F.concat(F.lit(title + "（"), p, F.lit("）")))), _items(found), F.array(F.lit("")))).otherwise(none))
 
-    return F.flatten(F.transform(F.array_sort(F.array_distinct(F.transform(named, prefix))), block))
+    def block(p: Column, all_: Column) -> Column:
+        def of(own: Column) -> Column:
+            bus = F.sort_array(F.transform(F.filter(own, lambda x: x["i"] != ""), lambda x: F.struct(x["i"].try_cast("int").alias("i"), x["n"].alias("n"))))
+            rest = X.by_upper(F.transform(F.filter(own, lambda x: x["i"] == ""), lambda x: x["n"]))
+            return F.concat(lines("数据总线", p, F.transform(bus, lambda x: x["n"])), lines("控制与时钟", p, rest))
+
+        return X.let(F.filter(all_, lambda x: x["p"] == p), of)
+
+    return X.let(told, lambda all_: F.flatten(F.transform(F.sort_array(F.array_distinct(F.transform(all_, lambda x: x["p"]))), lambda p: block(p, all_))))
 
 
 def power_lines(nets: Column, level: int) -> Column:
-    found = X.power_nets(nets)
-    return F.when(F.size(found) > 0, F.concat(F.array(heading(level, F.lit("电源"))), _items(found), F.array(F.lit("")))).otherwise(F.array().cast(X.STRINGS))
+    return X.let(X.power_nets(nets), lambda found: F.when(F.size(found) > 0, F.concat(F.array(heading(level, F.lit("电源"))), _items(found), F.array(F.lit("")))).otherwise(F.array().cast(X.STRINGS)))
 
 
 def with_fields(pages: DataFrame, text: Column) -> DataFrame:
@@ -134,13 +138,13 @@ def schematic_documents(pages: DataFrame, mode: str = "ocr_only", project: str =
     """(doc, content, nets, interfaces, page_count).  ``ocr_only`` reports what was read; ``vlm_plus_ocr``
     takes the described page, if there is one, and adds what was read as an appendix, once."""
     text = F.coalesce("scanned", "text", F.lit(""))
-    pages = with_fields(pages, text)
+    # A page costs far more time than bytes: a small file is one task's, its pages are not.
+    pages = with_fields(spread(pages, "doc", "page"), text)
     read = page_report(F.col("page"), F.col(project))
     own = ingest.with_appendix(F.col("described"), F.col("ocr"), F.col("labels"), F.col("found_nets"))
     report = read if mode == "ocr_only" else F.when(X.strip(F.coalesce("described", F.lit(""))) != "", own).otherwise(read)
     named = F.transform(F.filter("found_nets", lambda n: F.contains(n, F.lit("_"))), lambda n: F.substring_index(n, "_", 1))
     rows = pages.select("doc", "title", "page", report.alias("text"), F.col("found_nets").alias("nets"), X.ordered_distinct(F.concat("labels", named)).alias("interfaces"))
     merged = ingest.merged_schematic(rows)
-    titles = rows.groupBy("doc").agg(F.first("title").alias("title"))
     lead = F.concat(F.lit("# 电子图纸分析报告："), "title", F.lit("\n\n"))
-    return merged.join(titles, "doc").select("doc", F.concat(lead, "content", F.lit("\n")).alias("content"), "nets", "interfaces", "page_count")
+    return merged.select("doc", F.concat(lead, "content", F.lit("\n")).alias("content"), "nets", "interfaces", "page_count")
