@@ -381,8 +381,8 @@ class Store:
         return rows.withColumn("id", own).join(broadcast_if_small(told, P.SMALL), ["segment", "id"], "left").drop("id")
 
     def load(self, name: str) -> DataFrame | None:
-        """``chunks``, ``postings``, ``vectors``, ``tokens``, ``stats``, ``leads`` or ``manifest`` of the newest
-        version."""
+        """``chunks``, ``postings``, their ``totals`` by token, ``vectors``, ``tokens``, ``stats``, ``leads`` or
+        ``manifest`` of the newest version."""
         found = self.versions()
         if not found:
             return None
@@ -392,6 +392,8 @@ class Store:
             return self._segments("chunks", segments).join(_named(manifest), [*META], "left_semi").drop(*META)
         if name == "postings":
             return P.unpacked(self._live("packs", found[-1]))
+        if name == "totals":
+            return P.totals(self._live("packs", found[-1]))
         if name == "vectors":
             fs, path = self._fs()
             return self._live("vectors", found[-1]) if fs.exists(path(f"{self.root}/vectors")) else None

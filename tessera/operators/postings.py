@@ -96,7 +96,7 @@ def pack_shard(table: pa.Table, extra: tuple[str, ...] = ()) -> pa.Table:
     ranges = np.flatnonzero(np.r_[True, (np.diff(code) != 0) | (np.diff(of) != 0)]) if len(code) else np.empty(0, np.int64)
     most, least = (np.maximum.reduceat(tf, ranges), np.minimum.reduceat(length[spot], ranges)) if len(ranges) else (ranges, ranges)
     starts = np.flatnonzero(np.diff(code, prepend=-1))
-    ends = np.r_[starts[1:], len(code)]
+    ends = np.r_[starts[1:], len(code)][: len(starts)]  # none if all texts are empty
     cuts = np.searchsorted(ranges, np.r_[starts, len(code)])
     spot, tf, of, most, least = (x.astype("<i4") for x in (spot, tf, of[ranges], most, least))
     data = []
@@ -265,23 +265,54 @@ def search(packs: DataFrame, asked: DataFrame, avgdl: DataFrame, k: int | None,
     return opened.unionAll(found(own.filter(~first), rest))
 
 
+def read_shard(rows: pa.Table) -> tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's rows: which one tells of its chunks, the other rows' tokens and how many postings each has; of
+    all postings the places and frequencies; of the chunks the lengths and which of them count.  All rows are
+    read at once."""
+    rows = rows.combine_chunks()
+    tokens, packed = (rows.column(c).chunk(0) for c in ("token", "packed"))
+    me = pc.index(tokens, "").as_py()
+    wide = np.int64 if pa.types.is_large_binary(packed.type) else np.int32
+    at = np.frombuffer(packed.buffers()[1], wide)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 4
+    data = np.frombuffer(packed.buffers()[2], "<i4", int(at[-1]))
+    lengths = data[at[me] : at[me + 1]].astype(np.int64)
+    live = rows.column("live")[me] if "live" in rows.column_names else None
+    live = np.asarray(live.values.to_numpy(zero_copy_only=False), bool) if live is not None and live.is_valid else np.ones(len(lengths), bool)
+    others = np.delete(np.arange(len(tokens)), me)
+    n = data[at[others]].astype(np.int64)
+    spot = np.repeat(at[others] + 2 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return me, tokens.take(pa.array(others)), n, data[spot], data[spot + np.repeat(n, n)].astype(np.int64), lengths, live
+
+
 def unpacked(packs: DataFrame, key: str = "chunk_key") -> DataFrame:
     """(token, key, pos, length, tf) of all postings of live chunks."""
     place = packs.schema["places"].dataType.elementType
     schema = T.StructType().add("token", "string").add(key, "long").add("pos", place).add("length", "long").add("tf", "long")
 
     def run(rows: pa.Table) -> pa.Table:
-        tokens, data = rows.column("token").to_pylist(), rows.column("packed")
-        me = tokens.index("")
-        lengths = np.frombuffer(data[me].as_py(), "<i4").astype(np.int64)
-        live = np.asarray(rows.column("live")[me].values.to_numpy(zero_copy_only=False), bool) if "live" in rows.column_names and rows.column("live")[me].is_valid else np.ones(len(lengths), bool)
-        held = [(t, Postings.read(data[i].as_py())) for i, t in enumerate(tokens) if t]
-        spots = np.concatenate([np.empty(0, np.int64), *(p.spots for _, p in held)]).astype(np.int64)
-        times = np.concatenate([np.empty(0, np.int64), *(p.times for _, p in held)]).astype(np.int64)
-        names = pa.array([t for t, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(p.spots) for _, p in held]).astype(np.int64)))
+        me, tokens, n, spots, times, lengths, live = read_shard(rows)
         keep = live[spots]
         at = pa.array(spots[keep])
-        columns = [names.filter(pa.array(keep)), rows.column("keys")[me].values.take(at), rows.column("places")[me].values.take(at), pa.array(lengths[spots[keep]]), pa.array(times[keep])]
+        names = tokens.take(pa.array(np.repeat(np.arange(len(n)), n)[keep]))
+        columns = [names, rows.column("keys")[me].values.take(at), rows.column("places")[me].values.take(at), pa.array(lengths[spots[keep]]), pa.array(times[keep])]
         return pa.table(columns, names=schema.names)
 
-    return packs.groupBy(*SCOPE, "shard").applyInArrow(run, schema)
+    return spread(packs, *SCOPE, "shard").groupBy(*SCOPE, "shard").applyInArrow(run, schema)
+
+
+def totals(packs: DataFrame) -> DataFrame:
+    """(token, df, tf, chars): of each token that live chunks have, how many of them, how often they have it, and
+    their tokens in all.  Postings are added up where they are read, and leave as a row a shard and token."""
+    held = packs.select(*SCOPE, "shard", "token", "packed", *(["live"] if "live" in packs.columns else []))
+    schema = T.StructType().add("token", "string").add("df", "long").add("tf", "long").add("chars", "long")
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, tokens, n, spots, times, lengths, live = read_shard(rows)
+        if not len(n):
+            return pa.table([pa.array([], f.type) for f in (pa.field("token", pa.string()), *[pa.field(c, pa.int64()) for c in ("df", "tf", "chars")])], names=schema.names)
+        alive, first = live[spots], np.cumsum(n) - n
+        df, tf, chars = (np.add.reduceat(x * alive, first) for x in (np.ones(len(spots), np.int64), times, lengths[spots]))
+        return pa.table([tokens, pa.array(df), pa.array(tf), pa.array(chars)], names=schema.names).filter(pa.array(df > 0))
+
+    found = spread(held, *SCOPE, "shard").groupBy(*SCOPE, "shard").applyInArrow(run, schema)
+    return found.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("df", "tf", "chars")))

@@ -130,3 +130,18 @@ def test_plan_moves_each_posting_once(spark):
     asked = spark.createDataFrame([(1, 0, "p", "b", ["x"], [1.0])], "qid long, tier int, project string, build string, tokens array<string>, weights array<double>")
     plan = P.search(index.packs, asked, index.stats.select("avgdl"), 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "CartesianProduct" not in plan
+
+
+def test_totals_are_added_up_where_postings_are_read(spark, tmp_path):
+    """By token, of live chunks alone: as from all postings, of which none leaves its task."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "c & d", "e_1", f"only{i}"], int(rng.integers(0, 30)))) for i in range(300)]
+    rows = spark.createDataFrame([(i, i, f"p{i % 3}" if i else "alone", "b", "" if not i else t) for i, t in enumerate(texts)], "chunk_key long, pos long, project string, build string, text string")
+    packs = P.materialize(P.packed(rows, "chunk_key", "text"), "totals-packs")
+    for live in (None, F.transform("keys", lambda k: k % 3 != 0)):
+        held = packs if live is None else P.materialize(packs.withColumn("live", live), "totals-live")
+        total, posts = P.totals(held), P.unpacked(held)
+        want = posts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("length").alias("chars"))
+        assert {tuple(r) for r in total.collect()} == {tuple(r) for r in want.collect()}
+        told = Counter(t for i, text in enumerate(texts) if i and (live is None or i % 3) for t in re.findall(r"[\w&]+", text))
+        assert {r.token: r.tf for r in total.collect()} == told
